@@ -1,5 +1,6 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts in a document with a smaller id.
 
+0. Copies. Of documents with the same text (by SHA-256) only the least id goes on; the others lose all their bytes.
 1. Anchors. In each window of `length` bytes the `gram` bytes of least hash are its anchor. Equal windows have equal
    anchors at equal places, so two documents that share a window share an anchor. One row (hash, id) for each anchor of
    a document is shuffled by hash; anchors of a single document end here.
@@ -11,7 +12,7 @@
    share a prefix. A window is removed from every document but the one of least id in its class of equal suffixes.
 4. Spans return to their documents and are merged.
 
-Hashes only propose: windows are compared byte by byte. No group is held whole but the distinct contexts of one anchor.
+Hashes of anchors only propose: windows are compared byte by byte. No group is held whole but the distinct contexts of one anchor.
 
 Defined results: a null text counts as empty (0 bytes, nothing removed); texts shorter than `length` lose nothing; rows
 that repeat an id are one document to each other (neither is smaller) and are judged each on its own text; rows without
@@ -26,14 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, narrow
+from .common import map_arrow, narrow, staged
 
 LENGTH, GRAM = 50, 16
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
 SHALLOW, TOGETHER = 16, 30_000
+#: Copies up to this number are sent to all tasks (12 bytes each); beyond, a join by id takes their place.
+BROADCAST_COPIES = 1_000_000
 
 U = np.uint64
 CONTEXT = "key long, doc_id long, tag int, pos int, lead int, ctx binary"
@@ -258,8 +262,18 @@ def _equal(ctx: pa.Array) -> np.ndarray:
     return pc.equal(ctx.slice(1), ctx.slice(0, max(len(ctx) - 1, 0))).to_numpy(zero_copy_only=False)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, tag, start, stop of repeated bytes, overlapping; docs: doc_id (not null), tag, text."""
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, packed: what is shuffled in place of the texts."""
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        zstd = zstandard.ZstdCompressor(level=1)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zstd.compress(t.as_buffer()) for t in batch.column(2)], pa.binary())], names=["doc_id", "tag", "packed"])
+
+    return map_arrow(docs.select("doc_id", "tag", "text"), pack, "doc_id long, tag int, packed binary")
+
+
+def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, tag, start, stop of repeated bytes, overlapping; docs: doc_id (not null), tag, text; packed: the same."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = [], []
@@ -270,9 +284,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], [], []]
-        side = length - gram
+        side, zstd = length - gram, zstandard.ZstdDecompressor()
         for doc_id, tag, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode()
+            data = zstd.decompress(text)
             at, h = anchors(np.frombuffer(data, np.uint8), length, gram)
             at, h = (x[np.isin(h, np.asarray(wanted, np.int64))] for x in (at, h))
             begin = np.maximum(at - side, 0)
@@ -285,7 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     by_key = Window.partitionBy("key")
     shared = found.select("key", "doc_id", (F.min("doc_id").over(by_key) < F.max("doc_id").over(by_key)).alias("shared")).where("shared")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most the anchors of one text
-    around = map_arrow(docs.join(wanted, "doc_id").select("doc_id", "tag", "text", "keys"), contexts, CONTEXT, 1 << 22)
+    around = map_arrow(packed.join(wanted, "doc_id").select("doc_id", "tag", "packed", "keys"), contexts, CONTEXT, 1 << 21)
     dealt = around.repartition("key").sortWithinPartitions("key", "lead", "ctx", "doc_id")
     return dealt.mapInArrow(lambda batches: match_contexts(batches, length), SPAN)
 
@@ -308,12 +322,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = narrow(docs, id_col, text_col).select("doc_id", F.hash("text").alias("tag"), "text")
     known = rows.where(F.col("doc_id").isNotNull())
-    spans = repeated_spans(known, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))  # of one text
+    ids = staged(known.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("h")), "suffix-ids")
+    least = ids.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
+    copies = staged(ids.join(least, "h").where("doc_id > least").select("doc_id", "tag").distinct(), "suffix-copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    own, copied = (known.join(copies, ["doc_id", "tag"], how) for how in ("left_anti", "left_semi"))
+    packed = packed_texts(own)
+    spans = repeated_spans(own, packed, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))  # of one text
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        out, zstd = [], zstandard.ZstdDecompressor()
         for doc_id, tag, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode()
+            data = zstd.decompress(text)
             cut = merged([s["start"] for s in found if s["tag"] == tag], [s["stop"] for s in found if s["tag"] == tag]) if found else []
             ends = [0, *[x for pair in cut for x in pair], len(data)]
             left = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
@@ -325,8 +345,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["tag", "kept"] * texts
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", tag int, kept string" * texts
-    done = map_arrow(known.join(spans, "doc_id", "left").select("doc_id", "tag", "text", "spans"), strip, schema, 1 << 22)
-    plain = rows.where(F.col("doc_id").isNull())
+    done = map_arrow(packed.join(spans, "doc_id", "left").select("doc_id", "tag", "packed", "spans"), strip, schema, 1 << 22)
     size = F.octet_length("text").cast("long")
-    untouched = plain.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("tag"), F.col("text").alias("kept")] if texts else []))
-    return done.unionByName(untouched)
+    for other, gone in ((rows.where(F.col("doc_id").isNull()), F.lit(False)), (copied, size >= length)):
+        left = F.when(gone, "").otherwise(F.col("text"))
+        whole = other.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"), *([F.col("tag"), left.alias("kept")] if texts else []))
+        done = done.unionByName(whole)
+    return done

@@ -15,6 +15,8 @@ import numpy as np
 REMEMBERED, LONGEST = 1_000_000, 200
 #: New runs encoded in one call, with a digit between them: the tokenizer makes each digit a token of its own.
 TOGETHER = 256
+#: Characters before this one have no other composed form and lower-case one by one; such runs need no normalizer.
+LATIN = "\u0250"
 
 
 class WordIds:
@@ -24,6 +26,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
@@ -33,25 +38,37 @@ class WordIds:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({w for r in runs for w in r if w not in known})
-        plain = [w for w in new if "0" not in w]
-        rest = [w for w in new if "0" in w]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" 0 ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.zero).tolist(), len(ids)]
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(group, ends, strict=True):
-                known[w] = raw[4 * at : 4 * end]
-                at = end + 1
+        new: set[str] = set()
+        for r in runs:
+            new.update(set(r).difference(known))
+        self.learn(new)
         out = [b"".join(map(known.__getitem__, r)) for r in runs]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+        for w in [w for w in known.keys() & new if len(w) > LONGEST]:
+            del known[w]
         return out
 
+    def learn(self, new: set[str]) -> None:
+        latin = [w for w in new if w.isascii() or max(w) < LATIN]
+        self.together(self.plain, latin, [w.lower() for w in latin])
+        other = [w for w in new if not w.isascii() and max(w) >= LATIN]
+        self.together(self.tokenizer, other, other)
+
+    def together(self, tokenizer, runs: list[str], texts: list[str]) -> None:
+        """Encodes texts of runs, many in a call; those with the digit that parts them are alone."""
+        known = self.known
+        for w, t in zip(runs, texts, strict=True):
+            if "0" in t:
+                known[w] = np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [(w, t) for w, t in zip(runs, texts, strict=True) if "0" not in t]
+        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" 0 ".join([t for _, t in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.zero)).tolist(), 4 * len(ids)]
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(group, ends, strict=True):
+                known[w] = raw[at:end]
+                at = end + 4
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

@@ -26,18 +26,37 @@ def op1_bitplane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=2))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, language_id
+
+    found = language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), capacity=2048, end_id=0)
 
 
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .avi import encode_media, media_features
+
+    return media_features(encode_media(table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_digest, format_chat, text_parts
 

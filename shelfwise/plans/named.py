@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shelfwise.functions.semantics import long, ones, percent, ratio, rounded
@@ -46,9 +46,21 @@ def run(model: Retail, name: str, **params: float) -> DataFrame:
     return REGISTRY[name].run(model, **params)
 
 
-COUNT = F.count(F.lit(1))
-UNITS, CENTS = F.sum("sales"), F.sum("revenue_cents")
-EVERYWHERE = Window.partitionBy()  # only ever over aggregates of a few rows
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def sum_units() -> Column:
+    return F.sum("sales")
+
+
+def sum_cents() -> Column:
+    return F.sum("revenue_cents")
+
+
+def everywhere() -> WindowSpec:
+    """One window over all rows: only ever over aggregates of a few rows."""
+    return Window.partitionBy()
 
 
 def money(cents: Column) -> Column:
@@ -62,40 +74,40 @@ def money(cents: Column) -> Column:
 def fact_overview(m: Retail) -> DataFrame:
     zero = F.col("sales") == 0
     return m.fact_sales.agg(
-        COUNT.alias("n_rows"), F.countDistinct("item_id", "store_id").alias("n_series"), F.countDistinct("item_id").alias("n_items"), F.countDistinct("store_id").alias("n_stores"), F.countDistinct("date").alias("n_dates"),
-        F.min("date").alias("date_min"), F.max("date").alias("date_max"), UNITS.alias("total_units"), rounded(F.avg("sales"), 4).alias("mean_daily_units"), F.count_if(zero).alias("zero_rows"), rounded(F.avg(ones(zero)), 4).alias("zero_share"),
+        count_rows().alias("n_rows"), F.countDistinct("item_id", "store_id").alias("n_series"), F.countDistinct("item_id").alias("n_items"), F.countDistinct("store_id").alias("n_stores"), F.countDistinct("date").alias("n_dates"),
+        F.min("date").alias("date_min"), F.max("date").alias("date_max"), sum_units().alias("total_units"), rounded(F.avg("sales"), 4).alias("mean_daily_units"), F.count_if(zero).alias("zero_rows"), rounded(F.avg(ones(zero)), 4).alias("zero_share"),
     )
 
 
 @query()
 def grain_uniqueness(m: Retail) -> DataFrame:
-    return m.fact_sales.groupBy("item_id", "store_id", "date").agg(COUNT.alias("n")).where("n > 1").agg(COUNT.alias("duplicate_keys"))
+    return m.fact_sales.groupBy("item_id", "store_id", "date").agg(count_rows().alias("n")).where("n > 1").agg(count_rows().alias("duplicate_keys"))
 
 
 @query()
 def join_fanout_check(m: Retail) -> DataFrame:
     joined = m.fact_sales.select("item_id", "store_id", "date").join(m.dim_product, "item_id").join(m.dim_store, "store_id").join(m.dim_calendar, "date")
-    both = m.fact_sales.agg(COUNT.alias("fact_rows")).crossJoin(joined.agg(COUNT.alias("joined_rows")))  # one row each
+    both = m.fact_sales.agg(count_rows().alias("fact_rows")).crossJoin(joined.agg(count_rows().alias("joined_rows")))  # one row each
     return both.withColumn("fanout_delta", F.col("joined_rows") - F.col("fact_rows"))
 
 
 @query()
 def dimension_key_uniqueness(m: Retail) -> DataFrame:
     keys = {"dim_product": ["item_id"], "dim_store": ["store_id"], "dim_calendar": ["date"], "dim_price": ["store_id", "item_id", "wm_yr_wk"]}
-    parts = [getattr(m, t).agg(COUNT.alias("n_rows"), F.countDistinct(*k).alias("n_keys")).select(F.lit(t).alias("table_name"), "n_rows", "n_keys") for t, k in keys.items()]
+    parts = [getattr(m, t).agg(count_rows().alias("n_rows"), F.countDistinct(*k).alias("n_keys")).select(F.lit(t).alias("table_name"), "n_rows", "n_keys") for t, k in keys.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query()
 def price_coverage(m: Retail) -> DataFrame:
     unpriced = F.col("sell_price").isNull()
-    return m.fact_sales.agg(COUNT.alias("n_rows"), F.count_if(unpriced).alias("unpriced_rows"), rounded(F.avg(ones(unpriced)), 6).alias("unpriced_share"), F.sum(F.when(unpriced, F.col("sales")).otherwise(0)).alias("units_without_price"))
+    return m.fact_sales.agg(count_rows().alias("n_rows"), F.count_if(unpriced).alias("unpriced_rows"), rounded(F.avg(ones(unpriced)), 6).alias("unpriced_share"), F.sum(F.when(unpriced, F.col("sales")).otherwise(0)).alias("units_without_price"))
 
 
 @query()
 def series_date_continuity(m: Retail) -> DataFrame:
-    series = m.fact_sales.groupBy("item_id", "store_id").agg(COUNT.alias("n"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("span"))
-    return series.agg(COUNT.alias("n_series"), F.count_if(F.col("n") != F.col("span")).alias("series_with_gaps"))
+    series = m.fact_sales.groupBy("item_id", "store_id").agg(count_rows().alias("n"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("span"))
+    return series.agg(count_rows().alias("n_series"), F.count_if(F.col("n") != F.col("span")).alias("series_with_gaps"))
 
 
 @query()
@@ -108,29 +120,29 @@ def active_flag_check(m: Retail) -> DataFrame:
 
 @query()
 def kpi_overall(m: Retail) -> DataFrame:
-    return m.v_sales.agg(UNITS.alias("total_units"), money(CENTS).alias("total_revenue_derived"), F.countDistinct("date").alias("n_days"), rounded(ratio(UNITS, F.countDistinct("date")), 1).alias("avg_units_per_day"), F.countDistinct("item_id").alias("n_items"), F.countDistinct("store_id").alias("n_stores"))
+    return m.v_sales.agg(sum_units().alias("total_units"), money(sum_cents()).alias("total_revenue_derived"), F.countDistinct("date").alias("n_days"), rounded(ratio(sum_units(), F.countDistinct("date")), 1).alias("avg_units_per_day"), F.countDistinct("item_id").alias("n_items"), F.countDistinct("store_id").alias("n_stores"))
 
 
 @query()
 def kpi_by_category(m: Retail) -> DataFrame:
     by = m.v_sales.groupBy("cat_id").agg(
-        F.countDistinct("item_id").alias("n_items"), UNITS.alias("total_units"), CENTS.alias("cents"), rounded(F.avg("sales"), 3).alias("mean_daily_units"),
+        F.countDistinct("item_id").alias("n_items"), sum_units().alias("total_units"), sum_cents().alias("cents"), rounded(F.avg("sales"), 3).alias("mean_daily_units"),
         F.sum(F.when(F.col("snap_active") == 1, F.col("sales"))).alias("units_snap_days"), F.sum(F.when(F.col("is_event_day") == 1, F.col("sales"))).alias("units_event_days"),
     )
-    share = lambda c: rounded(percent(F.col(c), F.sum(c).over(EVERYWHERE)), 2)
+    share = lambda c: rounded(percent(F.col(c), F.sum(c).over(everywhere())), 2)
     return by.withColumns({"revenue_derived": money(F.col("cents")), "pct_of_total_units": share("total_units"), "pct_of_total_revenue": share("cents")}).drop("cents").orderBy(F.desc("total_units"))
 
 
 @query()
 def kpi_by_department(m: Retail) -> DataFrame:
-    by = m.v_sales.groupBy("cat_id", "dept_id").agg(F.countDistinct("item_id").alias("n_items"), UNITS.alias("total_units"), money(CENTS).alias("revenue_derived"))
+    by = m.v_sales.groupBy("cat_id", "dept_id").agg(F.countDistinct("item_id").alias("n_items"), sum_units().alias("total_units"), money(sum_cents()).alias("revenue_derived"))
     own = Window.partitionBy("cat_id")
     return by.withColumns({"rank_in_category": long(F.rank().over(own.orderBy(F.desc("total_units")))), "pct_of_category": rounded(percent(F.col("total_units"), F.sum("total_units").over(own)), 2)}).orderBy("cat_id", "rank_in_category")
 
 
 @query()
 def kpi_store_category_matrix(m: Retail) -> DataFrame:
-    by = m.v_sales.groupBy("store_id", "state_id", "cat_id").agg(UNITS.alias("total_units"), money(CENTS).alias("revenue_derived"))
+    by = m.v_sales.groupBy("store_id", "state_id", "cat_id").agg(sum_units().alias("total_units"), money(sum_cents()).alias("revenue_derived"))
     share = rounded(percent(F.col("total_units"), F.sum("total_units").over(Window.partitionBy("store_id"))), 2)
     rank = long(F.rank().over(Window.partitionBy("cat_id").orderBy(F.desc("total_units"))))
     return by.withColumns({"pct_of_store_units": share, "store_rank_in_category": rank}).orderBy("store_id", F.desc("total_units"))
@@ -139,8 +151,8 @@ def kpi_store_category_matrix(m: Retail) -> DataFrame:
 @query()
 def kpi_day_of_week_profile(m: Retail) -> DataFrame:
     names = F.create_map(*[x for k, d in enumerate(("Sat", "Sun", "Mon", "Tue", "Wed", "Thu", "Fri"), 1) for x in (F.lit(k), F.lit(d))])
-    by = m.v_sales.groupBy("wday").agg(UNITS.alias("total_units"), rounded(F.avg("sales"), 4).alias("mean_units_per_row"))
-    return by.select("wday", names[F.col("wday").cast("int")].alias("day_name"), "total_units", "mean_units_per_row", rounded(percent(F.col("total_units"), F.sum("total_units").over(EVERYWHERE)), 2).alias("pct_of_total")).orderBy("wday")
+    by = m.v_sales.groupBy("wday").agg(sum_units().alias("total_units"), rounded(F.avg("sales"), 4).alias("mean_units_per_row"))
+    return by.select("wday", names[F.col("wday").cast("int")].alias("day_name"), "total_units", "mean_units_per_row", rounded(percent(F.col("total_units"), F.sum("total_units").over(everywhere())), 2).alias("pct_of_total")).orderBy("wday")
 
 
 # Stores
@@ -148,8 +160,8 @@ def kpi_day_of_week_profile(m: Retail) -> DataFrame:
 
 @query()
 def store_performance(m: Retail) -> DataFrame:
-    by = m.v_store_daily.groupBy("store_id", "state_id").agg(F.sum("units").alias("total_units"), CENTS.alias("cents"), F.countDistinct("date").alias("days"), F.avg("active_skus").alias("skus"))
-    total, mean = F.sum("total_units").over(EVERYWHERE), F.avg("total_units").over(EVERYWHERE)
+    by = m.v_store_daily.groupBy("store_id", "state_id").agg(F.sum("units").alias("total_units"), sum_cents().alias("cents"), F.countDistinct("date").alias("days"), F.avg("active_skus").alias("skus"))
+    total, mean = F.sum("total_units").over(everywhere()), F.avg("total_units").over(everywhere())
     return by.select(
         "store_id", "state_id", "total_units", money(F.col("cents")).alias("revenue_derived"), rounded(ratio(F.col("total_units"), F.col("days")), 1).alias("avg_units_per_day"), rounded(F.col("skus"), 0).alias("avg_active_skus"),
         long(F.rank().over(Window.orderBy(F.desc("total_units")))).alias("units_rank"), rounded(percent(F.col("total_units"), total), 2).alias("pct_of_chain_units"), rounded(percent(F.col("total_units") - mean, mean), 2).alias("pct_vs_peer_mean"),
@@ -175,7 +187,7 @@ def store_growth_28d(m: Retail) -> DataFrame:
 
 @query()
 def store_yearly_trend(m: Retail) -> DataFrame:
-    by = m.v_sales.groupBy("store_id", "year").agg(F.countDistinct("date").alias("days_observed"), UNITS.alias("units"))
+    by = m.v_sales.groupBy("store_id", "year").agg(F.countDistinct("date").alias("days_observed"), sum_units().alias("units"))
     before = F.lag("units").over(Window.partitionBy("store_id").orderBy("year"))
     return by.withColumns({"units_per_day": rounded(ratio(F.col("units"), F.col("days_observed")), 1), "prev_year_units": before, "yoy_growth_pct": rounded(percent(F.col("units") - before, before), 2)}).orderBy("store_id", "year")
 
@@ -185,7 +197,7 @@ def store_category_strength(m: Retail) -> DataFrame:
     by = m.v_store_cat_daily.groupBy("store_id", "cat_id").agg(F.sum("units").alias("units"))
     units = F.col("units")
     in_store = ratio(units, F.sum("units").over(Window.partitionBy("store_id")))
-    chain = ratio(F.sum("units").over(Window.partitionBy("cat_id")), F.sum("units").over(EVERYWHERE))
+    chain = ratio(F.sum("units").over(Window.partitionBy("cat_id")), F.sum("units").over(everywhere()))
     index = F.col("s") / F.col("c")
     label = F.when(index >= 1.10, "over-indexed").when(index <= 0.90, "under-indexed").otherwise("in line")
     return by.withColumns({"s": in_store, "c": chain}).select("store_id", "cat_id", "units", rounded(F.col("s") * 100.0, 2).alias("pct_of_store"), rounded(F.col("c") * 100.0, 2).alias("pct_chain_benchmark"), rounded(index, 3).alias("index_vs_chain"), label.alias("assessment")).orderBy("store_id", F.desc("index_vs_chain"))
@@ -221,8 +233,8 @@ def product_volatility(m: Retail, min_total_units: int, top_n: int) -> DataFrame
 def persistent_low_demand(m: Retail, max_mean_daily: float, min_zero_share: float) -> DataFrame:
     """pct_of_all_units is the share among the rows that the two limits leave."""
     low = m.v_series_summary.where((F.col("mean_daily_units") <= max_mean_daily) & (F.col("zero_share") >= min_zero_share))
-    by = low.groupBy("store_id", "cat_id").agg(COUNT.alias("n_series"), rounded(F.avg("mean_daily_units"), 4).alias("avg_mean_daily"), rounded(F.avg("zero_share"), 3).alias("avg_zero_share"), F.sum("total_units").alias("units_contributed"))
-    return by.withColumn("pct_of_all_units", rounded(percent(F.col("units_contributed"), F.sum("units_contributed").over(EVERYWHERE)), 3)).orderBy(F.desc("n_series"))
+    by = low.groupBy("store_id", "cat_id").agg(count_rows().alias("n_series"), rounded(F.avg("mean_daily_units"), 4).alias("avg_mean_daily"), rounded(F.avg("zero_share"), 3).alias("avg_zero_share"), F.sum("total_units").alias("units_contributed"))
+    return by.withColumn("pct_of_all_units", rounded(percent(F.col("units_contributed"), F.sum("units_contributed").over(everywhere())), 3)).orderBy(F.desc("n_series"))
 
 
 @query()
@@ -232,8 +244,8 @@ def abc_classification(m: Retail) -> DataFrame:
     running = F.sum("total_units").over(Window.orderBy(F.desc("total_units"), "item_id", "store_id").rowsBetween(Window.unboundedPreceding, 0))
     share = F.col("cum") / F.col("grand").cast("double")
     classed = m.v_series_summary.select("total_units", running.alias("cum")).crossJoin(F.broadcast(total)).select("total_units", F.when(share <= 0.80, "A").when(share <= 0.95, "B").otherwise("C").alias("abc_class"))
-    by = classed.groupBy("abc_class").agg(COUNT.alias("n_series"), F.sum("total_units").alias("total_units"))
-    share_of = lambda c: rounded(percent(F.col(c), F.sum(c).over(EVERYWHERE)), 2)
+    by = classed.groupBy("abc_class").agg(count_rows().alias("n_series"), F.sum("total_units").alias("total_units"))
+    share_of = lambda c: rounded(percent(F.col(c), F.sum(c).over(everywhere())), 2)
     return by.withColumns({"pct_of_series": share_of("n_series"), "pct_of_units": share_of("total_units")}).orderBy("abc_class")
 
 
@@ -258,7 +270,7 @@ def rolling_category_demand(m: Retail) -> DataFrame:
 
 @query()
 def monthly_demand_trend(m: Retail) -> DataFrame:
-    by = m.v_sales.groupBy("store_id", F.trunc("date", "month").alias("month_start")).agg(F.countDistinct("date").alias("days_observed"), UNITS.alias("units"))
+    by = m.v_sales.groupBy("store_id", F.trunc("date", "month").alias("month_start")).agg(F.countDistinct("date").alias("days_observed"), sum_units().alias("units"))
     own = Window.partitionBy("store_id").orderBy("month_start")
     year_ago = F.lag("units", 12).over(own)
     return by.withColumns({"units_per_day": rounded(ratio(F.col("units"), F.col("days_observed")), 1), "prev_month_units": F.lag("units").over(own), "same_month_last_year": year_ago, "yoy_pct": rounded(percent(F.col("units") - year_ago, year_ago), 1)}).orderBy("store_id", "month_start")
@@ -267,7 +279,7 @@ def monthly_demand_trend(m: Retail) -> DataFrame:
 @query()
 def weekday_weekend_profile(m: Retail) -> DataFrame:
     kind = F.when(F.col("wday").isin(1, 2), "weekend").otherwise("weekday")
-    return m.v_sales.groupBy("store_id", kind.alias("day_type")).agg(F.countDistinct("date").alias("n_days"), UNITS.alias("total_units"), rounded(ratio(UNITS, F.countDistinct("date")), 1).alias("units_per_day")).orderBy("store_id", "day_type")
+    return m.v_sales.groupBy("store_id", kind.alias("day_type")).agg(F.countDistinct("date").alias("n_days"), sum_units().alias("total_units"), rounded(ratio(sum_units(), F.countDistinct("date")), 1).alias("units_per_day")).orderBy("store_id", "day_type")
 
 
 # Associations
@@ -294,7 +306,7 @@ def against_normal(m: Retail, by: DataFrame) -> DataFrame:
 
 @query()
 def event_day_comparison(m: Retail) -> DataFrame:
-    by = m.v_sales.groupBy(F.coalesce("event_type_1", F.lit("no_event")).alias("event_type")).agg(F.countDistinct("date").alias("n_days"), F.avg("sales").alias("mean"), UNITS.alias("total_units"))
+    by = m.v_sales.groupBy(F.coalesce("event_type_1", F.lit("no_event")).alias("event_type")).agg(F.countDistinct("date").alias("n_days"), F.avg("sales").alias("mean"), sum_units().alias("total_units"))
     return against_normal(m, by).orderBy(F.desc("n_days"))
 
 
@@ -306,15 +318,15 @@ def named_event_impact(m: Retail, min_occurrences: int) -> DataFrame:
 
 @query()
 def price_change_association(m: Retail) -> DataFrame:
-    weekly = m.v_sales.where(F.col("sell_price").isNotNull()).groupBy("item_id", "store_id", "cat_id", "wm_yr_wk").agg(UNITS.alias("units"), F.avg("sell_price").alias("price"))
+    weekly = m.v_sales.where(F.col("sell_price").isNotNull()).groupBy("item_id", "store_id", "cat_id", "wm_yr_wk").agg(sum_units().alias("units"), F.avg("sell_price").alias("price"))
     own = Window.partitionBy("item_id", "store_id").orderBy("wm_yr_wk")
     moves = weekly.withColumns({"p": F.lag("price").over(own), "u": F.lag("units").over(own)}).where("p is not null and u is not null")
     move = F.when(F.col("price") < F.col("p") * 0.98, "price_decreased").when(F.col("price") > F.col("p") * 1.02, "price_increased").otherwise("price_stable")
     delta = F.col("units") - F.col("u")
-    return moves.groupBy("cat_id", move.alias("price_move")).agg(COUNT.alias("n_week_transitions"), rounded(F.avg("u"), 2).alias("mean_units_before"), rounded(F.avg("units"), 2).alias("mean_units_after"), rounded(F.avg(delta), 3).alias("mean_unit_change"), rounded(percent(F.avg(delta), F.avg("u")), 1).alias("mean_pct_change")).orderBy("cat_id", "price_move")
+    return moves.groupBy("cat_id", move.alias("price_move")).agg(count_rows().alias("n_week_transitions"), rounded(F.avg("u"), 2).alias("mean_units_before"), rounded(F.avg("units"), 2).alias("mean_units_after"), rounded(F.avg(delta), 3).alias("mean_unit_change"), rounded(percent(F.avg(delta), F.avg("u")), 1).alias("mean_pct_change")).orderBy("cat_id", "price_move")
 
 
 @query()
 def series_activity_timeline(m: Retail) -> DataFrame:
-    by = m.v_sales.groupBy("item_id", "store_id").agg(F.min("date").alias("first")).groupBy(F.trunc("first", "month").alias("month_started")).agg(COUNT.alias("series_activated"))
+    by = m.v_sales.groupBy("item_id", "store_id").agg(F.min("date").alias("first")).groupBy(F.trunc("first", "month").alias("month_started")).agg(count_rows().alias("series_activated"))
     return by.withColumn("cumulative_active_series", F.sum("series_activated").over(Window.orderBy("month_started").rowsBetween(Window.unboundedPreceding, 0))).orderBy("month_started")

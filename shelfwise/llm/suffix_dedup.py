@@ -4,8 +4,8 @@
 1. Anchors. In each window of `length` bytes the `gram` bytes of least hash are its anchor. Equal windows have equal
    anchors at equal places, so two documents that share a window share an anchor. One row (hash, id) for each anchor of
    a document is shuffled by hash; anchors of a single document end here.
-2. Contexts. The shared anchors go back to their documents, which send the bytes around each of them (length - gram on
-   either side): all windows that hold the anchor lie inside.
+2. Contexts. The shared anchors go back to their documents, which send the bytes around each of them: the windows that
+   have it as their anchor, which are neighbours. What a document repeats it sends once; its twins follow in step 4.
 3. Suffix sort. Contexts meet by anchor, sorted. Rows whose whole context an earlier document has are covered at once.
    For the distinct contexts that remain, the suffixes that start in them are sorted by deep-shallow sorting to
    `length` bytes: multikey quicksort on 8-byte symbols to a shallow depth, then blind tries for groups that still
@@ -22,6 +22,7 @@ an id neither lose nor claim anything; an empty table gives an empty result. Oth
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, narrow, staged
+from .common import map_arrow, staged
 
 LENGTH, GRAM = 50, 16
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
@@ -40,8 +41,8 @@ SHALLOW, TOGETHER = 16, 30_000
 BROADCAST_COPIES = 1_000_000
 
 U = np.uint64
-CONTEXT = "key long, doc_id long, tag int, pos int, lead int, ctx binary"
-SPAN = "doc_id long, tag int, start int, stop int"
+CONTEXT = "key long, doc_id long, tag int, pos int, lead int, ctx binary, twins boolean"
+SPAN = "doc_id long, tag int, pos int, start int, stop int"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,23 +69,47 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return _mix(h[: len(h) - (gram - c)] * U(0x94D049BB133111EB) + h[gram - c :]) if c < gram else h
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all windows; every place that ties for the least hash counts."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, least): the anchors of all windows, and the least hash in the window from each place.
+
+    Every place that ties for the least hash counts.
+    """
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
     width = length - gram + 1
     h = gram_hashes(data, gram)
     least = _sliding(h, width, np.minimum)
     pad = np.zeros(width - 1, U)
     at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return at, h[at].view(np.int64)
+    return at, h[at].view(np.int64), least
+
+
+def own_windows(at: np.ndarray, h: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the windows that have each of these anchors; they are neighbours."""
+    start = at[:, None] + np.arange(1 - width, 1)
+    own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h.view(U)[:, None])
+    return at + 1 - width + own.argmax(axis=1), at - own[:, ::-1].argmax(axis=1)
+
+
+def distinct_contexts(data: bytes, length: int, gram: int, wanted: list[int] | None = None) -> dict[tuple[int, int, bytes], list[int]]:
+    """(anchor's hash, bytes before the anchor, bytes of its windows): the anchor's places, all or by 31 bits of the hash."""
+    at, h, least = anchors(np.frombuffer(data, np.uint8), length, gram)
+    if wanted is not None:
+        at, h = (x[np.isin(h & 0x7FFFFFFF, np.asarray(wanted, np.int64))] for x in (at, h))
+    if not len(at):
+        return {}
+    begin, last = own_windows(at, h, least, length - gram + 1)
+    out: dict[tuple[int, int, bytes], list[int]] = {}
+    for key, lead, b, e, p in zip(h.tolist(), (at - begin).tolist(), begin.tolist(), (last + length).tolist(), at.tolist(), strict=True):
+        out.setdefault((key, lead, data[b:e]), []).append(p)
+    return out
 
 
 class BlindTrie:
     """A trie that keeps branching depths and bytes only; a descent is checked against one string at its end."""
 
-    def __init__(self, read, start: int, length: int):
-        self.read, self.length, self.root = read, length, [start]  # a leaf: its starts; a branch: (depth, {byte: node})
+    def __init__(self, read, first: list[int], length: int):
+        self.read, self.length, self.root = read, length, first  # equal strings; a leaf: its starts; a branch: (depth, {byte: node})
 
     def insert(self, start: int) -> None:
         own, node = self.read(start), self.root
@@ -94,7 +119,7 @@ class BlindTrie:
         if own == other:
             node.append(start)
             return
-        depth = next(i for i in range(self.length) if own[i] != other[i])
+        depth = self.length + (int.from_bytes(own) ^ int.from_bytes(other)).bit_length() // -8  # of the first byte that differs
         above, node = None, self.root
         while isinstance(node, tuple) and node[0] < depth:
             above, node = node, node[1][own[node[0]]]
@@ -160,9 +185,10 @@ def sort_suffixes(data: bytes, starts: np.ndarray, group: np.ndarray, length: in
 
         place = starts.tolist()
         for g in mixed.tolist():
-            members = live[edge[g] : edge[g] + size[g]].tolist()
-            trie = BlindTrie(read, members[0], deep)
-            for k in members[1:]:
+            members = live[edge[g] : edge[g] + size[g]]
+            like = equal[edge[g] : edge[g] + size[g]]
+            trie = BlindTrie(read, members[like].tolist(), deep)
+            for k in members[~like].tolist():
                 trie.insert(k)
             at = int(old[edge[g]])
             for leaf in trie.leaves():
@@ -200,14 +226,14 @@ def covered(key: np.ndarray, doc: np.ndarray, lead: np.ndarray, ctx: list[bytes]
 def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """Spans of contexts sorted by (key, lead, ctx, doc_id); see step 3 above."""
 
-    def spans(doc, tag, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "tag", "start", "stop"])
+    def spans(doc, tag, pos, start, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(c, pa.int32()) for c in (tag, pos, start, stop)]], names=["doc_id", "tag", "pos", "start", "stop"])
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         key, doc, tag, pos, lead = (rows.column(i).to_numpy() for i in range(5))
-        ctx = rows.column(5).combine_chunks()
+        ctx, twins = rows.column(5).combine_chunks(), rows.column(6).to_numpy()
         if len(key) == 0:
-            return spans(doc, tag, pos, pos)
+            return spans(doc, tag, pos, pos, pos)
         same = np.concatenate([[False], (key[1:] == key[:-1]) & (lead[1:] == lead[:-1]) & _equal(ctx)])
         kind = np.cumsum(~same) - 1
         first = np.flatnonzero(~same)
@@ -215,7 +241,7 @@ def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> I
         use = many[2][many[1]] > 1
         chosen = np.flatnonzero(use)
         if not len(chosen):
-            return spans(doc[:0], tag[:0], pos[:0], pos[:0])
+            return spans(doc[:0], tag[:0], pos[:0], pos[:0], pos[:0])
         rows_of = first[chosen]
         item, start, stop = covered(key[rows_of], doc[rows_of], lead[rows_of], ctx.take(pa.array(rows_of)).to_pylist(), length)
         by_kind = np.argsort(kind, kind="stable")  # rows of a kind: those of the first document that repeat the context
@@ -223,7 +249,7 @@ def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> I
         reps = size[chosen[item]]
         row = by_kind[np.repeat(first[chosen[item]], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))]
         origin = pos[row] - lead[row]
-        return spans(doc[row], tag[row], origin + np.repeat(start, reps), origin + np.repeat(stop, reps))
+        return spans(doc[row], tag[row], np.where(twins[row], pos[row], -1), origin + np.repeat(start, reps), origin + np.repeat(stop, reps))
 
     held: list[pa.RecordBatch] = []
     n, last = 0, None
@@ -231,7 +257,7 @@ def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> I
         if not batch.num_rows:
             continue
         key, doc, tag, pos, lead = (batch.column(i).to_numpy() for i in range(5))
-        ctx = batch.column(5)
+        ctx, twins = batch.column(5), batch.column(6).to_numpy(zero_copy_only=False)
         size = pc.binary_length(ctx).to_numpy()
         same = np.concatenate([[False], (key[1:] == key[:-1]) & (lead[1:] == lead[:-1]) & _equal(ctx)])
         same[0] = last is not None and (int(key[0]), int(lead[0]), ctx[0].as_py()) == last[:3]
@@ -240,7 +266,7 @@ def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> I
         last = (int(key[-1]), int(lead[-1]), ctx[len(key) - 1].as_py(), int(least[-1]))
         whole = (doc > least) & (size >= length)
         if whole.any():
-            yield spans(doc[whole], tag[whole], (pos - lead)[whole], (pos - lead + size)[whole])
+            yield spans(doc[whole], tag[whole], np.where(twins, pos, -1)[whole], (pos - lead)[whole], (pos - lead + size)[whole])
         keep = np.flatnonzero(doc == least)
         held.append(batch.take(pa.array(keep)))
         n += len(keep)
@@ -262,18 +288,42 @@ def _equal(ctx: pa.Array) -> np.ndarray:
     return pc.equal(ctx.slice(1), ctx.slice(0, max(len(ctx) - 1, 0))).to_numpy(zero_copy_only=False)
 
 
+def pack_contexts(rows: list[tuple]) -> bytes:
+    """Rows of CONTEXT as one compressed block, column by column; what is shuffled in place of rows."""
+    key, doc, tag, pos, lead, ctx, twins = zip(*rows, strict=True)
+    columns = [np.array(key, "<i8"), np.array(doc, "<i8"), np.array(tag, "<i4"), np.array(pos, "<i4"), np.array(lead, "<i4"), np.array(twins, np.uint8), np.array([len(c) for c in ctx], "<i4")]
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(rows)) + b"".join(c.tobytes() for c in columns) + b"".join(ctx))
+
+
+def unpack_contexts(block: bytes) -> pa.RecordBatch:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, at, columns = struct.unpack_from("<q", raw)[0], 8, []
+    for kind in ("<i8", "<i8", "<i4", "<i4", "<i4", "u1", "<i4"):
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += columns[-1].nbytes
+    ends = np.concatenate([[0], np.cumsum(columns[6])]).astype(np.int32)
+    ctx = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[at:])])
+    arrays = [pa.array(c) for c in columns[:5]] + [ctx, pa.array(columns[5].astype(bool))]
+    return pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "tag", "pos", "lead", "ctx", "twins"])
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, packed: what is shuffled in place of the texts."""
+    """doc_id, tag, packed and the other columns: what is shuffled in place of the texts."""
+    others = [c for c in docs.columns if c not in ("doc_id", "tag", "text")]
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         zstd = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zstd.compress(t.as_buffer()) for t in batch.column(2)], pa.binary())], names=["doc_id", "tag", "packed"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zstd.compress(t.as_buffer()) for t in batch.column(2)], pa.binary()), *batch.columns[3:]], names=["doc_id", "tag", "packed", *others])
 
-    return map_arrow(docs.select("doc_id", "tag", "text"), pack, "doc_id long, tag int, packed binary")
+    schema = ", ".join(["doc_id long, tag int, packed binary", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]])
+    return map_arrow(docs.select("doc_id", "tag", "text", *others), pack, schema)
 
 
 def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, tag, start, stop of repeated bytes, overlapping; docs: doc_id (not null), tag, text; packed: the same."""
+    """doc_id, tag, pos, start, stop of repeated bytes, overlapping; docs: doc_id (not null), tag, text; packed: the same.
+
+    pos is the anchor's place where the document has the same context elsewhere too, else -1.
+    """
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = [], []
@@ -283,24 +333,32 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gra
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (found, ids)], names=["key", "doc_id"])
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], [], []]
-        side, zstd = length - gram, zstandard.ZstdDecompressor()
+        out, zstd = [], zstandard.ZstdDecompressor()
         for doc_id, tag, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = zstd.decompress(text)
-            at, h = anchors(np.frombuffer(data, np.uint8), length, gram)
-            at, h = (x[np.isin(h, np.asarray(wanted, np.int64))] for x in (at, h))
-            begin = np.maximum(at - side, 0)
-            for column, values in zip(out, (h.tolist(), [doc_id] * len(at), [tag] * len(at), at.tolist(), (at - begin).tolist(), [data[b:e] for b, e in zip(begin.tolist(), (at + length).tolist(), strict=True)]), strict=True):
-                column.extend(values)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "tag", "pos", "lead", "ctx"])
+            for (key, lead, ctx), places in distinct_contexts(zstd.decompress(text), length, gram, wanted).items():
+                out.append((key, doc_id, tag, places[0], lead, ctx, len(places) > 1))
+        out.sort(key=lambda r: r[0] % parts)
+        rows, at = [], 0
+        while at < len(out):
+            part = out[at][0] % parts
+            end = at
+            while end < len(out) and out[end][0] % parts == part:
+                end += 1
+            rows.append((part, pack_contexts(out[at:end])))
+            at = end
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
+
+    def opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for block in batch.column(1).to_pylist():
+            yield unpack_contexts(block)
 
     found = map_arrow(docs.select("doc_id", "text"), keys, "key long, doc_id long")
     by_key = Window.partitionBy("key")
     shared = found.select("key", "doc_id", (F.min("doc_id").over(by_key) < F.max("doc_id").over(by_key)).alias("shared")).where("shared")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most the anchors of one text
-    around = map_arrow(packed.join(wanted, "doc_id").select("doc_id", "tag", "packed", "keys"), contexts, CONTEXT, 1 << 21)
-    dealt = around.repartition("key").sortWithinPartitions("key", "lead", "ctx", "doc_id")
+    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.expr("int(key & 2147483647)")).alias("keys"))  # at most the anchors of one text
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = map_arrow(packed.join(wanted, "doc_id").select("doc_id", "tag", "packed", "keys"), contexts, "part long, block binary", 1 << 22)
+    dealt = map_arrow(blocks.repartition(parts, "part"), opened, CONTEXT).sortWithinPartitions("key", "lead", "ctx", "doc_id")
     return dealt.mapInArrow(lambda batches: match_contexts(batches, length), SPAN)
 
 
@@ -316,11 +374,13 @@ def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; with `texts` also tag (hash of the text) and kept.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; with `texts` also kept and row (all its columns but
+    the text).
 
     kept is what remains, decoded; a character that was cut through is dropped from it.
     """
-    rows = narrow(docs, id_col, text_col).select("doc_id", F.hash("text").alias("tag"), "text")
+    carried = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if texts else []
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *carried).withColumn("tag", F.hash("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     ids = staged(known.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("h")), "suffix-ids")
     least = ids.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
@@ -328,27 +388,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
     own, copied = (known.join(copies, ["doc_id", "tag"], how) for how in ("left_anti", "left_semi"))
     packed = packed_texts(own)
-    spans = repeated_spans(own, packed, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))  # of one text
+    spans = repeated_spans(own, packed, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "pos", "start", "stop")).alias("spans"))  # of one text
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, zstd = [], zstandard.ZstdDecompressor()
-        for doc_id, tag, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, tag, text, found in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
             data = zstd.decompress(text)
-            cut = merged([s["start"] for s in found if s["tag"] == tag], [s["stop"] for s in found if s["tag"] == tag]) if found else []
+            own = [(s["pos"], s["start"], s["stop"]) for s in found or [] if s["tag"] == tag]
+            if any(pos >= 0 for pos, _, _ in own):
+                twins = {places[0]: places for places in distinct_contexts(data, length, gram).values()}
+                own = [(-1, a + p - pos, b + p - pos) for pos, a, b in own for p in (twins[pos] if pos >= 0 else [pos])]
+            cut = merged([a for _, a, _ in own], [b for _, _, b in own])
             ends = [0, *[x for pair in cut for x in pair], len(data)]
             left = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
             row = (doc_id, len(data), len(data) - len(left), len(cut), hashlib.sha256(left).hexdigest())
-            out.append((*row, tag, left.decode(errors="ignore")) if texts else row)
-        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int32(), pa.string()] * texts
+            out.append((*row, left.decode(errors="ignore")) if texts else row)
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.string()] * texts
         columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], *batch.columns[4:]], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["tag", "kept"] * texts
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", tag int, kept string" * texts
-    done = map_arrow(packed.join(spans, "doc_id", "left").select("doc_id", "tag", "packed", "spans"), strip, schema, 1 << 22)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "row"] * texts
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept string, row {rows.schema['row'].dataType.simpleString()}" if texts else "")
+    done = map_arrow(packed.join(spans, "doc_id", "left").select("doc_id", "tag", "packed", "spans", *["row"] * texts), strip, schema, 1 << 22)
     size = F.octet_length("text").cast("long")
     for other, gone in ((rows.where(F.col("doc_id").isNull()), F.lit(False)), (copied, size >= length)):
         left = F.when(gone, "").otherwise(F.col("text"))
-        whole = other.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"), *([F.col("tag"), left.alias("kept")] if texts else []))
+        whole = other.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"), *([left.alias("kept"), F.col("row")] if texts else []))
         done = done.unionByName(whole)
     return done

@@ -85,5 +85,5 @@ def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     shared = bytes(rng.randrange(97, 110) for _ in range(50))
     a, b = (bytes(rng.randrange(97, 123) for _ in range(n)) for n in (70, 133))
-    (pa, ha), (pb, hb) = (anchors(np.frombuffer(x + shared + x, np.uint8)) for x in (a, b))
+    (pa, ha, _), (pb, hb, _) = (anchors(np.frombuffer(x + shared + x, np.uint8)) for x in (a, b))
     assert {(p - 70, h) for p, h in zip(pa, ha) if 70 <= p <= 104} & {(p - 133, h) for p, h in zip(pb, hb) if 133 <= p <= 167}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import staged
+from shelfwise.llm.common import staged, without
 from shelfwise.llm.exact_dedup import drop_exact
 from shelfwise.llm.langid import UNKNOWN, language_id
 from shelfwise.llm.ngram_join import ngram_join
@@ -35,17 +35,14 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id."""
-    gone = ngram_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, ngram_join(docs).where("doc_id <> component_id").select("doc_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier document has; documents of which nothing is left go."""
     kept = suffix_dedup(docs, texts=True).where("n_removed = 0 or kept <> ''")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__tag"])
-    rest = docs.withColumn("__of", F.hash(F.coalesce("text", F.lit("")))).drop("text", "n_chars")
-    joined = rest.join(kept, rest["doc_id"].eqNullSafe(kept["__id"]) & (rest["__of"] == kept["__tag"]))
-    return joined.withColumn("text", F.col("__kept")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    return kept.select(F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *rest).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

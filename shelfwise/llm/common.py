@@ -44,6 +44,19 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
+#: Ids up to this number are sent to all tasks to drop or pick rows (16 bytes each); beyond, a join by id.
+BROADCAST_IDS = 1_000_000
+#: Rows in an Arrow batch where the session has not set another number: texts are long, and tasks hold a batch or two.
+BATCH_ROWS = 2000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in gone (one column); while these are few no text is shuffled."""
+    gone = staged(gone.toDF("__gone").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)
@@ -62,4 +75,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                 else:
                     yield from out
 
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, narrow, staged
+from .common import lower_ascii, narrow, staged, without
 
 #: Hashes of several rows are sent to every task while they are this many at most (16 bytes each); beyond, a join by hash.
 BROADCAST_HASHES = 2_000_000
@@ -51,6 +51,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs, all columns, without those whose text another row keeps."""
-    gone = exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs, all columns, without those whose text another row keeps; rows without an id stay."""
+    return without(docs, exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept")).select("doc_id"), id_col)

@@ -2,8 +2,8 @@
 
 A set is the distinct word shingles of a text. Equal sets are one node from the first pass on, whatever the number of
 their copies. The index point of a set counts its shingles in hash groups; the summed coordinate minima of two points,
-or of a point and the upper corner of an R-tree page, bound the overlap from above. About four shingles fall in a group
-whatever the set's size, and a point with more groups is folded onto one with fewer.
+or of a point and the upper corner of an R-tree page, bound the overlap from above. A point has at least as many
+groups as its set has shingles, so the bound is close; a point with more groups is folded onto one with fewer.
 
 Sets that can be linked share a shingle among the first n - ceil(0.8 n) + 1 of any order common to all sets, so these
 prefixes deal the sets into blocks (exactly: no link is lost). The order is (frequent, hash): shingles in more than
@@ -25,11 +25,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, narrow, staged
@@ -40,7 +39,7 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT = 32, 2_000_000
 #: Nodes up to this number are sent to all tasks to fetch their texts (20 bytes each); beyond, a join by id.
 BROADCAST_NODES = 1_000_000
-PAGE, MOST_GROUPS = 32, 4096
+PAGE, COARSE, ROUGH = 32, 4, 4
 
 U = np.uint64
 _RNG = np.random.default_rng(20_240_229)
@@ -119,8 +118,18 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def node_of(s: np.ndarray) -> bytes | None:
-    """96 bits that name a set; none for the empty one."""
-    return xxhash.xxh3_128_digest(s.tobytes())[:12] if len(s) else None
+    """Names a set by 72 bits of a hash and 24 of its size (the largest stand for all above); none for the empty one."""
+    return xxhash.xxh3_128_digest(s.tobytes())[:9] + min(len(s), (1 << 24) - 1).to_bytes(3) if len(s) else None
+
+
+def size_of(node: Column | str) -> Column:
+    """The size that a node's name holds."""
+    return F.conv(F.hex(F.substring(node, 10, 3)), 16, 10).cast("long")
+
+
+def alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -128,13 +137,21 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set's shingles in hash groups: a power of two of them, about a quarter of the set's size."""
-    groups = min(max(16, 1 << max((len(s) // 4).bit_length() - 1, 0)), MOST_GROUPS)
-    return np.bincount((s >> U(20)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16)
+    """Counts of the set's shingles in hash groups: a power of two of them, at least as many as the set has members."""
+    groups = max(16, 1 << max(len(s) - 1, 1).bit_length())
+    while (counts := np.bincount((s >> U(20)).astype(np.int64) & (groups - 1), minlength=groups)).max(initial=0) > 255:
+        groups *= 2
+    return counts.astype(np.uint8)
 
 
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
-    return p.reshape(-1, groups).sum(axis=0, dtype=p.dtype) if len(p) > groups else p
+    return p.reshape(-1, groups).sum(axis=0, dtype=np.int32) if len(p) > groups else p
+
+
+def rough(p: np.ndarray) -> np.ndarray:
+    """The point folded by ROUGH, for bounds that may be wider; whole where a count would not fit."""
+    q = fold(p, max(len(p) // ROUGH, 16))
+    return q.astype(np.uint8) if q.max(initial=0) <= 255 else p
 
 
 def enough(overlap, a, b, percent: int = PERCENT):
@@ -143,6 +160,9 @@ def enough(overlap, a, b, percent: int = PERCENT):
 
 
 def within(p: np.ndarray, q: np.ndarray, a: int, b: int, percent: int = PERCENT) -> bool:
+    """Whether sizes and the summed coordinate minima leave a link possible."""
+    if 100 * min(a, b) < percent * max(a, b):
+        return False
     groups = min(len(p), len(q))
     return bool(enough(int(np.minimum(fold(p, groups), fold(q, groups)).sum(dtype=np.int64)), a, b, percent))
 
@@ -176,21 +196,64 @@ class CountTree:
         return at
 
 
-def search_block(nodes: list[bytes], labels: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> set[tuple[bytes, bytes]]:
-    """Pairs of a block with different labels that the bound leaves; a tree for each number of groups."""
-    out, groups = set(), np.array([len(p) for p in points])
+def search_block(nodes: list[bytes], labels: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int, block: int = 0, large: list[set[int]] | None = None) -> set[tuple[bytes, bytes]]:
+    """Pairs of a block with different labels that the bound leaves. Trees hold points folded by COARSE, one tree for
+    each number of groups; what they find is bounded again by the whole points. A pair that several large blocks hold
+    (`large`: of each node) is told by the first of them only."""
+    out = set()
+
+    def add(i: int, j: int) -> None:
+        if within(points[i], points[j], int(sizes[i]), int(sizes[j]), percent):
+            out.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+
+    if len(nodes) <= PAGE:
+        for i in range(len(nodes)):
+            for j in range(i):
+                if labels[i] != labels[j]:
+                    add(i, j)
+        return out
+    groups = np.array([len(p) for p in points])
     for g in np.unique(groups).tolist():
         use = np.flatnonzero((groups == g) | (groups == 2 * g))
         use = use[np.argsort(sizes[use], kind="stable")]
-        folded = np.stack([fold(points[i], g) for i in use])
+        folded = np.stack([fold(points[i], max(g // COARSE, 8)) for i in use]).astype(np.int32)
         tree = CountTree(folded, sizes[use], labels[use])
         for k, i in enumerate(use.tolist()):
             if groups[i] == g:  # pairs of two larger ones are found at their own number
-                for j in use[tree.search(folded[k].astype(np.int32), int(sizes[i]), int(labels[i]), percent)].tolist():
-                    out.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                for j in use[tree.search(folded[k], int(sizes[i]), int(labels[i]), percent)].tolist():
+                    if (groups[j] != g or j < i) and (large is None or min(large[i] & large[j]) == block):
+                        add(i, j)
     return out
 
 
+def search_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of all blocks; rows (block, node, label, size, point, large) come sorted by block."""
+    held: list[tuple] = []
+    found: set[tuple[bytes, bytes]] = set()
+
+    def settle() -> None:
+        if held:
+            names: dict[bytes, int] = {}
+            labels = np.array([names.setdefault(r[2], len(names)) for r in held])
+            found.update(search_block([r[1] for r in held], labels, np.array([r[3] for r in held], np.int64), [np.frombuffer(r[4], np.uint8) for r in held], percent, held[0][0], [set(r[5] or ()) for r in held] if len(held) > PAGE else None))
+            held.clear()
+
+    def told() -> pa.RecordBatch:
+        pairs = sorted(found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                settle()
+            held.append(row)
+        if len(found) > 100_000:
+            yield told()
+    settle()
+    yield told()
+
+
 def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     """Hashes of shingles in many prefixes, ascending; counted over all documents.
 
@@ -254,39 +317,43 @@ def blocks(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), column], names=["key", "node"])
 
     dealt = docs.select("text").mapInArrow(deal, "key long, node binary")
+    sized = dealt.withColumn("size", size_of("node"))
     own = Window.partitionBy("key")
-    met = dealt.select("node", F.min("node").over(own).alias("low"), F.max("node").over(own).alias("high"), F.bit_xor(F.xxhash64("node")).over(own).alias("x"), F.sum(F.hash("node").cast("long")).over(own).alias("y"))
-    met = met.where("low <> high").select(F.xxhash64("x", "y", "low", "high").alias("block"), "node", "low", "high")
+    next_ = own.orderBy("size")  # a set whose neighbours in size are too small and too large has no partner in the block
+    near = F.coalesce(alike(F.lag("size").over(next_), F.col("size"), percent), F.lit(False)) | F.coalesce(alike(F.lead("size").over(next_), F.col("size"), percent), F.lit(False))
+    met = sized.select("key", "node", near.alias("near")).select("node", "near", F.min("node").over(own).alias("low"), F.max("node").over(own).alias("high"), F.bit_xor(F.xxhash64("node")).over(own).alias("x"), F.sum(F.hash("node").cast("long")).over(own).alias("y"))
+    met = met.where("low <> high and near").select(F.xxhash64("x", "y", "low", "high").alias("block"), "node", "low", "high")
     return staged(met.distinct(), "join-blocks")
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, size, point, packed (compressed text) of the nodes in `nodes` (node, doc_id)."""
+    """node, size, point, rough, packed (compressed text) of the nodes in `nodes` (node, doc_id); rows that repeat an id
+    and a text repeat here and only make the same link again."""
     chosen = nodes.select(F.col("doc_id").alias("id"), "node")
     rows = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen, F.col("doc_id") == F.col("id")).select("text", "node")
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1)
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         for text, node, s in zip(batch.column(0), batch.column(1).to_pylist(), shingle_sets(batch.column(0), words), strict=True):
             if node == node_of(s):  # another row of the same id may hold another text
-                for column, value in zip(out, (node, len(s), point(s).tobytes(), pack.compress(text.as_buffer())), strict=True):
+                for column, value in zip(out, (node, len(s), (p := point(s)).tobytes(), rough(p).tobytes(), pack.compress(text.as_buffer())), strict=True):
                     column.append(value)
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "size", "point", "packed"])
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "size", "point", "rough", "packed"])
 
-    return map_arrow(rows, describe, "node binary, size long, point binary, packed binary", _SEGMENT).dropDuplicates(["node"])
+    return map_arrow(rows, describe, "node binary, size long, point binary, rough binary, packed binary", _SEGMENT)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b of the pairs that are links: first by the points' bound, then by the sets themselves."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, bound: bool = True) -> DataFrame:
+    """a, b of the pairs that are links: first by the points' bound (unless it is known to hold), then by the sets."""
 
     def side(name: str, *columns: str) -> DataFrame:
         return texts.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     def bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, m, p, n, q = (c.to_pylist() for c in batch.columns)
-        keep = [within(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), i, j, percent) for x, y, i, j in zip(p, q, m, n, strict=True)]
+        keep = [within(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), i, j, percent) for x, y, i, j in zip(p, q, m, n, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -304,10 +371,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         keep = [bool(enough(o, i, j, percent)) for o, (i, j) in zip(overlaps, sizes, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    near = pairs.join(side("a", "size", "point"), "a").join(side("b", "size", "point"), "b").select("a", "b", "size_a", "point_a", "size_b", "point_b")
-    near = map_arrow(near, bounded, "a binary, b binary")
+    near = pairs.join(side("a", "size", "rough"), "a").join(side("b", "size", "rough"), "b").select("a", "b", "size_a", "rough_a", "size_b", "rough_b")
+    near = map_arrow(near, bounded, "a binary, b binary") if bound else pairs
     full = near.join(side("a", "packed"), "a").join(side("b", "packed"), "b").select("a", "b", "packed_a", "packed_b")
-    return map_arrow(full, linked, "a binary, b binary", _SEGMENT)
+    return map_arrow(full, linked, "a binary, b binary", _SEGMENT).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -346,23 +413,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words, percent))
     block = blocks(rows, words, percent, frequent)
 
-    involved = block.select("node").distinct().join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    involved = block.select("node").unionAll(block.select("low")).unionAll(block.select("high")).distinct().join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     texts = staged(node_texts(rows, staged(involved, "join-involved"), words), "join-texts")
     hub = lambda h: block.where(F.col("node") != F.col(h)).select(F.least("node", h).alias("a"), F.greatest("node", h).alias("b"))
-    first = staged(verified(hub("low").unionAll(hub("high")).distinct(), texts, words, percent), "join-links")
+    hubs = hub("low").unionAll(hub("high")).distinct().where(alike(size_of("a"), size_of("b"), percent))
+    first = staged(verified(hubs, texts, words, percent), "join-links")
     labels = components(first)
 
     named = block.select("block", "node").join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
     own = Window.partitionBy("block")
-    open_ = named.withColumn("several", F.min("label").over(own) != F.max("label").over(own)).where("several").drop("several")
-    described = open_.join(texts.select("node", "size", "point"), "node")
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        found = search_block(rows["node"].tolist(), pd.factorize(rows["label"])[0], rows["size"].to_numpy(np.int64), [np.frombuffer(p, np.uint16) for p in rows["point"]], percent)
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
-
-    pairs = described.groupBy("block").applyInPandas(search, "a binary, b binary").distinct()
-    second = staged(verified(pairs, texts, words, percent), "join-links")
+    next_ = own.orderBy("size")
+    near = F.coalesce(alike(F.lag("size").over(next_), F.col("size"), percent), F.lit(False)) | F.coalesce(alike(F.lead("size").over(next_), F.col("size"), percent), F.lit(False))
+    named = named.withColumn("size", size_of("node")).withColumn("near", near)
+    several = named.withColumns({"several": F.min("label").over(own) != F.max("label").over(own), "members": F.count(F.lit(1)).over(own)})
+    open_ = staged(several.where("several and near").drop("several", "near", "size"), "join-open")
+    large = open_.where(F.col("members") > PAGE).groupBy("node").agg(F.collect_list("block").alias("large"))  # of one set's prefix
+    described = open_.join(texts.select("node", "size", "point"), "node").join(large, "node", "left")
+    dealt = described.select("block", "node", "label", "size", "point", "large").repartition("block").sortWithinPartitions("block", "node")
+    pairs = dealt.mapInArrow(lambda batches: search_blocks(batches, percent), "a binary, b binary").distinct()
+    second = staged(verified(pairs, texts, words, percent, False), "join-links")
     if not second.isEmpty():
         labels = components(first.unionAll(second))
 

@@ -58,7 +58,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class TokenWriter:
     """Writes one file block by block; holds a block of ids and the documents' lengths."""
 
-    def __init__(self, sink, block: int = BLOCK, bits: bool = False, level: int = 3):
+    def __init__(self, sink, block: int = BLOCK, bits: bool = False, level: int = 1):
         self.sink, self.block, self.bits = sink, block, bits
         self.packer = zstandard.ZstdCompressor(level=level)
         self.waiting: list[np.ndarray] = []
@@ -156,8 +156,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 250):
+                rows = batch.slice(at, 250)
                 if writer is None:
                     where, path = pafs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}.planes")
                     sink = where.open_output_stream(path)

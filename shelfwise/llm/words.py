@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Remembered runs in a Python worker; beyond, the memory starts afresh. Longer runs than LONGEST are never kept.
-REMEMBERED, LONGEST = 1_000_000, 200
+REMEMBERED, LONGEST = 700_000, 200
 #: New runs encoded in one call, with a digit between them: the tokenizer makes each digit a token of its own.
 TOGETHER = 256
 #: Characters before this one have no other composed form and lower-case one by one; such runs need no normalizer.
@@ -55,19 +55,17 @@ class WordIds:
 
     def together(self, tokenizer, runs: list[str], texts: list[str]) -> None:
         """Encodes texts of runs, many in a call; those with the digit that parts them are alone."""
-        known = self.known
-        for w, t in zip(runs, texts, strict=True):
-            if "0" in t:
-                known[w] = np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        rest = [(w, t) for w, t in zip(runs, texts, strict=True) if "0" not in t]
-        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([" 0 ".join([t for _, t in g]) for g in groups], add_special_tokens=False), strict=True):
+        odd = {i for i, t in enumerate(texts) if "0" in t}
+        for i in odd:
+            self.known[runs[i]] = np.asarray(tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        if odd:
+            runs, texts = ([x for i, x in enumerate(xs) if i not in odd] for xs in (runs, texts))
+        starts = range(0, len(runs), TOGETHER)
+        for i, e in zip(starts, tokenizer.encode_batch_fast([" 0 ".join(texts[i : i + TOGETHER]) for i in starts], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.zero)).tolist(), 4 * len(ids)]
-            raw, at = ids.tobytes(), 0
-            for (w, _), end in zip(group, ends, strict=True):
-                known[w] = raw[at:end]
-                at = end + 4
+            cuts = 4 * np.flatnonzero(ids == self.zero)
+            raw = ids.tobytes()
+            self.known.update(zip(runs[i : i + TOGETHER], [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
 
 
 @lru_cache(maxsize=2)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 EXCERPTS, EXCERPT, BLOCK, LEVEL = 400, 256, 1024, 5
+#: Groups of tasks whose choices meet before they meet for the language.
+SPREAD = 64
 REJECT, REJECT_BYTES = 0.04, 200
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"\P{L}+")
@@ -40,8 +42,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", e
     rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).where("text is not null and lang is not null")
     length = F.length("text")
     middle = F.substr("text", F.greatest(F.lit(1), (length / 2).cast("int") - EXCERPT), F.lit(2 * EXCERPT))
-    best = Window.partitionBy("lang").orderBy("h", "part")
-    chosen = rows.select("lang", F.xxhash64("text").alias("h"), middle.alias("part")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= excerpts)
+    chosen = rows.select("lang", F.xxhash64("text").alias("h"), middle.alias("part"), (F.spark_partition_id() % SPREAD).alias("spread"))
+    for keys in (["lang", "spread"], ["lang"]):  # the first of the first: no task reads what all tasks have chosen
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "part"))).where(F.col("n") <= excerpts).drop("n")
     out: dict[str, list[bytes]] = {}
     for r in chosen.select("lang", "part").orderBy("lang", "h", "part").collect():  # excerpts x languages at most
         out.setdefault(r["lang"], []).append(normalise(r["part"])[:EXCERPT])

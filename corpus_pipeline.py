@@ -46,8 +46,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
-    return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), capacity=2048, end_id=0)
+    """The pieces of all documents with their places in sequences of 2048 tokens; executors have run four stages by now
+    and get a smaller memory of words."""
+    return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), capacity=2048, end_id=0, remembered=300_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

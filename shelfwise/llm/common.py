@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,7 +38,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +58,7 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 #: Ids up to this number are sent to all tasks to drop or pick rows (16 bytes each); beyond, a join by id.
 BROADCAST_IDS = 1_000_000
 #: Rows in an Arrow batch where the session has not set another number: texts are long, and tasks hold a batch or two.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -62,10 +73,33 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, cut: int = 1 << 23) -> DataFrame:
-    """mapInArrow over batches that hold about `cut` bytes at most (a single row may be larger)."""
+#: What Python workers remember between tasks: name and how to forget it. Tasks that do not use it drop it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget(but: str = "") -> None:
+    stale = [k for k in REMEMBERED if k != but]
+    for k in stale:
+        REMEMBERED.pop(k)()
+    if stale:
+        give_back()
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, cut: int = 1 << 23, uses: str = "") -> DataFrame:
+    """mapInArrow over batches that hold about `cut` bytes at most (a single row may be larger).
+
+    uses: what f wants its Python worker to remember from earlier tasks; all else is forgotten.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(uses)
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * cut / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
@@ -74,6 +108,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                     yield out
                 else:
                     yield from out
+        give_back()
 
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":

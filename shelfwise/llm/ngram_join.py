@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, narrow, staged
+from .common import discard, forget, give_back, map_arrow, narrow, staged
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more prefixes than this is frequent; the list of frequent ones that tasks receive has MOST_FREQUENT at
@@ -49,7 +49,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = U(0x9E3779B97F4A7C15 | 1)
 _BACK = U(pow(int(_STEP), -1, 1 << 64))
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -252,6 +252,7 @@ def search_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield told()
     settle()
     yield told()
+    give_back()
 
 
 def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
@@ -277,10 +278,11 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
                 more += [s[len(h) : 4 * len(h)] for s, h in zip((s for s in sets if len(s)), heads, strict=True)]
                 key, n = np.unique(np.concatenate([np.empty(0, U), *heads]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-                if sum(map(len, more)) > 4_000_000:
+                if sum(map(len, more)) > 2_000_000:
                     yield met()
         if more:
             yield met()
+        give_back()
 
     counts = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     often = staged(counts.where(F.col("n") > FREQUENT), "join-frequent")
@@ -295,6 +297,7 @@ def blocks(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     """block, node, low, high: blocks of several sets, those of the same sets once; low and high are the hubs."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         late, seen = frequent.value, set()
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * _SEGMENT / max(1, batch.nbytes))))
@@ -315,6 +318,8 @@ def blocks(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                     seen.clear()
                 column = pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), times)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), column], names=["key", "node"])
+        seen.clear()
+        give_back()
 
     dealt = docs.select("text").mapInArrow(deal, "key long, node binary")
     sized = dealt.withColumn("size", size_of("node"))
@@ -414,7 +419,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     block = blocks(rows, words, percent, frequent)
 
     involved = block.select("node").unionAll(block.select("low")).unionAll(block.select("high")).distinct().join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    texts = staged(node_texts(rows, staged(involved, "join-involved"), words), "join-texts")
+    involved = staged(involved, "join-involved")
+    texts = staged(node_texts(rows, involved, words), "join-texts")
     hub = lambda h: block.where(F.col("node") != F.col(h)).select(F.least("node", h).alias("a"), F.greatest("node", h).alias("b"))
     hubs = hub("low").unionAll(hub("high")).distinct().where(alike(size_of("a"), size_of("b"), percent))
     first = staged(verified(hubs, texts, words, percent), "join-links")
@@ -434,6 +440,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     second = staged(verified(pairs, texts, words, percent, False), "join-links")
     if not second.isEmpty():
         labels = components(first.unionAll(second))
+    discard(block, involved, texts, first, second, open_)  # from here on nodes and labels are read
 
     reached = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = reached.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -26,19 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, narrow, staged
-from .words import word_ids
+from .words import REMEMBERED, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rounds of multiplicative weights and the rate at which covered lengths lose weight.
 ROUNDS, RATE = 200, 0.08
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and end_id, cut every `capacity` ids."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, end = [], np.uint32(end_id).tobytes()
-        for doc_id, raw in zip(batch.column(0).to_pylist(), word_ids(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
+        for doc_id, raw in zip(batch.column(0).to_pylist(), word_ids(tokenizer, remembered).encode(batch.column(1).to_pylist()), strict=True):
             raw += end
             for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
@@ -47,7 +47,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_arrow(narrow(docs, id_col, text_col), cut, PIECES)
+    return map_arrow(narrow(docs, id_col, text_col), cut, PIECES, 1 << 20, uses="words")
 
 
 def price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> Counter:
@@ -189,6 +189,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = ROUNDS) -> DataF
     return map_arrow(ordered, place, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """Every piece of every document with its place; the pieces are written once and ranked from there."""
-    return pack(staged(cut_pieces(docs, tokenizer, capacity, end_id), "packing-pieces"), capacity)
+    return pack(staged(cut_pieces(docs, tokenizer, capacity, end_id, remembered=remembered), "packing-pieces"), capacity)

@@ -32,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged
+from .common import give_back, map_arrow, staged
 
 LENGTH, GRAM = 50, 16
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
-SHALLOW, TOGETHER = 16, 30_000
+SHALLOW, TOGETHER = 16, 15_000
 #: Copies up to this number are sent to all tasks (12 bytes each); beyond, a join by id takes their place.
 BROADCAST_COPIES = 1_000_000
 
@@ -280,6 +280,7 @@ def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> I
                 n = len(keys) - end
     if held:
         yield settle(pa.Table.from_batches(held))
+    give_back()
 
 
 def _equal(ctx: pa.Array) -> np.ndarray:

@@ -7,12 +7,15 @@ spaces and line ends, one after another. Runs are encoded in batches, each disti
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: Remembered runs in a Python worker; beyond, the memory starts afresh. Longer runs than LONGEST are never kept.
-REMEMBERED, LONGEST = 700_000, 200
+from .common import REMEMBERED as REMEMBERED_BY_WORKERS
+
+#: Runs that a Python worker remembers unless told otherwise (about 180 bytes each); beyond, it starts afresh. More of
+#: them save time. Longer runs than LONGEST are never kept.
+REMEMBERED, LONGEST = 1_200_000, 200
 #: New runs encoded in one call, with a digit between them: the tokenizer makes each digit a token of its own.
 TOGETHER = 256
 #: Characters before this one have no other composed form and lower-case one by one; such runs need no normalizer.
@@ -20,22 +23,30 @@ LATIN = "\u0250"
 
 
 class WordIds:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.path, self.remembered = path, remembered
+        self.plain = self.load()
         self.plain.normalizer = None
-        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
+        self.zero = self.plain.encode("0", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
+    def load(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
+    @cached_property
+    def tokenizer(self):
+        """With its normalizer: loaded when a text needs it."""
+        return self.load()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         runs = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         known = self.known
         new: set[str] = set()
@@ -51,7 +62,8 @@ class WordIds:
         latin = [w for w in new if w.isascii() or max(w) < LATIN]
         self.together(self.plain, latin, [w.lower() for w in latin])
         other = [w for w in new if not w.isascii() and max(w) >= LATIN]
-        self.together(self.tokenizer, other, other)
+        if other:
+            self.together(self.tokenizer, other, other)
 
     def together(self, tokenizer, runs: list[str], texts: list[str]) -> None:
         """Encodes texts of runs, many in a call; those with the digit that parts them are alone."""
@@ -69,6 +81,11 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker."""
-    return WordIds(path)
+def _word_ids(path: str, remembered: int) -> WordIds:
+    return WordIds(path, remembered)
+
+
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    """One for each Python worker, until it runs tasks of another kind."""
+    REMEMBERED_BY_WORKERS["words"] = _word_ids.cache_clear
+    return _word_ids(path, remembered)

@@ -2,9 +2,11 @@
 
 Documents become pieces of at most `capacity` tokens. The histogram of piece lengths (capacity + 1 numbers at most,
 whatever the corpus) goes to the driver. There the configuration program - least number of sequences so that every
-length is covered - is solved by multiplicative weights: in each round a knapsack dynamic program prices the best
-configuration under the current weights, and the weights of the lengths it covers fall. The rounds' configurations are
-rounded down to whole sequences, and the rest goes best-fit, longest first, bins counted by their free room.
+length is covered - is solved by multiplicative weights. A length's weight starts as the length itself, which is the
+best price where sequences can be filled, and falls as the length is covered. In each round a knapsack dynamic program
+prices partners, and each of the TOGETHER least covered lengths gets its configuration of most worth. Steps are whole
+sequences, so no rounding follows. As is usual for this program, small lengths are set aside: they and what the program
+leaves go best-fit, longest first, bins counted by their free room.
 
 The plan is a list of (configuration, copies); places in it are arithmetic: the r-th piece of a length belongs to one
 run of the plan. Ranks come from one range sort by (length, id, piece), so a length shared by a third of all pieces is
@@ -29,8 +31,10 @@ from .common import map_arrow, narrow, staged
 from .words import REMEMBERED, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rounds of multiplicative weights and the rate at which covered lengths lose weight.
-ROUNDS, RATE = 200, 0.08
+#: Rates at which covered lengths lose weight (each is tried), and the share of a length that one step covers.
+RATES, SHARE = (0.1, 0.5), 0.25
+#: Configurations taken under the same weights; lengths under capacity / SMALL are left for best fit to fill gaps with.
+TOGETHER, SMALL = 32, 32
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
@@ -50,42 +54,53 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
     return map_arrow(narrow(docs, id_col, text_col), cut, PIECES, 1 << 20, uses="words")
 
 
-def price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> Counter:
-    """The configuration of most worth that fits: an unbounded knapsack by dynamic programming over the room used."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if k := upto[room]:
-            value = best[room - lengths[:k]] + worth[:k]
-            if value[i := int(np.argmax(value))] > best[room]:
-                best[room], pick[room] = value[i], i
-    out, room = Counter(), capacity
+def price(worth: np.ndarray, half: int) -> np.ndarray:
+    """The most worth that fits into each room up to half a sequence: an unbounded knapsack by dynamic programming."""
+    best = np.zeros(half + 1)
+    for room in range(1, half + 1):
+        best[room] = max(best[room - 1], (best[room - 1 :: -1] + worth[1 : room + 1]).max())
+    return best
+
+
+def trace(best: np.ndarray, worth: np.ndarray, room: int) -> Counter:
+    """Lengths that make best[room], the longest first where several do."""
+    out: Counter = Counter()
     while room > 0:
-        if pick[room] < 0:
+        if best[room] <= best[room - 1]:
             room -= 1
         else:
-            out[int(lengths[pick[room]])] += 1
-            room -= int(lengths[pick[room]])
+            length = int(np.flatnonzero(best[room - 1 :: -1] + worth[1 : room + 1] >= best[room] * (1 - 1e-12))[-1]) + 1
+            out[length] += 1
+            room -= length
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each, so that together they cover the histogram about once."""
-    lengths = np.array(sorted(histogram))
-    need = np.array([histogram[int(x)] for x in lengths], float)
-    covered, used = np.zeros(len(lengths)), defaultdict(float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    for _ in range(rounds):
-        weight = np.exp(-(covered - covered.min()) / rate) / need + lengths / (capacity * need.sum() * 1e3)
-        config = price(lengths, weight, capacity)
-        at, times = np.array([place[x] for x in config]), np.array(list(config.values()), float)
-        step = float((need[at] / times).min()) * rate * 5
-        covered[at] += step * times / need[at]
-        used[tuple(sorted(config.items()))] += step
-        if covered.min() >= 1:
-            break
-    return [(dict(c), x) for c, x in used.items()]
+def solve(histogram: dict[int, int], capacity: int, rate: float = RATES[0], share: float = SHARE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Configurations and whole numbers of sequences, until all lengths are covered or no configuration found is still
+    whole. A step covers `share` of a length of its configuration (or is one sequence), so the number of steps is a few
+    times the number of lengths, whatever their counts."""
+    need, half, out = np.zeros(capacity + 1), capacity // 2, []
+    for length, n in histogram.items():
+        need[length] = n
+    rest = need.astype(np.int64)
+    moved = True
+    while moved and (live := np.flatnonzero(rest)).size:
+        moved, covered = False, 1 - rest[live] / need[live]
+        worth = np.full(capacity + 1, -np.inf)
+        worth[live] = live * np.exp(-rate * covered)
+        best = price(worth, half)
+        for length in live[np.lexsort((-live, covered))][:TOGETHER].tolist():
+            room = capacity - length
+            a = np.arange(max(0, room - half), room // 2 + 1)
+            first = int(a[np.argmax(best[a] + best[room - a])]) if room > half else 0  # partners in two parts, each of half a sequence at most
+            config = Counter({length: 1}) + trace(best, worth, first) + trace(best, worth, room - first)
+            at, times = np.array(list(config)), np.array(list(config.values()))
+            if most := int((rest[at] // times).min()):
+                copies = min(most, max(1, int((need[at] / times).min() * share)))
+                rest[at] -= copies * times
+                out.append((tuple(sorted(config.items())), copies))
+                moved = True
+    return out
 
 
 def best_fit(rest: Counter, capacity: int) -> Counter:
@@ -123,24 +138,32 @@ def best_fit(rest: Counter, capacity: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def program(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], Counter]:
+    """(configurations of the program, what is left to best fit): of the rates, and the bounds on a configuration's free
+    room, those with which fewest sequences are used, the widest bound if several do."""
+    large = {k: v for k, v in histogram.items() if k >= capacity // SMALL}
+    rooms, tried = sorted({capacity, *(capacity // n for n in (64, 256, 1024)), 0}, reverse=True), []
+    for solved, room in [(s, r) for s in [solve(large, capacity, rate) for rate in RATES] for r in rooms]:
+        used, rest = [], Counter(histogram)
+        for config, copies in solved:
+            if capacity - sum(length * n for length, n in config) <= room:
+                rest.subtract({length: n * copies for length, n in config})
+                used.append((config, copies))
+        rest = +rest
+        tried.append((sum(n for _, n in used) + sum(best_fit(rest, capacity).values()), used, rest))
+    return min(tried, key=lambda t: t[0])[1:]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """(configuration, copies): together they hold each length exactly as often as the histogram says."""
-    rest = Counter({k: v for k, v in histogram.items() if v})
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if full := rest.pop(capacity, 0):
-        out.append((((capacity, 1),), full))
-    if rest:
-        for config, times in sorted(solve(rest, capacity, rounds), key=lambda c: (-c[1], sorted(c[0].items()))):
-            room = capacity - sum(length * n for length, n in config.items())
-            copies = min([int(times), *(rest[length] // n for length, n in config.items())])
-            if copies > 0 and room <= capacity // 256:
-                rest.subtract({length: n * copies for length, n in config.items()})
-                out.append((tuple(sorted(config.items())), copies))
-        out += sorted(best_fit(+rest, capacity).items())
-        plain = best_fit(Counter({k: v for k, v in histogram.items() if v and k < capacity}), capacity)
-        if full + sum(plain.values()) < sum(n for _, n in out):  # rounding lost more than the program won
-            out = out[: bool(full)] + sorted(plain.items())
-    return out
+    short = {k: v for k, v in histogram.items() if v and k < capacity}
+    full = [(((capacity, 1),), histogram[capacity])] if histogram.get(capacity) else []
+    if not short:
+        return full
+    used, rest = program(short, capacity)
+    out = used + sorted(best_fit(rest, capacity).items())
+    plain = sorted(best_fit(Counter(short), capacity).items())
+    return full + (plain if sum(n for _, n in plain) < sum(n for _, n in out) else out)
 
 
 def runs(configs: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
@@ -156,7 +179,7 @@ def runs(configs: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces with sequence_id and offset; `pieces` as cut_pieces gives them."""
     ordered = pieces.repartitionByRange("length", "doc_id", "piece", "ids_crc32").sortWithinPartitions("length", "doc_id", "piece", "ids_crc32")
     ordered = staged(ordered.withColumn("at", F.monotonically_increasing_id()), "packing-order")
@@ -171,7 +194,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = ROUNDS) -> DataF
     base = dict(zip(parts, np.cumsum([0, *[size[p] for p in parts]]).tolist(), strict=False))
     lengths = sorted(histogram)
     first = dict(zip(lengths, np.cumsum([0, *[histogram[x] for x in lengths]]).tolist(), strict=False))
-    table = runs(plan(dict(histogram), capacity, rounds))
+    table = runs(plan(dict(histogram), capacity))
     low = np.array(sorted(histogram), np.int64)
     span = int(max(histogram.values(), default=0)) + 1
 

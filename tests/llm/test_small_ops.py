@@ -222,6 +222,20 @@ def test_plan_covers_the_histogram_and_beats_best_fit(seed):
     assert +got == Counter(lengths.tolist()) and -(-int(lengths.sum()) // 100) <= used <= sum(packing.best_fit(h, 100).values()) + full
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_the_program_packs_at_full_capacity(times):
+    rng = np.random.default_rng(3)
+    h = {k: n * times for k, n in Counter(np.exp(rng.normal(6.2, 0.7, 12000)).astype(int).clip(64, 2047).tolist()).items()}
+    used, rest = packing.program(h, 2048)
+    got = Counter(rest)
+    for config, copies in used:
+        got.update({length: n * copies for length, n in config})
+    tokens, left = sum(k * n for k, n in h.items()), sum(k * n for k, n in rest.items())
+    assert len(h) > 1600 and got == Counter(h) and left <= 0.05 * tokens
+    sequences, plain = sum(n for _, n in packing.plan(h, 2048)), sum(packing.best_fit(Counter(h), 2048).values())
+    assert -(-tokens // 2048) <= sequences < plain and sequences == sum(n for _, n in used) + sum(packing.best_fit(rest, 2048).values())
+
+
 # Media
 
 

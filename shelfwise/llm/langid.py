@@ -1,11 +1,11 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes a text smallest.
 
 A dictionary is excerpts of labelled texts, lower-cased, letters only, repeats of a word once: at most EXCERPTS of them
-for a language, EXCERPT bytes from the middle of each, chosen by a hash of the text. That bound is all that learning
-reads into memory; every labelled row takes part in the choice. A text is normalised the same way and compressed in
-blocks of BLOCK bytes with each dictionary; the sizes of all its blocks are summed, so whole texts count and memory is
-bounded. The margin is the runner-up's size over the winner's. Texts of REJECT_BYTES or more whose margin is under
-REJECT are rejected: they are about as close to two languages. Shorter ones keep their best guess.
+for a language, EXCERPT bytes from the middle of each, chosen by a hash of the text; copies of a text count once. That
+bound is all that learning reads into memory; every labelled row takes part in the choice. A text is normalised the same
+way and compressed in blocks of BLOCK bytes with each dictionary; the sizes of all its blocks are summed, so whole texts
+count and memory is bounded. The margin is the runner-up's size over the winner's. Texts of REJECT_BYTES or more whose
+margin is under REJECT are rejected: they are about as close to two languages. Shorter ones keep their best guess.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are not rejected; where nothing was
 learned all are `und`; ties go to the language first in alphabetical order; equal texts give equal values; an empty
@@ -42,7 +42,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", e
     rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).where("text is not null and lang is not null")
     length = F.length("text")
     middle = F.substr("text", F.greatest(F.lit(1), (length / 2).cast("int") - EXCERPT), F.lit(2 * EXCERPT))
-    chosen = rows.select("lang", F.xxhash64("text").alias("h"), middle.alias("part"), (F.spark_partition_id() % SPREAD).alias("spread"))
+    chosen = rows.select("lang", F.xxhash64("text").alias("h"), middle.alias("part"))
+    chosen = chosen.groupBy("lang", "h").agg(F.min("part").alias("part"))  # copies of a text take one slot; combined before the exchange
+    chosen = chosen.withColumn("spread", F.spark_partition_id() % SPREAD)
     for keys in (["lang", "spread"], ["lang"]):  # the first of the first: no task reads what all tasks have chosen
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "part"))).where(F.col("n") <= excerpts).drop("n")
     out: dict[str, list[bytes]] = {}

@@ -320,6 +320,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_copies_take_one_excerpt(spark):
+    rows = [(text, lang) for _, text, lang in corpus(60, 2)]
+    first = spark.createDataFrame(rows, "text string, lang string").orderBy(F.xxhash64("text")).first()
+    df = spark.createDataFrame(rows + [tuple(first)] * 1000, "text string, lang string").repartition(3)
+    assert langid.learn(df) == langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+
+
 # License scans
 
 

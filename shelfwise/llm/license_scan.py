@@ -1,13 +1,13 @@
 """License scans by conditional compression: each template is a zstandard raw dictionary for the candidate blocks.
 
-Blocks are the lines of a text (long ones cut at sentence ends); candidates hold one of the CUES. A block's gain from a
-template is the share of its compressed size that the template saves; templates are ranked by it. The winner is
-confirmed word by word: the differences between its wording and the block's are listed, `exact` where there are none and
-`variant` where they are at most VARIANT of the template's words; the next in rank is tried otherwise, and a block that
-no template fits is no finding. The template may stand anywhere in a block.
-
-Defined results: null and empty texts have no findings; a line that repeats is found each time, by its block number;
-ties in rank go to the name first in alphabetical order; rows that repeat an id are scanned each; an empty table gives
+A text is one run of words, so a notice may be wrapped over lines and stand anywhere. Around each word that holds one of
+the CUES every template is laid with its own cue on that word, over a window as much longer as a variant may be. There
+the wording is confirmed word by word: the words that differ are listed, `exact` where there are none and `variant` where
+they are at most VARIANT of the template's words. A confirmed passage's gain is the share of its compressed size that the
+template saves. Exact passages go first, then those that save most bytes; each that overlaps no better one is found.
+
+Defined results: null and empty texts have no findings; a notice that repeats is found each time; block is the number
+of the line in which it begins; ties in rank go to the name first in alphabetical order; rows that repeat an id are scanned each; an empty table gives
 an empty result. Columns other than the id and the text are not looked at.
 """
 
@@ -40,20 +40,10 @@ TEMPLATES = {
 }
 #: A template holds one of these, so a block without any is none.
 CUES = ("license", "licence", "licensed", "permission", "redistribution")
-LONGEST, VARIANT, GAIN, LEVEL = 2000, 0.34, 0.2, 19
+VARIANT, GAIN, LEVEL = 0.34, 0.2, 19
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
-
-
-def blocks_of(text: str) -> list[str]:
-    out = []
-    for line in text.split("\n"):
-        while len(line) > LONGEST:
-            cut = max(line.rfind(m, 0, LONGEST) for m in (". ", "! ", "? ", " "))
-            cut = cut + 1 if cut > 0 else LONGEST
-            out.append(line[:cut])
-            line = line[cut:]
-        out.append(line)
-    return out
+#: White space and the marks that comments begin lines with.
+BETWEEN = re.compile(r"[\s#*/;]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -67,44 +57,60 @@ def prepared(templates: tuple[tuple[str, str], ...]):
     return plain, by
 
 
-def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """(missing, extra): words of the template that the block lacks, and words between the template's that it adds."""
-    match = difflib.SequenceMatcher(None, template, block, autojunk=False)
-    steps = [s for s in match.get_opcodes() if s[0] != "equal"]
-    missing = [w for _, a, b, _, _ in steps for w in template[a:b]]
-    inside = [s for s in steps if 0 < s[1] and s[2] < len(template)]
-    return missing, [w for _, _, _, a, b in inside for w in block[a:b]]
+def cued(words: list[str]) -> list[int]:
+    return [i for i, w in enumerate(words) if any(c in w for c in CUES)]
+
+
+def align(template: list[str], words: list[str]) -> tuple[int, int, list[str], list[str]]:
+    """(start, end, missing, extra) of the passage of words with fewest differences: template words that it lacks, and
+    words that it adds between them."""
+    match = [m for m in difflib.SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
+    spans = [match[p:q] for p in range(len(match)) for q in range(p + 1, len(match) + 1)]
+    best = min(spans, key=lambda s: len(template) + s[-1].b + s[-1].size - s[0].b - 2 * sum(m.size for m in s), default=[])
+    if not best:
+        return 0, 0, template, []
+    start, end = best[0].b, best[-1].b + best[-1].size
+    mine, theirs = ({i for m in best for i in range(at(m), at(m) + m.size)} for at in (lambda m: m.a, lambda m: m.b))
+    return start, end, [w for i, w in enumerate(template) if i not in mine], [words[i] for i in range(start, end) if i not in theirs]
 
 
-def scan_block(block: str, templates: tuple[tuple[str, str], ...]) -> tuple[str, float, str, str, str] | None:
-    """(license, gain, status, missing, extra) of the best template that the wording confirms."""
+def scan_text(text: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[int, str, float, str, str, str]]:
+    """(block, license, gain, status, missing, extra) of each passage that a template's wording confirms."""
     plain, by = prepared(templates)
-    data, words = block.lower().encode(), words_of(block)
-    alone = len(plain.compress(data))
-    ranked = sorted(((len(c.compress(data)) / alone, name, own) for name, own, c in by), key=lambda r: r[:2])
-    found = []
-    for size, name, own in ranked:
-        if 1 - size >= GAIN * min(1.0, len(own) / max(len(words), 1)):
-            missing, extra = differences(own, words)
-            if not missing and not extra:
-                return name, round(1 - size, 6), "exact", "", ""
-            if len(missing) + len(extra) <= VARIANT * len(own):
-                found.append((name, round(1 - size, 6), "variant", " ".join(missing), " ".join(extra)))
-    return found[0] if found else None
+    places = [m.span() for m in WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in places]
+    cues, found = cued(words), {}
+    for name, own, c in by:
+        slack = int(VARIANT * len(own)) + 1
+        for low in sorted({max(0, i - j - slack) for i in cues for j in cued(own)}):
+            window = words[low : low + len(own) + 2 * slack]
+            if len(own) - sum(w in window for w in own) > VARIANT * len(own):
+                continue
+            start, end, missing, extra = align(own, window)
+            if len(missing) + len(extra) > VARIANT * len(own):
+                continue
+            start, end = start + low, end + low
+            data = BETWEEN.sub(" ", text[places[start][0] : places[end - 1][1]]).lower().encode()
+            alone, size = len(plain.compress(data)), len(c.compress(data))
+            if 1 - size / alone >= GAIN:
+                found[start, end, name] = (bool(missing or extra), size - alone, name, start, end, round(1 - size / alone, 6), " ".join(missing), " ".join(extra))
+    out, taken = [], set()
+    for differs, _, name, start, end, gain, missing, extra in sorted(found.values()):
+        if taken.isdisjoint(range(start, end)):
+            taken.update(range(start, end))
+            out.append((places[start][0], name, gain, "variant" if differs else "exact", missing, extra))
+    return [(text.count("\n", 0, at), *rest) for at, *rest in sorted(out)]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, block, license, gain, status, missing, extra: a row for each block with a licence."""
+    """doc_id, block, license, gain, status, missing, extra: a row for each passage with a licence."""
     known = tuple(sorted(templates.items()))
     rows = narrow(docs, id_col, text_col).where(F.lower("text").rlike("|".join(CUES)))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, block in enumerate(blocks_of(text)):
-                low = block.lower()
-                if any(c in low for c in CUES) and (found := scan_block(block, known)):
-                    out.append((doc_id, k, *found))
+            out += [(doc_id, *found) for found in scan_text(text, known)]
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string()]
         columns = list(zip(*out, strict=True)) if out else [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "block", "license", "gain", "status", "missing", "extra"])

@@ -344,3 +344,18 @@ def test_license_scan(spark):
     assert sorted(got[104]) == [("mit", "exact", 0), ("mit", "exact", 1)]
     assert got[105][0][:2] == ("cc-by-nc-4.0", "exact") and got[106][0][1] == "variant"
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_licenses_wrapped_straddling_and_dual():
+    known = tuple(sorted(license_scan.TEMPLATES.items()))
+    found = lambda text: [(f[0], f[1], f[3]) for f in license_scan.scan_text(text, known)]
+    for name, text in known:
+        for step in (2, 3):
+            words = text.split(" ")
+            lines = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+            assert found("first line\n# " + "\n# ".join(lines) + "\nlast") == [(1, name, "exact")], name
+        for before in range(1900, 2010, 7):
+            assert found("x" * (before % 50) + " y" * (before // 2) + " " + text + " z" * 800) == [(0, name, "exact")], name
+    dual = "Released under the MIT License. Licensed under CC BY-SA 4.0."
+    assert found(dual) == [(0, "mit", "exact"), (0, "cc-by-sa-4.0", "exact")]
+    assert found("Released under the MIT Licence or\nLicensed under CC BY 4.0.") == [(0, "mit", "variant"), (1, "cc-by-4.0", "exact")]

@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +17,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders of sessions on a single machine, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that every executor can reach, under spark.checkpoint.dir; it goes when the session ends.
 
-    Only where that setting is missing (tests, a single machine) is a local folder used instead.
+    Where that setting is missing, a local folder is used by sessions of a single machine (tests); others are told to set it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        base = _LOCAL[context.applicationId]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)
@@ -34,10 +43,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows for the plans that run inside, if the session does not ask for smaller ones."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -55,17 +78,37 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
-#: Ids up to this number are sent to all tasks to drop or pick rows (16 bytes each); beyond, a join by id.
+#: Rows of a list up to this number are sent to all tasks to drop or pick rows (24 bytes each); beyond, a join.
 BROADCAST_IDS = 1_000_000
-#: Rows in an Arrow batch where the session has not set another number: texts are long, and tasks hold a batch or two.
+#: Arrow rows in a batch while tables are staged: texts are long, and tasks hold a batch or two.
 BATCH_ROWS = 1000
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in gone (one column); while these are few no text is shuffled."""
-    gone = staged(gone.toDF("__gone").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df, marked for broadcast if it has `most` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256: with the id, the name of a row."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text: Callable[[Column], Column] = lambda c: c, text_col: str = "text") -> DataFrame:
+    """docs less the rows named in gone; of rows that share a name in repeated, one stays.
+
+    gone and repeated: (doc_id, h) with h the text_key of text(text_col), a null text being the empty one. While these
+    lists are few no text is shuffled. Of rows that share a name, the first by their columns as JSON stays.
+    """
+    gone, repeated = (staged(x.toDF("__id", "__h").distinct(), n) for x, n in ((gone, "gone"), (repeated, "repeated")))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])  # in one column, so that no name can clash
+    named = docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"), text_key(text(F.coalesce(docs[text_col], F.lit("")))).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    if repeated.isEmpty():
+        return named.join(few(gone), same, "left_anti").select("row.*")
+    repeated = few(repeated)
+    once = named.join(repeated, same, "left_semi").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return named.join(few(gone.unionAll(repeated)), same, "left_anti").select("row").unionAll(once.select("row")).select("row.*")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -77,6 +120,22 @@ def lower_ascii(c: Column) -> Column:
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
+def remembered(name: str, most: int = 4) -> Callable:
+    """A function's last results stay known until a Python worker runs tasks that do not use `name`."""
+
+    def around(f: Callable) -> Callable:
+        kept = lru_cache(maxsize=most)(f)
+
+        @wraps(f)
+        def get(*args):
+            REMEMBERED.setdefault(f"{name} {f.__name__}", kept.cache_clear)
+            return kept(*args)
+
+        return get
+
+    return around
+
+
 def give_back() -> None:
     """Returns what a Python worker has freed to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -85,7 +144,7 @@ def give_back() -> None:
 
 
 def forget(but: str = "") -> None:
-    stale = [k for k in REMEMBERED if k != but]
+    stale = [k for k in REMEMBERED if k.split()[0] != but]
     for k in stale:
         REMEMBERED.pop(k)()
     if stale:
@@ -110,7 +169,4 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                     yield from out
         give_back()
 
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

@@ -9,29 +9,36 @@ Sets that can be linked share a shingle among the first n - ceil(0.8 n) + 1 of a
 prefixes deal the sets into blocks (exactly: no link is lost). The order is (frequent, hash): shingles in more than
 FREQUENT prefixes come last, so a passage that thousands of documents share makes no block unless they are mostly that.
 
-1. In each block every set is paired with two hubs, its least and its greatest node. Pairs within the bound are
-   verified on the sets. A block of k copies costs 2k pairs, not k^2.
-2. The components of these links label the sets. A block of a single label is done. In the others an R-tree over the
-   block's points is searched for pairs of different labels, pages whose bound is too small or whose sets all carry the
+1. R-trees over the points of all blocks are searched by every set for the first and the last set of its block that the
+   bound leaves, in the order of their names. These pairs are verified. A block of k copies costs 2k pairs, not k^2.
+2. The components of these links label the sets. A block of a single label is done. In the others the trees, now of finer
+   points, are searched for all pairs of different labels; pages whose bound is too small or whose sets all carry the
    searcher's label are skipped, and surviving pairs are verified. Links of both rounds give the components.
 
+Blocks of frequent shingles are dealt by what they hold, never gathered: one of more than TILE sets becomes units of a band
+of sizes and the next one, and of two tiles of sets, so that each pair that can be linked meets in one unit. Verification
+compares the words themselves, hashes only propose. Word hashes are polynomials modulo two primes, not modulo 2^64.
+
 Defined results: a null text has no words; texts without words have an empty set, are linked with nothing and are their
-own component; rows that repeat an id are reported each; component_id ignores null ids and is null only where all are;
-an empty table gives an empty result. Columns other than the id and the text are not looked at.
+own component; rows that repeat an id are reported each, by their own text; component_id ignores null ids and is null only
+where all are, and rows without an id link others; an empty table gives an empty result. Columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, forget, give_back, map_arrow, narrow, staged
+from .common import REMEMBERED, discard, few, forget, give_back, map_arrow, narrow, staged, text_key, without
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more prefixes than this is frequent; the list of frequent ones that tasks receive has MOST_FREQUENT at
@@ -40,16 +47,20 @@ FREQUENT, MOST_FREQUENT = 32, 2_000_000
 #: Nodes up to this number are sent to all tasks to fetch their texts (20 bytes each); beyond, a join by id.
 BROADCAST_NODES = 1_000_000
 PAGE, COARSE, ROUGH = 32, 4, 4
+#: Sets that meet in one unit of a large block; tasks that deal the sets of a frequent shingle; rows searched together.
+TILE, SPREAD, TOGETHER = 4096, 64, 16_384
 
 U = np.uint64
-_RNG = np.random.default_rng(20_240_229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_LOWER = np.arange(1, 257, dtype=U)
+_LOWER[65:91] = _LOWER[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = U(0x9E3779B97F4A7C15 | 1)
-_BACK = U(pow(int(_STEP), -1, 1 << 64))
 _SEGMENT = 1 << 18
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 1 << 16
+#: (prime, base): a word's bytes are the coefficients of a polynomial whose value at the base, modulo the prime, is taken.
+_FIELDS = ((2**31 - 1, 1_358_492_671), (2**31 - 19, 906_185_303))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,15 +69,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the step and of its inverse, kept for the next call."""
-    if len(_POWERS[0]) < n:
-        for k, by in enumerate((_STEP, _BACK)):
-            _POWERS[k] = np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(max(n, _SEGMENT), by))])
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """The first n powers of the base, kept for the next call."""
+    REMEMBERED["powers"] = _POWERS.clear
+    kept = _POWERS.get(base, np.ones(1, U))
+    while len(kept) < n:
+        kept = np.concatenate([kept, kept * U(pow(base, len(kept), prime)) % U(prime)])
+    _POWERS[base] = kept
+    return kept[:n]
 
 
 def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +89,22 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     solid = ~_SPACE[data]
     start = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])))
     end = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
-    out, at = np.empty(len(start), U), 0
-    while at < len(start):  # segments of whole words, so that tables of powers stay small
+    out, at = np.zeros(len(start), U), 0
+    while at < len(start):  # segments of whole words, so that tables of powers stay small and sums below 2^64
         stop = max(at + 1, int(np.searchsorted(end, start[at] + _SEGMENT, "right")))
         low, high = start[at], end[stop - 1]
-        forward, back = _powers(high - low + 1)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data[low:high]] * forward[: high - low])])
-        s, e = start[at:stop] - low, end[at:stop] - low
-        out[at:stop] = _mix((sums[e] - sums[s]) * back[s] + (e - s).astype(U))
+        if high - low <= _SEGMENT:
+            letters = _LOWER[data[low:high]]
+            s, e = start[at:stop] - low, end[at:stop] - low
+            for prime, base in _FIELDS:
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(letters * _powers(base, prime, _SEGMENT)[: high - low])])
+                back = _powers(pow(base, -1, prime), prime, _SEGMENT)
+                out[at:stop] = (out[at:stop] << U(32)) + (sums[e] - sums[s]) % U(prime) * back[s] % U(prime)
         at = stop
+    size = end - start
+    out = _mix(out + size.astype(U) * _STEP)
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest((_LOWER[data[start[k] : end[k]]] - U(1)).astype(np.uint8).tobytes())
     return out, start
 
 
@@ -159,102 +179,153 @@ def enough(overlap, a, b, percent: int = PERCENT):
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-def within(p: np.ndarray, q: np.ndarray, a: int, b: int, percent: int = PERCENT) -> bool:
-    """Whether sizes and the summed coordinate minima leave a link possible."""
-    if 100 * min(a, b) < percent * max(a, b):
-        return False
-    groups = min(len(p), len(q))
-    return bool(enough(int(np.minimum(fold(p, groups), fold(q, groups)).sum(dtype=np.int64)), a, b, percent))
+def expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, number) for every number of the ranges low up to high."""
+    n = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
 
 
 class CountTree:
-    """An R-tree of count points: pages of PAGE points in order of size, pages of pages above; upper corners only."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.points, self.sizes, self.labels = points.astype(np.int32), sizes, labels
-        self.levels = []
-        corner, low, high = self.points, sizes, sizes
-        one = labels  # the label of a whole page, or -1
-        while len(corner) > PAGE:
+    """R-trees of count points, one for each unit, in one: rows come unit by unit, pages hold PAGE rows and pages of pages
+    lie above, with their upper corner, range of sizes and common label. A page across two units only has a wider corner."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, begin: np.ndarray, end: np.ndarray, sides: np.ndarray, mine: np.ndarray, percent: int):
+        self.begin, self.end, self.sides, self.mine, self.percent = begin, end, sides, mine, percent
+        self.levels = [(points, sizes, sizes, labels)]
+        while len(self.levels[-1][0]) > PAGE:
+            corner, low, high, one = self.levels[-1]
             edge = np.arange(0, len(corner), PAGE)
             least, most = np.minimum.reduceat(one, edge), np.maximum.reduceat(one, edge)
-            corner, low, high, one = np.maximum.reduceat(corner, edge), np.minimum.reduceat(low, edge), np.maximum.reduceat(high, edge), np.where(least == most, least, -1)
-            self.levels.append((corner, low, high, one))
-
-    def search(self, p: np.ndarray, size: int, label: int, percent: int) -> np.ndarray:
-        """Places of points of other labels that the bound cannot exclude."""
-        top = len(self.levels)
-        at = np.arange(len(self.levels[-1][0]) if top else len(self.points))
-        for level in range(top - 1, -2, -1):
-            corner, low, high, one = self.levels[level] if level >= 0 else (self.points, self.sizes, self.sizes, self.labels)
-            at = at[(one[at] != label) & (100 * high[at] >= percent * size) & (percent * low[at] <= 100 * size)]
-            at = at[enough(np.minimum(corner[at], p).sum(axis=1), np.maximum(low[at], 0), size, percent)]
-            if level >= 0:
-                below = len(self.levels[level - 1][0]) if level else len(self.points)
-                at = (at[:, None] * PAGE + np.arange(PAGE)).reshape(-1)
-                at = at[at < below]
-        return at
-
-
-def search_block(nodes: list[bytes], labels: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int, block: int = 0, large: list[set[int]] | None = None) -> set[tuple[bytes, bytes]]:
-    """Pairs of a block with different labels that the bound leaves. Trees hold points folded by COARSE, one tree for
-    each number of groups; what they find is bounded again by the whole points. A pair that several large blocks hold
-    (`large`: of each node) is told by the first of them only."""
-    out = set()
-
-    def add(i: int, j: int) -> None:
-        if within(points[i], points[j], int(sizes[i]), int(sizes[j]), percent):
-            out.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-
-    if len(nodes) <= PAGE:
-        for i in range(len(nodes)):
-            for j in range(i):
-                if labels[i] != labels[j]:
-                    add(i, j)
-        return out
+            self.levels.append((np.maximum.reduceat(corner, edge), np.minimum.reduceat(low, edge), np.maximum.reduceat(high, edge), np.where(least == most, least, -1)))
+
+    def passes(self, level: int, i: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (row i, page or row at) that sizes, labels and the summed coordinate minima leave possible."""
+        corner, low, high, one = self.levels[level]
+        points, sizes, _, labels = self.levels[0]
+        keep = (one[at] != labels[i]) & (100 * high[at] >= self.percent * sizes[i]) & (self.percent * low[at] <= 100 * sizes[i])
+        if not level:  # of a unit's two tiles, one of each; of its two bands, one of the first
+            keep &= ((self.sides[i] < 0) | (self.sides[i] != self.sides[at])) & (self.mine[i] | self.mine[at])
+        i, at = i[keep], at[keep]
+        step = max(1, (1 << 22) // max(points.shape[1], 1))
+        good = [enough(np.minimum(corner[at[k : k + step]], points[i[k : k + step]]).sum(axis=1, dtype=np.int64), low[at[k : k + step]], sizes[i[k : k + step]], self.percent) for k in range(0, len(i), step)]
+        keep = np.concatenate([np.empty(0, bool), *good])
+        return i[keep], at[keep]
+
+    def search(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (row, other row of its unit) that the bound cannot exclude, for the rows i."""
+        level = 0
+        while level + 1 < len(self.levels) and ((self.end[i] - 1 >> 5 * level) - (self.begin[i] >> 5 * level)).max(initial=0) >= PAGE:
+            level += 1
+        which, at = expand(self.begin[i] >> 5 * level, (self.end[i] - 1 >> 5 * level) + 1)
+        i = i[which]
+        while True:
+            i, at = self.passes(level, i, at)
+            if not level:
+                return i, at
+            level -= 1
+            first, last = self.begin[i] >> 5 * level, self.end[i] - 1 >> 5 * level
+            which, at = expand(np.maximum(at * PAGE, first), np.minimum(at * PAGE + PAGE - 1, last) + 1)
+            i = i[which]
+
+    def ends(self, i: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(row, the first row of its unit that the bound cannot exclude; the last one with `back`), where there is one.
+
+        Pages are looked at in runs that double until one holds such a row.
+        """
+        first, last = self.begin[i] >> 5, self.end[i] - 1 >> 5
+        done, width, out = np.zeros(len(i), np.int64), 1, []
+        while len(i):
+            if back:
+                high = last - done
+                low = np.maximum(high - width + 1, first)
+            else:
+                low = first + done
+                high = np.minimum(low + width - 1, last)
+            which, at = expand(low, high + 1)
+            row = i[which]
+            if len(self.levels) > 1 and width > 1:
+                row, at = self.passes(1, row, at)
+            which, at = expand(np.maximum(at * PAGE, self.begin[row]), np.minimum(at * PAGE + PAGE, self.end[row]))
+            row, at = self.passes(0, row[which], at)
+            if len(row):
+                by = np.lexsort((-at if back else at, row))
+                row, at = row[by], at[by]
+                head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out.append((row[head], at[head]))
+            done += width
+            stay = (first + done <= last) & ~np.isin(i, row)
+            i, first, last, done, width = i[stay], first[stay], last[stay], done[stay], 2 * width
+        return tuple(np.concatenate([np.empty(0, np.int64), *[x[k] for x in out]]) for k in (0, 1))
+
+
+def search_rows(unit: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, mine: np.ndarray, percent: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a unit that the bound leaves: all of different labels, or for each row the first and the last.
+    A tree for each number of groups holds the points of that many and, folded, of twice as many."""
     groups = np.array([len(p) for p in points])
     for g in np.unique(groups).tolist():
         use = np.flatnonzero((groups == g) | (groups == 2 * g))
-        use = use[np.argsort(sizes[use], kind="stable")]
-        folded = np.stack([fold(points[i], max(g // COARSE, 8)) for i in use]).astype(np.int32)
-        tree = CountTree(folded, sizes[use], labels[use])
-        for k, i in enumerate(use.tolist()):
-            if groups[i] == g:  # pairs of two larger ones are found at their own number
-                for j in use[tree.search(folded[k], int(sizes[i]), int(labels[i]), percent)].tolist():
-                    if (groups[j] != g or j < i) and (large is None or min(large[i] & large[j]) == block):
-                        add(i, j)
-    return out
-
-
-def search_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of all blocks; rows (block, node, label, size, point, large) come sorted by block."""
-    held: list[tuple] = []
-    found: set[tuple[bytes, bytes]] = set()
-
-    def settle() -> None:
-        if held:
-            names: dict[bytes, int] = {}
-            labels = np.array([names.setdefault(r[2], len(names)) for r in held])
-            found.update(search_block([r[1] for r in held], labels, np.array([r[3] for r in held], np.int64), [np.frombuffer(r[4], np.uint8) for r in held], percent, held[0][0], [set(r[5] or ()) for r in held] if len(held) > PAGE else None))
-            held.clear()
-
-    def told() -> pa.RecordBatch:
-        pairs = sorted(found)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
+        if every:
+            use = use[np.lexsort((sizes[use], unit[use]))]
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(unit[use]) != 0]))
+        size = np.diff(np.append(edge, len(use)))
+        if size.max() < 2:
+            continue
+        small = max(g // COARSE, 8) if every else g
+        folded = np.stack([fold(points[i], small) for i in use.tolist()])
+        folded = folded.astype(np.uint8 if folded.max() <= 255 else np.uint16)
+        tree = CountTree(folded, sizes[use], labels[use], np.repeat(edge, size), np.repeat(edge + size, size), sides[use], mine[use], percent)
+        asks = np.flatnonzero((groups[use] == g) & (np.repeat(size, size) > 1))
+        for k in range(0, len(asks), 1024):
+            part = asks[k : k + 1024]
+            for i, j in [tree.search(part)] if every else [tree.ends(part), tree.ends(part, True)]:
+                new = (groups[use[j]] != g) | (j < i) if every else i != j  # pairs of two larger ones are found at their own number
+                yield use[i[new]], use[j[new]]
+
+
+def search_units(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of all units; rows (unit, node, label, size, point, side, mine) come sorted by unit and node."""
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, sizes, sides, mine = (rows.column(k).to_numpy() for k in (0, 3, 5, 6))
+        nodes = rows.column(1).combine_chunks()
+        points = [np.frombuffer(p, np.uint8) for p in rows.column(4).to_pylist()]
+        names: dict[bytes, int] = {}
+        labels = np.array([names.setdefault(x, len(names)) for x in rows.column(2).to_pylist()]) if every else np.arange(len(unit))
+        for i, j in search_rows(unit, sizes, points, labels, sides, mine, percent, every):
+            if every:
+                keep = np.array([within(points[a], points[b], int(sizes[a]), int(sizes[b]), percent) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[keep], j[keep]
+            x, y = nodes.take(pa.array(i)), nodes.take(pa.array(j))
+            least = pc.less(x, y)
+            yield pa.RecordBatch.from_arrays([pc.if_else(least, x, y), pc.if_else(least, y, x)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                settle()
-            held.append(row)
-        if len(found) > 100_000:
-            yield told()
-    settle()
-    yield told()
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            rows = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))  # the last unit may go on
+            if cut:
+                yield from told(rows.slice(0, cut))
+                held, n = [b for b in rows.slice(cut).combine_chunks().to_batches()], n - cut
+    if held:
+        yield from told(pa.Table.from_batches(held))
     give_back()
 
 
+def within(p: np.ndarray, q: np.ndarray, a: int, b: int, percent: int = PERCENT) -> bool:
+    """Whether sizes and the summed coordinate minima leave a link possible."""
+    if 100 * min(a, b) < percent * max(a, b):
+        return False
+    groups = min(len(p), len(q))
+    return bool(enough(int(np.minimum(fold(p, groups), fold(q, groups)).sum(dtype=np.int64)), a, b, percent))
+
+
 def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     """Hashes of shingles in many prefixes, ascending; counted over all documents.
 
@@ -294,92 +365,121 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
-    """block, node, low, high: blocks of several sets, those of the same sets once; low and high are the hubs."""
+    """block, node, hot: the sets of each block; of several blocks that hold the same sets one is enough. Those of frequent
+    shingles (hot) are blocks as they are, dealt over SPREAD groups of tasks."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        forget("powers")
         late, seen = frequent.value, set()
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * _SEGMENT / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
-                keys, nodes, times = [], [], []
+                keys, nodes, times, often = [], [], [], []
                 for s in shingle_sets(batch.column(0).slice(at, step), words):
                     node = node_of(s)
                     if node is None or node in seen:  # a task deals each set once
                         continue
                     seen.add(node)
-                    if len(late):
-                        last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        s = np.concatenate([s[~last], s[last]]) if last.any() else s
-                    keys.append(s[: prefix_size(len(s), percent)])
+                    last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
+                    size = prefix_size(len(s), percent)
+                    keys.append(np.concatenate([s[~last], s[last]])[:size])
+                    often.append(np.arange(size) >= len(s) - np.count_nonzero(last))
                     nodes.append(node)
-                    times.append(len(keys[-1]))
+                    times.append(size)
                 if len(seen) > 500_000:
                     seen.clear()
                 column = pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), times)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), column], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), column, pa.array(np.concatenate([np.empty(0, bool), *often]))], names=["key", "node", "hot"])
         seen.clear()
         give_back()
 
-    dealt = docs.select("text").mapInArrow(deal, "key long, node binary")
-    sized = dealt.withColumn("size", size_of("node"))
-    own = Window.partitionBy("key")
+    dealt = docs.select("text").mapInArrow(deal, "key long, node binary, hot boolean")
+    sized = dealt.withColumns({"size": size_of("node"), "spread": F.when(F.col("hot"), F.pmod(F.hash("node"), F.lit(SPREAD))).otherwise(-1)})
+    own = Window.partitionBy("key", "spread")
     next_ = own.orderBy("size")  # a set whose neighbours in size are too small and too large has no partner in the block
     near = F.coalesce(alike(F.lag("size").over(next_), F.col("size"), percent), F.lit(False)) | F.coalesce(alike(F.lead("size").over(next_), F.col("size"), percent), F.lit(False))
-    met = sized.select("key", "node", near.alias("near")).select("node", "near", F.min("node").over(own).alias("low"), F.max("node").over(own).alias("high"), F.bit_xor(F.xxhash64("node")).over(own).alias("x"), F.sum(F.hash("node").cast("long")).over(own).alias("y"))
-    met = met.where("low <> high and near").select(F.xxhash64("x", "y", "low", "high").alias("block"), "node", "low", "high")
-    return staged(met.distinct(), "join-blocks")
+    met = sized.select("key", "node", "hot", "spread", near.alias("near")).withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own), "x": F.bit_xor(F.xxhash64("node")).over(own), "y": F.sum(F.hash("node").cast("long")).over(own)})
+    same = F.xxhash64("x", "y", "low", "high")
+    return staged(met.where("hot or (low <> high and near)").select(F.when(F.col("hot"), F.xxhash64("key")).otherwise(same).alias("block"), "node", "hot").distinct(), "join-blocks")
+
+
+def several_sets(block: DataFrame) -> DataFrame:
+    """block, node, members of the blocks of several sets; members is null but for hot ones."""
+    hot = block.where("hot").groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    counted = block.where("hot").select("block", "node").join(few(hot), "block").select("block", "node", "members")
+    return block.where("not hot").select("block", "node", F.lit(None).cast("long").alias("members")).unionAll(counted)
+
+
+def units(rows: DataFrame, percent: int, tile: int = 0) -> DataFrame:
+    """rows (block, node, members, ...) with unit, side and mine: a unit is a block, or two bands of sizes and two tiles of
+    sets of one that has more than TILE sets."""
+    tile = tile or TILE
+    large = F.coalesce(F.col("members") > tile, F.lit(False))
+    tiles = F.when(large, F.ceil(F.col("members") / tile)).otherwise(1).cast("int")
+    band = F.when(large, F.floor(F.log(size_of("node").cast("double")) / math.log(100.0001 / percent))).otherwise(0).cast("int")
+    placed = rows.withColumns({"band": band, "tiles": tiles}).withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+    placed = placed.withColumn("down", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    name = F.xxhash64("block", F.col("band") - F.col("down"), F.least("own", "other"), F.greatest("own", "other"))
+    return placed.withColumns({"unit": name, "side": F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")), "mine": F.col("down") == 0}).drop("band", "tiles", "own", "down", "other")
+
+
+def searched(rows: DataFrame, texts: DataFrame, percent: int, point: str, every: bool) -> DataFrame:
+    """a, b: the pairs that the trees of these rows (block, node, members, label) leave."""
+    described = units(rows.join(texts.select("node", "size", F.col(point).alias("point")), "node"), percent)
+    dealt = described.select("unit", "node", "label", "size", "point", "side", "mine").repartition("unit").sortWithinPartitions("unit", "node")
+    return dealt.mapInArrow(lambda batches: search_units(batches, percent, every), "a binary, b binary").distinct()
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, size, point, rough, packed (compressed text) of the nodes in `nodes` (node, doc_id); rows that repeat an id
-    and a text repeat here and only make the same link again."""
-    chosen = nodes.select(F.col("doc_id").alias("id"), "node")
-    rows = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen, F.col("doc_id") == F.col("id")).select("text", "node")
+    """node, size, point, rough, packed (compressed text) of the nodes in `nodes` (node, doc_id, h): h is the text_key of a
+    row's text, so that the row is found whether or not its id is null or repeated."""
+    chosen = few(nodes.select(F.col("doc_id").alias("id"), F.col("h").alias("key"), "node"), BROADCAST_NODES)
+    rows = docs.withColumn("h", text_key(F.col("text"))).join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key"))).select("text", "node")
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1)
         out = [[], [], [], [], []]
         for text, node, s in zip(batch.column(0), batch.column(1).to_pylist(), shingle_sets(batch.column(0), words), strict=True):
-            if node == node_of(s):  # another row of the same id may hold another text
-                for column, value in zip(out, (node, len(s), (p := point(s)).tobytes(), rough(p).tobytes(), pack.compress(text.as_buffer())), strict=True):
-                    column.append(value)
+            for column, value in zip(out, (node, len(s), (p := point(s)).tobytes(), rough(p).tobytes(), pack.compress(text.as_buffer())), strict=True):
+                column.append(value)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "size", "point", "rough", "packed"])
 
-    return map_arrow(rows, describe, "node binary, size long, point binary, rough binary, packed binary", _SEGMENT)
+    found = map_arrow(rows, describe, "node binary, size long, point binary, rough binary, packed binary", _SEGMENT, "powers")
+    return found.dropDuplicates(["node"])  # rows that repeat an id and a text
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, bound: bool = True) -> DataFrame:
-    """a, b of the pairs that are links: first by the points' bound (unless it is known to hold), then by the sets."""
+_LETTERS = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return texts.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    def bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b, m, p, n, q = (c.to_pylist() for c in batch.columns)
-        keep = [within(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), i, j, percent) for x, y, i, j in zip(p, q, m, n, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+def overlap(a: bytes, b: bytes, words: int = WORDS) -> tuple[int, int, int]:
+    """(size of the intersection, size of a's set, size of b's set) of the shingles of two texts, by their words."""
+    left, right = (t.translate(_LETTERS).split() for t in (a, b))
+    if min(len(left), len(right)) < words:  # all words of a text are its only shingle
+        own = [len(set(zip(*[w[k:] for k in range(words)], strict=False))) if len(w) >= words else min(len(w), 1) for w in (left, right)]
+        return int(bool(left) and left == right), *own
+    code: dict[bytes, int] = {}
+    ids = np.fromiter((code.setdefault(w, len(code)) for w in chain(left, right)), np.int64, len(left) + len(right))
+    shingle = ids
+    for k in range(1, words):  # numbers of the distinct runs of k + 1 words
+        shingle = np.unique(shingle[:-1] * len(code) + ids[k:], return_inverse=True)[1]
+    x, y = np.unique(shingle[: len(left) - words + 1]), np.unique(shingle[len(left) :])
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
 
-    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        open_ = zstandard.ZstdDecompressor()
-        known: dict[bytes, np.ndarray] = {}
 
-        def sets(nodes: list[bytes], packed: list[bytes]) -> list[np.ndarray]:
-            new = {k: v for k, v in zip(nodes, packed, strict=True) if k not in known}
-            known.update(zip(new, shingle_sets(pa.array([open_.decompress(v) for v in new.values()], pa.binary()).cast(pa.string()), words), strict=True))
-            return [known[k] for k in nodes]
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b of the pairs that are links by their words."""
+
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), F.col("packed").alias(f"packed_{name}"))
 
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        overlaps = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(sets(a, x), sets(b, y), strict=True)]
-        sizes = [(len(known[i]), len(known[j])) for i, j in zip(a, b, strict=True)]
-        keep = [bool(enough(o, i, j, percent)) for o, (i, j) in zip(overlaps, sizes, strict=True)]
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        open_ = zstandard.ZstdDecompressor()
+        keep = [bool(enough(*overlap(open_.decompress(x), open_.decompress(y), words), percent)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    near = pairs.join(side("a", "size", "rough"), "a").join(side("b", "size", "rough"), "b").select("a", "b", "size_a", "rough_a", "size_b", "rough_b")
-    near = map_arrow(near, bounded, "a binary, b binary") if bound else pairs
-    full = near.join(side("a", "packed"), "a").join(side("b", "packed"), "b").select("a", "b", "packed_a", "packed_b")
-    return map_arrow(full, linked, "a binary, b binary", _SEGMENT).distinct()
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b")
+    return map_arrow(full, linked, "a binary, b binary", _SEGMENT)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -396,52 +496,66 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.selectExpr("greatest(a, b) u", "least(a, b) v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.selectExpr("u a", "m b")).where("a <> b").distinct()
-        now = staged(small, "join-edges")
+        old, now = now, staged(small, "join-edges")
+        discard(old)
         check = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if check == before:
             break
         before = check
     stars = now.selectExpr("a node", "b label")
-    return staged(stars.unionAll(stars.selectExpr("label node", "label")).distinct(), "join-labels")
+    out = staged(stars.unionAll(stars.selectExpr("label node", "label")).distinct(), "join-labels")
+    discard(now)
+    return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc_id, h (text_key), n_shingles, label of each row; label is null for empty sets, else names the component."""
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), words)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())], names=["doc_id", "h", "n_shingles", "node"])
 
-    nodes = staged(map_arrow(rows, measure, "doc_id long, n_shingles long, node binary", _SEGMENT), "join-nodes")
+    nodes = staged(map_arrow(rows.withColumn("h", text_key(F.col("text"))), measure, "doc_id long, h binary, n_shingles long, node binary", _SEGMENT, "powers"), "join-nodes")
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words, percent))
-    block = blocks(rows, words, percent, frequent)
+    dealt = blocks(rows, words, percent, frequent)
+    block = staged(several_sets(dealt), "join-several")
+    discard(dealt)
 
-    involved = block.select("node").unionAll(block.select("low")).unionAll(block.select("high")).distinct().join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    involved = staged(involved, "join-involved")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
+    involved = staged(nodes.join(block.select("node").distinct(), "node").groupBy("node").agg(first.alias("row")).select("node", "row.doc_id", "row.h"), "join-involved")
     texts = staged(node_texts(rows, involved, words), "join-texts")
-    hub = lambda h: block.where(F.col("node") != F.col(h)).select(F.least("node", h).alias("a"), F.greatest("node", h).alias("b"))
-    hubs = hub("low").unionAll(hub("high")).distinct().where(alike(size_of("a"), size_of("b"), percent))
-    first = staged(verified(hubs, texts, words, percent), "join-links")
-    labels = components(first)
-
-    named = block.select("block", "node").join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
-    own = Window.partitionBy("block")
-    next_ = own.orderBy("size")
-    near = F.coalesce(alike(F.lag("size").over(next_), F.col("size"), percent), F.lit(False)) | F.coalesce(alike(F.lead("size").over(next_), F.col("size"), percent), F.lit(False))
-    named = named.withColumn("size", size_of("node")).withColumn("near", near)
-    several = named.withColumns({"several": F.min("label").over(own) != F.max("label").over(own), "members": F.count(F.lit(1)).over(own)})
-    open_ = staged(several.where("several and near").drop("several", "near", "size"), "join-open")
-    large = open_.where(F.col("members") > PAGE).groupBy("node").agg(F.collect_list("block").alias("large"))  # of one set's prefix
-    described = open_.join(texts.select("node", "size", "point"), "node").join(large, "node", "left")
-    dealt = described.select("block", "node", "label", "size", "point", "large").repartition("block").sortWithinPartitions("block", "node")
-    pairs = dealt.mapInArrow(lambda batches: search_blocks(batches, percent), "a binary, b binary").distinct()
-    second = staged(verified(pairs, texts, words, percent, False), "join-links")
-    if not second.isEmpty():
-        labels = components(first.unionAll(second))
-    discard(block, involved, texts, first, second, open_)  # from here on nodes and labels are read
-
-    reached = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    pairs = searched(block.withColumn("label", F.lit(None).cast("binary")), texts, percent, "rough", False)
+    links = staged(verified(pairs, texts, words, percent), "join-links")
+    labels = components(links)
+
+    named = block.join(labels, "node", "left").select("block", "node", "members", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
+    open_ = staged(named.join(mixed, "block", "left_semi"), "join-open")
+    more = staged(verified(searched(open_, texts, percent, "point", True), texts, words, percent), "join-links")
+    if not more.isEmpty():
+        old, labels = labels, components(links.unionAll(more))
+        discard(old)
+    discard(block, involved, texts, links, more, open_)  # from here on nodes and labels are read
+    return nodes.join(labels, "node", "left").select("doc_id", "h", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row."""
+    reached = joined(docs, id_col, text_col, words, percent)
     least = reached.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return reached.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that of the smallest id, or of the smallest text_key
+    where rows share it or none has one. Rows are dropped by id and text together; texts without words all stay."""
+    reached = staged(joined(docs, id_col, text_col, words, percent).where(F.col("label").isNotNull()).select("doc_id", "h", "label"), "near-labels")
+    row = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+    several = reached.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first")).where("n > 1").select("label", "first")
+    named = staged(reached.join(several, "label").select("doc_id", "h", (row == F.col("first")).alias("stays")), "near-rows")
+    discard(reached)
+    gone = named.where("not stays").select("doc_id", "h")
+    repeated = named.where("stays").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    return without(docs, gone, repeated, id_col, text_col=text_col)

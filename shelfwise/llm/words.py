@@ -1,17 +1,18 @@
 """Token ids of whole texts by a word-level tokenizer of the tokenizers library, with a bounded memory of words.
 
 The tokenizer drops white space and never joins characters across it, so a text's ids are those of its runs between
-spaces and line ends, one after another. Runs are encoded in batches, each distinct one once while it is remembered.
+spaces and line ends, one after another. The strings of special tokens in a text are ordinary text. Runs are encoded in
+batches, each distinct one once while it is remembered.
 """
 
 from __future__ import annotations
 
 import os
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 
-from .common import REMEMBERED as REMEMBERED_BY_WORKERS
+from .common import remembered
 
 #: Runs that a Python worker remembers unless told otherwise (about 180 bytes each); beyond, it starts afresh. More of
 #: them save time. Longer runs than LONGEST are never kept.
@@ -23,9 +24,9 @@ LATIN = "\u0250"
 
 
 class WordIds:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.remembered = path, remembered
+        self.path, self.most = path, most
         self.plain = self.load()
         self.plain.normalizer = None
         self.zero = self.plain.encode("0", add_special_tokens=False).ids[0]
@@ -46,7 +47,7 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         runs = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.remembered:
+        if len(self.known) > self.most:
             self.known.clear()
         known = self.known
         new: set[str] = set()
@@ -80,12 +81,7 @@ class WordIds:
             self.known.update(zip(runs[i : i + TOGETHER], [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
 
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str, remembered: int) -> WordIds:
-    return WordIds(path, remembered)
-
-
-def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+@remembered("words")
+def word_ids(path: str, most: int = REMEMBERED) -> WordIds:
     """One for each Python worker, until it runs tasks of another kind."""
-    REMEMBERED_BY_WORKERS["words"] = _word_ids.cache_clear
-    return _word_ids(path, remembered)
+    return WordIds(path, most)

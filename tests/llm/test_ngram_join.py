@@ -85,17 +85,86 @@ def test_frequent_list_changes_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in nj.ngram_join(df).collect()) == brute(rows)
 
 
-def test_tree_search_is_the_bound():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(20, 400, 150)]
-    for i in range(100, 150):
-        sets[i] = np.unique(np.concatenate([sets[i - 100][: int(len(sets[i - 100]) * 0.95)], sets[i][:5]]))
-    points, sizes = [nj.point(s) for s in sets], np.array([len(s) for s in sets])
-    names = [nj.node_of(s) for s in sets]
-    labels = np.arange(len(sets)) % 140
-    want = {(min(names[i], names[j]), max(names[i], names[j])) for i in range(150) for j in range(i) if labels[i] != labels[j] and nj.within(points[i], points[j], int(sizes[i]), int(sizes[j])) and True}
-    got = nj.search_block(names, labels, sizes, points, 80)
-    assert got == want and len(got) >= 30
+def sets_and_copies(seed, n=150):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(20, 400, n)]
+    for i in range(2 * n // 3, n):
+        sets[i] = np.unique(np.concatenate([sets[i - 2 * n // 3][: int(len(sets[i - 2 * n // 3]) * 0.95)], sets[i][:5]]))
+    return sets
+
+
+@pytest.mark.parametrize("per_unit", [2, 3, 31, 33, 150, 1500])
+def test_tree_search_is_the_bound(per_unit):
+    """Units of all sizes: the trees find what a look at all pairs finds."""
+    sets = sets_and_copies(1, max(150, per_unit))
+    n = len(sets)
+    order = np.random.default_rng(2).permutation(n)
+    unit = np.empty(n, np.int64)
+    unit[order] = np.arange(n) // per_unit
+    sort = np.lexsort((np.arange(n), unit))
+    sets, unit = [sets[i] for i in sort], unit[sort]
+    points, sizes, labels = [nj.point(s) for s in sets], np.array([len(s) for s in sets]), np.arange(n) % (n - 10)
+    want = {(i, j) for i in range(n) for j in range(i) if unit[i] == unit[j] and labels[i] != labels[j] and nj.within(points[i], points[j], int(sizes[i]), int(sizes[j]))}
+    sides, mine = np.full(n, -1), np.ones(n, bool)
+    got = [(max(a, b), min(a, b)) for i, j in nj.search_rows(unit, sizes, points, labels, sides, mine, 80, True) for a, b in zip(i.tolist(), j.tolist())]
+    assert len(set(got)) == len(got) and want <= set(got) and (per_unit < 150 or len(want) >= 30)
+    coarse = [nj.rough(p) for p in points]
+    ends = [(a, b) for i, j in nj.search_rows(unit, sizes, coarse, np.arange(n), sides, mine, 80, False) for a, b in zip(i.tolist(), j.tolist())]
+    partners = {}
+    for i in range(n):
+        near = [j for j in range(n) if i != j and unit[i] == unit[j] and len(coarse[j]) in (len(coarse[i]), 2 * len(coarse[i])) and nj.within(coarse[i], coarse[j], int(sizes[i]), int(sizes[j]))]
+        if near:
+            partners[i] = {near[0], near[-1]}
+    assert {(i, j) for i, js in partners.items() for j in js} == set(ends)
+
+
+def test_units_meet_all_pairs_once(spark):
+    """A block of more than TILE sets, in bands and tiles: each pair of near sizes meets in one unit, once."""
+    rng = random.Random(5)
+    nodes = [(7, rng.randbytes(9) + rng.randint(40, 90).to_bytes(3), 300) for _ in range(300)]
+    rows = nj.units(spark.createDataFrame(nodes, "block long, node binary, members long"), 80, 100).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.unit, []).append(r)
+    assert len(by) > 6 and max(map(len, by.values())) < 300
+    met = [tuple(sorted((bytes(a.node), bytes(b.node)))) for own in by.values() for k, a in enumerate(own) for b in own[:k] if (a.mine or b.mine) and (a.side < 0 or a.side != b.side)]
+    size = lambda x: int.from_bytes(x[9:])
+    near = {tuple(sorted((a[1], b[1]))) for k, a in enumerate(nodes) for b in nodes[:k] if 100 * min(size(a[1]), size(b[1])) >= 80 * max(size(a[1]), size(b[1]))}
+    assert len(set(met)) == len(met) and near <= set(met)
+
+
+@pytest.mark.parametrize("tile", [4, 4096])
+def test_a_hot_block_is_dealt_in_units(spark, monkeypatch, tile):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):  # a family whose members are 70 to 100 % alike, and copies
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(nj, "TILE", tile)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in nj.ngram_join(df).collect()) == brute(rows)
+
+
+def test_words_of_equal_polynomials_stay_apart(spark):
+    """Thue-Morse words collide under any polynomial modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"one two {word} three four five"), (4, f"one two {other} three four five"), (5, "a" * 70_000), (6, "A" * 70_000), (7, "b" + "a" * 69_999)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in nj.ngram_join(df).collect()) == brute(rows)
+
+
+def test_overlap_is_of_the_words():
+    texts = ["", "a b", "A B", "a b c", "a b c d e", "a b c d e f a b c d e", "x a b c d e f", "\t".join("abcdefgh") + "\x1c"]
+    for a in texts:
+        for b in texts:
+            x, y = shingles(a), shingles(b)
+            assert nj.overlap(a.encode(), b.encode()) == (len(x & y), len(x), len(y)), (a, b)
 
 
 def test_shingles_of_arrow_slices():
@@ -111,3 +180,27 @@ def test_null_ids_and_an_empty_table(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in nj.ngram_join(df).collect())
     assert got == [(-1, 0, -1), (-1, 2, 4), (4, 2, 4), (4, 2, 4)]
     assert nj.ngram_join(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(200)]
+    changed = lambda k: " ".join(w if i != k else "zz" for i, w in enumerate(words))
+    both = " ".join(w if i not in (20, 180) else "zz" for i, w in enumerate(words))
+    far = [" ".join(w if i not in at else "zz" for i, w in enumerate(words)) for at in ((5, 20, 60, 100, 140, 180), (20, 180))]
+    rows = [(1, " ".join(words)), (None, changed(50)), (9, both), (None, far[0]), (7, "other words are here for this one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in nj.ngram_join(df).collect()}
+    assert got[(1, 196)] == got[(None, 196)] == 1 and got[(9, 196)] == 1 and got[(7, 3)] == 7
+    kept = sorted(r.text for r in nj.drop_near(df).collect())
+    assert kept == sorted([rows[0][1], rows[4][1]]) if brute([(i, t) for i, (_, t) in enumerate(rows)])[3][2] == 0 else len(kept) >= 2
+
+
+def test_drop_near_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:50], "changed", *words[51:]])
+    rows = [(1, " ".join(words), "a"), (2, near, "b"), (2, "a wholly different text under the same id", "c"), (3, "", "d"), (4, None, "e"), (3, "", "d"), (5, "twice the same row is here once", "f"), (5, "twice the same row is here once", "f"), (None, near, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h string").repartition(3)
+    got = nj.drop_near(df)
+    assert got.columns == df.columns
+    assert sorted(r["__h"] for r in got.collect()) == ["a", "c", "d", "d", "e", "f"]
+    assert nj.drop_near(df.limit(0)).count() == 0

@@ -1,6 +1,6 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
-A turn's content is a list of parts: text, image, audio or document. A visitor walks each list in order and flattens it
+A turn's content is a list of parts: text, image, audio or document; parts of any other kind stand as `file`. A visitor walks each list in order and flattens it
 to text: text parts are escaped, other parts become numbered placeholders, and each placeholder is recorded with its
 reference and the tokens that it stands for. Turns are laid out as
 
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Kinds of parts that placeholders name; no other word of a part's type gets into the text.
+KINDS = ("image", "audio", "document")
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens of an image patch of PATCH x PATCH pixels, of a second of audio, of a page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
@@ -51,12 +53,13 @@ def part_tokens(p: Column) -> Column:
 
 def visit(parts: Column) -> tuple[Column, Column]:
     """(flattened text, attachments): attachments are (slot, type, uri, tokens) in order; a null part is skipped."""
+    kind = lambda p: F.when(p["type"].isin(*KINDS), p["type"]).otherwise("file")
     there = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     media = F.filter(there, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
     before = lambda i: F.size(F.filter(F.slice(there, F.lit(1), i), lambda p: F.coalesce(p["type"], F.lit("text")) != "text"))
     flat = F.transform(
         there,
-        lambda p, i: F.when(F.coalesce(p["type"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), p["type"], F.lit(":"), before(i).cast("string"), F.lit("|>"))),
+        lambda p, i: F.when(F.coalesce(p["type"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), before(i).cast("string"), F.lit("|>"))),
     )
     refs = F.transform(media, lambda p, i: F.struct(i.cast("int").alias("slot"), p["type"].alias("type"), p["uri"].alias("uri"), part_tokens(p).alias("tokens")))
     return F.array_join(flat, ""), refs

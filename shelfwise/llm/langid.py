@@ -1,11 +1,12 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes a text smallest.
 
 A dictionary is excerpts of labelled texts, lower-cased, letters only, repeats of a word once: at most EXCERPTS of them
-for a language, EXCERPT bytes from the middle of each, chosen by a hash of the text; copies of a text count once. That
-bound is all that learning reads into memory; every labelled row takes part in the choice. A text is normalised the same
-way and compressed in blocks of BLOCK bytes with each dictionary; the sizes of all its blocks are summed, so whole texts
-count and memory is bounded. The margin is the runner-up's size over the winner's. Texts of REJECT_BYTES or more whose
-margin is under REJECT are rejected: they are about as close to two languages. Shorter ones keep their best guess.
+for a language, EXCERPT bytes from the middle of each, of the texts of least hash; copies of a text count once. That bound
+is all that learning reads into memory; every labelled row takes part in the choice. A text is normalised the same way
+and compressed in blocks of BLOCK bytes with each dictionary; the sizes of all its blocks are summed, so whole texts count
+and memory is bounded. The margin is the bytes that the winner saves against the runner-up. By chance it is of the order
+of the square root of a text's length, so a text is rejected where its margin is under DOUBT times that root, or under the
+share REJECT of the runner-up's size: it is about as close to two languages. One rule for texts of all lengths.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are not rejected; where nothing was
 learned all are `und`; ties go to the language first in alphabetical order; equal texts give equal values; an empty
@@ -14,20 +15,18 @@ table gives an empty result. The label, the id and other columns are no inputs o
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
 
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, remembered
 
 EXCERPTS, EXCERPT, BLOCK, LEVEL = 400, 256, 1024, 5
-#: Groups of tasks whose choices meet before they meet for the language.
-SPREAD = 64
-REJECT, REJECT_BYTES = 0.04, 200
+REJECT, DOUBT = 0.04, 0.3
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"\P{L}+")
 
@@ -40,20 +39,27 @@ def normalise(text: str) -> bytes:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", excerpts: int = EXCERPTS) -> dict[str, bytes]:
     """The dictionary of each language; rows with a null text or label are left out."""
     rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).where("text is not null and lang is not null")
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h")).withColumn("zeros", 64 - F.length(F.bin("h")))  # leading bits of the hash
+    found = hashed.select("lang", "zeros", "h").distinct().groupBy("lang", "zeros").count().collect()  # 65 x languages at most
+    least = {}
+    for lang in sorted({r["lang"] for r in found}):  # so many leading zeros that hold the excerpts, and about twice as many at most
+        counts = {r["zeros"]: r["count"] for r in found if r["lang"] == lang}
+        least[lang] = max((z for z in counts if sum(n for k, n in counts.items() if k >= z) >= excerpts), default=0)
+    if not least:
+        return {}
+    enough = labelled.sparkSession.createDataFrame(list(least.items()), "lang string, least int")
     length = F.length("text")
     middle = F.substr("text", F.greatest(F.lit(1), (length / 2).cast("int") - EXCERPT), F.lit(2 * EXCERPT))
-    chosen = rows.select("lang", F.xxhash64("text").alias("h"), middle.alias("part"))
-    chosen = chosen.groupBy("lang", "h").agg(F.min("part").alias("part"))  # copies of a text take one slot; combined before the exchange
-    chosen = chosen.withColumn("spread", F.spark_partition_id() % SPREAD)
-    for keys in (["lang", "spread"], ["lang"]):  # the first of the first: no task reads what all tasks have chosen
-        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "part"))).where(F.col("n") <= excerpts).drop("n")
+    chosen = hashed.join(F.broadcast(enough), "lang").where("zeros >= least").groupBy("lang", "h").agg(F.min(middle).alias("part"))  # copies of a text take one slot
     out: dict[str, list[bytes]] = {}
-    for r in chosen.select("lang", "part").orderBy("lang", "h", "part").collect():  # excerpts x languages at most
-        out.setdefault(r["lang"], []).append(normalise(r["part"])[:EXCERPT])
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"] & (1 << 64) - 1)):
+        own = out.setdefault(r["lang"], [])
+        if len(own) < excerpts:
+            own.append(normalise(r["part"])[:EXCERPT])
     return {k: b"\n".join(v) for k, v in sorted(out.items()) if any(v)}
 
 
-@lru_cache(maxsize=4)
+@remembered("languages")
 def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
     for lang, data in dictionaries:
@@ -70,8 +76,8 @@ def classify(text: str, by: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple
         return UNKNOWN, 0.0, False
     sizes = sorted((sum(len(c.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)), lang) for lang, c in by)
     second = sizes[1][0] if len(sizes) > 1 else 2 * sizes[0][0]
-    margin = (second - sizes[0][0]) / second
-    return sizes[0][1], min(1.0, margin / (2 * REJECT)), margin < REJECT and len(data) >= REJECT_BYTES
+    margin, needed = second - sizes[0][0], max(DOUBT * math.sqrt(len(data)), REJECT * second)
+    return sizes[0][1], min(1.0, margin / (2 * needed)), margin < needed
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
@@ -88,7 +94,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, rejected boolean"
-    return map_arrow(rows, predict, schema)
+    return map_arrow(rows, predict, schema, uses="languages")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import staged, without
+from shelfwise.llm.common import staged
 from shelfwise.llm.exact_dedup import drop_exact
 from shelfwise.llm.langid import UNKNOWN, language_id
-from shelfwise.llm.ngram_join import ngram_join
+from shelfwise.llm.ngram_join import drop_near
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.queries import WORD_TOKENIZER, tokenizer_path
 from shelfwise.llm.suffix_dedup import suffix_dedup
@@ -35,7 +35,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id."""
-    return without(docs, ngram_join(docs).where("doc_id <> component_id").select("doc_id"))
+    return drop_near(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts in a document with a smaller id.
 
-0. Copies. Of documents with the same text (by SHA-256) only the least id goes on; the others lose all their bytes.
+0. Copies. Of documents with the same text (by SHA-256) only the least id goes on; the others lose all their bytes. What
+   goes on is written once as bundles: about BUNDLE bytes of texts, compressed together. A bundle speaks for all its
+   documents in what follows, so a passage that a third of them share costs a row for each bundle, not for each document.
 1. Anchors. In each window of `length` bytes the `gram` bytes of least hash are its anchor. Equal windows have equal
-   anchors at equal places, so two documents that share a window share an anchor. One row (hash, id) for each anchor of
-   a document is shuffled by hash; anchors of a single document end here.
-2. Contexts. The shared anchors go back to their documents, which send the bytes around each of them: the windows that
-   have it as their anchor, which are neighbours. What a document repeats it sends once; its twins follow in step 4.
-3. Suffix sort. Contexts meet by anchor, sorted. Rows whose whole context an earlier document has are covered at once.
-   For the distinct contexts that remain, the suffixes that start in them are sorted by deep-shallow sorting to
-   `length` bytes: multikey quicksort on 8-byte symbols to a shallow depth, then blind tries for groups that still
-   share a prefix. A window is removed from every document but the one of least id in its class of equal suffixes.
-4. Spans return to their documents and are merged.
-
-Hashes of anchors only propose: windows are compared byte by byte. No group is held whole but the distinct contexts of one anchor.
+   anchors at equal places, so two documents that share a window share an anchor. A bundle sends the hashes of its anchors,
+   once each, dealt into buckets; a bucket answers which of them another bundle has too, and which are hot (in more than
+   HOT bundles).
+2. Contexts. Of each anchor that two documents share a bundle sends the bytes of the windows that have it as their anchor,
+   which are neighbours; contexts that repeat inside a bundle go once. Of a hot anchor every window goes by itself,
+   dealt by a hash of its bytes, so that what surrounds a common phrase is spread over all tasks.
+3. Suffix sort. Contexts meet by anchor. Equal ones are one from here on. Where an anchor has several, the suffixes that
+   start in them are sorted to `length` bytes by deep-shallow sorting: multikey quicksort on 8-byte symbols to a shallow
+   depth, then blind tries for groups that still share a prefix. Each class of equal windows knows its least document.
+4. Bundles get runs of windows with the least document of each, and cut them from every document with a greater id.
+
+Hashes of anchors only propose: windows are compared byte by byte.
 
 Defined results: a null text counts as empty (0 bytes, nothing removed); texts shorter than `length` lose nothing; rows
 that repeat an id are one document to each other (neither is smaller) and are judged each on its own text; rows without
@@ -23,26 +26,29 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, map_arrow, staged
+from .common import few, forget, give_back, map_arrow, staged
 
 LENGTH, GRAM = 50, 16
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
 SHALLOW, TOGETHER = 16, 15_000
-#: Copies up to this number are sent to all tasks (12 bytes each); beyond, a join by id takes their place.
-BROADCAST_COPIES = 1_000_000
+#: Bytes of texts in a bundle (a longer text is one by itself); bundles that make an anchor hot; buckets for each partition.
+BUNDLE, HOT, BUCKETS = 1 << 19, 1000, 4
+#: Answers to bundles are sent to all tasks while they have this many bytes at most; beyond, a join by bundle.
+BROADCAST_BYTES = 32 << 20
 
 U = np.uint64
-CONTEXT = "key long, doc_id long, tag int, pos int, lead int, ctx binary, twins boolean"
-SPAN = "doc_id long, tag int, pos int, start int, stop int"
+KEY_BYTES = 6
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,47 +68,38 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the `gram` bytes from each place."""
+    """A 64-bit hash of the `gram` bytes from each place, never 0."""
     h, c = BYTE_HASH[data], 1
     while c * 2 <= gram:
         h, c = _mix(h[:-c] * U(0xBF58476D1CE4E5B9) + h[c:]), c * 2
-    return _mix(h[: len(h) - (gram - c)] * U(0x94D049BB133111EB) + h[gram - c :]) if c < gram else h
+    return np.maximum(_mix(h[: len(h) - (gram - c)] * U(0x94D049BB133111EB) + h[gram - c :]) if c < gram else h, U(1))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, least): the anchors of all windows, and the least hash in the window from each place.
-
-    Every place that ties for the least hash counts.
-    """
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, least) of texts that lie one after another: the anchors of all their windows, and the least hash
+    in the window from each place, 0 where no window of one text begins. Every place that ties for the least hash counts."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
     width = length - gram + 1
     h = gram_hashes(data, gram)
     least = _sliding(h, width, np.minimum)
+    ends = np.cumsum(sizes)
+    cross = (ends[:, None] - np.arange(1, length)).ravel()  # windows from here reach over a text's end
+    least[cross[(cross >= 0) & (cross < len(least))]] = 0
     pad = np.zeros(width - 1, U)
     at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return at, h[at].view(np.int64), least
+    return at, h[at], least
 
 
 def own_windows(at: np.ndarray, h: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) start of the windows that have each of these anchors; they are neighbours."""
-    start = at[:, None] + np.arange(1 - width, 1)
-    own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h.view(U)[:, None])
-    return at + 1 - width + own.argmax(axis=1), at - own[:, ::-1].argmax(axis=1)
-
-
-def distinct_contexts(data: bytes, length: int, gram: int, wanted: list[int] | None = None) -> dict[tuple[int, int, bytes], list[int]]:
-    """(anchor's hash, bytes before the anchor, bytes of its windows): the anchor's places, all or by 31 bits of the hash."""
-    at, h, least = anchors(np.frombuffer(data, np.uint8), length, gram)
-    if wanted is not None:
-        at, h = (x[np.isin(h & 0x7FFFFFFF, np.asarray(wanted, np.int64))] for x in (at, h))
-    if not len(at):
-        return {}
-    begin, last = own_windows(at, h, least, length - gram + 1)
-    out: dict[tuple[int, int, bytes], list[int]] = {}
-    for key, lead, b, e, p in zip(h.tolist(), (at - begin).tolist(), begin.tolist(), (last + length).tolist(), at.tolist(), strict=True):
-        out.setdefault((key, lead, data[b:e]), []).append(p)
-    return out
+    first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for k in range(0, len(at), 20_000):
+        a = at[k : k + 20_000]
+        start = a[:, None] + np.arange(1 - width, 1)
+        own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h[k : k + 20_000, None])
+        first[k : k + 20_000], last[k : k + 20_000] = a + 1 - width + own.argmax(axis=1), a - own[:, ::-1].argmax(axis=1)
+    return first, last
 
 
 class BlindTrie:
@@ -143,235 +140,432 @@ class BlindTrie:
                 yield node
 
 
+def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): suffixes sorted by group and their first `depth` bytes; edges are the first places of those alike.
+
+    symbols: the 8 bytes from each place as one number. Segments of suffixes that agree so far are split in three around a
+    pivot (the median of three) of their next symbol: less and greater stay at this symbol, equal go on to the next. All
+    segments are split in step; one of a single suffix, or `depth` bytes deep, is in place.
+    """
+    order = np.argsort(group, kind="stable")
+    edges = [np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))] if len(order) else []
+    edge = edges[0] if edges else np.empty(0, np.int64)
+    size, at = np.diff(np.append(edge, len(order))), np.zeros(len(edge), np.int64)  # bytes that a segment agrees in
+    open_ = size > 1
+    edge, size, at = edge[open_], size[open_], at[open_]
+    while len(edge):
+        seg = np.repeat(np.arange(len(edge)), size)
+        begin = np.cumsum(size) - size
+        place = np.arange(len(seg)) - begin[seg] + edge[seg]
+        own = order[place]
+        word = symbols[starts[own] + at[seg]]
+        short = depth - at
+        word = np.where(short[seg] < 8, word >> (U(8) * (8 - np.minimum(short, 8)).astype(U))[seg], word)
+        three = np.stack([word[begin], word[begin + size // 2], word[begin + size - 1]])
+        pivot = np.sort(three, axis=0)[1][seg]
+        side = (word > pivot).astype(np.int64) + (word >= pivot)  # 0 less, 1 equal, 2 greater
+        counts = np.stack([np.add.reduceat((side == k).astype(np.int64), begin) for k in range(3)])
+        first = edge + np.concatenate([np.zeros((1, len(edge)), np.int64), np.cumsum(counts, axis=0)[:2]])
+        target = np.empty(len(seg), np.int64)
+        for k in range(3):
+            here = side == k
+            run = np.cumsum(here) - here
+            target[here] = (first[k][seg] + run - run[begin][seg])[here]
+        order[target] = own
+        deeper = np.stack([at, at + 8, at])
+        there = counts > 0
+        edges.append(first[there])
+        edge, size, at = first[there], counts[there], deeper[there]
+        open_ = (size > 1) & (at < depth)
+        edge, size, at = edge[open_], size[open_], at[open_]
+    return order, np.unique(np.concatenate(edges)) if edges else edge
+
+
 def sort_suffixes(data: bytes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): order sorts the suffixes by (group, `length` bytes); rank is equal for equal ones.
 
-    Deep-shallow sorting. Shallow: all groups are split together by the next 8 bytes until `shallow` bytes are read;
-    a suffix alone in its group is in place. Deep: a group of several goes through a blind trie, unless all are equal.
+    Deep-shallow sorting: multikey quicksort to `shallow` bytes; a group that still agrees goes through a blind trie,
+    unless all its suffixes are equal.
     """
     raw = np.frombuffer(data + b"\0" * 8, np.uint8)
-    rank = roomy(group)  # of equals the first place they take; so a group can be split without moving the others
-    live = np.arange(len(starts))
-    for depth in range(0, min(shallow, length), 8):
-        word = np.zeros(len(live), U)
-        for i in range(depth, min(depth + 8, length)):
-            word = (word << U(8)) | raw[starts[live] + i]
-        by = np.lexsort((word, rank[live]))
-        live, word = live[by], word[by]
-        old = rank[live]
-        first = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
-        edge = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (word[1:] != word[:-1])]))
-        if not len(live):
-            break
-        size = np.diff(np.append(edge, len(live)))
-        rank[live] = old + np.repeat(edge, size) - np.repeat(first, np.diff(np.append(first, len(live))))
-        live = live[np.repeat(size, size) > 1]
-    if len(live) and shallow < length:
-        old = rank[live]
-        edge = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
-        size = np.diff(np.append(edge, len(live)))
-        rest = np.lib.stride_tricks.sliding_window_view(raw, length - shallow)
-        equal = np.ones(len(live), bool)
-        lead = np.repeat(live[edge], size)
-        for at in range(0, len(live), 50_000):
-            part = slice(at, at + 50_000)
-            equal[part] = (rest[starts[live[part]] + shallow] == rest[starts[lead[part]] + shallow]).all(axis=1)
-        mixed = np.flatnonzero(~np.logical_and.reduceat(equal, edge))
+    symbols = np.zeros(len(raw) - 7, U)
+    for i in range(8):
+        symbols = (symbols << U(8)) | raw[i : len(raw) - 7 + i]
+    shallow = min(shallow, length)
+    order, edge = multikey_quicksort(symbols, starts, group, shallow)
+    size = np.diff(np.append(edge, len(order)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.repeat(edge, size)
+    if len(order) and shallow < length:
+        several = np.flatnonzero(size > 1)
         deep = length - shallow
+        rest = np.lib.stride_tricks.sliding_window_view(raw, deep)
+        seg = np.repeat(np.arange(len(several)), size[several])
+        begin = np.cumsum(size[several]) - size[several]
+        own = order[np.arange(len(seg)) - begin[seg] + edge[several][seg]]
+        lead = own[begin][seg] if len(seg) else own
+        equal = np.ones(len(own), bool)
+        for at in range(0, len(own), 50_000):
+            part = slice(at, at + 50_000)
+            equal[part] = (rest[starts[own[part]] + shallow] == rest[starts[lead[part]] + shallow]).all(axis=1)
+        mixed = np.flatnonzero(~np.logical_and.reduceat(equal, begin)) if len(seg) else several
+        place = starts.tolist() if len(mixed) else []
 
         def read(k: int) -> bytes:
             at = place[k] + shallow
             return data[at : at + deep]
 
-        place = starts.tolist()
         for g in mixed.tolist():
-            members = live[edge[g] : edge[g] + size[g]]
-            like = equal[edge[g] : edge[g] + size[g]]
+            part = slice(begin[g], begin[g] + size[several[g]])
+            members, like = own[part], equal[part]
             trie = BlindTrie(read, members[like].tolist(), deep)
             for k in members[~like].tolist():
                 trie.insert(k)
-            at = int(old[edge[g]])
+            at = int(edge[several[g]])
             for leaf in trie.leaves():
                 rank[leaf] = at
                 at += len(leaf)
-    return np.argsort(rank, kind="stable"), rank
-
+        order = np.argsort(rank, kind="stable")
+    return order, rank
 
-def roomy(group: np.ndarray) -> np.ndarray:
-    """Group numbers with room for a rank of each member: the number of suffixes in smaller groups."""
-    _, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
-    return np.concatenate([[0], np.cumsum(counts)[:-1]])[inverse] if len(group) else group
 
-
-def covered(key: np.ndarray, doc: np.ndarray, lead: np.ndarray, ctx: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, start, stop): runs of bytes in distinct contexts whose windows a smaller document has too."""
+def window_runs(key: np.ndarray, lead: np.ndarray, ctx: list[bytes], least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(context, start, stop, least): runs of bytes in distinct contexts whose windows have the same least document;
+    least: of each context itself. Windows match at equal places about their anchor."""
     sizes = np.array([len(c) for c in ctx], np.int64)
     n = np.maximum(sizes - length + 1, 0)
     item = np.repeat(np.arange(len(ctx)), n)
     shift = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
     starts = (np.cumsum(sizes) - sizes)[item] + shift
-    group = np.unique(key, return_inverse=True)[1][item] * (2 * length) + shift - lead[item] + length  # windows match at equal places about the anchor
-    _, rank = sort_suffixes(b"".join(ctx), starts, group, length)
-    owner = doc[item]
-    order = np.lexsort((owner, rank))
-    new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    least = owner[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else owner
-    hit = np.zeros(len(item), bool)
-    hit[order] = owner[order] > least
-    open_ = hit & ~np.concatenate([[False], hit[:-1] & (item[1:] == item[:-1])])
-    close = hit & ~np.concatenate([hit[1:] & (item[1:] == item[:-1]), [False]])
-    return item[open_], shift[open_], shift[close] + length
-
-
-def match_contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """Spans of contexts sorted by (key, lead, ctx, doc_id); see step 3 above."""
-
-    def spans(doc, tag, pos, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(c, pa.int32()) for c in (tag, pos, start, stop)]], names=["doc_id", "tag", "pos", "start", "stop"])
-
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        key, doc, tag, pos, lead = (rows.column(i).to_numpy() for i in range(5))
-        ctx, twins = rows.column(5).combine_chunks(), rows.column(6).to_numpy()
-        if len(key) == 0:
-            return spans(doc, tag, pos, pos, pos)
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (lead[1:] == lead[:-1]) & _equal(ctx)])
-        kind = np.cumsum(~same) - 1
-        first = np.flatnonzero(~same)
-        many = np.unique(key[first], return_inverse=True, return_counts=True)
-        use = many[2][many[1]] > 1
-        chosen = np.flatnonzero(use)
-        if not len(chosen):
-            return spans(doc[:0], tag[:0], pos[:0], pos[:0], pos[:0])
-        rows_of = first[chosen]
-        item, start, stop = covered(key[rows_of], doc[rows_of], lead[rows_of], ctx.take(pa.array(rows_of)).to_pylist(), length)
-        by_kind = np.argsort(kind, kind="stable")  # rows of a kind: those of the first document that repeat the context
-        size = np.bincount(kind)
-        reps = size[chosen[item]]
-        row = by_kind[np.repeat(first[chosen[item]], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))]
-        origin = pos[row] - lead[row]
-        return spans(doc[row], tag[row], np.where(twins[row], pos[row], -1), origin + np.repeat(start, reps), origin + np.repeat(stop, reps))
-
-    held: list[pa.RecordBatch] = []
-    n, last = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, doc, tag, pos, lead = (batch.column(i).to_numpy() for i in range(5))
-        ctx, twins = batch.column(5), batch.column(6).to_numpy(zero_copy_only=False)
-        size = pc.binary_length(ctx).to_numpy()
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (lead[1:] == lead[:-1]) & _equal(ctx)])
-        same[0] = last is not None and (int(key[0]), int(lead[0]), ctx[0].as_py()) == last[:3]
-        start = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
-        least = np.where(start < 0, last[3] if same[0] else 0, doc[np.maximum(start, 0)])
-        last = (int(key[-1]), int(lead[-1]), ctx[len(key) - 1].as_py(), int(least[-1]))
-        whole = (doc > least) & (size >= length)
-        if whole.any():
-            yield spans(doc[whole], tag[whole], np.where(twins, pos, -1)[whole], (pos - lead)[whole], (pos - lead + size)[whole])
-        keep = np.flatnonzero(doc == least)
-        held.append(batch.take(pa.array(keep)))
-        n += len(keep)
-        if n >= TOGETHER:
-            rows = pa.Table.from_batches(held)
-            keys = rows.column(0).to_numpy()
-            end = int(np.searchsorted(keys, keys[-1])) if (keys[1:] >= keys[:-1]).all() else 0
-            if end:
-                yield settle(rows.slice(0, end))
-                held = rows.slice(end).to_batches()
-                n = len(keys) - end
-    if held:
-        yield settle(pa.Table.from_batches(held))
-    give_back()
-
-
-def _equal(ctx: pa.Array) -> np.ndarray:
-    """Whether each but the first equals the one before."""
-    ctx = ctx.combine_chunks() if isinstance(ctx, pa.ChunkedArray) else ctx
-    return pc.equal(ctx.slice(1), ctx.slice(0, max(len(ctx) - 1, 0))).to_numpy(zero_copy_only=False)
+    group = np.unique(key, return_inverse=True)[1][item] * (2 * length) + shift - lead[item] + length
+    order, rank = sort_suffixes(b"".join(ctx), starts, group, length)
+    owner = least[item]
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(rank[order]) != 0])) if len(order) else order
+    first = np.empty(len(item), np.int64)
+    first[order] = np.repeat(np.minimum.reduceat(owner[order], edge), np.diff(np.append(edge, len(order)))) if len(order) else order
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (first[1:] != first[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(item)) - 1 if len(item) else head
+    return item[head], shift[head], shift[tail] + length, first[head]
+
+
+# Bundles
+
+
+def make_bundles(docs: DataFrame, size: int = 0) -> DataFrame:
+    """bundle, ids, sizes, blob (texts one after another, compressed) and the other columns as lists; written once."""
+    size = size or BUNDLE
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = ["bundle", "ids", "sizes", "blob", *others]
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        number = TaskContext.get().partitionId() << 33
+        zstd = zstandard.ZstdCompressor(level=3)
+        held: list[pa.RecordBatch] = []
+        texts: list[bytes] = []
+
+        def told() -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), c.combine_chunks()) for c in (rows.column(0), *rows.columns[2:])]
+            sizes = pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))
+            number += 1
+            out = pa.RecordBatch.from_arrays([pa.array([number - 1]), lists[0], sizes, pa.array([zstd.compress(b"".join(texts))], pa.binary()), *lists[1:]], names=names)
+            held.clear()
+            texts.clear()
+            return out
+
+        for batch in batches:
+            own = [t.as_buffer().to_pybytes() for t in batch.column(1)]
+            at, total = 0, sum(map(len, texts))
+            for k, t in enumerate(own):
+                if total and total + len(t) > size:
+                    if k > at:
+                        held.append(batch.slice(at, k - at))
+                    at, total = k, 0
+                    yield told()
+                texts.append(t)
+                total += len(t)
+            if len(own) > at:
+                held.append(batch.slice(at))
+        if texts:
+            yield told()
+        give_back()
+
+    schema = ", ".join(["bundle long, ids array<long>, sizes array<int>, blob binary", *[f"`{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in others]])
+    return staged(docs.select("doc_id", "text", *others).mapInArrow(bundle, schema), "suffix-bundles")
+
+
+class Opened:
+    """A bundle with its anchors: places, distinct keys in order of their bucket, and for each place the number of its key."""
+
+    def __init__(self, sizes: list[int], blob: bytes, length: int, gram: int, buckets: int):
+        self.data = zstandard.ZstdDecompressor().decompress(blob) if sum(sizes) else b""
+        self.sizes, self.length, self.gram = np.asarray(sizes, np.int64), length, gram
+        self.at, self.h, self.least = anchors(np.frombuffer(self.data, np.uint8), self.sizes, length, gram)
+        bucket, key = self.h % U(buckets), self.h // U(buckets) & U((1 << 8 * KEY_BYTES) - 1)
+        code = (bucket << U(8 * KEY_BYTES)) | key
+        self.codes, self.number = np.unique(code, return_inverse=True)
+        self.doc = np.searchsorted(np.cumsum(self.sizes), self.at, "right")
+
+    def shared_here(self, ids: np.ndarray) -> np.ndarray:
+        """Whether two ids of the bundle have each key."""
+        own = ids[self.doc]
+        low, high = np.full(len(self.codes), np.iinfo(np.int64).max), np.full(len(self.codes), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.number, own)
+        np.maximum.at(high, self.number, own)
+        return low < high
+
+    def contexts(self, wanted: np.ndarray, hot: np.ndarray) -> dict[tuple[int, int, bytes], list[tuple[int, int]]]:
+        """(key, bytes before the anchor, bytes of its windows): the (document's place, context's place in the bundle) of
+        each. A hot anchor's windows are contexts of their own, their key a hash of them."""
+        use = np.flatnonzero(wanted[self.number])
+        begin, last = own_windows(self.at[use], self.h[use], self.least, self.length - self.gram + 1)
+        out: dict[tuple[int, int, bytes], list[tuple[int, int]]] = defaultdict(list)
+        data, length = self.data, self.length
+        rows = zip(self.codes[self.number[use]].tolist(), self.at[use].tolist(), begin.tolist(), last.tolist(), self.doc[use].tolist(), hot[self.number[use]].tolist(), strict=True)
+        for code, at, a, b, doc, single in rows:
+            if single:
+                for s in range(a, b + 1):
+                    window = data[s : s + length]
+                    out[xxhash.xxh3_64_intdigest(window, code) >> 1, at - s, window].append((doc, s))
+            else:
+                out[code, at - a, data[a : b + length]].append((doc, a))
+        return out
 
 
-def pack_contexts(rows: list[tuple]) -> bytes:
-    """Rows of CONTEXT as one compressed block, column by column; what is shuffled in place of rows."""
-    key, doc, tag, pos, lead, ctx, twins = zip(*rows, strict=True)
-    columns = [np.array(key, "<i8"), np.array(doc, "<i8"), np.array(tag, "<i4"), np.array(pos, "<i4"), np.array(lead, "<i4"), np.array(twins, np.uint8), np.array([len(c) for c in ctx], "<i4")]
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(rows)) + b"".join(c.tobytes() for c in columns) + b"".join(ctx))
+def packed(columns: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """Columns of one length, and bytes behind them, as one compressed block."""
+    head = struct.pack("<q", len(columns[0]))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(c.tobytes() for c in columns) + tail)
 
 
-def unpack_contexts(block: bytes) -> pa.RecordBatch:
+def unpacked(block: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(block)
-    n, at, columns = struct.unpack_from("<q", raw)[0], 8, []
-    for kind in ("<i8", "<i8", "<i4", "<i4", "<i4", "u1", "<i4"):
-        columns.append(np.frombuffer(raw, kind, n, at))
-        at += columns[-1].nbytes
-    ends = np.concatenate([[0], np.cumsum(columns[6])]).astype(np.int32)
-    ctx = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[at:])])
-    arrays = [pa.array(c) for c in columns[:5]] + [ctx, pa.array(columns[5].astype(bool))]
-    return pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "tag", "pos", "lead", "ctx", "twins"])
+    n, at, out = struct.unpack_from("<q", raw)[0], 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out, raw[at:]
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, packed and the other columns: what is shuffled in place of the texts."""
-    others = [c for c in docs.columns if c not in ("doc_id", "tag", "text")]
+RESULT = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+CONTEXT = ["<i8", "<i4", "<i4", "<i4", "<i8", "<i8"]  # key, number in the bundle, lead, size, least and greatest document
+RUN = ["<i4", "<i4", "<i4", "<i8"]  # number in the bundle, start, stop, least document
 
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        zstd = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zstd.compress(t.as_buffer()) for t in batch.column(2)], pa.binary()), *batch.columns[3:]], names=["doc_id", "tag", "packed", *others])
 
-    schema = ", ".join(["doc_id long, tag int, packed binary", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]])
-    return map_arrow(docs.select("doc_id", "tag", "text", *others), pack, schema)
+def by_bucket(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt so that a bucket's are together, one bucket after another."""
+    return rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "bundle")
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, tag, pos, start, stop of repeated bytes, overlapping; docs: doc_id (not null), tag, text; packed: the same.
+def each_bucket(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatch]:
+    """settle(bundles, blocks) for each bucket's rows (bucket, bundle, block)."""
+    forget()
+    bundles: list[int] = []
+    blocks: list[bytes] = []
+    now = None
+    for batch in batches:
+        for bucket, bundle, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and blocks:
+                yield from settle(now, bundles, blocks)
+                bundles, blocks = [], []
+            now = bucket
+            bundles.append(bundle)
+            blocks.append(block)
+    if blocks:
+        yield from settle(now, bundles, blocks)
+    give_back()
 
-    pos is the anchor's place where the document has the same context elsewhere too, else -1.
-    """
 
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.append(np.unique(anchors(np.frombuffer(text.encode(), np.uint8), length, gram)[1]))
-            ids.append(np.full(len(found[-1]), doc_id, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (found, ids)], names=["key", "doc_id"])
-
-    def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, zstd = [], zstandard.ZstdDecompressor()
-        for doc_id, tag, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for (key, lead, ctx), places in distinct_contexts(zstd.decompress(text), length, gram, wanted).items():
-                out.append((key, doc_id, tag, places[0], lead, ctx, len(places) > 1))
-        out.sort(key=lambda r: r[0] % parts)
-        rows, at = [], 0
-        while at < len(out):
-            part = out[at][0] % parts
-            end = at
-            while end < len(out) and out[end][0] % parts == part:
-                end += 1
-            rows.append((part, pack_contexts(out[at:end])))
-            at = end
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
-
-    def opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for block in batch.column(1).to_pylist():
-            yield unpack_contexts(block)
-
-    found = map_arrow(docs.select("doc_id", "text"), keys, "key long, doc_id long")
-    by_key = Window.partitionBy("key")
-    shared = found.select("key", "doc_id", (F.min("doc_id").over(by_key) < F.max("doc_id").over(by_key)).alias("shared")).where("shared")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.expr("int(key & 2147483647)")).alias("keys"))  # at most the anchors of one text
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = map_arrow(packed.join(wanted, "doc_id").select("doc_id", "tag", "packed", "keys"), contexts, "part long, block binary", 1 << 22)
-    dealt = map_arrow(blocks.repartition(parts, "part"), opened, CONTEXT).sortWithinPartitions("key", "lead", "ctx", "doc_id")
-    return dealt.mapInArrow(lambda batches: match_contexts(batches, length), SPAN)
+def key_answers(bucket: int, bundles: list[int], blocks: list[bytes], many: int) -> Iterator[pa.RecordBatch]:
+    """For each bundle two bits for each of its keys in the bucket: another bundle has it too; it is hot."""
+    parts = []
+    for block in blocks:
+        raw = np.zeros((len(block) // KEY_BYTES, 8), np.uint8)
+        raw[:, :KEY_BYTES] = np.frombuffer(block, np.uint8).reshape(-1, KEY_BYTES)
+        parts.append(raw.view("<u8").ravel())
+    keys = np.concatenate(parts)
+    order = np.argsort(keys, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    size = np.diff(np.append(edge, len(keys)))
+    times = np.empty(len(keys), np.int64)
+    times[order] = np.repeat(size, size)
+    ends = np.cumsum([len(p) for p in parts])
+    bits = [np.packbits(np.concatenate([t > 1, t > many])).tobytes() for t in np.split(times, ends[:-1])]
+    told = [k for k, b in enumerate(bits) if any(b)]
+    columns = [pa.array([bundles[k] for k in told], pa.int64()), pa.array([bucket] * len(told), pa.int64()), pa.array([bits[k] for k in told], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["bundle", "bucket", "bits"])
+
+
+def context_answers(bucket: int, bundles: list[int], blocks: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+    """For each bundle the runs of its contexts that a document of another id has a window of, with the least of these."""
+    columns: list[list[np.ndarray]] = [[] for _ in CONTEXT]
+    of: list[np.ndarray] = []
+    known: dict[tuple[int, int, bytes], int] = {}
+    kind: list[int] = []
+    for k, block in enumerate(blocks):
+        own, text = unpacked(block, CONTEXT)
+        for column, values in zip(columns, own, strict=True):
+            column.append(values)
+        of.append(np.full(len(own[0]), k))
+        at = 0
+        for key, lead, size in zip(own[0].tolist(), own[2].tolist(), own[3].tolist(), strict=True):
+            kind.append(known.setdefault((key, lead, text[at : at + size]), len(known)))
+            at += size
+    _, number, _, _, low, high = (np.concatenate(c) for c in columns)
+    source, which = np.concatenate(of), np.array(kind)
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, low)
+    distinct = list(known)
+    key, lead = (np.array([d[k] for d in distinct], np.int64) for k in (0, 1))
+    sizes = np.array([len(d[2]) for d in distinct], np.int64)
+    by_key = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(key[by_key]) != 0]))
+    size = np.diff(np.append(edge, len(key)))
+    alone = by_key[np.repeat(size == 1, size)]  # the only context of its anchor: all its windows are in one class
+    runs = [(alone, np.zeros(len(alone), np.int64), sizes[alone], least[alone])]
+    several, cut = np.flatnonzero(size > 1), 0
+    while cut < len(several):  # anchors by anchors, about TOGETHER contexts at a time
+        end = cut + max(1, int(np.searchsorted(np.cumsum(size[several[cut:]]), TOGETHER, "right")))
+        use = np.concatenate([by_key[edge[g] : edge[g] + size[g]] for g in several[cut:end].tolist()])
+        item, start, stop, first = window_runs(key[use], lead[use], [distinct[k][2] for k in use.tolist()], least[use], length)
+        runs.append((use[item], start, stop, first))
+        cut = end
+    item, start, stop, first = (np.concatenate([r[k] for r in runs]) for k in range(4))
+    order = np.argsort(item, kind="stable")  # runs of a kind side by side, for each of its rows
+    begin, n = np.searchsorted(item[order], np.arange(len(known))), np.bincount(item, minlength=len(known))
+    row = np.repeat(np.arange(len(which)), n[which])
+    run = order[np.arange(len(row)) - np.repeat(np.cumsum(n[which]) - n[which], n[which]) + begin[which][row]]
+    keep = first[run] < high[row]
+    row, run = row[keep], run[keep]
+    edges = np.searchsorted(source[row], np.arange(len(blocks) + 1))
+    out = []
+    for k in range(len(blocks)):
+        part = slice(edges[k], edges[k + 1])
+        if edges[k] < edges[k + 1]:
+            out.append((bundles[k], packed([number[row[part]].astype("<i4"), start[run[part]].astype("<i4"), stop[run[part]].astype("<i4"), first[run[part]].astype("<i8")])))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["bundle", "runs"])
+
+
+def answered(bundles: DataFrame, answers: DataFrame, size: str) -> DataFrame:
+    """bundles with the columns of answers (a row for each bundle at most), which are sent to all tasks while they are small."""
+    total = answers.agg(F.sum(size)).first()[0] or 0
+    return bundles.join(F.broadcast(answers) if total <= BROADCAST_BYTES else answers, "bundle", "left")
+
+
+def wanted_keys(bundle: Opened, ids: np.ndarray, answer: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether two documents share a key, whether it is hot) for each key of the bundle."""
+    wanted, hot = bundle.shared_here(ids), np.zeros(len(bundle.codes), bool)
+    edges = np.searchsorted(bundle.codes >> U(8 * KEY_BYTES), np.arange(buckets + 1, dtype=U))
+    for a in answer or []:
+        low, high = edges[a["bucket"]], edges[a["bucket"] + 1]
+        bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=2 * (high - low)).astype(bool)
+        wanted[low:high] |= bits[: high - low]
+        hot[low:high] = bits[high - low :]
+    return wanted, hot
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the spans' union; spans that touch are one run."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(start, stop, strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    head = np.concatenate([[True], start[1:] > stop[:-1]])
+    return list(zip(start[head].tolist(), stop[np.append(np.flatnonzero(head)[1:], len(start)) - 1].tolist(), strict=True))
+
+
+def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int) -> DataFrame:
+    """RESULT of each document of the bundles; kept and the other columns too, where there are any."""
+    names = [*RESULT, *["kept"] * bool(others), *others]
+    parts = max(1, int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = HOT
+    buckets = min(parts * BUCKETS, 1 << 15)  # so that a code is below 2^63
+    opened = lambda sizes, blob: Opened(sizes, blob, length, gram, buckets)
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for bundle, sizes, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            codes = opened(sizes, blob).codes
+            if not len(codes):
+                continue
+            bucket = (codes >> U(8 * KEY_BYTES)).astype(np.int64)
+            own, edge = np.unique(bucket, return_index=True)
+            raw = codes.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            blocks = [raw[a:b].tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(codes)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([bundle] * len(own), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "bundle", "block"])
+
+    def contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for bundle, ids, sizes, blob, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one, ids = opened(sizes, blob), np.array(ids, np.int64)
+            found = one.contexts(*wanted_keys(one, ids, answer, buckets))
+            if not found:
+                continue
+            names = list(found)
+            key, lead, size = np.array([n[0] for n in names], "<i8"), np.array([n[1] for n in names], "<i4"), np.array([len(n[2]) for n in names], "<i4")
+            begin = np.cumsum([0, *map(len, found.values())])[:-1]
+            owner = ids[[doc for places in found.values() for doc, _ in places]]
+            low, high = np.minimum.reduceat(owner, begin), np.maximum.reduceat(owner, begin)
+            bucket = key % buckets
+            order = np.argsort(bucket, kind="stable")
+            own, edge = np.unique(bucket[order], return_index=True)
+            blocks = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+                use = order[a:b]
+                blocks.append(packed([key[use], use.astype("<i4"), lead[use], size[use], low[use], high[use]], b"".join([names[k][2] for k in use.tolist()])))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([bundle] * len(own), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "bundle", "block"])
+
+    def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(batch.num_rows):
+            ids, sizes, blob, answer, runs = (batch.column(c)[k].as_py() for c in range(1, 6))
+            one, owner = opened(sizes, blob), np.array(ids, np.int64)
+            spans = spans_of(one, owner, one.contexts(*wanted_keys(one, owner, answer, buckets)) if runs else {}, runs or [])
+            rows, end = [], 0
+            for i, size in enumerate(sizes):
+                text = one.data[end : end + size]
+                cut = [(a - end, b - end) for a, b in spans.get(i, [])]
+                ends = [0, *[x for pair in cut for x in pair], size]
+                left = b"".join([text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)])
+                rows.append((ids[i], size, size - len(left), len(cut), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if others else None))
+                end += size
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.string()][: len(names) - len(others)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(6 + c)[k].values for c in range(len(others))]], names=names)
+
+    asked = map_arrow(bundles.select("bundle", "sizes", "blob"), keys, "bucket long, bundle long, block binary")
+    shared = by_bucket(asked, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: key_answers(*a, many)), "bundle long, bucket long, bits binary")
+    answers = staged(shared.groupBy("bundle").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared"), F.sum(F.length("bits")).alias("n_bits")), "suffix-shared")
+    known = answered(bundles, answers, "n_bits")
+    sent = map_arrow(known.select("bundle", "ids", "sizes", "blob", "shared"), contexts, "bucket long, bundle long, block binary")
+    runs = by_bucket(sent, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: context_answers(*a, length)), "bundle long, runs binary")
+    cuts = staged(runs.groupBy("bundle").agg(F.collect_list("runs").alias("runs"), F.sum(F.length("runs")).alias("n_runs")), "suffix-runs")
+    told = answered(known, cuts, "n_runs")
+    more = ", kept string" * bool(others) + "".join(f", `{c}` {bundles.schema[c].dataType.elementType.simpleString()}" for c in others)
+    return map_arrow(told.select("bundle", "ids", "sizes", "blob", "shared", "runs", *others), strip, ", ".join(f"{c} {t}" for c, t in RESULT.items()) + more, 1 << 20)
+
+
+def spans_of(one: Opened, ids: np.ndarray, found: dict, runs: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+    """The maximal runs of bytes that each document of the bundle loses, by its place in it, at places in the bundle."""
+    if not runs:
+        return {}
+    number, start, stop, least = (np.concatenate(c) for c in zip(*[unpacked(r, RUN)[0] for r in runs], strict=True))
+    counts = np.array([len(p) for p in found.values()], np.int64)
+    doc, place = (np.array([p[k] for places in found.values() for p in places], np.int64) for k in (0, 1))
+    n = counts[number]
+    run = np.repeat(np.arange(len(number)), n)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + (np.cumsum(counts) - counts)[number][run]
+    lose = ids[doc[at]] > least[run]
+    at, run = at[lose], run[lose]
+    a, b, own = place[at] + start[run], place[at] + stop[run], doc[at]
+    out = {}
+    order = np.argsort(own, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) != 0])) if len(own) else own
+    for p, q in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True) if len(own) else []:
+        use = order[p:q]
+        out[int(own[use[0]])] = merged(a[use], b[use])
+    return out
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
@@ -381,36 +575,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept is what remains, decoded; a character that was cut through is dropped from it.
     """
     carried = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if texts else []
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *carried).withColumn("tag", F.hash("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *carried)
     known = rows.where(F.col("doc_id").isNotNull())
-    ids = staged(known.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("h")), "suffix-ids")
-    least = ids.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
-    copies = staged(ids.join(least, "h").where("doc_id > least").select("doc_id", "tag").distinct(), "suffix-copies")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
-    own, copied = (known.join(copies, ["doc_id", "tag"], how) for how in ("left_anti", "left_semi"))
-    packed = packed_texts(own)
-    spans = repeated_spans(own, packed, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "pos", "start", "stop")).alias("spans"))  # of one text
-
-    def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, zstd = [], zstandard.ZstdDecompressor()
-        for doc_id, tag, text, found in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            data = zstd.decompress(text)
-            own = [(s["pos"], s["start"], s["stop"]) for s in found or [] if s["tag"] == tag]
-            if any(pos >= 0 for pos, _, _ in own):
-                twins = {places[0]: places for places in distinct_contexts(data, length, gram).values()}
-                own = [(-1, a + p - pos, b + p - pos) for pos, a, b in own for p in (twins[pos] if pos >= 0 else [pos])]
-            cut = merged([a for _, a, _ in own], [b for _, _, b in own])
-            ends = [0, *[x for pair in cut for x in pair], len(data)]
-            left = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-            row = (doc_id, len(data), len(data) - len(left), len(cut), hashlib.sha256(left).hexdigest())
-            out.append((*row, left.decode(errors="ignore")) if texts else row)
-        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.string()] * texts
-        columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], *batch.columns[4:]], names=names)
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "row"] * texts
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept string, row {rows.schema['row'].dataType.simpleString()}" if texts else "")
-    done = map_arrow(packed.join(spans, "doc_id", "left").select("doc_id", "tag", "packed", "spans", *["row"] * texts), strip, schema, 1 << 22)
+    ids = staged(known.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "suffix-ids")
+    least = few(staged(ids.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least"), "suffix-least"))
+    named = known.withColumn("h", F.unhex(F.sha2("text", 256))).join(least, "h", "left")
+    is_copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
+    own, copied = named.where(~is_copy).select(*rows.columns), named.where(is_copy).select(*rows.columns)
+    bundles = make_bundles(own)
+    others = ["row"] * texts
+    done = strip_bundles(bundles, others, length, gram)
+
     size = F.octet_length("text").cast("long")
     for other, gone in ((rows.where(F.col("doc_id").isNull()), F.lit(False)), (copied, size >= length)):
         left = F.when(gone, "").otherwise(F.col("text"))

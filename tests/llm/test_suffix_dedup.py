@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from shelfwise.llm.suffix_dedup import anchors, sort_suffixes, suffix_dedup
+from shelfwise.llm import suffix_dedup as sd
+from shelfwise.llm.suffix_dedup import anchors, multikey_quicksort, sort_suffixes, suffix_dedup
 
 
 def brute(rows, length):
@@ -48,8 +49,14 @@ def documents(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_the_definition(spark, seed):
+@pytest.mark.parametrize(("seed", "small", "hot"), [(1, None, None), (2, 700, None), (3, 700, 1), (4, 700, 3)])
+def test_matches_the_definition(spark, monkeypatch, seed, small, hot):
+    """Also in bundles of a few documents, and with hot anchors, whose windows go by themselves."""
+    if hot:
+        monkeypatch.setattr(sd, "HOT", hot)
+    if small:
+        monkeypatch.setattr(sd, "BUNDLE", small)
+        monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
     rows = documents(seed)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, tag string").repartition(3)
     got = sorted(tuple(r) for r in suffix_dedup(df).collect())
@@ -85,5 +92,41 @@ def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     shared = bytes(rng.randrange(97, 110) for _ in range(50))
     a, b = (bytes(rng.randrange(97, 123) for _ in range(n)) for n in (70, 133))
-    (pa, ha, _), (pb, hb, _) = (anchors(np.frombuffer(x + shared + x, np.uint8)) for x in (a, b))
+    (pa, ha, _), (pb, hb, _) = (anchors(np.frombuffer(x + shared + x, np.uint8), np.array([2 * len(x) + 50])) for x in (a, b))
     assert {(p - 70, h) for p, h in zip(pa, ha) if 70 <= p <= 104} & {(p - 133, h) for p, h in zip(pb, hb) if 133 <= p <= 167}
+
+
+def test_anchors_stay_inside_their_texts():
+    rng = random.Random(6)
+    texts = [bytes(rng.randrange(97, 105) for _ in range(n)) for n in (120, 0, 49, 50, 10, 51, 300, 30)]
+    at, h, _ = anchors(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    want, begin = [], 0
+    for t in texts:
+        own, hashes, _ = anchors(np.frombuffer(t, np.uint8), np.array([len(t)]))
+        want += list(zip((own + begin).tolist(), hashes.tolist()))
+        begin += len(t)
+    assert list(zip(at.tolist(), h.tolist())) == want
+
+
+def test_multikey_quicksort_sorts_to_its_depth():
+    rng = random.Random(7)
+    for depth in (1, 7, 8, 12, 16):
+        data = bytes(rng.choice(b"ab") for _ in range(400)) + b"z" * 60 + b"abcdefgh" * 30
+        raw = np.frombuffer(data + b"\0" * 8, np.uint8)
+        symbols = np.zeros(len(raw) - 7, np.uint64)
+        for i in range(8):
+            symbols = (symbols << np.uint64(8)) | raw[i : len(raw) - 7 + i]
+        starts, group = np.arange(len(data) - 16), np.array([rng.randrange(3) for _ in range(len(data) - 16)])
+        order, edge = multikey_quicksort(symbols, starts, group, depth)
+        key = [(group[i], data[starts[i] : starts[i] + depth]) for i in order.tolist()]
+        assert key == sorted(key) and sorted(order.tolist()) == list(range(len(starts)))
+        assert edge.tolist() == [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
+
+
+def test_texts_and_rows_come_back(spark):
+    rows = [(1, "é" * 40 + " one", "a", 1), (2, "x" + "é" * 40 + " two", None, 2), (3, None, "c", None), (None, "é" * 40 + " one", "d", 4), (4, "é" * 40 + " one", "e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, kept long")
+    got = {(r.doc_id, r.row["row"], r.row["kept"]): r.kept for r in suffix_dedup(df, texts=True).collect()}
+    left = got.pop((2, None, 2))
+    assert got == {(1, "a", 1): rows[0][1], (3, "c", None): "", (None, "d", 4): rows[0][1], (4, "e", 5): ""}
+    assert left.startswith("x") and left.endswith("two") and "é" not in left

@@ -39,7 +39,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that an earlier document has; documents of which nothing is left go."""
+    """Texts without the bytes that an earlier document has; documents of which nothing is left go. A null text comes out as
+    the empty one, and a character that is cut through goes with the cut."""
     kept = suffix_dedup(docs, texts=True).where("n_removed = 0 or kept <> ''")
     rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     return kept.select(F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *rest).select(*docs.columns)
@@ -48,7 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens; executors have run four stages by now
     and get a smaller memory of words."""
-    return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), capacity=2048, end_id=0, remembered=300_000)
+    return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), capacity=2048, end_id=0, remembered=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

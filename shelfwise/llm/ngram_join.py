@@ -10,7 +10,8 @@ prefixes deal the sets into blocks (exactly: no link is lost). The order is (fre
 FREQUENT prefixes come last, so a passage that thousands of documents share makes no block unless they are mostly that.
 
 1. R-trees over the points of all blocks are searched by every set for the first and the last set of its block that the
-   bound leaves, in the order of their names. These pairs are verified. A block of k copies costs 2k pairs, not k^2.
+   bound leaves, in the order of their names. These pairs are verified. A block of k copies costs 2k pairs, not k^2. Of
+   its blocks of frequent shingles a set takes part in ASKED only here, as they hold the same sets again and again.
 2. The components of these links label the sets. A block of a single label is done. In the others the trees, now of finer
    points, are searched for all pairs of different labels; pages whose bound is too small or whose sets all carry the
    searcher's label are skipped, and surviving pairs are verified. Links of both rounds give the components.
@@ -45,10 +46,12 @@ WORDS, PERCENT = 5, 80
 #: most (8 bytes each): beyond, the threshold doubles. Any list gives the same links.
 FREQUENT, MOST_FREQUENT = 32, 2_000_000
 #: Nodes up to this number are sent to all tasks to fetch their texts (20 bytes each); beyond, a join by id.
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 500_000
 PAGE, COARSE, ROUGH = 32, 4, 4
 #: Sets that meet in one unit of a large block; tasks that deal the sets of a frequent shingle; rows searched together.
 TILE, SPREAD, TOGETHER = 4096, 64, 16_384
+#: Blocks of frequent shingles that a set takes part in in the first round: those of least hash, which alike sets share.
+ASKED = 4
 
 U = np.uint64
 _LOWER = np.arange(1, 257, dtype=U)
@@ -365,8 +368,8 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
-    """block, node, hot: the sets of each block; of several blocks that hold the same sets one is enough. Those of frequent
-    shingles (hot) are blocks as they are, dealt over SPREAD groups of tasks."""
+    """block, node, hot, asks: the sets of each block; of several blocks that hold the same sets one is enough. Those of
+    frequent shingles (hot) are blocks as they are, dealt over SPREAD groups of tasks; asks: of use in the first round."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("powers")
@@ -383,31 +386,34 @@ def blocks(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                     last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                     size = prefix_size(len(s), percent)
                     keys.append(np.concatenate([s[~last], s[last]])[:size])
-                    often.append(np.arange(size) >= len(s) - np.count_nonzero(last))
+                    rank = np.arange(size) - (len(s) - np.count_nonzero(last))  # among the frequent ones, by hash
+                    often.append(np.where(rank < 0, 0, np.where(rank < ASKED, 2, 1)))
                     nodes.append(node)
                     times.append(size)
                 if len(seen) > 500_000:
                     seen.clear()
                 column = pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), times)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), column, pa.array(np.concatenate([np.empty(0, bool), *often]))], names=["key", "node", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), column, pa.array(np.concatenate([np.empty(0, np.int64), *often]).astype(np.int32))], names=["key", "node", "often"])
         seen.clear()
         give_back()
 
-    dealt = docs.select("text").mapInArrow(deal, "key long, node binary, hot boolean")
-    sized = dealt.withColumns({"size": size_of("node"), "spread": F.when(F.col("hot"), F.pmod(F.hash("node"), F.lit(SPREAD))).otherwise(-1)})
+    dealt = docs.select("text").mapInArrow(deal, "key long, node binary, often int")
+    hot = F.col("often") > 0
+    sized = dealt.withColumns({"size": size_of("node"), "spread": F.when(hot, F.pmod(F.hash("node"), F.lit(SPREAD))).otherwise(-1)})
     own = Window.partitionBy("key", "spread")
     next_ = own.orderBy("size")  # a set whose neighbours in size are too small and too large has no partner in the block
     near = F.coalesce(alike(F.lag("size").over(next_), F.col("size"), percent), F.lit(False)) | F.coalesce(alike(F.lead("size").over(next_), F.col("size"), percent), F.lit(False))
-    met = sized.select("key", "node", "hot", "spread", near.alias("near")).withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own), "x": F.bit_xor(F.xxhash64("node")).over(own), "y": F.sum(F.hash("node").cast("long")).over(own)})
+    met = sized.select("key", "node", "often", "spread", near.alias("near")).withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own), "x": F.bit_xor(F.xxhash64("node")).over(own), "y": F.sum(F.hash("node").cast("long")).over(own)})
     same = F.xxhash64("x", "y", "low", "high")
-    return staged(met.where("hot or (low <> high and near)").select(F.when(F.col("hot"), F.xxhash64("key")).otherwise(same).alias("block"), "node", "hot").distinct(), "join-blocks")
+    use = met.where(hot | (F.col("low") != F.col("high")) & F.col("near"))
+    return staged(use.select(F.when(hot, F.xxhash64("key")).otherwise(same).alias("block"), "node", hot.alias("hot"), (F.col("often") != 1).alias("asks")).distinct(), "join-blocks")
 
 
 def several_sets(block: DataFrame) -> DataFrame:
-    """block, node, members of the blocks of several sets; members is null but for hot ones."""
+    """block, node, asks, members of the blocks of several sets; members is null but for hot ones."""
     hot = block.where("hot").groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    counted = block.where("hot").select("block", "node").join(few(hot), "block").select("block", "node", "members")
-    return block.where("not hot").select("block", "node", F.lit(None).cast("long").alias("members")).unionAll(counted)
+    counted = block.where("hot").drop("hot").join(few(hot), "block").select("block", "node", "asks", "members")
+    return block.where("not hot").select("block", "node", "asks", F.lit(None).cast("long").alias("members")).unionAll(counted)
 
 
 def units(rows: DataFrame, percent: int, tile: int = 0) -> DataFrame:
@@ -526,7 +532,7 @@ def joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
     involved = staged(nodes.join(block.select("node").distinct(), "node").groupBy("node").agg(first.alias("row")).select("node", "row.doc_id", "row.h"), "join-involved")
     texts = staged(node_texts(rows, involved, words), "join-texts")
-    pairs = searched(block.withColumn("label", F.lit(None).cast("binary")), texts, percent, "rough", False)
+    pairs = searched(block.where("asks").withColumn("label", F.lit(None).cast("binary")), texts, percent, "rough", False)
     links = staged(verified(pairs, texts, words, percent), "join-links")
     labels = components(links)
 

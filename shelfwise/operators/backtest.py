@@ -72,15 +72,17 @@ def smoothed(train: DataFrame, alpha: float = 0.1, beta: float = 0.1) -> DataFra
     n, m, y = F.col("n"), F.col("m"), F.col("sales").cast("double")
     keep = 1 - alpha
     late = F.pow(F.lit(keep), m - F.col("j"))
-    size = F.when(sold, F.when(F.col("j") == 1, late).otherwise(alpha * late))
+    share = lambda rate, kept: F.when(sold, F.when(F.col("j") == 1, kept).otherwise(rate * kept))
+    size, beside = share(alpha, late), share(beta, F.pow(F.lit(1 - beta), m - F.col("j")))
     hit = F.pow(F.lit(1 - beta), n - F.col("rn")) * beta
     sums = rows.groupBy("fold_id", *KEYS).agg(
         F.max("n").alias("n"), F.max("m").alias("m"), (F.pow(F.lit(keep), F.max("n")) * F.avg(F.when(F.col("rn") <= 10, y)) + F.sum(F.pow(F.lit(keep), n - F.col("rn")) * alpha * y)).alias("level"),
-        F.sum(size * y).alias("z"), F.sum(size * F.col("gap")).alias("p"), (F.pow(F.lit(keep), F.max("m")) * F.avg(F.when(sold, y)) + F.sum(F.when(sold, late * alpha * y))).alias("tz"),
+        F.sum(size * y).alias("z"), F.sum(size * F.col("gap")).alias("p"), F.sum(beside * F.col("gap")).alias("q"), (F.pow(F.lit(keep), F.max("m")) * F.avg(F.when(sold, y)) + F.sum(F.when(sold, late * alpha * y))).alias("tz"),
         (F.pow(F.lit(1 - beta), F.max("n")) * F.max("m") / F.max("n") + F.sum(F.when(sold, hit).otherwise(0.0))).alias("tp"),
     )
     croston = F.when(F.col("m") > 0, _clip(F.col("z") / F.col("p"))).otherwise(0.0)
-    return sums.select("fold_id", *KEYS, _clip(F.col("level")).alias("ses"), croston.alias("croston"), (croston * (1 - beta / 2)).alias("sba"), F.when(F.col("m") > 0, _clip(F.col("tz") * F.col("tp"))).otherwise(0.0).alias("tsb"))
+    sba = F.when(F.col("m") > 0, _clip(F.col("z") / F.col("q") * (1 - beta / 2))).otherwise(0.0)  # intervals smoothed by beta
+    return sums.select("fold_id", *KEYS, _clip(F.col("level")).alias("ses"), croston.alias("croston"), sba.alias("sba"), F.when(F.col("m") > 0, _clip(F.col("tz") * F.col("tp"))).otherwise(0.0).alias("tsb"))
 
 
 def run_backtest(facts: DataFrame, folds: DataFrame, segments: DataFrame | None = None, smoothers: bool = True) -> DataFrame:
@@ -124,6 +126,22 @@ def metric_cut(predictions: DataFrame, by: list[str], methods: list[str]) -> Dat
     return rows.groupBy(*by, "method").agg(*[c.alias(k) for k, c in metric_columns().items()])
 
 
+def best_methods(predictions: DataFrame, methods: list[str], n: int = 3) -> DataFrame:
+    """horizon_day and, of the n methods with the least mean of their folds' MAE, method_k and mae_k: the mean over folds of
+    the MAE on that day, best method first. Ties go by name."""
+    order = metric_cut(predictions, ["fold_id"], methods).groupBy("method").agg(F.avg("mae").alias("m")).where("m is not null").withColumn("m", F.round("m", 9)).orderBy("m", "method").limit(n)
+    named = F.broadcast(order.withColumn("k", F.row_number().over(Window.orderBy("m", "method"))).drop("m"))  # n rows
+    days = metric_cut(predictions, ["fold_id", "horizon_day"], methods).join(named, "method").groupBy("horizon_day", "k", "method").agg(F.avg("mae").alias("mae"))
+    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}")
+    return days.groupBy("horizon_day").agg(*[pick(c, k) for k in range(1, n + 1) for c in ("method", "mae")])
+
+
+def cold_series(facts: DataFrame, folds: DataFrame) -> DataFrame:
+    """fold_id and keys of the series that are sold in a fold's forecast days but have no training row."""
+    test = facts.join(F.broadcast(folds), F.col("date").between(F.col("forecast_start"), F.col("forecast_end"))).select("fold_id", *KEYS).distinct()
+    return test.join(training(facts, folds).select("fold_id", *KEYS).distinct(), ["fold_id", *KEYS], "left_anti")
+
+
 def backtest_report(predictions: DataFrame, methods: list[str]) -> dict[str, DataFrame]:
     cuts = {"fold": ["fold_id"], "segment": ["segment"], "horizon": ["horizon_day"], "store": ["store_id"], "category": ["cat_id"]}
     return {k: metric_cut(predictions, by, methods) for k, by in cuts.items() if by[0] in predictions.columns}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.semantics import ratio
+from shelfwise.operators.ranking import in_order
 
 KEYS = ["store_id", "item_id"]
 ADI, CV2 = 1.32, 0.49
@@ -47,6 +48,39 @@ def overall_profile(facts: DataFrame) -> DataFrame:
     )
 
 
+def category_summary(facts: DataFrame) -> DataFrame:
+    """Items, units and zero share of each category."""
+    return facts.groupBy("cat_id").agg(F.countDistinct("item_id").alias("series"), F.sum("sales").alias("units"), F.avg(F.when(F.col("sales") == 0, 1.0).otherwise(0.0)).alias("zero_share"))
+
+
+def store_summary(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("store_id").agg(F.countDistinct("item_id").alias("series"), F.sum("sales").alias("units"))
+
+
+def regimes(series: DataFrame, stats: DataFrame) -> DataFrame:
+    """Demand regimes: of each segment its series, zero share, means, median units, and shares of all series and units."""
+    zero = stats.select(*KEYS, "segment", "adi", "cv2", "total_units", "mean_daily").join(series.select(*KEYS, F.col("zero_share").alias("zeros")), KEYS)
+    by = zero.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n_series"), F.avg("zeros").alias("mean_zero_share"), F.avg("mean_daily").alias("mean_daily_units"), F.percentile("total_units", F.lit(0.5)).alias("median_total_units"),
+        F.sum("total_units").alias("total_units"), F.avg("adi").alias("mean_adi"), F.avg("cv2").alias("mean_cv2"),
+    )
+    all_ = Window.partitionBy()  # a row for each segment
+    return by.withColumns({"pct_of_series": 100.0 * F.col("n_series") / F.sum("n_series").over(all_), "pct_of_units": 100.0 * F.col("total_units") / F.sum("total_units").over(all_)})
+
+
+def composition(stats: DataFrame, series: DataFrame, by: str) -> DataFrame:
+    """Series of each segment in each category or store, and their share of the segment."""
+    found = stats.select(*KEYS, "segment").join(series.select(*dict.fromkeys([*KEYS, by])), KEYS).groupBy("segment", by).agg(F.count(F.lit(1)).alias("n_series"))
+    return found.withColumn("pct_within_segment", 100.0 * F.col("n_series") / F.sum("n_series").over(Window.partitionBy("segment")))
+
+
+def demand_by(days: DataFrame, by: list[str]) -> DataFrame:
+    """Mean, median, deviation and number of store-days' units, and the mean's distance from that of all."""
+    overall = days.agg(F.avg("units").alias("overall"))
+    found = days.groupBy(*by).agg(F.avg("units").alias("mean"), F.percentile("units", F.lit(0.5)).alias("median"), F.stddev_samp("units").alias("sd"), F.count("units").alias("n"), F.sum("units").alias("units"))
+    return found.crossJoin(F.broadcast(overall)).withColumn("pct_vs_overall", 100.0 * (F.col("mean") - F.col("overall")) / F.col("overall")).drop("overall")  # one row
+
+
 def describe(df: DataFrame, x: Column, by: list[str] | None = None) -> DataFrame:
     """Moments and exact percentiles of x, all and where positive; nulls are left out."""
     pos = F.when(x > 0, x)
@@ -72,9 +106,9 @@ def gini(df: DataFrame, x: Column, by: list[str] | None = None) -> DataFrame:
 
 def concentration(series: DataFrame, shares: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
     """Share of units that the top p % of series sell (at least one series)."""
-    ranked = series.select("total_units", F.row_number().over(Window.orderBy(F.desc("total_units"), *KEYS)).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    ranked = in_order(series.select("total_units", *KEYS), [F.desc("total_units"), *map(F.col, KEYS)])
     tops = series.sparkSession.createDataFrame([(p,) for p in shares], "top_pct int")
-    inside = F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.col("top_pct") / 100)), F.col("total_units"))
+    inside = F.when(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n_rows") * F.col("top_pct") / 100)), F.col("total_units"))
     return ranked.crossJoin(F.broadcast(tops)).groupBy("top_pct").agg((100.0 * F.sum(inside) / F.sum("total_units")).alias("pct_of_units"))
 
 

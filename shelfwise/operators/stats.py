@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from shelfwise.operators.ranking import mid_ranks
+from shelfwise.session import stored
+
+#: Up to this size of a sample, and without ties, the rank-sum test's p-value is exact.
+EXACT = 8
 
 
 def rank_sums(df: DataFrame, test: str, group: str, x: str) -> DataFrame:
     """n, rank sum and tie term of each test and group: mid-ranks come from counts of distinct values, so a value that
-    fills half the data is one row of the ranking."""
+    fills half the data is one row of the ranking. The counts are written once for the branches that read them."""
     counts = df.where(F.col(x).isNotNull()).groupBy(F.col(test).alias("test"), F.col(group).alias("grp"), F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    counts = stored(counts, "rank-counts")
     by_value = counts.groupBy("test", "x").agg(F.sum("c").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("test").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = by_value.withColumns({"mid": before + (F.col("t") + 1) / 2.0, "ties": F.pow(F.col("t").cast("double"), 3.0) - F.col("t")})
@@ -23,19 +33,53 @@ def rank_sums(df: DataFrame, test: str, group: str, x: str) -> DataFrame:
     return sums.join(total, "test")
 
 
+@lru_cache(maxsize=256)
+def rank_sum_counts(a: int, b: int) -> tuple[int, ...]:
+    """In how many ways samples of a and b values without ties give each U from 0 to a * b."""
+    ways = {(0, 0): 1}  # (values of the first sample so far, U): of the values in order, each joins one of the samples
+    for k in range(a + b):
+        new: dict[tuple[int, int], int] = defaultdict(int)
+        for (mine, u), n in ways.items():
+            if mine < a:
+                new[mine + 1, u + k - mine] += n  # it is greater than the k - mine values of the other sample
+            if k - mine < b:
+                new[mine, u] += n
+        ways = new
+    return tuple(ways.get((a, u), 0) for u in range(a * b + 1))
+
+
+@F.pandas_udf(DoubleType())
+def exact_tail(u: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Two-sided p-value of U for small samples; missing where neither is small. A row for each test."""
+    out = []
+    for x, m, n in zip(u, a, b, strict=True):
+        if pd.isna(x) or min(m, n) > EXACT:
+            out.append(None)
+            continue
+        small, large = int(min(m, n)), int(max(m, n))
+        ways = rank_sum_counts(small, large)
+        tail = sum(ways[math.ceil(max(x, m * n - x)) :]) / math.comb(small + large, small)
+        out.append(min(1.0, 2 * tail))
+    return pd.Series(out, dtype="float64")
+
+
 def mann_whitney(df: DataFrame, test: str, group: str, x: str) -> DataFrame:
     """test, n_x, n_y, u, delta, relative_difference, z, p_value: group 1 against group 0, two-sided, with tie and
-    continuity corrections. delta is Cliff's."""
+    continuity corrections; exact for samples of EXACT values at most without ties. delta is Cliff's. A test with fewer
+    than two values in a group has its sizes and nothing else."""
     s = rank_sums(df, test, group, x)
     side = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
     both = s.groupBy("test").agg(side(1, "n").alias("n_x"), side(0, "n").alias("n_y"), side(1, "rank_sum").alias("r"), side(1, "mean").alias("mx"), side(0, "mean").alias("my"), F.max("ties").alias("ties"))
-    a, b = F.col("n_x").cast("double"), F.col("n_y").cast("double")
+    both = both.withColumns({"n_x": F.coalesce("n_x", F.lit(0)), "n_y": F.coalesce("n_y", F.lit(0))})
+    a, b = (F.when(F.least("n_x", "n_y") >= 2, F.col(c).cast("double")) for c in ("n_x", "n_y"))
     n = a + b
     u = F.col("r") - a * (a + 1) / 2
     var = a * b / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
-    z = F.greatest(F.lit(0.0), F.abs(u - a * b / 2) - 0.5) / F.sqrt(F.when(var > 0, var))
-    out = both.where("n_x > 0 and n_y > 0").select("test", "n_x", "n_y", u.alias("u"), (2 * u / (a * b) - 1).alias("delta"), (100 * (F.col("mx") - F.col("my")) / F.nullif(F.col("my"), F.lit(0.0))).alias("relative_difference"), z.alias("z"))
-    return out.withColumn("p_value", normal_tail(F.col("z")))
+    z = F.greatest(F.when(u.isNotNull(), 0.0), F.abs(u - a * b / 2) - 0.5) / F.sqrt(F.when(var > 0, var))
+    difference = F.when(u.isNotNull(), 100 * (F.col("mx") - F.col("my")) / F.nullif(F.col("my"), F.lit(0.0)))
+    out = both.select("test", "n_x", "n_y", u.alias("u"), (2 * u / (a * b) - 1).alias("delta"), difference.alias("relative_difference"), z.alias("z"), "ties")
+    exact = F.when(F.col("ties") == 0, exact_tail(F.col("u"), F.col("n_x").cast("double"), F.col("n_y").cast("double")))
+    return out.withColumn("p_value", F.coalesce(exact, normal_tail(F.col("z")))).drop("ties")
 
 
 def normal_tail(z: Column) -> Column:
@@ -55,40 +99,34 @@ def effect_label(delta: Column) -> Column:
     return F.when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").otherwise("large")
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """P(X > x) of a chi-square variable: the series of the incomplete gamma function, or its continued fraction."""
-    a, x = df / 2, x / 2
-    if x <= 0:
-        return 1.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > 1e-16 * abs(total):
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - scale * total
-    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return scale * h
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """P(X > x) of a chi-square variable with a whole number of degrees of freedom: a finite sum in either case."""
+    half, even = x / 2, df % 2 == 0
+    terms = F.floor(df / 2).cast("int")  # of the sum; the first is 1 or sqrt(2 x / pi), each next one times x / 2 over i or i + 1/2
+    first = F.when(even, F.lit(1.0)).otherwise(F.sqrt(half) / math.gamma(1.5))
+    steps = F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(first.alias("term"), first.alias("sum"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] * half / (i + F.when(even, 0.0).otherwise(0.5))
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    total = F.when(terms > 0, F.aggregate(steps, start, add)["sum"]).otherwise(0.0) * F.exp(-half)
+    return F.when(x <= 0, 1.0).otherwise(F.when(even, total).otherwise(total + normal_tail(F.sqrt(x))))
 
 
 def kruskal(df: DataFrame, test: str, group: str, x: str) -> DataFrame:
-    """test, k, n, h, df, epsilon_squared of the groups of each test, with the tie correction."""
-    s = rank_sums(df, test, group, x)
+    """test, k, n, h, df, epsilon_squared, p_value of the groups of each test, with the tie correction. Groups of fewer
+    than two values are left out; a test of fewer than two groups has its sizes and nothing else."""
+    sizes = df.where(F.col(x).isNotNull()).groupBy(F.col(test).alias("__t"), F.col(group).alias("__g")).count().where("count >= 2")
+    use = df.join(sizes, (F.col(test) == F.col("__t")) & F.col(group).eqNullSafe(F.col("__g")), "left_semi")
+    s = rank_sums(use, test, group, x)
     by = s.groupBy("test").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"), F.max("ties").alias("ties"))
-    n = F.col("n").cast("double")
-    h = (12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return by.select("test", "k", "n", h.alias("h"), (F.col("k") - 1).alias("df")).withColumn("epsilon_squared", F.greatest(F.lit(0.0), (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k"))))
+    n = F.when(F.col("k") >= 2, F.col("n").cast("double"))
+    spread = 1 - F.col("ties") / (n * n * n - n)
+    h = (12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.when(spread > 0, spread)
+    out = by.select("test", "k", "n", h.alias("h"), (F.col("k") - 1).alias("df")).withColumn("epsilon_squared", F.when(F.col("h").isNotNull(), F.greatest(F.lit(0.0), (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k")))))
+    return out.withColumn("p_value", chi_square_tail(F.col("h"), F.col("df")))
 
 
 def epsilon_label(e: Column) -> Column:
@@ -105,23 +143,50 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = 0.05
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of mid-ranks."""
-    mid = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    return df.select(mid(x).alias("rx"), mid(y).alias("ry")).agg(F.corr("rx", "ry").alias("rho"))
+    """rho: correlation of mid-ranks, over the rows of which neither side is missing."""
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    ranks = [mid_ranks(rows, c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")]
+    return rows.join(ranks[0], "x").join(ranks[1], "y").agg(F.corr("rx", "ry").alias("rho"))
 
 
 def block_length(n: int) -> int:
     return max(2, round(n ** (1 / 3)))
 
 
-def _resampled(a: np.ndarray, rng: np.random.Generator, n_boot: int, block: int | None, statistic: Callable[[np.ndarray], float]) -> np.ndarray:
-    n = len(a)
-    size = min(block, n) if block else 1
-    starts = rng.integers(0, n - size + 1, size=(n_boot, -(-n // size)))
-    return np.array([statistic(a[(s[:, None] + np.arange(size)).ravel()][:n]) for s in starts])
+#: Values drawn at a time by resampling.
+DRAWN = 4_000_000
+
+
+def _resampled(values: np.ndarray, rng: np.random.Generator, n_boot: int, block: int | None, statistic: Callable[..., np.ndarray]) -> np.ndarray:
+    """The statistic of each resample: whole blocks of neighbours are drawn from a view of all of them, and the last one
+    is cut. statistic(samples, axis=1) sees many resamples at a time."""
+    runs = np.lib.stride_tricks.sliding_window_view(values, min(block or 1, len(values)))
+    per_sample = math.ceil(len(values) / runs.shape[1])
+    at_once = max(1, DRAWN // max(len(values), 1))
+    found = []
+    for k in range(0, n_boot, at_once):
+        drawn = rng.choice(len(runs), size=(min(at_once, n_boot - k), per_sample))
+        found.append(statistic(runs[drawn].reshape(len(drawn), -1)[:, : len(values)], axis=1))
+    return np.concatenate(found)
+
 
+def permuted_share(a: np.ndarray, b: np.ndarray, rng: np.random.Generator, n_perm: int) -> float:
+    """The share of relabellings whose means differ as much as those of a and b, the labels as they are counted in.
 
-def bootstrap_ci(df: DataFrame, by: list[str], x: str, order: str | None = None, statistic: Callable[[np.ndarray], float] = np.mean, n_boot: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    A relabelling is a row of random keys: the values of the first sample are those of the smallest keys. The sum of a
+    part gives both means, as the sum of all stays.
+    """
+    values, size, far = np.concatenate([a, b]), len(a), 0
+    total, observed = values.sum(), abs(a.mean() - b.mean())
+    at_once = max(1, DRAWN // len(values))
+    for k in range(0, n_perm, at_once):
+        keys = rng.random((min(at_once, n_perm - k), len(values)))
+        part = values[np.argpartition(keys, size - 1, axis=1)[:, :size]].sum(axis=1)
+        far += int(np.count_nonzero(np.abs(part / size - (total - part) / len(b)) >= observed - 1e-12 * max(1.0, observed)))
+    return (1 + far) / (1 + n_perm)
+
+
+def bootstrap_ci(df: DataFrame, by: list[str], x: str, order: str | None = None, statistic: Callable[..., np.ndarray] = np.mean, n_boot: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """by, n, estimate, low, high of each group: percentile bootstrap, of moving blocks where `order` says what is next.
 
     A group is one statistic's sample (days of a store, say) and goes to one task. Under four ordered values: no interval.
@@ -130,7 +195,7 @@ def bootstrap_ci(df: DataFrame, by: list[str], x: str, order: str | None = None,
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         a = (pdf.sort_values(order) if order else pdf.sort_values(x))[x].dropna().to_numpy(float)
-        out = pdf[by].head(1).assign(n=len(a), estimate=float(statistic(a)) if len(a) else np.nan, low=np.nan, high=np.nan)
+        out = pdf[by].head(1).assign(n=len(a), estimate=float(statistic(a[None, :], axis=1)[0]) if len(a) else np.nan, low=np.nan, high=np.nan)
         if len(a) >= (4 if order else 1):
             boot = _resampled(a, np.random.default_rng(seed), n_boot, block_length(len(a)) if order else None, statistic)
             out["low"], out["high"] = np.percentile(boot, [50 * alpha, 100 - 50 * alpha])
@@ -141,7 +206,8 @@ def bootstrap_ci(df: DataFrame, by: list[str], x: str, order: str | None = None,
 
 
 def two_group_resampling(df: DataFrame, test: str, group: str, x: str, order: str, n_boot: int = 2000, n_perm: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """test, difference, low, high, p_permutation of the means of group 1 and group 0: block bootstrap of each by itself, and a permutation test."""
+    """test, difference, low, high, p_permutation of the means of group 1 and group 0: block bootstrap of
+    each by itself (of four values or more), and a permutation test (of two)."""
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna().sort_values(order)
@@ -152,13 +218,8 @@ def two_group_resampling(df: DataFrame, test: str, group: str, x: str, order: st
             rng = np.random.default_rng(seed)
             boot = _resampled(a, rng, n_boot, block_length(len(a)), np.mean) - _resampled(b, rng, n_boot, block_length(len(b)), np.mean)
             low, high = np.percentile(boot, [50 * alpha, 100 - 50 * alpha])
-        if len(a) and len(b):
-            rng, all_ = np.random.default_rng(seed), np.concatenate([a, b])
-            hits = 0
-            for _ in range(n_perm):
-                mixed = rng.permutation(all_)
-                hits += abs(mixed[: len(a)].mean() - mixed[len(a) :].mean()) >= abs(difference)
-            p = (hits + 1) / (n_perm + 1)
+        if min(len(a), len(b)) >= 2:
+            p = permuted_share(a, b, np.random.default_rng(seed), n_perm)
         return pd.DataFrame({"test": [pdf[test].iloc[0] if len(pdf) else None], "difference": [difference], "low": [low], "high": [high], "p_permutation": [p]})
 
     return df.select(test, group, x, order).groupBy(test).applyInPandas(resample, "test string, difference double, low double, high double, p_permutation double")
@@ -179,3 +240,19 @@ def demand_tests(model) -> DataFrame:
         .unionByName(pick(cat.join(snap, ["store_id", "date"]), F.concat(F.lit("snap "), "cat_id"), F.col("snap_active")))
         .unionByName(pick(days.where(plain), F.concat(F.lit("event "), "store_id"), F.col("event_name_1").isNotNull()))
     )
+
+
+def omnibus_tests(model) -> DataFrame:
+    """(test, grp, x) of the differences between all stores, all categories, and the categories' shares of days without sales."""
+    pick = lambda df, name, grp, x: df.select(F.lit(name).alias("test"), F.col(grp).alias("grp"), F.col(x).cast("double").alias("x"))
+    return (
+        pick(model.v_store_daily, "stores", "store_id", "units").unionByName(pick(model.v_store_cat_daily, "categories", "cat_id", "units"))
+        .unionByName(pick(model.v_series_summary, "zero share of categories", "cat_id", "zero_share"))
+    )
+
+
+def test_family(model) -> DataFrame:
+    """All tests with one false discovery rate over them: test, kind, statistic, effect, label, p_value, p_fdr, significant_fdr."""
+    pairs = mann_whitney(demand_tests(model), "test", "grp", "x").select("test", F.lit("mann_whitney").alias("kind"), F.col("u").alias("statistic"), F.col("delta").alias("effect"), effect_label(F.col("delta")).alias("label"), "p_value")
+    groups = kruskal(omnibus_tests(model), "test", "grp", "x").select("test", F.lit("kruskal").alias("kind"), F.col("h").alias("statistic"), F.col("epsilon_squared").alias("effect"), epsilon_label(F.col("epsilon_squared")).alias("label"), "p_value")
+    return benjamini_hochberg(pairs.unionByName(groups))

@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.session import shared_dir, stored
+from shelfwise.sources.ingest import read_star_schema, write_star_schema
+
 WEEK_ONE = "1995-01-07"  # a Saturday; weeks begin on Saturdays
 
 SQL = """
@@ -90,7 +93,8 @@ class Retail:
         week = F.floor(F.datediff("date", F.lit(WEEK_ONE).cast("date")) / F.lit(7.0)).cast("long")
         lumpy = F.col("n").between(9, 16) | ((F.col("n") > 16) & (F.col("n") % 2 == 0))
         # One pass over the lines: sums by day are small, and prices are sums of those by week.
-        by_day = sold.groupBy("store_id", "item_id", "date").agg(F.sum(F.when(lumpy, F.expr("q * q DIV 10")).otherwise(F.col("q"))).cast("int").alias("sales"), F.sum("q").alias("q"), F.sum("cents").alias("cents")).cache()
+        by_day = sold.groupBy("store_id", "item_id", "date").agg(F.sum(F.when(lumpy, F.expr("q * q DIV 10")).otherwise(F.col("q"))).cast("int").alias("sales"), F.sum("q").alias("q"), F.sum("cents").alias("cents"))
+        by_day = stored(by_day, "retail-days")
         price = by_day.groupBy("store_id", "item_id", week.alias("wm_yr_wk")).agg(F.expr("(2 * sum(cents) + sum(q)) DIV (2 * sum(q))").alias("cents"))
         span = by_day.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         day, md = F.dayofmonth("date"), F.date_format("date", "MM-dd")
@@ -131,7 +135,7 @@ class Retail:
         return self.fact_sales.join(self.dim_product, "item_id").join(self.dim_store, "store_id").join(calendar, "date").select(
             "item_id", "store_id", "date", "wm_yr_wk", "sales", "sell_price", revenue.alias("revenue_cents"), (revenue / F.lit(100.0)).alias("revenue"), "dept_id", "cat_id", "state_id",
             "wday", "month", "year", "event_name_1", "event_type_1", snap.alias("snap_active"), F.col("event_name_1").isNotNull().cast("int").alias("is_event_day"),
-        ).cache()
+        )
 
     @cached_property
     def v_store_daily(self) -> DataFrame:
@@ -150,7 +154,7 @@ class Retail:
             F.count(F.lit(1)).alias("n_days"), F.sum("sales").alias("total_units"), F.sum("revenue_cents").alias("revenue_cents"), mean.alias("mean_daily_units"), sd.alias("sd_daily_units"),
             F.when(mean > 0, sd / mean).alias("cv_daily_units"), F.count_if(F.col("sales") > 0).alias("nonzero_days"), (F.count_if(F.col("sales") == 0) / F.count(F.lit(1))).alias("zero_share"),
             F.min("date").alias("first_active_date"), F.max("date").alias("last_active_date"),
-        ).cache()
+        )
 
     def register(self) -> list[str]:
         """All tables and views as temporary views for spark.sql."""
@@ -160,12 +164,15 @@ class Retail:
         return names
 
 
-_MODELS: dict[tuple[int, str], Retail] = {}
+_MODELS: dict[tuple[str, str], Retail] = {}
 
 
 def retail(spark: SparkSession, sf_dir: str) -> Retail:
-    """The model of a folder, made once for a session."""
-    key = (id(spark), sf_dir)
+    """The model of a folder: its star schema is written once for an application, facts by store, and read from there, so
+    that filters and columns reach the scan. Only the two daily views are kept in memory: rows of stores and days."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = Retail.from_driver_tables(spark, sf_dir)
+        folder = shared_dir(spark, "retail")
+        write_star_schema(Retail.from_driver_tables(spark, sf_dir).tables, folder)
+        _MODELS[key] = Retail(read_star_schema(spark, folder))
     return _MODELS[key]

@@ -12,6 +12,7 @@ from shelfwise.functions.semantics import join_to_one, long, rounded
 from shelfwise.operators import backtest, features, profile, quality, replenishment, stats
 from shelfwise.plans.binding import retail
 from shelfwise.plans.oracle import sql
+from shelfwise.session import stored
 from shelfwise.sources import ingest
 
 KEYS = ["store_id", "item_id"]
@@ -105,15 +106,81 @@ def weekend_and_snap_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(found.drop("p_value", "p_fdr", "significant_fdr"), 6, "u", "delta", "relative_difference", "z")
 
 
-def weekend_and_snap_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.benjamini_hochberg(stats.mann_whitney(stats.demand_tests(retail(spark, sf_dir)), "test", "grp", "x"))
-    return _round(found.select("test", "p_value", "p_fdr", "significant_fdr"), 5, "p_value", "p_fdr")
+def demand_test_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tests of demand with one false discovery rate."""
+    return _round(stats.test_family(retail(spark, sf_dir)), 5, "statistic", "effect", "p_value", "p_fdr")
 
 
 def store_kruskal_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = retail(spark, sf_dir).v_store_cat_daily
     found = stats.kruskal(cat.select(F.col("cat_id").alias("test"), F.col("store_id").alias("grp"), F.col("units").alias("x")), "test", "grp", "x")
-    return _round(found.withColumn("effect", stats.epsilon_label(F.col("epsilon_squared"))), 5, "h", "epsilon_squared")
+    return _round(found.withColumn("effect", stats.epsilon_label(F.col("epsilon_squared"))), 5, "h", "epsilon_squared", "p_value")
+
+
+def price_move_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of price and unit moves over the weeks whose price moved."""
+    moves = profile.price_changes(_facts(spark, sf_dir)).where("price_move <> 'stable'").select(rounded(F.col("price_pct"), 6).alias("price_pct"), rounded(F.col("units_pct"), 6).alias("units_pct"))
+    return _round(stats.spearman(moves, "price_pct", "units_pct"), 6, "rho")
+
+
+def demand_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(spark, sf_dir, ["wday"])
+
+
+def demand_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(spark, sf_dir, ["month"])
+
+
+def demand_by_store_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(spark, sf_dir, ["store_id", "year"])
+
+
+def _days(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    m = retail(spark, sf_dir)
+    return _round(profile.demand_by(m.v_store_daily.join(m.dim_calendar.select("date", "wday", "month", "year"), "date"), by), 4, "mean", "median", "sd", "pct_vs_overall")
+
+
+def demand_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = retail(spark, sf_dir)
+    df = profile.regimes(m.v_series_summary, profile.segments(m.v_sales))
+    return _round(df, 5, *[c for c in df.columns if c not in ("segment", "n_series", "total_units")])
+
+
+def regimes_of_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = retail(spark, sf_dir)
+    return _round(profile.composition(profile.segments(m.v_sales), m.v_series_summary, "cat_id"), 5, "pct_within_segment")
+
+
+def regimes_of_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = retail(spark, sf_dir)
+    return _round(profile.composition(profile.segments(m.v_sales), m.v_series_summary.withColumn("at_store", F.col("store_id")), "at_store"), 5, "pct_within_segment")
+
+
+def category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(profile.category_summary(_facts(spark, sf_dir)), 6, "zero_share")
+
+
+def store_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.store_summary(_facts(spark, sf_dir))
+
+
+def best_methods_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(backtest.best_methods(_predictions(spark, sf_dir), ALL), 5, "mae_1", "mae_2", "mae_3")
+
+
+def cold_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.cold_series(_facts(spark, sf_dir), _folds(spark, sf_dir))
+
+
+def global_model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the global model beside the baselines: in each fold, a model of the fold's training days."""
+    from shelfwise.plans.forecast import global_backtest
+
+    m = retail(spark, sf_dir)
+    folds = backtest.generate_folds(*_bounds(m.dim_calendar))
+    model = global_backtest(m.v_sales, m.dim_calendar, m.dim_store, folds)
+    found = backtest.run_backtest(m.v_sales, backtest.folds_frame(spark, folds), smoothers=False).join(model, ["fold_id", *KEYS, "date"], "left")
+    return backtest.metric_cut(found, ["fold_id"], [*backtest.BASELINES, "global_model"])
 
 
 def store_mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +189,7 @@ def store_mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekend_difference_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = stats.demand_tests(retail(spark, sf_dir)).where(F.col("test").startswith("weekend"))
-    return stats.two_group_resampling(tests, "test", "grp", "x", "date", n_boot=500, n_perm=500)
+    return stats.two_group_resampling(tests, "test", "grp", "x", "date")
 
 
 def long_table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +201,14 @@ def model_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested_long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model's sales of one year made wide, and brought back by the ingestion: unpivot, calendar, prices, active days."""
+    """All sales of the model made wide, a column for each day (0 before a series begins), and brought back by the ingestion:
+    unpivot, calendar, prices, active days from the first priced one."""
     m = retail(spark, sf_dir)
-    days = [r[0] for r in m.dim_calendar.where(F.col("year") == 1996).select("d").orderBy("date").collect()]  # column names
-    calendar = m.dim_calendar.where(F.col("year") == 1996).withColumn("weekday", F.date_format("date", "EEEE"))
-    wide = (
-        m.fact_sales.where(F.col("d").isin(days)).join(m.dim_product, "item_id").join(m.dim_store, "store_id").withColumn("id", F.concat_ws("_", "item_id", "store_id"))
-        .groupBy(*ingest.IDS).pivot("d", days).agg(F.first("sales"))
-    )
+    days = [r[0] for r in m.dim_calendar.select("d").orderBy("date").collect()]  # column names
+    calendar = m.dim_calendar.withColumn("weekday", F.date_format("date", "EEEE"))
+    wide = m.fact_sales.join(m.dim_product, "item_id").join(m.dim_store, "store_id").withColumn("id", F.concat_ws("_", "item_id", "store_id")).groupBy(*ingest.IDS).pivot("d", days).agg(F.first("sales")).fillna(0)
     prices = m.dim_price.select("store_id", "item_id", "wm_yr_wk", "sell_price")
-    table = ingest.build_long_table(wide, calendar, prices, {"stores": ["ASIA", "EUROPE", "AFRICA"], "per_store": 6})
+    table = ingest.build_long_table(stored(wide, "wide-sales"), calendar, prices)
     return table.select("store_id", "item_id", "date", "d", "sales", "sell_price", "active_from", "wday", "event_name_1")
 
 
@@ -227,6 +292,24 @@ u AS (SELECT *, r - a * (a + 1) / 2 AS u, a + b AS n FROM s JOIN tie USING (test
 SELECT test, a AS n_x, b AS n_y, round(u, 6) AS u, round(2 * u / (a * b) - 1, 6) AS delta, round(100 * (mx - my) / my, 6) AS relative_difference,
 round(greatest(0, abs(u - a * b / 2) - 0.5::DOUBLE) / sqrt(a * b / 12 * (n + 1 - t / (n * (n - 1)))), 6) AS z,
 CASE WHEN abs(2 * u / (a * b) - 1) < 0.147::DOUBLE THEN 'negligible' WHEN abs(2 * u / (a * b) - 1) < 0.33::DOUBLE THEN 'small' WHEN abs(2 * u / (a * b) - 1) < 0.474::DOUBLE THEN 'medium' ELSE 'large' END AS effect FROM u"""
+#: P-values in SQL, by the same finite sums and the same polynomial as in `operators.stats`.
+ERFC = ["0.17087277", "-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806", "0.09678418", "0.37409196", "1.00002368", "-1.26551223"]
+
+
+def _normal_tail(z: str) -> str:
+    x, t = f"(({z}) / sqrt(2.0::DOUBLE))", f"(1 / (1 + 0.5::DOUBLE * ({z}) / sqrt(2.0::DOUBLE)))"
+    poly = f"{ERFC[0]}::DOUBLE"
+    for c in ERFC[1:]:
+        poly = f"({c}::DOUBLE + {t} * {poly})"
+    return f"({t} * exp(-{x} * {x} + {poly}))"
+
+
+def _chi_square_tail(x: str, df: str) -> str:
+    even = f"exp(-{x} / 2) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda i: pow({x} / 2, i) / gamma(i + 1)))"
+    odd = f"coalesce(exp(-{x} / 2) * list_sum(list_transform(range(1, CAST({df} // 2 AS BIGINT) + 1), lambda i: pow({x} / 2, i - 0.5::DOUBLE) / gamma(i + 0.5::DOUBLE))), 0)"
+    return f"CASE WHEN {x} <= 0 THEN 1 WHEN {df} % 2 = 0 THEN {even} ELSE {odd} + {_normal_tail(f'sqrt({x})')} END"
+
+
 FORECAST = """, fc AS (SELECT store_id, item_id, avg(sales) AS mean FROM v_sales WHERE date > (SELECT hi FROM span) - 28 GROUP BY 1, 2), past AS (SELECT store_id, item_id, avg(sales) AS past FROM v_sales GROUP BY 1, 2),
 base AS (SELECT f.store_id, f.item_id, f.mean, p.past, s.segment FROM fc f JOIN past p USING (store_id, item_id) JOIN segs s USING (store_id, item_id)), c AS (SELECT 1.6448536269514722::DOUBLE AS z)
 """
@@ -240,7 +323,55 @@ WINDOWS = "WINDOW o AS (PARTITION BY store_id, item_id ORDER BY date), a AS (PAR
 LAGGED = "lag(sales, 1) OVER o AS lag_1, lag(sales, 7) OVER o AS lag_7, lag(sales, 14) OVER o AS lag_14, lag(sales, 28) OVER o AS lag_28"
 Q = "quantile_cont(sales, {})"
 
+TESTED = TESTS.rpartition("\nSELECT test, a AS n_x")[0].replace("u AS (SELECT *, r - a", "mw AS (SELECT *, r - a")
+OMNIBUS = """, ob AS (SELECT 'stores' AS test, store_id AS g, units::DOUBLE AS x FROM v_store_daily UNION ALL SELECT 'categories', cat_id, units FROM v_store_cat_daily UNION ALL SELECT 'zero share of categories', cat_id, zero_share FROM v_series_summary),
+okr AS (SELECT *, rank() OVER (PARTITION BY test ORDER BY x) + (count(*) OVER (PARTITION BY test, x) - 1) / 2 AS r FROM ob WHERE (test, g) IN (SELECT (test, g) FROM ob GROUP BY test, g HAVING count(*) >= 2)),
+ot AS (SELECT test, sum(c::DOUBLE ** 3 - c) AS t FROM (SELECT test, count(*) AS c FROM okr GROUP BY test, x) GROUP BY 1),
+og AS (SELECT test, count(*) AS k, sum(n)::DOUBLE AS n, sum(s * s / n) AS q FROM (SELECT test, g, count(*) AS n, sum(r) AS s FROM okr GROUP BY 1, 2) GROUP BY 1),
+oh AS (SELECT test, k, n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) AS h FROM og JOIN ot USING (test)),
+oe AS (SELECT *, greatest(0, (h - k + 1) / (n - k)) AS e FROM oh)"""
+FAMILY = TESTED + OMNIBUS + f""", fz AS (SELECT test, u, 2 * u / (a * b) - 1 AS d, greatest(0, abs(u - a * b / 2) - 0.5::DOUBLE) / sqrt(a * b / 12 * (n + 1 - t / (n * (n - 1)))) AS z FROM mw),
+fam AS (SELECT test, 'mann_whitney' AS kind, u AS statistic, d AS effect, CASE WHEN abs(d) < 0.147::DOUBLE THEN 'negligible' WHEN abs(d) < 0.33::DOUBLE THEN 'small' WHEN abs(d) < 0.474::DOUBLE THEN 'medium' ELSE 'large' END AS label, {_normal_tail('z')} AS p FROM fz
+  UNION ALL SELECT test, 'kruskal', h, e, CASE WHEN e < 0.01::DOUBLE THEN 'negligible' WHEN e < 0.06::DOUBLE THEN 'small' WHEN e < 0.14::DOUBLE THEN 'medium' ELSE 'large' END, {_chi_square_tail('h', '(k - 1)')} FROM oe),
+raw AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM fam), adj AS (SELECT *, least(1.0::DOUBLE, min(q) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS f FROM raw)
+SELECT test, kind, round(statistic, 5) AS statistic, round(effect, 5) AS effect, label, round(p, 5) AS p_value, round(f, 5) AS p_fdr, f <= 0.05::DOUBLE AS significant_fdr FROM adj"""
+VALIDATION = """, q AS (SELECT
+  (SELECT count(*) FROM (SELECT 1 FROM fact_sales GROUP BY item_id, store_id, date HAVING count(*) > 1)) AS dup, (SELECT count(*) FROM v_sales) - (SELECT count(*) FROM fact_sales) AS fan,
+  (SELECT count(*) - count(DISTINCT item_id) FROM dim_product) + (SELECT count(*) - count(DISTINCT store_id) FROM dim_store) + (SELECT count(*) - count(DISTINCT date) FROM dim_calendar) + (SELECT count(*) - count(DISTINCT (store_id, item_id, wm_yr_wk)) FROM dim_price) AS rep,
+  (SELECT count(*) FILTER (n <> d) FROM (SELECT count(*) AS n, max(date) - min(date) + 1 AS d FROM fact_sales GROUP BY item_id, store_id)) AS gaps, (SELECT count(*) FILTER (NOT is_active) FROM fact_sales) AS off,
+  CAST((SELECT sum(sales) FROM fact_sales) AS BIGINT) AS units, (SELECT count(*) FROM fact_sales) AS n, CAST((SELECT sum(sales) FROM v_sales) AS BIGINT) AS vu, (SELECT count(*) FROM v_sales) AS vn, CAST((SELECT sum(units) FROM v_store_daily) AS BIGINT) AS su,
+  (SELECT count(*) FROM (SELECT 1 FROM v_sales GROUP BY state_id, date HAVING min(snap_active) <> max(snap_active))) AS mixed,
+  (SELECT sum(round(100 * u / t, 2)) FROM (SELECT cat_id, sum(sales) AS u, (SELECT sum(sales) FROM v_sales) AS t FROM v_sales GROUP BY 1)) AS cs,
+  (SELECT sum(round(100 * u / t, 2)) FROM (SELECT c, sum(total_units) AS u, any_value(t) AS t FROM (SELECT total_units, t, CASE WHEN x / t <= 0.8::DOUBLE THEN 'A' WHEN x / t <= 0.95::DOUBLE THEN 'B' ELSE 'C' END AS c
+    FROM (SELECT total_units, sum(total_units) OVER (ORDER BY total_units DESC, item_id, store_id ROWS UNBOUNDED PRECEDING) AS x, (SELECT sum(total_units) FROM v_series_summary)::DOUBLE AS t FROM v_series_summary)) GROUP BY 1)) AS abs_)
+SELECT 'grain_is_unique' AS "check", dup = 0 AS passed, dup::VARCHAR AS detail FROM q UNION ALL SELECT 'no_join_fanout', fan = 0, fan::VARCHAR FROM q UNION ALL SELECT 'dimension_keys_unique', rep = 0, rep::VARCHAR FROM q UNION ALL SELECT 'series_contiguous', gaps = 0, gaps::VARCHAR FROM q
+UNION ALL SELECT 'all_rows_active', off = 0, off::VARCHAR FROM q UNION ALL SELECT 'view_units_match_fact', vu = units, vu || ' and ' || units FROM q UNION ALL SELECT 'view_rows_match_fact', vn = n, vn || ' and ' || n FROM q UNION ALL SELECT 'category_units_reconcile', vu = units, vu || ' and ' || units FROM q
+UNION ALL SELECT 'store_units_reconcile', su = units, su || ' and ' || units FROM q UNION ALL SELECT 'abc_units_reconcile', vu = units, vu || ' and ' || units FROM q UNION ALL SELECT 'category_shares_sum_to_100', abs(cs - 100) <= 0.5, round(cs, 2)::DOUBLE::VARCHAR FROM q
+UNION ALL SELECT 'abc_shares_sum_to_100', abs(abs_ - 100) <= 0.5, round(abs_, 2)::DOUBLE::VARCHAR FROM q UNION ALL SELECT 'snap_consistent_within_state', mixed = 0, mixed::VARCHAR FROM q"""
+DAYS = """, dd AS (SELECT * FROM v_store_daily JOIN (SELECT date, wday, month, year FROM dim_calendar) USING (date))
+SELECT {by}, round(avg(units), 4) AS mean, round(median(units), 4) AS median, round(stddev_samp(units), 4) AS sd, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, round(100 * (avg(units) - (SELECT avg(units) FROM dd)) / (SELECT avg(units) FROM dd), 4) AS pct_vs_overall FROM dd GROUP BY {by}"""
+REGIMES = STATS + ", both_ AS (SELECT s.segment, s.adi, s.cv2, s.total_units, s.mean_daily, v.zero_share AS zs, v.cat_id, v.store_id FROM segs s JOIN v_series_summary v USING (store_id, item_id)) "
+
 BODIES = {
+    "demand_test_family": FAMILY,
+    "model_validation": VALIDATION,
+    "demand_by_weekday": DAYS.format(by="wday"),
+    "demand_by_month": DAYS.format(by="month"),
+    "demand_by_store_year": DAYS.format(by="store_id, year"),
+    "demand_regimes": REGIMES + """SELECT segment, count(*) AS n_series, round(avg(zs), 5) AS mean_zero_share, round(avg(mean_daily), 5) AS mean_daily_units, round(median(total_units), 5) AS median_total_units, CAST(sum(total_units) AS BIGINT) AS total_units, round(avg(adi), 5) AS mean_adi,
+        round(avg(cv2), 5) AS mean_cv2, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 5) AS pct_of_series, round(100.0::DOUBLE * sum(total_units) / sum(sum(total_units)) OVER (), 5) AS pct_of_units FROM both_ GROUP BY 1""",
+    **{f"regimes_of_{n}": REGIMES + f"SELECT segment, {c} AS {name}, count(*) AS n_series, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY segment), 5) AS pct_within_segment FROM both_ GROUP BY segment, {c}" for n, c, name in (("categories", "cat_id", "cat_id"), ("stores", "store_id", "at_store"))},
+    "category_profile": "SELECT cat_id, count(DISTINCT item_id) AS series, CAST(sum(sales) AS BIGINT) AS units, round(count(*) FILTER (sales = 0) / count(*), 6) AS zero_share FROM v_sales GROUP BY 1",
+    "store_profile": "SELECT store_id, count(DISTINCT item_id) AS series, CAST(sum(sales) AS BIGINT) AS units FROM v_sales GROUP BY 1",
+    "price_move_correlation": """, w AS (SELECT store_id, item_id, wm_yr_wk, sum(sales) AS u, avg(sell_price) AS p FROM v_sales WHERE sell_price IS NOT NULL GROUP BY 1, 2, 3),
+        k AS (SELECT u, p, lag(p) OVER o AS pp, lag(u) OVER o AS pu FROM w WINDOW o AS (PARTITION BY store_id, item_id ORDER BY wm_yr_wk)), d AS (SELECT 100 * (p / pp - 1) AS dp, 100 * (u / pu - 1) AS du FROM k WHERE pp > 0 AND pu > 0),
+        e AS (SELECT round(dp, 6) AS dp, round(du, 6) AS du FROM d WHERE dp < -2 OR dp > 2), rr AS (SELECT rank() OVER (ORDER BY dp) + (count(*) OVER (PARTITION BY dp) - 1) / 2 AS a, rank() OVER (ORDER BY du) + (count(*) OVER (PARTITION BY du) - 1) / 2 AS b FROM e)
+        SELECT round(corr(a, b), 6) AS rho FROM rr""",
+    "best_methods_by_horizon": PREDICTIONS + """, mel AS (SELECT fold_id, horizon_day, method, abs(forecast - CAST(actual AS DOUBLE)) AS e FROM (UNPIVOT (FROM pred) ON naive, seasonal_naive, ma7, ma28, zero, ses, croston, sba, tsb INTO NAME method VALUE forecast)),
+        o AS (SELECT method, row_number() OVER (ORDER BY round(m, 9), method) AS k FROM (SELECT method, avg(mae) AS m FROM (SELECT fold_id, method, avg(e) AS mae FROM mel GROUP BY 1, 2) GROUP BY 1) QUALIFY k <= 3),
+        b AS (SELECT horizon_day, k, method, avg(mae) AS mae FROM (SELECT fold_id, horizon_day, method, avg(e) AS mae FROM mel GROUP BY 1, 2, 3) JOIN o USING (method) GROUP BY 1, 2, 3)
+        SELECT horizon_day, """ + ", ".join(f"max(method) FILTER (k = {k}) AS method_{k}, round(max(mae) FILTER (k = {k}), 5) AS mae_{k}" for k in (1, 2, 3)) + " FROM b GROUP BY 1",
+    "cold_series": FOLDS + "SELECT DISTINCT f.fold_id, s.store_id, s.item_id FROM v_sales s JOIN folds f ON s.date > f.train_end AND s.date <= f.train_end + 28 WHERE NOT EXISTS (SELECT 1 FROM v_sales t WHERE t.store_id = s.store_id AND t.item_id = s.item_id AND t.date <= f.train_end)",
     "demand_segments": STATS + "SELECT store_id, item_id, n_days, n_nonzero_days, round(zero_share, 6) AS zero_share, total_units, round(mean_daily, 6) AS mean_daily, round(adi, 6) AS adi, round(cv2, 6) AS cv2, segment FROM segs",
     "demand_profile": """SELECT count(*) AS n_rows, count(DISTINCT (store_id, item_id)) AS n_series, count(DISTINCT item_id) AS n_items, count(DISTINCT store_id) AS n_stores, min(date) AS date_min, max(date) AS date_max, CAST(sum(sales) AS BIGINT) AS total_units,
         round(count(*) FILTER (sales = 0) / count(*), 6) AS zero_share, round(count(*) FILTER (sell_price IS NULL) / count(*), 6) AS unpriced_share FROM v_sales""",
@@ -265,16 +396,16 @@ BODIES = {
     "backtest_predictions": PREDICTIONS + "SELECT fold_id, store_id, item_id, date, actual, horizon_day, segment, " + ", ".join(f"round({m}, 6) AS {m}" for m in ALL) + " FROM pred",
     **{f"metrics_by_{n}": PREDICTIONS + METRICS.format(by=c) for n, c in (("fold", "fold_id"), ("segment", "segment"), ("horizon", "horizon_day"), ("store", "store_id"), ("category", "cat_id"))},
     "weekend_and_snap_tests": TESTS,
-    "store_kruskal_tests": """, rk AS (SELECT cat_id, store_id, units, rank() OVER (PARTITION BY cat_id ORDER BY units) + (count(*) OVER (PARTITION BY cat_id, units) - 1) / 2 AS r FROM v_store_cat_daily),
+    "store_kruskal_tests": f""", rk AS (SELECT cat_id, store_id, units, rank() OVER (PARTITION BY cat_id ORDER BY units) + (count(*) OVER (PARTITION BY cat_id, units) - 1) / 2 AS r FROM v_store_cat_daily),
         t AS (SELECT cat_id, sum(c::DOUBLE ** 3 - c) AS t FROM (SELECT cat_id, count(*) AS c FROM rk GROUP BY cat_id, units) GROUP BY 1), g AS (SELECT cat_id, store_id, count(*) AS n, sum(r) AS s FROM rk GROUP BY 1, 2),
         k AS (SELECT cat_id, count(*) AS k, sum(n)::DOUBLE AS n, sum(s * s / n) AS q FROM g GROUP BY 1), h AS (SELECT cat_id, k, n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) AS h FROM k JOIN t USING (cat_id)), e AS (SELECT *, greatest(0, (h - k + 1) / (n - k)) AS e FROM h)
-        SELECT cat_id AS test, k, CAST(n AS BIGINT) AS n, round(h, 5) AS h, k - 1 AS df, round(e, 5) AS epsilon_squared, CASE WHEN e < 0.01::DOUBLE THEN 'negligible' WHEN e < 0.06::DOUBLE THEN 'small' WHEN e < 0.14::DOUBLE THEN 'medium' ELSE 'large' END AS effect FROM e""",
+        SELECT cat_id AS test, k, CAST(n AS BIGINT) AS n, round(h, 5) AS h, k - 1 AS df, round(e, 5) AS epsilon_squared, round({_chi_square_tail('h', '(k - 1)')}, 5) AS p_value, CASE WHEN e < 0.01::DOUBLE THEN 'negligible' WHEN e < 0.06::DOUBLE THEN 'small' WHEN e < 0.14::DOUBLE THEN 'medium' ELSE 'large' END AS effect FROM e""",
     "long_table_checks": """, f AS (SELECT count(*) - count(DISTINCT (store_id, item_id, date)) AS dup, count(*) FILTER (sales < 0) AS neg, count(*) FILTER (cents <= 0) AS bad, count(*) FILTER (cents IS NULL) / count(*) AS unp FROM fact_sales),
         s AS (SELECT count(*) FILTER (n <> d) AS gap, count(*) FILTER (u = 0) AS mute FROM (SELECT count(*) AS n, max(date) - min(date) + 1 AS d, sum(sales) AS u FROM fact_sales GROUP BY store_id, item_id))
         SELECT 'no_duplicate_series_dates' AS "check", dup = 0 AS passed, dup::VARCHAR AS detail FROM f UNION ALL SELECT 'no_nulls_in_core_columns', TRUE, '0' UNION ALL SELECT 'no_negative_sales', neg = 0, neg::VARCHAR FROM f
         UNION ALL SELECT 'series_are_contiguous_daily', gap = 0, gap::VARCHAR FROM s UNION ALL SELECT 'prices_positive', bad = 0, bad::VARCHAR FROM f UNION ALL SELECT 'active_rows_mostly_priced', unp < 0.01, round(unp, 4)::VARCHAR FROM f UNION ALL SELECT 'few_all_zero_series', mute = 0, mute::VARCHAR FROM s""",
-    "ingested_long_table": """, picked AS (SELECT DISTINCT store_id, item_id FROM fact_sales JOIN dim_calendar USING (date) WHERE year = 1996 AND store_id IN ('ASIA', 'EUROPE', 'AFRICA')),
-        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY item_id) AS k FROM picked) WHERE k <= 6), f AS (SELECT s.*, k.wday, k.event_name_1 FROM fact_sales s JOIN top USING (store_id, item_id) JOIN dim_calendar k ON k.date = s.date WHERE k.year = 1996),
+    "ingested_long_table": """, f AS (SELECT s.store_id, s.item_id, k.date, k.d, coalesce(x.sales, 0) AS sales, p.cents, p.cents / 100.0::DOUBLE AS sell_price, k.wday, k.event_name_1 FROM (SELECT DISTINCT store_id, item_id FROM fact_sales) s CROSS JOIN dim_calendar k
+          LEFT JOIN fact_sales x ON x.store_id = s.store_id AND x.item_id = s.item_id AND x.date = k.date LEFT JOIN dim_price p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = k.wm_yr_wk),
         a AS (SELECT store_id, item_id, min(date) FILTER (cents IS NOT NULL) AS active_from FROM f GROUP BY 1, 2)
         SELECT store_id, item_id, date, d, sales, sell_price, active_from, wday, event_name_1 FROM f JOIN a USING (store_id, item_id) WHERE date >= active_from""",
     "replenishment_orders": STATS + FORECAST + ", dec AS (SELECT *, z * sqrt(7) AS ss, CASE WHEN store_id = 'ASIA' THEN NULL WHEN item_id = 'M2' THEN -5.0::DOUBLE ELSE round(past * 9, 2) END AS inv FROM base, c) " + DECIDE.format(d=4, k=1.05, inv="inv"),
@@ -287,7 +418,8 @@ BODIES = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         demand_segments, demand_profile, segment_profile, sales_distribution, sales_gini, sales_concentration, weekly_price_moves, lag_features, rolling_features, forecast_features, backtest_folds, backtest_predictions,
-        weekend_and_snap_tests, weekend_and_snap_p_values, store_kruskal_tests, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
+        weekend_and_snap_tests, demand_test_family, store_kruskal_tests, price_move_correlation, demand_by_weekday, demand_by_month, demand_by_store_year, demand_regimes, regimes_of_categories, regimes_of_stores, category_profile, store_profile,
+        best_methods_by_horizon, cold_series, global_model_backtest, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
     ]
     cuts = {"metrics_by_fold": "fold_id", "metrics_by_segment": "segment", "metrics_by_horizon": "horizon_day", "metrics_by_store": "store_id", "metrics_by_category": "cat_id"}
     return {f.__name__: f for f in plain} | {name: _cut(by) for name, by in cuts.items()}

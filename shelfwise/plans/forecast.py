@@ -1,7 +1,8 @@
-"""The global model and the production forecast.
+"""The global model, its backtest and the production forecast.
 
-The model is Spark ML's gradient-boosted trees, one ensemble for all series, with squared loss: Spark ML has no Tweedie
-loss for trees, so errors are its own and not those of another library.
+One model for all series: Spark ML's gradient-boosted trees with squared loss ("trees"), as it has no Tweedie loss for
+trees, or its generalised linear regression of the Tweedie family with a log link ("tweedie"), which suits counts with
+many zeros. Errors are these models' own and not those of another library.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ import json
 from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.operators.backtest import Fold
 from shelfwise.operators.features import FeatureSet, build_fold_features
 
 PARAMS = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.15, "seed": 42, "subsamplingRate": 0.8}
+TWEEDIE = {"family": "tweedie", "variancePower": 1.5, "linkPower": 0.0, "regParam": 0.01, "maxIter": 25}
 
 
 class NotFitted(RuntimeError):
@@ -27,16 +30,17 @@ class NotFitted(RuntimeError):
 class GlobalForecaster:
     """One model for all series; predictions are never negative."""
 
-    def __init__(self, **params: float):
-        self.params = {**PARAMS, **params}
+    def __init__(self, kind: str = "trees", **params: float):
+        self.kind, self.params = kind, {**{"trees": PARAMS, "tweedie": TWEEDIE}[kind], **params}
         self.model: PipelineModel | None = None
         self.features: list[str] = []
 
     def fit(self, train: DataFrame, features: list[str], target: str = "y") -> GlobalForecaster:
         stages = [
             StringIndexer(inputCol="store_id", outputCol="__store", handleInvalid="keep"),
-            VectorAssembler(inputCols=[*features, "__store"], outputCol="__x"),
-            GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="__p", **self.params),
+            *([OneHotEncoder(inputCol="__store", outputCol="__one", handleInvalid="keep")] if self.kind == "tweedie" else []),
+            VectorAssembler(inputCols=[*features, "__one" if self.kind == "tweedie" else "__store"], outputCol="__x"),
+            (GBTRegressor if self.kind == "trees" else GeneralizedLinearRegression)(featuresCol="__x", labelCol=target, predictionCol="__p", **self.params),
         ]
         rows = train.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
         self.features, self.model = list(features), Pipeline(stages=stages).fit(self._filled(rows, features))
@@ -45,29 +49,46 @@ class GlobalForecaster:
     def predict(self, rows: DataFrame, out: str = "forecast_units") -> DataFrame:
         if self.model is None:
             raise NotFitted("fit the model first")
-        return self.model.transform(self._filled(rows, self.features)).withColumn(out, F.greatest(F.lit(0.0), F.col("__p"))).drop("__store", "__x", "__p")
+        return self.model.transform(self._filled(rows, self.features)).withColumn(out, F.greatest(F.lit(0.0), F.col("__p"))).drop("__store", "__one", "__x", "__p", *[f"__{c}" for c in self.features])
 
-    @staticmethod
-    def _filled(rows: DataFrame, features: list[str]) -> DataFrame:
-        return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    def _filled(self, rows: DataFrame, features: list[str]) -> DataFrame:
+        """Missing features are 0. Under the log link, past sales enter by their logarithm: they act on it in proportion."""
+        past = lambda c: self.kind == "tweedie" and c.startswith(("lag_", "rolling_mean", "rolling_std"))
+        value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        return rows.withColumns({c: F.log1p(F.greatest(value(c), F.lit(0.0))) if past(c) else value(c) for c in features})
 
     def save(self, path: str, meta: dict) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        SparkSession.active().createDataFrame([(json.dumps(meta | {"params": self.params, "features": self.features}, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        SparkSession.active().createDataFrame([(json.dumps(meta | {"params": self.params, "kind": self.kind, "features": self.features}, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def train_or_load(path: str, train: FeatureSet, cutoff: date, force: bool = False, **params: float) -> tuple[GlobalForecaster, dict, bool]:
+def global_backtest(facts: DataFrame, calendar: DataFrame, stores: DataFrame, folds: list[Fold], kind: str = "tweedie", name: str = "global_model", **params: float) -> DataFrame:
+    """fold_id, keys, date and the global model's forecast of every fold: a model for each, fitted on the features of its
+    training days alone. The folds are a handful, and each fit is one Spark job over all series."""
+    out = None
+    for fold in folds:
+        horizon = (fold.forecast_end - fold.train_end).days
+        train, future = build_fold_features(facts, calendar, stores, fold.train_end, horizon)
+        model = GlobalForecaster(kind, **params).fit(train.df, train.all_feature_cols)
+        found = model.predict(future.df, name).select(F.lit(fold.fold_id).alias("fold_id"), "store_id", "item_id", "date", name)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no fold has enough days to train on")
+    return out
+
+
+def train_or_load(path: str, train: FeatureSet, cutoff: date, force: bool = False, kind: str = "trees", **params: float) -> tuple[GlobalForecaster, dict, bool]:
     """(model, its notes, whether it was loaded): reused only where parameters, features and cutoff are the same."""
     spark = SparkSession.active()
-    wanted = {"params": {**PARAMS, **params}, "features": train.all_feature_cols, "training_cutoff": str(cutoff)}
+    wanted = {"params": GlobalForecaster(kind, **params).params, "kind": kind, "features": train.all_feature_cols, "training_cutoff": str(cutoff)}
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
     if not force and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/meta").collect()))  # one small file
         if all(meta.get(k) == v for k, v in wanted.items()):
-            known = GlobalForecaster(**params)
+            known = GlobalForecaster(kind, **params)
             known.features, known.model = meta["features"], PipelineModel.load(f"{path}/model")
             return known, meta, True
-    made = GlobalForecaster(**params).fit(train.df, train.all_feature_cols)
+    made = GlobalForecaster(kind, **params).fit(train.df, train.all_feature_cols)
     made.save(path, {"training_cutoff": str(cutoff)})
     return made, wanted, False
 

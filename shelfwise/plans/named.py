@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shelfwise.functions.semantics import long, ones, percent, ratio, rounded
+from shelfwise.operators.ranking import in_order, quantile_group
 from shelfwise.plans.binding import Retail
 
 
@@ -224,7 +225,8 @@ def declining_products(m: Retail, min_prior_units: int, top_n: int) -> DataFrame
 @query(min_total_units=100, top_n=10)
 def product_volatility(m: Retail, min_total_units: int, top_n: int) -> DataFrame:
     use = m.v_series_summary.where((F.col("total_units") >= min_total_units) & F.col("cv_daily_units").isNotNull()).withColumn("cv", rounded(F.col("cv_daily_units"), 9))
-    quartile = long(F.ntile(4).over(Window.orderBy("cv", "item_id", "store_id")))
+    use = in_order(use, [F.col("cv"), F.col("item_id"), F.col("store_id")])
+    quartile = quantile_group(4)
     shown = use.select("item_id", "store_id", "cat_id", "total_units", rounded(F.col("mean_daily_units"), 4).alias("mean_daily_units"), rounded(F.col("sd_daily_units"), 4).alias("sd_daily_units"), rounded(F.col("cv_daily_units"), 3).alias("cv_daily_units"), rounded(F.col("zero_share"), 3).alias("zero_share"), quartile.alias("volatility_quartile"), "cv")
     return shown.orderBy(F.desc("cv"), "item_id", "store_id").limit(top_n).drop("cv")
 
@@ -239,11 +241,10 @@ def persistent_low_demand(m: Retail, max_mean_daily: float, min_zero_share: floa
 
 @query()
 def abc_classification(m: Retail) -> DataFrame:
-    """Classes by inclusive cumulative share; the running sum is over one row for each series."""
-    total = m.v_series_summary.agg(F.sum("total_units").alias("grand"))
-    running = F.sum("total_units").over(Window.orderBy(F.desc("total_units"), "item_id", "store_id").rowsBetween(Window.unboundedPreceding, 0))
-    share = F.col("cum") / F.col("grand").cast("double")
-    classed = m.v_series_summary.select("total_units", running.alias("cum")).crossJoin(F.broadcast(total)).select("total_units", F.when(share <= 0.80, "A").when(share <= 0.95, "B").otherwise("C").alias("abc_class"))
+    """Classes by inclusive cumulative share."""
+    series = in_order(m.v_series_summary.select("total_units", "item_id", "store_id"), [F.desc("total_units"), F.col("item_id"), F.col("store_id")], "total_units")
+    share = F.col("running") / F.col("grand").cast("double")
+    classed = series.select("total_units", F.when(share <= 0.80, "A").when(share <= 0.95, "B").otherwise("C").alias("abc_class"))
     by = classed.groupBy("abc_class").agg(count_rows().alias("n_series"), F.sum("total_units").alias("total_units"))
     share_of = lambda c: rounded(percent(F.col(c), F.sum(c).over(everywhere())), 2)
     return by.withColumns({"pct_of_series": share_of("n_series"), "pct_of_units": share_of("total_units")}).orderBy("abc_class")

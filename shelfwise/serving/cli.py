@@ -11,15 +11,21 @@ from shelfwise.serving.store import ForecastStore, StoreError
 
 
 def answer(f: Callable, *args, **kwargs) -> int:
-    """Prints the answer, or the error as JSON with exit code 1."""
+    """Prints the answer; an error goes to stderr as JSON, with exit code 1. No traceback reaches the caller."""
     try:
         print(json.dumps(f(*args, **kwargs), default=str, indent=2))
     except StoreError as e:
-        print(json.dumps({"error": type(e).__name__, "message": str(e)}))
-        return 1
+        return failed(type(e).__name__, e)
+    except Exception as e:  # noqa: BLE001  the last resort
+        return failed("InternalError", e)
     return 0
 
 
+def failed(kind: str, error: Exception) -> int:
+    print(json.dumps({"error": kind, "message": str(error)}), file=sys.stderr)
+    return 1
+
+
 def main(argv: list[str] | None = None, store: ForecastStore | None = None) -> int:
     parser = argparse.ArgumentParser(prog="shelfwise")
     parser.add_argument("--folder", default="reports/serving")

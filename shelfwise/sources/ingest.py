@@ -103,7 +103,23 @@ def write_star_schema(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def read_star_schema(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("fact_sales", "dim_product", "dim_store", "dim_calendar", "dim_price")}
+    found = {n: spark.read.parquet(f"{folder}/{n}") for n in ("fact_sales", "dim_product", "dim_store", "dim_calendar", "dim_price")}
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'store_id' else f.dataType.simpleString()}" for f in found["fact_sales"].schema)
+    return found | {"fact_sales": spark.read.schema(kinds).parquet(f"{folder}/fact_sales")}  # a store called 007 stays a text
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """store_id, item_id, inventory_position of a CSV file; a number that is none is null, a pair that repeats an error."""
+    stock = spark.read.csv(path, header=True)
+    if missing := {*KEYS, "inventory_position"} - set(stock.columns):
+        raise ValueError(f"{path} has no {sorted(missing)}")
+    stock = stock.select(*KEYS, F.expr("try_cast(inventory_position AS double)").alias("inventory_position"))
+    return join_to_one(stock.select(*KEYS).distinct(), stock, KEYS)
+
+
+def read_risk_report(spark: SparkSession, path: str) -> DataFrame:
+    """segment, method, rmse of a CSV file of metrics by segment, for `replenishment.segment_risk`."""
+    return spark.read.csv(path, header=True).select("segment", "method", F.expr("try_cast(rmse AS double)").alias("rmse"))
 
 
 def make_fixture(spark: SparkSession, folder: str, stores: int = 3, items: int = 12, days: int = 800, seed: int = 0) -> None:

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.config import load_config
-from shelfwise.operators import profile, replenishment
+from shelfwise.operators import backtest, profile, replenishment
 from shelfwise.plans import named, sqlfiles
 from shelfwise.plans.binding import Retail
-from shelfwise.plans.forecast import GlobalForecaster, NotFitted, historical_mean, production_forecast
+from shelfwise.plans.forecast import GlobalForecaster, NotFitted, global_backtest, historical_mean, production_forecast
 from shelfwise.plans.reports import export_kpis, markdown
 from shelfwise.serving import cli
 from shelfwise.serving.store import ForecastStore, InvalidRequest, NotFound, publish
@@ -102,10 +102,52 @@ def test_forecast_to_answers(spark, model, tmp_path, capsys):
     with pytest.raises(InvalidRequest):
         store.get_risk(0)
     assert cli.main(["summary"], store) == 0 and json.loads(capsys.readouterr().out)["n_series"] == 12
-    assert cli.main(["forecast", "no", "no"], store) == 1 and json.loads(capsys.readouterr().out)["error"] == "NotFound"
+    assert cli.main(["forecast", "no", "no"], store) == 1
+    said = capsys.readouterr()
+    assert said.out == "" and json.loads(said.err)["error"] == "NotFound"
+    assert cli.answer(lambda: 1 / 0) == 1 and json.loads(capsys.readouterr().err) == {"error": "InternalError", "message": "division by zero"}
     assert ForecastStore(spark, f"{tmp_path}/empty").health()["status"] == "degraded"
 
 
+def test_global_model_in_every_fold(spark, model):
+    """A model for each fold, of its training days alone: what follows them changes nothing."""
+    first, last = model.v_sales.agg(F.min("date"), F.max("date")).first()
+    folds = backtest.generate_folds(first, last, backtest.Scheme(7, 2, 7, 60))
+    assert len(folds) == 2
+    for kind in ("tweedie", "trees"):
+        small = {"maxIter": 3} if kind == "trees" else {}
+        found = global_backtest(model.v_sales, model.dim_calendar, model.dim_store, folds, kind, **small)
+        rows = {(r.fold_id, r.store_id, r.item_id, r.date): r.global_model for r in found.collect()}
+        trained = sum(model.v_sales.where(F.col("date") <= F.lit(f.train_end)).select("store_id", "item_id").distinct().count() for f in folds)
+        assert len(rows) == trained * 7 and min(rows.values()) >= 0
+        changed = model.v_sales.withColumn("sales", F.when(F.col("date") > F.lit(folds[0].train_end), 999).otherwise(F.col("sales")))
+        again = {(r.fold_id, r.store_id, r.item_id, r.date): r.global_model for r in global_backtest(changed, model.dim_calendar, model.dim_store, folds[:1], kind, **small).collect()}
+        assert again == pytest.approx({k: v for k, v in rows.items() if k[0] == 1}, rel=1e-6)
+    metrics = backtest.metric_cut(backtest.run_backtest(model.v_sales, backtest.folds_frame(spark, folds), smoothers=False).join(found, ["fold_id", "store_id", "item_id", "date"]), ["fold_id"], ["ma7", "global_model"])
+    assert metrics.count() == 4 and metrics.where("wape is null").isEmpty()
+    with pytest.raises(ValueError):
+        global_backtest(model.v_sales, model.dim_calendar, model.dim_store, [])
+
+
+def test_filters_and_columns_reach_the_scan(model):
+    plan = model.v_sales.where("store_id = 'CA_1' and date > '2011-04-01'").groupBy("item_id").agg(F.sum("sales"))._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "PartitionFilters: [isnotnull(store_id" in plan and "GreaterThan(date" in plan
+    scan = next(line for line in plan.splitlines() if "fact_sales" in line)
+    assert "sell_price" not in scan.rpartition("ReadSchema")[2]
+
+
+def test_inventory_and_risk_files(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("store_id,item_id,inventory_position,note\ns,a,5,x\ns,b,many,\ns,c,,\n")
+    assert sorted(map(tuple, ingest.read_inventory(spark, f"{tmp_path}/i.csv").collect())) == [("s", "a", 5.0), ("s", "b", None), ("s", "c", None)]
+    (tmp_path / "bad.csv").write_text("store_id,stock\ns,1\n")
+    (tmp_path / "twice.csv").write_text("store_id,item_id,inventory_position\ns,a,5\ns,a,6\n")
+    for name in ("bad", "twice"):
+        with pytest.raises(ValueError):
+            ingest.read_inventory(spark, f"{tmp_path}/{name}.csv")
+    (tmp_path / "r.csv").write_text("fold_id,segment,method,rmse\n1,smooth,ses,2.0\n2,smooth,ses,4.0\n1,lumpy,naive,9\n")
+    assert [tuple(r) for r in replenishment.segment_risk(ingest.read_risk_report(spark, f"{tmp_path}/r.csv"), "ses").collect()] == [("smooth", 3.0)]
+
+
 def test_serving_does_not_import_the_model():
     code = "import sys, shelfwise.serving.cli, shelfwise.operators.replenishment; sys.exit(any('forecast' in m and 'shelfwise' in m for m in sys.modules) or 'pyspark.ml' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0

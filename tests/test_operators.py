@@ -2,13 +2,14 @@
 
 import math
 from datetime import date, timedelta
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions.semantics import CardinalityError, join_to_one
-from shelfwise.operators import backtest, features, profile, quality, replenishment, stats
+from shelfwise.operators import backtest, features, profile, quality, ranking, replenishment, stats
 
 D0 = date(2020, 1, 1)
 
@@ -97,6 +98,33 @@ def test_methods_match_their_recursions(spark, facts):
             assert got[(f.fold_id, s, i, 8)].seasonal_naive is None and r.actual == all_y[n]
 
 
+def test_sba_smooths_intervals_by_beta(spark, facts):
+    train = backtest.training(facts, backtest.folds_frame(spark, backtest.generate_folds(D0, D0 + timedelta(days=119), backtest.Scheme(14, 1, 14, 60))))
+    got = {(r.store_id, r.item_id): (r.croston, r.sba) for r in backtest.smoothed(train, 0.1, 0.3).collect()}
+    ys = {}
+    for r in train.orderBy("date").collect():
+        ys.setdefault((r.store_id, r.item_id), []).append(r.sales)
+    for key, y in ys.items():
+        hits = [k for k, v in enumerate(y) if v > 0]
+        z, p, q, last = y[hits[0]], hits[0] + 1, hits[0] + 1, hits[0]
+        for k in hits[1:]:
+            z, p, q, last = 0.1 * y[k] + 0.9 * z, 0.1 * (k - last) + 0.9 * p, 0.3 * (k - last) + 0.7 * q, k
+        assert got[key] == pytest.approx((z / p, z / q * 0.85))
+
+
+def test_best_methods(spark):
+    rows = [(f, h, 10.0, 10.0 + f, 10.0 + h, 10.0, 15.0) for f in (1, 2) for h in (1, 2)]
+    df = spark.createDataFrame(rows, "fold_id int, horizon_day int, actual double, a double, b double, c double, d double")
+    got = backtest.best_methods(df, ["a", "b", "c", "d"]).orderBy("horizon_day").collect()
+    assert [tuple(r) for r in got] == [(h, "c", 0.0, "a", 1.5, "b", float(h)) for h in (1, 2)]
+
+
+def test_cold_series(spark):
+    df = sales(spark, {("S", "old"): [1] * 100}).unionAll(spark.createDataFrame([("S", "new", D0 + timedelta(days=95), 3)], "store_id string, item_id string, date date, sales int"))
+    folds = backtest.folds_frame(spark, backtest.generate_folds(D0, D0 + timedelta(days=99), backtest.Scheme(10, 1, 10, 50)))
+    assert [tuple(r) for r in backtest.cold_series(df, folds).collect()] == [(1, "S", "new")]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(2.0, 3.0), (0.0, 0.0), (0.0, 2.0), (4.0, 3.0), (5.0, None), (None, 1.0), (1.0, float("nan"))], "actual double, forecast double")
     got = df.agg(*[c.alias(k) for k, c in backtest.metric_columns().items()]).first().asDict()
@@ -116,11 +144,74 @@ def test_rank_tests(spark):
     mu, n = 1000, 90
     ties = sum(c**3 - c for c in np.unique(np.concatenate([x, y]), return_counts=True)[1])
     assert h.h == pytest.approx((r.u - mu) ** 2 / (2000 / 12 * (n + 1 - ties / (n * (n - 1)))))
-    assert stats.chi_square_tail(h.h, 1) == pytest.approx(math.erfc(math.sqrt(h.h / 2))) and stats.chi_square_tail(6.0, 2) == pytest.approx(math.exp(-3))
+    assert h.p_value == pytest.approx(math.erfc(math.sqrt(h.h / 2)), abs=2e-7)
+    cases = [(0.0, 1), (6.0, 2), (3.84, 1), (7.0, 4), (9.5, 4), (11.07, 5), (2.0, 3), (60.0, 7)]
+    tails = [r.p for r in spark.createDataFrame([(k, x, d) for k, (x, d) in enumerate(cases)], "k int, x double, d int").orderBy("k").select(stats.chi_square_tail(F.col("x"), F.col("d")).alias("p")).collect()]
+    rest = lambda x, d: 1.0 if x <= 0 else (math.erfc(math.sqrt(x / 2)) if d == 1 else math.exp(-x / 2)) if d <= 2 else rest(x, d - 2) + (x / 2) ** (d / 2 - 1) * math.exp(-x / 2) / math.gamma(d / 2)
+    assert tails == pytest.approx([rest(x, d) for x, d in cases], abs=2e-7)
     tail = spark.createDataFrame([(z,) for z in (0.0, 0.5, 1.96, 4.0)], "z double").select("z", stats.normal_tail(F.col("z")).alias("p")).collect()
     assert all(abs(t.p - math.erfc(t.z / math.sqrt(2))) < 2e-7 for t in tail)
 
 
+def test_small_samples_without_ties_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for t, (m, n) in enumerate([(2, 3), (4, 5), (8, 3), (5, 12)]):
+        values = rng.permutation(40)[: m + n].astype(float)
+        rows += [(str(t), int(k < m), float(v)) for k, v in enumerate(values)]
+        u = lambda a, b: sum(x > y for x in a for y in b)
+        seen = u(values[:m], values[m:])
+        all_ = [u([values[i] for i in c], [values[i] for i in range(m + n) if i not in c]) for c in combinations(range(m + n), m)]
+        want[str(t)] = min(1.0, 2 * sum(x >= max(seen, m * n - seen) for x in all_) / len(all_))
+    rows += [("tie", g, v) for g, v in ((1, 1.0), (1, 2.0), (0, 2.0), (0, 3.0))] + [("one", 1, 1.0), ("one", 0, 2.0), ("one", 0, 3.0), ("none", 0, 3.0)]
+    got = {r.test: r for r in stats.mann_whitney(spark.createDataFrame(rows, "test string, g int, x double"), "test", "g", "x").collect()}
+    assert {t: got[t].p_value for t in want} == pytest.approx(want)
+    assert 0.1 < got["tie"].p_value < 1 and (got["one"].n_x, got["one"].n_y, got["one"].u, got["one"].p_value) == (1, 2, None, None) and got["none"].n_x == 0
+
+
+def test_kruskal_leaves_small_groups_out(spark):
+    rows = [("t", g, float(v)) for g, vs in (("a", (1, 2, 3)), ("b", (4, 5, 6)), ("c", (9,))) for v in vs] + [("alone", "a", 1.0), ("alone", "a", 2.0), ("same", "a", 1.0), ("same", "a", 1.0), ("same", "b", 1.0), ("same", "b", 1.0)]
+    got = {r.test: r for r in stats.kruskal(spark.createDataFrame(rows, "test string, g string, x double"), "test", "g", "x").collect()}
+    assert (got["t"].k, got["t"].n, got["t"].h) == (2, 6, pytest.approx(3.857142857)) and got["t"].p_value == pytest.approx(0.0495346, abs=1e-6)
+    assert got["alone"].h is None and got["alone"].p_value is None and got["same"].h is None
+
+
+def test_permutations_and_resamples(monkeypatch):
+    a, b = np.array([5.0, 6.0, 7.0]), np.array([1.0, 2.0, 3.0, 4.0])
+    everything = [abs(np.mean([x for k, x in enumerate(np.concatenate([a, b])) if k in c]) - np.mean([x for k, x in enumerate(np.concatenate([a, b])) if k not in c])) for c in combinations(range(7), 3)]
+    share = np.mean(np.array(everything) >= abs(a.mean() - b.mean()) - 1e-12)
+    assert stats.permuted_share(a, b, np.random.default_rng(1), 20_000) == pytest.approx(share, abs=0.005)
+    values = np.arange(50.0)
+    seen = []
+
+    def kept(samples, axis):
+        seen.append(samples)
+        return samples.mean(axis=axis)
+
+    monkeypatch.setattr(stats, "DRAWN", 700)
+    boot = stats._resampled(values, np.random.default_rng(2), 40, 4, kept)
+    assert boot.shape == (40,) and max(len(s) for s in seen) <= 14 and all(s.shape[1] == 50 for s in seen)
+    assert all((np.diff(row)[[i for i in range(49) if i % 4 != 3]] == 1).all() for s in seen for row in s)  # blocks of four neighbours
+
+
+def test_places_without_one_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(v), int(k)) for k, v in enumerate(np.where(rng.random(300) < 0.4, 7, rng.integers(0, 50, 300)))]
+    df = spark.createDataFrame(rows, "x long, k long").repartition(5)
+    got = {r.k: r for r in ranking.in_order(df, [F.desc("x"), F.col("k")], "x").withColumn("q", ranking.quantile_group(7)).collect()}
+    running, n = 0, len(rows)
+    sizes = [n // 7 + (g < n % 7) for g in range(7)]
+    group = [g + 1 for g, size in enumerate(sizes) for _ in range(size)]
+    for place, (x, k) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1):
+        running += x
+        assert (got[k].place, got[k].running, got[k].n_rows, got[k].grand, got[k].q) == (place, running, n, sum(r[0] for r in rows), group[place - 1])
+    ranks = {r.x: r["rank"] for r in ranking.mid_ranks(df, "x").collect()}
+    xs = sorted(x for x, _ in rows)
+    assert ranks == {x: np.mean([i + 1 for i, y in enumerate(xs) if y == x]) for x in set(xs)}
+    y = df.withColumn("y", -F.col("x") * F.col("x"))
+    assert stats.spearman(y, "x", "y").first().rho == pytest.approx(-1.0)
+
+
 def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5), ("e", None)], "t string, p_value double")
     got = {r.t: (r.p_fdr, r.significant_fdr) for r in stats.benjamini_hochberg(df).collect()}

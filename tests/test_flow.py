@@ -16,6 +16,7 @@ from shelfwise.plans.forecast import GlobalForecaster, NotFitted, global_backtes
 from shelfwise.plans.reports import export_kpis, markdown
 from shelfwise.serving import cli
 from shelfwise.serving.store import ForecastStore, InvalidRequest, NotFound, publish
+from shelfwise.session import shared_dir
 from shelfwise.sources import ingest
 
 
@@ -153,6 +154,23 @@ def test_serving_does_not_import_the_model():
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0
 
 
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return None
+
+        class sparkContext:
+            master, applicationId = "spark://far:7077", "x"
+
+    for master in ("spark://far:7077", "local-cluster[2,1,1024]", "yarn"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError):
+            shared_dir(Session, "x")
+    assert shared_dir(spark, "x").startswith("file:") and spark.conf.get("spark.checkpoint.dir", None) is None
+
+
 def test_entry_works_without_the_subpackage():
     code = "import sys; sys.modules['shelfwise.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and not [k for k in q if k[:2] == 'op' or k == 'pipeline']"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0

@@ -28,7 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, shared_dir, staged
+from shelfwise.session import shared_dir
+
+from .common import forget, narrow, staged
 from .words import word_ids
 
 MAGIC = b"PLANES01"
@@ -154,6 +156,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col:
     folder = shared_dir(docs.sparkSession, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("words")
         writer = None
         for batch in batches:
             for at in range(0, batch.num_rows, 250):

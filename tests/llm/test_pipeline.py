@@ -78,5 +78,24 @@ def test_stages_match_plain_python(spark, tmp_path):
         assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
 
 
+def test_every_stage_takes_what_is_odd(spark, tmp_path):
+    """Repeated ids and rows, null ids, texts and languages, columns with clashing names, and an empty table."""
+    rows = [(i, t, lang) for i, t, lang in corpus(60, 9)]
+    own = rows[5][1]
+    rows += [(3, own + " tail of its own here", "xx"), (7, rows[7][1], rows[7][2]), (None, rows[8][1], None), (None, own[::-1], None), (None, None, None), (70, "", "xx")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, keep_id long, row string, h long"
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "n", 1, None, k) for k, (i, t, lang) in enumerate(rows)], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if stage is not corpus_pipeline.pack_sequences:
+            assert out.columns == docs.columns and out.count() <= docs.count()
+    kept = {r.h for r in corpus_pipeline.keep_one_copy(spark, docs, str(tmp_path)).collect()}
+    assert 60 in kept and 62 not in kept and len(kept & {7, 61}) == 1 and 63 in kept and len(kept & {64, 65}) == 1
+    near = {r.h for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert 62 not in near and len(near & {7, 61}) == 1 and {63, 64, 65} <= near and len(near & {5, 60}) >= 1
+    assert corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).select("doc_id", "ids_crc32", "piece").count() >= len(rows)
+
+
 def test_stages_are_the_dealt_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]

@@ -82,6 +82,12 @@ def build_long_table(wide: DataFrame, calendar: DataFrame, prices: DataFrame, ch
     return join_to_one(long, calendar.drop("d", "wm_yr_wk", "weekday"), ["date"])
 
 
+def first_series(long: DataFrame, n: int) -> DataFrame:
+    """The rows of the first n series by store and item: a small run of a backtest or forecast."""
+    chosen = long.select(*KEYS).distinct().orderBy(*KEYS).limit(n)
+    return long.join(F.broadcast(chosen), KEYS, "left_semi") if n <= 100_000 else long.join(chosen, KEYS, "left_semi")
+
+
 def star_schema(long: DataFrame, calendar: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
     """Facts, products, stores, calendar and prices; cents are the exact prices that revenue is summed from."""
     series = long.select(*KEYS).distinct()

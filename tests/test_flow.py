@@ -39,6 +39,7 @@ def test_ingestion_rules(spark, model):
     assert long.count() == 4 and ingest.subset(wide, per_store=1).first().item_id == "i1" and ingest.subset(wide, stores=["x"]).isEmpty()
     with pytest.raises(ValueError):
         ingest.wide_to_long(wide, calendar.limit(1))
+    assert ingest.first_series(long, 1).select("item_id").distinct().collect()[0][0] == "i1" and ingest.first_series(long, 9).count() == 4
     prices = spark.createDataFrame([("s", "i1", 1, 2.5)], ingest.PRICES)
     with pytest.raises(ValueError):
         ingest.attach_prices(long, prices.unionAll(prices))

@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
-All stages but the last return the columns of documents. run() applies them to documents.parquet of a folder.
+All stages but the last return the columns of documents. run() applies them to documents.parquet of a folder. This is a job:
+it sets how many rows its session's Python tasks take in a batch, as its executors live through all five stages.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import staged
+from shelfwise.llm.common import BATCH_ROWS, staged
 from shelfwise.llm.exact_dedup import drop_exact
 from shelfwise.llm.langid import UNKNOWN, language_id
 from shelfwise.llm.ngram_join import drop_near
@@ -24,6 +25,7 @@ ORACLE_SQL = None
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; a missing label is filled with it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     told = language_id(docs).where(~F.col("rejected") & (F.col("lang_pred") != UNKNOWN))
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

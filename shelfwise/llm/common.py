@@ -110,6 +110,10 @@ def remembered(name: str, most: int = 4) -> Callable:
     return around
 
 
+#: Of glibc: from this size on memory is mapped by itself.
+M_MMAP_THRESHOLD = -3
+
+
 def give_back() -> None:
     """Returns what a Python worker has freed to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -118,6 +122,9 @@ def give_back() -> None:
 
 
 def forget(but: str = "") -> None:
+    """What other kinds of tasks remember goes; arrays of a megabyte or more go back to the system as soon as they are freed."""
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, 1 << 20)
     stale = [k for k in REMEMBERED if k.split()[0] != but]
     for k in stale:
         REMEMBERED.pop(k)()

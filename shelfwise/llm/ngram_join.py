@@ -49,7 +49,7 @@ FREQUENT, MOST_FREQUENT = 32, 2_000_000
 BROADCAST_NODES = 500_000
 PAGE, COARSE, ROUGH = 32, 4, 4
 #: Sets that meet in one unit of a large block; tasks that deal the sets of a frequent shingle; rows searched together.
-TILE, SPREAD, TOGETHER = 4096, 64, 16_384
+TILE, SPREAD, TOGETHER = 4096, 64, 8_192
 #: Blocks of frequent shingles that a set takes part in in the first round: those of least hash, which alike sets share.
 ASKED = 4
 
@@ -279,8 +279,8 @@ def search_rows(unit: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], l
         folded = folded.astype(np.uint8 if folded.max() <= 255 else np.uint16)
         tree = CountTree(folded, sizes[use], labels[use], np.repeat(edge, size), np.repeat(edge + size, size), sides[use], mine[use], percent)
         asks = np.flatnonzero((groups[use] == g) & (np.repeat(size, size) > 1))
-        for k in range(0, len(asks), 1024):
-            part = asks[k : k + 1024]
+        for k in range(0, len(asks), 256):
+            part = asks[k : k + 256]
             for i, j in [tree.search(part)] if every else [tree.ends(part), tree.ends(part, True)]:
                 new = (groups[use[j]] != g) | (j < i) if every else i != j  # pairs of two larger ones are found at their own number
                 yield use[i[new]], use[j[new]]
@@ -303,6 +303,7 @@ def search_units(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
             least = pc.less(x, y)
             yield pa.RecordBatch.from_arrays([pc.if_else(least, x, y), pc.if_else(least, y, x)], names=["a", "b"])
 
+    forget()
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -344,6 +345,7 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
             more.clear()
             return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
 
+        forget("powers")
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * _SEGMENT / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
@@ -352,7 +354,7 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
                 more += [s[len(h) : 4 * len(h)] for s, h in zip((s for s in sets if len(s)), heads, strict=True)]
                 key, n = np.unique(np.concatenate([np.empty(0, U), *heads]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-                if sum(map(len, more)) > 2_000_000:
+                if sum(map(len, more)) > 1_000_000:
                     yield met()
         if more:
             yield met()
@@ -451,8 +453,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "size", "point", "rough", "packed"])
 
-    found = map_arrow(rows, describe, "node binary, size long, point binary, rough binary, packed binary", _SEGMENT, "powers")
-    return found.dropDuplicates(["node"])  # rows that repeat an id and a text
+    return map_arrow(rows, describe, "node binary, size long, point binary, rough binary, packed binary", _SEGMENT, "powers")
 
 
 _LETTERS = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -532,6 +533,10 @@ def joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
     involved = staged(nodes.join(block.select("node").distinct(), "node").groupBy("node").agg(first.alias("row")).select("node", "row.doc_id", "row.h"), "join-involved")
     texts = staged(node_texts(rows, involved, words), "join-texts")
+    if texts.count() > involved.count():  # rows repeat an id and a text
+        once = staged(texts.dropDuplicates(["node"]), "join-texts")
+        discard(texts)
+        texts = once
     pairs = searched(block.where("asks").withColumn("label", F.lit(None).cast("binary")), texts, percent, "rough", False)
     links = staged(verified(pairs, texts, words, percent), "join-links")
     labels = components(links)

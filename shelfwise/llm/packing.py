@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

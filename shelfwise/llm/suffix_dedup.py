@@ -39,13 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import few, forget, give_back, map_arrow, staged
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
-SHALLOW, TOGETHER = 16, 15_000
+SHALLOW, TOGETHER = 16, 6_000
 #: Bytes of texts in a bundle (a longer text is one by itself); bundles that make an anchor hot; buckets for each partition.
-BUNDLE, HOT, BUCKETS = 1 << 19, 1000, 4
-#: Answers to bundles are sent to all tasks while they have this many bytes at most; beyond, a join by bundle.
-BROADCAST_BYTES = 32 << 20
+BUNDLE, HOT, BUCKETS = 1 << 18, 2000, 4
 
 U = np.uint64
 KEY_BYTES = 6
@@ -94,11 +92,11 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int
 def own_windows(at: np.ndarray, h: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) start of the windows that have each of these anchors; they are neighbours."""
     first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for k in range(0, len(at), 20_000):
-        a = at[k : k + 20_000]
+    for k in range(0, len(at), 5_000):
+        a = at[k : k + 5_000]
         start = a[:, None] + np.arange(1 - width, 1)
-        own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h[k : k + 20_000, None])
-        first[k : k + 20_000], last[k : k + 20_000] = a + 1 - width + own.argmax(axis=1), a - own[:, ::-1].argmax(axis=1)
+        own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h[k : k + 5_000, None])
+        first[k : k + 5_000], last[k : k + 5_000] = a + 1 - width + own.argmax(axis=1), a - own[:, ::-1].argmax(axis=1)
     return first, last
 
 
@@ -450,12 +448,6 @@ def context_answers(bucket: int, bundles: list[int], blocks: list[bytes], length
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["bundle", "runs"])
 
 
-def answered(bundles: DataFrame, answers: DataFrame, size: str) -> DataFrame:
-    """bundles with the columns of answers (a row for each bundle at most), which are sent to all tasks while they are small."""
-    total = answers.agg(F.sum(size)).first()[0] or 0
-    return bundles.join(F.broadcast(answers) if total <= BROADCAST_BYTES else answers, "bundle", "left")
-
-
 def wanted_keys(bundle: Opened, ids: np.ndarray, answer: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(whether two documents share a key, whether it is hot) for each key of the bundle."""
     wanted, hot = bundle.shared_here(ids), np.zeros(len(bundle.codes), bool)
@@ -536,12 +528,12 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
 
     asked = map_arrow(bundles.select("bundle", "sizes", "blob"), keys, "bucket long, bundle long, block binary")
     shared = by_bucket(asked, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: key_answers(*a, many)), "bundle long, bucket long, bits binary")
-    answers = staged(shared.groupBy("bundle").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared"), F.sum(F.length("bits")).alias("n_bits")), "suffix-shared")
-    known = answered(bundles, answers, "n_bits")
+    answers = staged(shared.groupBy("bundle").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared")), "suffix-shared")
+    known = bundles.join(answers, "bundle", "left")  # both grow with the corpus, so neither is sent to all tasks
     sent = map_arrow(known.select("bundle", "ids", "sizes", "blob", "shared"), contexts, "bucket long, bundle long, block binary")
     runs = by_bucket(sent, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: context_answers(*a, length)), "bundle long, runs binary")
-    cuts = staged(runs.groupBy("bundle").agg(F.collect_list("runs").alias("runs"), F.sum(F.length("runs")).alias("n_runs")), "suffix-runs")
-    told = answered(known, cuts, "n_runs")
+    cuts = staged(runs.groupBy("bundle").agg(F.collect_list("runs").alias("runs")), "suffix-runs")
+    told = known.join(cuts, "bundle", "left")
     more = ", kept string" * bool(others) + "".join(f", `{c}` {bundles.schema[c].dataType.elementType.simpleString()}" for c in others)
     return map_arrow(told.select("bundle", "ids", "sizes", "blob", "shared", "runs", *others), strip, ", ".join(f"{c} {t}" for c, t in RESULT.items()) + more, 1 << 20)
 

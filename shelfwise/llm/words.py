@@ -8,7 +8,6 @@ batches, each distinct one once while it is remembered.
 from __future__ import annotations
 
 import os
-from functools import cached_property
 
 import numpy as np
 
@@ -25,24 +24,14 @@ LATIN = "\u0250"
 
 class WordIds:
     def __init__(self, path: str, most: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.most = path, most
-        self.plain = self.load()
-        self.plain.normalizer = None
-        self.zero = self.plain.encode("0", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
-
-    def load(self):
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(self.path)
-        made.encode_special_tokens = True
-        return made
-
-    @cached_property
-    def tokenizer(self):
-        """With its normalizer: loaded when a text needs it."""
-        return self.load()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None  # set back for runs that need it
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -61,13 +50,16 @@ class WordIds:
 
     def learn(self, new: set[str]) -> None:
         latin = [w for w in new if w.isascii() or max(w) < LATIN]
-        self.together(self.plain, latin, [w.lower() for w in latin])
+        self.together(latin, [w.lower() for w in latin])
         other = [w for w in new if not w.isascii() and max(w) >= LATIN]
         if other:
-            self.together(self.tokenizer, other, other)
+            self.tokenizer.normalizer = self.normalizer
+            self.together(other, other)
+            self.tokenizer.normalizer = None
 
-    def together(self, tokenizer, runs: list[str], texts: list[str]) -> None:
+    def together(self, runs: list[str], texts: list[str]) -> None:
         """Encodes texts of runs, many in a call; those with the digit that parts them are alone."""
+        tokenizer = self.tokenizer
         odd = {i for i, t in enumerate(texts) if "0" in t}
         for i in odd:
             self.known[runs[i]] = np.asarray(tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()

@@ -141,6 +141,15 @@ def test_bpe_matches_tiktoken_and_round_trips(docs):
     assert got == sorted(want, key=repr)
 
 
+def test_bpe_bytes_come_back(docs):
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = bpe.decode_bpe(bpe.encode_bpe(docs, path, P.PATTERN), path, P.PATTERN).collect()
+    assert sorted((r.doc_id, bytes(r.bytes).decode()) for r in rows) == sorted((i, t or "") for i, t in [*enumerate(TEXTS), (3, "a")])
+    lost = docs.sparkSession.createDataFrame([(1, [0xD0, 5]), (2, None)], bpe.SCHEMA)
+    enc = bpe.encoding(path, P.PATTERN)
+    assert {r.doc_id: bytes(r.bytes) for r in bpe.decode_bpe(lost, path, P.PATTERN).collect()} == {1: enc.decode_bytes([0xD0, 5]), 2: b""}  # not valid UTF-8, still decoded
+
+
 def test_bpe_safe_boundaries():
     enc = bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = random.Random(1)

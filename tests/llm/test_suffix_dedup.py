@@ -56,7 +56,6 @@ def test_matches_the_definition(spark, monkeypatch, seed, small, hot):
         monkeypatch.setattr(sd, "HOT", hot)
     if small:
         monkeypatch.setattr(sd, "BUNDLE", small)
-        monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
     rows = documents(seed)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, tag string").repartition(3)
     got = sorted(tuple(r) for r in suffix_dedup(df).collect())

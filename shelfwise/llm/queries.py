@@ -86,6 +86,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows.where(F.col("vec_id") % 20 == 0), rows, most=20)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import merkle_manifest
+
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL_OP5 = f"""
@@ -111,6 +130,74 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+SQL_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+f AS (
+  SELECT w.doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+     100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), first_id < w.doc_id] AS fails
+  FROM w LEFT JOIN labels USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM letters a JOIN letters b ON a.i <> b.i JOIN letters c ON c.i NOT IN (a.i, b.i)
+  JOIN letters d ON d.i NOT IN (a.i, b.i, c.i) JOIN letters e ON e.i NOT IN (a.i, b.i, c.i, d.i)),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+steps AS (
+  SELECT part, filter_order, step, o[step] AS own, n, good, toxic, fails[o[step]] AS fails_own,
+    list_contains(list_transform(o[1:step - 1], lambda x: fails[x]), true) AS gone,
+    len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM cells CROSS JOIN orders CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) s),
+sums AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_own), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND fails_own), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE gone AND fails_own), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE fails_own AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (WHERE NOT gone AND fails_own), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_own), 0) AS BIGINT) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM sums
+"""
+
+
+def _sql_op13(levels: int = 9) -> str:
+    """Levels of trees one after the other: enough for 8 ** levels documents of a language."""
+
+    def level(name: str, below: str, key: str) -> str:
+        run, order = f"PARTITION BY {key}i // 8 ORDER BY i", "ROWS BETWEEN"
+        side = lambda frame: f"coalesce(string_agg(h, '' ORDER BY i) OVER ({run} {order} {frame}), '')"
+        return f"""{name}s AS (SELECT *, CASE WHEN n > 1 THEN {side("UNBOUNDED PRECEDING AND 1 PRECEDING")} ELSE '' END AS l,
+    CASE WHEN n > 1 THEN {side("1 FOLLOWING AND UNBOUNDED FOLLOWING")} ELSE '' END AS r FROM {below}),
+{name} AS (SELECT {key}i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 7) // 8 AS n FROM {below} GROUP BY {key}i // 8)"""
+
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    own = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), text]) + ")"
+    crc = "list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    parts = [
+        f"""d AS (SELECT *, {leaf(field("text"))} AS leaf, {leaf(field(own))} AS lowered, xor({crc}, 4294967295) % 3 = 0 AS bad FROM documents)""",
+        "a0 AS (SELECT doc_id, lang, leaf AS h, CASE WHEN bad THEN lowered ELSE leaf END AS changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        *[level(f"a{k + 1}", f"a{k}", "lang, ") for k in range(levels)],
+        f"b0 AS (SELECT h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, lang FROM a{levels})",
+        *[level(f"b{k + 1}", f"b{k}", "") for k in range(levels)],
+        f"f0 AS (SELECT *, i AS own, changed AS fold, '' AS said FROM a0)",
+    ]
+    for k in range(levels):
+        parts.append(f"f{k + 1} AS (SELECT f.doc_id, f.lang, f.h, f.own, CASE WHEN s.n > 1 THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold, f.said || s.l || s.r AS said FROM f{k} f JOIN a{k + 1}s s ON s.lang IS NOT DISTINCT FROM f.lang AND s.i = f.own // {8**k})")
+    parts.append(f"g0 AS (SELECT f.*, b.i AS up, b.h AS subroot FROM f{levels} f JOIN b0 b ON b.lang IS NOT DISTINCT FROM f.lang)")
+    for k in range(levels):
+        parts.append(f"g{k + 1} AS (SELECT f.doc_id, f.h, f.up, f.subroot, CASE WHEN s.n > 1 THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold, f.said || s.l || s.r AS said FROM g{k} f JOIN b{k + 1}s s ON s.i = f.up // {8**k})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT g.doc_id, g.h AS leaf, g.subroot, root.h AS root, sha256(g.said) AS proof_sha256, g.fold AS folded_root, g.fold = root.h AS verified
+FROM g{levels} g CROSS JOIN b{levels} root
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
@@ -118,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": SQL_OP5, "op7_chat_format": SQL_OP7}
+    return {"op5_exact_dedup": SQL_OP5, "op7_chat_format": SQL_OP7, "op11_filter_audit": SQL_OP11, "op13_merkle_manifest": _sql_op13()}

@@ -60,10 +60,11 @@ def nodes_at(n: int, level: int) -> int:
 
 
 class Forest:
-    """Unresolved nodes of any trees, and the runs that were resolved. sizes: leaves of each tree, TOP's own included."""
+    """Unresolved nodes of any trees, and the runs of level `block` and above that were resolved. sizes: leaves of each tree,
+    TOP's own included."""
 
-    def __init__(self, trees: int):
-        self.trees, self.sizes = trees, {TOP: trees}
+    def __init__(self, trees: int, block: int = BLOCK_LEVEL):
+        self.block, self.sizes = block, {TOP: trees}
         self.open: dict[tuple[int, int, int], dict[int, str]] = defaultdict(dict)
         self.closed: list[tuple[int, int, int, list[str]]] = []
 
@@ -84,7 +85,7 @@ class Forest:
                 return
             children = [run[i] for i in sorted(run)]
             del self.open[tree, level, parent]
-            if tree == TOP or level >= BLOCK_LEVEL:
+            if tree == TOP or level >= self.block:
                 self.closed.append((tree, level, parent, children))
             level, index, node = level + 1, parent, digest("".join(children))
 
@@ -104,18 +105,18 @@ def fragment_rows(forests: dict[int, Forest]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in FRAGMENT.split(", ")])
 
 
-def first_fragments(leaves: DataFrame, trees: int) -> DataFrame:
+def first_fragments(leaves: DataFrame, trees: int, block: int) -> DataFrame:
     """A fragment for each range of leaves and task that reads it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests: dict[int, Forest] = {}
         for b in batches:
             for part, tree, n, index, node in zip(*[b[c].to_pylist() for c in ("part", "tree", "leaves", "index", "leaf")], strict=True):
-                forests.setdefault(part, Forest(trees)).add(tree, n, 0, index, node)
+                forests.setdefault(part, Forest(trees, block)).add(tree, n, 0, index, node)
             for p, f in forests.items():  # resolved runs need not wait
                 if len(f.closed) > 1000:
                     done, f.closed = f.closed, []
-                    done_only = Forest(trees)
+                    done_only = Forest(trees, block)
                     done_only.sizes, done_only.closed = f.sizes, done
                     yield fragment_rows({p: done_only})
         yield fragment_rows(forests)
@@ -123,11 +124,11 @@ def first_fragments(leaves: DataFrame, trees: int) -> DataFrame:
     return leaves.mapInArrow(run, FRAGMENT)
 
 
-def merged(fragments: DataFrame, trees: int) -> DataFrame:
+def merged(fragments: DataFrame, trees: int, block: int) -> DataFrame:
     """Fragments of FAN neighbouring ranges as one."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        forest = Forest(trees)
+        forest = Forest(trees, block)
         for _, tree, n, level, index, node, _ in zip(*[c.to_pylist() for c in table.columns], strict=True):
             forest.add(tree, n, level, index, node)
         return pa.Table.from_batches([fragment_rows({key[0].as_py(): forest})])
@@ -156,16 +157,16 @@ def numbered_leaves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, runs
 
 
-def forest_runs(leaves: DataFrame, trees: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def forest_runs(leaves: DataFrame, trees: int, parts: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(resolved runs above the blocks, the root) by merging fragments until one is left."""
     found = []
-    now = staged(first_fragments(leaves, trees), "fragments")
+    now = staged(first_fragments(leaves, trees, block), "fragments")
     while True:
         found.append(now.where("children is not null"))
         if parts <= 1:
             break
         parts = -(-parts // FAN)
-        now = staged(merged(now.where("children is null"), trees), "fragments")
+        now = staged(merged(now.where("children is null"), trees, block), "fragments")
     runs = found[0]
     for x in found[1:]:
         runs = runs.unionByName(x)
@@ -177,7 +178,7 @@ def depth(n: Column) -> Column:
     return sum(((n > ARITY**k).cast("int") for k in range(21)), F.lit(0))
 
 
-def paths(runs: DataFrame, root: DataFrame, sizes: DataFrame, trees: int, longest: int) -> DataFrame:
+def paths(runs: DataFrame, root: DataFrame, sizes: DataFrame, trees: int, longest: int, block: int) -> DataFrame:
     """tree, block, subroot, root, path: for each block of leaves the siblings above it, a (left, right) for each level."""
     pair = "array<struct<left:string,right:string>>"
 
@@ -200,7 +201,7 @@ def paths(runs: DataFrame, root: DataFrame, sizes: DataFrame, trees: int, longes
     low, level = runs.where(f"tree <> {TOP}"), 0
     while ARITY**level < longest:
         level += 1
-    for k in range(level, BLOCK_LEVEL, -1):
+    for k in range(level, block, -1):
         now = opened(now.where(F.col("level") == k), low.where(F.col("level") == k - 1)).unionByName(now.where(F.col("level") < k))
     return now.select("tree", F.col("index").alias("block"), "level", "subroot", "root", "path")
 
@@ -208,46 +209,50 @@ def paths(runs: DataFrame, root: DataFrame, sizes: DataFrame, trees: int, longes
 PROVED = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def prove(key: tuple, rows: pa.Table, above: pa.Table) -> pa.Table:
-    """The proofs of one block: its lower levels from its own leaves, the rest from the path above it."""
-    top = above.to_pylist()[0]
-    rows = rows.sort_by("index")
-    ids, leaves, tampered = (rows[c].to_pylist() for c in ("doc_id", "leaf", "tampered"))
-    levels = [leaves]
-    for _ in range(min(BLOCK_LEVEL, top["level"])):
-        now = levels[-1]
-        levels.append([digest("".join(now[i : i + ARITY])) for i in range(0, len(now), ARITY)])
-    sides = []
-    for now in levels[:-1]:
-        runs = [now[i : i + ARITY] for i in range(0, len(now), ARITY)]
-        sides.append([("".join(run[:j]), "".join(run[j + 1 :])) for run in runs for j in range(len(run))])
-    rest = [(p["left"], p["right"]) for p in top["path"]]
-    rest_text = "".join(a + b for a, b in rest)
-    proofs, roots = [], []
-    for i, own in enumerate(leaves):
-        own = tampered[i] or own
-        at, said = i, []
-        for side in sides:
-            left, right = side[at]
-            said += left, right
-            own = digest(left + own + right)
-            at //= ARITY
-        for left, right in rest:
-            own = digest(left + own + right)
-        proofs.append(digest("".join(said) + rest_text))
-        roots.append(own)
-    n = len(ids)
-    return pa.table([pa.array(ids, pa.int64()), leaves, [top["subroot"]] * n, [top["root"]] * n, proofs, roots, [r == top["root"] for r in roots]], names=[x.split()[0] for x in PROVED.split(", ")])
-
-
-def merkle_manifest(docs: DataFrame) -> DataFrame:
+def proofs_of(block: int):
+    """The proofs of one block of leaves: its lower levels from its own leaves, the rest from the path above it."""
+
+    def prove(key: tuple, rows: pa.Table, above: pa.Table) -> pa.Table:
+        top = above.to_pylist()[0]
+        rows = rows.sort_by("index")
+        ids, leaves, tampered = (rows[c].to_pylist() for c in ("doc_id", "leaf", "tampered"))
+        levels = [leaves]
+        for _ in range(min(block, top["level"])):
+            now = levels[-1]
+            levels.append([digest("".join(now[i : i + ARITY])) for i in range(0, len(now), ARITY)])
+        sides = []
+        for now in levels[:-1]:
+            runs = [now[i : i + ARITY] for i in range(0, len(now), ARITY)]
+            sides.append([("".join(run[:j]), "".join(run[j + 1 :])) for run in runs for j in range(len(run))])
+        rest = [(p["left"], p["right"]) for p in top["path"]]
+        rest_text = "".join(a + b for a, b in rest)
+        proofs, roots = [], []
+        for i, own in enumerate(leaves):
+            own = tampered[i] or own
+            at, said = i, []
+            for side in sides:
+                left, right = side[at]
+                said += left, right
+                own = digest(left + own + right)
+                at //= ARITY
+            for left, right in rest:
+                own = digest(left + own + right)
+            proofs.append(digest("".join(said) + rest_text))
+            roots.append(own)
+        n = len(ids)
+        return pa.table([pa.array(ids, pa.int64()), leaves, [top["subroot"]] * n, [top["root"]] * n, proofs, roots, [r == top["root"] for r in roots]], names=[x.split()[0] for x in PROVED.split(", ")])
+
+    return prove
+
+
+def merkle_manifest(docs: DataFrame, block: int = BLOCK_LEVEL) -> DataFrame:
     leaves, ranges = numbered_leaves(docs)
     seen = ranges.agg(F.max("tree").alias("tree"), F.max("own_part").alias("part"), F.max("leaves").alias("leaves")).first()
     if seen.tree is None:
         return docs.sparkSession.createDataFrame([], PROVED)
     trees = seen.tree + 1
-    runs, root = forest_runs(leaves, trees, seen.part + 1)
+    runs, root = forest_runs(leaves, trees, seen.part + 1, block)
     sizes = ranges.select(F.col("tree").alias("t_tree"), "leaves").distinct()
-    above = paths(runs, root, sizes, trees, seen.leaves)
-    blocks = leaves.select("doc_id", "leaf", "tampered", "tree", F.floor(F.col("index") / ARITY**BLOCK_LEVEL).alias("block"), "index")
-    return blocks.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(prove, PROVED)
+    above = paths(runs, root, sizes, trees, seen.leaves, block)
+    blocks = leaves.select("doc_id", "leaf", "tampered", "tree", F.floor(F.col("index") / ARITY**block).alias("block"), "index")
+    return blocks.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(proofs_of(block), PROVED)

@@ -46,7 +46,9 @@ CELL, PIVOTS, PROBES, CELL_MOST = 256, 4096, 4, 2048
 #: Nodes of a block at most.
 BLOCK = 8192
 #: What a query keeps in sight, and its rounds at most (each one follows paths inside blocks as far as they lead).
-BEAM, HOPS = 192, 24
+BEAM, HOPS = 128, 24
+#: Nodes that a block follows up together.
+STEP = 16
 #: Queries with the same vector in one search; askers of a block in one task.
 GROUP, CHUNK = 1000, 4096
 #: Nodes of a query's last list that are scored again in double precision, beyond the number asked for.
@@ -183,12 +185,17 @@ def introduced(dim: int, degree: int):
     return run
 
 
-def descend(graph: DataFrame, nodes: DataFrame, dim: int, degree: int, turn: int) -> DataFrame:
-    """One round of NN-descent: neighbours of neighbours meet."""
+def both_ways(graph: DataFrame, turn: int) -> DataFrame:
+    """Each node's list and LISTED of those that list it, so that nodes in nobody's list are found too."""
     place = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("v", F.lit(turn)), "v"))
     listed = graph.select(F.col("v").alias("u"), F.col("vb").alias("ub"), F.col("u").alias("v"), F.col("ub").alias("vb"), "fresh")
     listed = listed.withColumn("place", place).where(F.col("place") <= LISTED).drop("place")
-    members = graph.select("u", "ub", "v", "vb", "fresh").unionByName(listed)
+    return graph.select("u", "ub", "v", "vb", "fresh").unionByName(listed)
+
+
+def descend(graph: DataFrame, nodes: DataFrame, dim: int, degree: int, turn: int) -> DataFrame:
+    """One round of NN-descent: neighbours of neighbours meet."""
+    members = both_ways(graph, turn)
     least = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("score")).otherwise(float("-inf")).cast("float").alias("least"))
     known = nodes.select("node", "near").join(least, F.col("node") == F.col("u"), "left").select("node", "near", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
     wanted = members.select("ub", "v", "vb").distinct().join(known, F.col("v") == F.col("node")).select("ub", "v", "vb", "near", "least").toDF("to", "w", "wb", "near", "least")
@@ -222,7 +229,7 @@ class Index:
             if (graph.agg(F.avg(F.col("fresh").cast("int"))).first()[0] or 0) < ENOUGH:
                 break
         self.edges = graph
-        lists_ = graph.groupBy("u").agg(F.collect_list("v").alias("next"), F.collect_list("vb").alias("next_block"))
+        lists_ = both_ways(graph, ROUNDS).groupBy("u").agg(F.collect_list("v").alias("next"), F.collect_list("vb").alias("next_block"))
         none = F.array().cast("array<long>")
         self.graph = staged(placed.join(lists_, F.col("node") == F.col("u"), "left").select("block", "node", "near", F.coalesce("next", none).alias("next"), F.coalesce("next_block", none).alias("next_block")), "index")
         at = {r.node: r.block for r in placed.join(F.broadcast(placed.sparkSession.createDataFrame([(int(x),) for x in chosen["node"]], "p long")), F.col("node") == F.col("p")).select("node", "block").collect()}
@@ -242,7 +249,7 @@ class Index:
         units = staged(units, "units")
         state = staged(self.starts(units), "search")
         for _ in range(HOPS):
-            if state.where(F.size("asks") > 0).isEmpty():
+            if state.where(F.size("wanted") > 0).isEmpty():
                 break
             before, state = state, staged(self.hop(state), "search")
             discard(before)
@@ -257,31 +264,34 @@ class Index:
             for b in batches:
                 vec = np.column_stack([matrix(b["vec"], dim), np.zeros(b.num_rows)]).astype(np.float32)
                 best = np.argpartition(-(vec @ near.T), probes - 1, axis=1)[:, :probes]
-                asks = []
-                for own, block, row in zip(b["node"].to_pylist(), b["block"].to_pylist(), best, strict=True):
-                    asks.append([{"block": block, "wanted": [own]}] if own is not None else [{"block": int(blocks[i]), "wanted": [int(nodes[i])]} for i in row])
-                n = b.num_rows
-                yield state_batch(b["unit"], lists(vec, pa.float32()), [-np.inf] * n, [[]] * n, [[]] * n, asks)
+                rows = []
+                for unit, x, own, block, row in zip(b["unit"].to_pylist(), vec, b["node"].to_pylist(), b["block"].to_pylist(), best, strict=True):
+                    first = [(block, own)] if own is not None else [(int(blocks[i]), int(nodes[i])) for i in row]
+                    rows.append((unit, x, -np.inf, [], [], None, None, None))
+                    rows += [(unit, x, -np.inf, None, None, k, [i for at, i in first if at == k], None) for k in {at for at, _ in first}]
+                yield batch(rows, STATE)
 
         at = self.placed.select(F.col("node").alias("own"), "block")
         return units.select("unit", "vec", "node").join(at, F.col("node") == F.col("own"), "left").select("unit", "vec", "node", "block").mapInArrow(run, STATE)
 
     def hop(self, state: DataFrame) -> DataFrame:
         """Blocks answer what they are asked; units take the answers in and say what they ask next."""
-        asks = state.where(F.size("asks") > 0).select("unit", "near", "least", F.explode("asks").alias("a")).select("unit", "near", "least", "a.block", "a.wanted")
+        waiting = F.coalesce(F.size("wanted") > 0, F.lit(False))
+        asks = state.where(waiting).select("unit", "near", "least", "block", "wanted", "seen")
         shares = few(asks.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("shares")).withColumnRenamed("block", "whole"))
         same = F.col("block") == F.col("whole")
         asks = asks.join(shares, same).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("shares"))).drop("whole", "shares")
         index = self.graph.join(shares, same).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select(F.col("block").alias("own_block"), "chunk", "node", "near", "next", "next_block")
         told = asks.groupBy("block", "chunk").cogroup(index.groupBy("own_block", "chunk")).applyInArrow(answered(self.dim), REPLY)
-        kept = state.select("unit", "near", "found", "scores", F.lit(None).cast("array<long>").alias("out"), F.lit(None).cast("array<long>").alias("out_block"))
-        both = kept.unionByName(told.withColumn("near", F.lit(None).cast("array<float>")))
+        none = F.lit(None)
+        kept = state.where(~waiting).select("unit", "near", "found", "scores", "block", "seen", none.cast("array<long>").alias("out"), none.cast("array<long>").alias("out_block"))
+        both = kept.unionByName(told.withColumn("near", none.cast("array<float>")))
         return both.repartition("unit").sortWithinPartitions("unit").mapInArrow(taken_in, STATE)
 
     def ranked(self, units: DataFrame, state: DataFrame) -> DataFrame:
         """The nearest rows of the nodes that each unit found, scored in double precision, for each of its askers."""
         most = self.most
-        seen = state.select(F.col("unit").alias("u"), F.explode(F.slice("found", 1, most + SPARE)).alias("n"))
+        seen = state.select(F.col("unit").alias("u"), F.explode(F.slice("found", 1, most + SPARE)).alias("n"))  # null but in a unit's own row
         seen = seen.join(self.nodes, F.col("n") == F.col("node")).select("u", F.col("vec").alias("own"), "ids")
         score = F.aggregate(F.zip_with("vec", "own", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         scored = units.join(seen, F.col("unit") == F.col("u")).select("unit", "askers", score.alias("score"), F.explode("ids").alias("vec_id"))
@@ -293,17 +303,21 @@ class Index:
 
 
 ANSWER = "query_id long, rank int, vec_id long, score double"
-STATE = "unit long, near array<float>, least float, found array<long>, scores array<float>, asks array<struct<block:long,wanted:array<long>>>"
-REPLY = "unit long, found array<long>, scores array<float>, out array<long>, out_block array<long>"
+#: What a search knows: for each unit a row with its vector and what it found, nearest first; for each block that it has been
+#: to or goes to next, a row with the nodes that it wants there and a bit for each of the block's nodes that it has seen.
+STATE = "unit long, near array<float>, least float, found array<long>, scores array<float>, block long, wanted array<long>, seen binary"
+REPLY = "unit long, found array<long>, scores array<float>, block long, seen binary, out array<long>, out_block array<long>"
+KINDS = {"long": pa.int64(), "float": pa.float32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
 
 
-def state_batch(unit, near, least, found, scores, asks) -> pa.RecordBatch:
-    asks = pa.array(asks, pa.list_(pa.struct([("block", pa.int64()), ("wanted", pa.list_(pa.int64()))])))
-    return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), near if isinstance(near, pa.Array) else pa.array(near, pa.list_(pa.float32())), pa.array(least, pa.float32()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float32())), asks], names=["unit", "near", "least", "found", "scores", "asks"])
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def answered(dim: int):
-    """What a block has for those that ask it."""
+    """What a block has for those that ask it: walks from the wanted nodes over its own, as long as they are near enough."""
 
     def run(key: tuple, asks: pa.Table, index: pa.Table) -> pa.Table:
         index = index.sort_by("node")
@@ -317,69 +331,80 @@ def answered(dim: int):
         at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
         local = node[at] == ids
         rows = []
-        asks = asks.combine_chunks()
         vectors = matrix(asks["near"], dim + 1)
-        seen = np.zeros(len(node), bool)
-        for unit, q, least, wanted in zip(asks["unit"].to_pylist(), vectors, asks["least"].to_pylist(), asks["wanted"].combine_chunks() if isinstance(asks["wanted"], pa.ChunkedArray) else asks["wanted"], strict=True):
-            front = np.searchsorted(node, wanted.values.to_numpy())
-            found, scores, outs = [], [], []
+        for unit, q, least, wanted, seen in zip(asks["unit"].to_pylist(), vectors, asks["least"].to_pylist(), asks["wanted"].to_pylist(), asks["seen"].to_pylist(), strict=True):
+            seen = np.zeros(len(node), bool) if seen is None else np.unpackbits(np.frombuffer(seen, np.uint8), count=len(node)).astype(bool)
+            front = np.searchsorted(node, np.array(wanted))
+            front = front[~seen[front]]
+            found, scores, todo = np.empty(0, int), np.empty(0, np.float32), np.empty(0, bool)
+            outs, out_blocks = [np.empty(0, int)], [np.empty(0, int)]
             while len(front):
                 seen[front] = True
-                s = near[front] @ q
-                found.append(front)
-                scores.append(s)
-                good = front[s > least]
-                inside = local[good]
-                front = np.unique(at[good][inside])
-                front = front[~seen[front]]
-                outs.append((ids[good][~inside], there[good][~inside]))
-            found = np.concatenate(found)
-            seen[found] = False
-            out, first = np.unique(np.concatenate([x for x, _ in outs]), return_index=True)
-            out_block = np.concatenate([x for _, x in outs])[first]
+                found, scores, todo = np.r_[found, front], np.r_[scores, near[front] @ q], np.r_[todo, np.ones(len(front), bool)]
+                if len(found) > BEAM:
+                    best = np.argpartition(-scores, BEAM - 1)[:BEAM]
+                    found, scores, todo = found[best], scores[best], todo[best]
+                    least = max(least, float(scores[-1]))  # argpartition leaves the least of them there
+                front = found[:0]
+                while len(front) == 0:
+                    good = np.flatnonzero(todo & (scores >= least))
+                    if len(good) == 0:
+                        break
+                    good = good[np.argsort(-scores[good], kind="stable")[:STEP]]
+                    todo[good] = False
+                    step = found[good]
+                    inside = local[step]
+                    outs.append(ids[step][~inside])
+                    out_blocks.append(there[step][~inside])
+                    front = np.unique(at[step][inside])
+                    front = front[~seen[front]]
+            best = np.argsort(-scores, kind="stable")
+            out, first = np.unique(np.concatenate(outs), return_index=True)
             known = out >= 0
-            rows.append((unit, node[found], np.concatenate(scores), out[known], out_block[known]))
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in REPLY.split(", ")])
+            rows.append((unit, node[found[best]], scores[best], key[0].as_py(), np.packbits(seen).tobytes(), out[known], np.concatenate(out_blocks)[first][known]))
+        return pa.Table.from_batches([batch(rows, REPLY)])
 
     return run
 
 
 def taken_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by unit: one with its vector and what it knew, and the answers that it got."""
+    """Rows come by unit: its own, those of blocks that it asked nothing this time, and the answers that it got."""
 
-    def closed(unit: int, rows: list[tuple]) -> tuple:
+    def closed(unit: int, rows: list[tuple]) -> Iterator[tuple]:
         near = next(r[0] for r in rows if r[0] is not None)
-        found, first = np.unique(np.concatenate([r[1] for r in rows]), return_index=True)
-        scores = np.concatenate([r[2] for r in rows])[first]
-        order = np.lexsort((found, -scores))
-        least = scores[order[BEAM - 1]] if len(order) >= BEAM else -np.inf
-        outs = [r for r in rows if r[3] is not None]
-        asks = []
+        found, first = np.unique(np.concatenate([r[1] for r in rows if r[1] is not None]), return_index=True)
+        scores = np.concatenate([r[2] for r in rows if r[2] is not None])[first]
+        order = np.lexsort((found, -scores))[:BEAM]
+        least = scores[order[-1]] if len(order) >= BEAM else -np.inf
+        yield unit, near, least, found[order], scores[order], None, None, None
+        seen, wanted = {r[3]: r[4] for r in rows if r[3] is not None}, {}
+        outs = [r for r in rows if r[5] is not None and len(r[5])]
         if outs:
-            out, first = np.unique(np.concatenate([r[3] for r in outs]), return_index=True)
-            block = np.concatenate([r[4] for r in outs])[first]
+            out, first = np.unique(np.concatenate([r[5] for r in outs]), return_index=True)
+            block = np.concatenate([r[6] for r in outs])[first]
             new = ~np.isin(out, found, assume_unique=True)
             out, block = out[new], block[new]
-            asks = [{"block": int(b), "wanted": out[block == b]} for b in np.unique(block)]
-        return unit, near, least, found[order], scores[order], asks
+            wanted = {int(b): out[block == b] for b in np.unique(block)}
+        for b in seen.keys() | wanted.keys():
+            yield unit, near if b in wanted else None, least, None, None, b, wanted.get(b), seen.get(b)
 
     unit, rows, done = None, [], []
     for b in batches:
-        columns = [b[c] for c in ("near", "found", "scores", "out", "out_block")]
+        columns = [b[c] for c in ("near", "found", "scores", "block", "seen", "out", "out_block")]
+        plain = {3, 4}
         for i, own in enumerate(b["unit"].to_pylist()):
             if own != unit:
                 if rows:
-                    done.append(closed(unit, rows))
+                    done += closed(unit, rows)
                 unit, rows = own, []
-            rows.append(tuple(c[i].values.to_numpy() if c[i].is_valid else None for c in columns))
-            if len(done) >= 200:
-                yield state_batch(*zip(*done, strict=True))
+            rows.append(tuple((c[i].as_py() if k in plain else c[i].values.to_numpy()) if c[i].is_valid else None for k, c in enumerate(columns)))
+            if len(done) >= 500:
+                yield batch(done, STATE)
                 done = []
     if rows:
-        done.append(closed(unit, rows))
+        done += closed(unit, rows)
     if done:
-        yield state_batch(*zip(*done, strict=True))
+        yield batch(done, STATE)
 
 
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, most: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -6,8 +6,9 @@ reference and the tokens that it stands for. Turns are laid out as
 
     <|im_start|>role newline content <|im_end|> newline
 
-Escaping is reversible: a backslash is doubled, "<|" becomes "<\\|", and in roles a line end becomes "\\n". So no control
-string can come from a text, and splitting at "<|im_start|>" finds the turns.
+Escaping is reversible: a backslash is doubled, "<|" becomes "<\\|", and in roles a line end becomes "\\n"; a "|" that begins
+a part which is not the first becomes "\\|" too, as the part before may end in "<". So no control string can come from a text
+or from several, and splitting at "<|im_start|>" finds the turns.
 
 Defined results: a null text or role is the empty one; turns are ordered by (turn, role, content), a null turn first, so
 ties are stable and repeated rows stay; rows without a conversation id form one conversation; an empty table gives an
@@ -57,9 +58,10 @@ def visit(parts: Column) -> tuple[Column, Column]:
     there = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     media = F.filter(there, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
     before = lambda i: F.size(F.filter(F.slice(there, F.lit(1), i), lambda p: F.coalesce(p["type"], F.lit("text")) != "text"))
+    inner = lambda c, i: F.when((i > 0) & F.startswith(c, F.lit("|")), F.concat(F.lit("\\"), c)).otherwise(c)
     flat = F.transform(
         there,
-        lambda p, i: F.when(F.coalesce(p["type"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), before(i).cast("string"), F.lit("|>"))),
+        lambda p, i: F.when(F.coalesce(p["type"], F.lit("text")) == "text", inner(escape(F.coalesce(p["text"], F.lit(""))), i)).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), before(i).cast("string"), F.lit("|>"))),
     )
     refs = F.transform(media, lambda p, i: F.struct(i.cast("int").alias("slot"), p["type"].alias("type"), p["uri"].alias("uri"), part_tokens(p).alias("tokens")))
     return F.array_join(flat, ""), refs

@@ -10,6 +10,7 @@ from functools import lru_cache, wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from shelfwise.session import shared_dir
 
@@ -52,6 +53,17 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
+def ddl(kind: DataType) -> str:
+    """A type in DDL, with the names of its fields quoted."""
+    if isinstance(kind, StructType):
+        return "struct<" + ",".join("`" + f.name.replace("`", "``") + "`:" + ddl(f.dataType) for f in kind) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{ddl(kind.keyType)},{ddl(kind.valueType)}>"
+    return kind.simpleString()
+
+
 #: Rows of a list up to this number are sent to all tasks to drop or pick rows (24 bytes each); beyond, a join.
 BROADCAST_IDS = 1_000_000
 #: Arrow rows in a batch while tables are staged: texts are long, and tasks hold a batch or two.

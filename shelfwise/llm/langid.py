@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, remembered
+from .common import ddl, map_arrow, remembered
 
 EXCERPTS, EXCERPT, BLOCK, LEVEL = 400, 256, 1024, 5
 REJECT, DOUBT = 0.04, 0.3
@@ -81,10 +81,15 @@ def classify(text: str, by: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected behind its columns (columns of those names are replaced)."""
+    """docs with lang_pred, score and rejected behind its columns (columns of those names are replaced: see judged)."""
+    return judged(docs.drop("lang_pred", "score", "rejected"), dictionaries, text_col).select("row.*", "lang_pred", "score", "rejected")
+
+
+def judged(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """row (a struct of all columns of docs, whatever their names), lang_pred, score, rejected."""
     known = tuple(sorted(dictionaries.items()))
-    rows = docs.drop("lang_pred", "score", "rejected")
-    at = rows.columns.index(text_col)
+    at = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kinds = [pa.string(), pa.float64(), pa.bool_()]
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,8 +98,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         columns = list(zip(*found, strict=True)) if found else [()] * 3
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, rejected boolean"
-    return map_arrow(rows, predict, schema, uses="languages")
+    schema = ", ".join(f"`{f.name}` {ddl(f.dataType)}" for f in rows.schema) + ", lang_pred string, score double, rejected boolean"
+    row = F.struct(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+    return map_arrow(rows, predict, schema, uses="languages").select(row.alias("row"), "lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,3 +111,8 @@ def held_out(doc_id: Column) -> Column:
 def language_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Learns from the rows outside the held-out fold and predicts all."""
     return identify(docs, learn(docs.where(~held_out(docs[id_col]))))
+
+
+def language_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """As language_id, with the columns of docs in the struct `row`."""
+    return judged(docs, learn(docs.where(~held_out(docs[id_col]))))

@@ -40,11 +40,11 @@ from .common import discard, few, staged
 #: Neighbours in a node's list, and how many of those that list it are introduced in a round.
 DEGREE, LISTED = 24, 16
 #: Rounds of NN-descent at most; it ends earlier when under ENOUGH of the edges were new in the last one.
-ROUNDS, ENOUGH = 4, 0.02
+ROUNDS, ENOUGH = 4, 0.05
 #: One pivot for CELL nodes, PIVOTS at most; a node is in the cells of its PROBES nearest ones.
 CELL, PIVOTS, PROBES, CELL_MOST = 256, 4096, 4, 2048
 #: Nodes of a block at most.
-BLOCK = 8192
+BLOCK = 12288
 #: What a query keeps in sight, and its rounds at most (each one follows paths inside blocks as far as they lead).
 BEAM, HOPS = 128, 24
 #: Nodes that a block follows up together.
@@ -196,6 +196,8 @@ def both_ways(graph: DataFrame, turn: int) -> DataFrame:
 def descend(graph: DataFrame, nodes: DataFrame, dim: int, degree: int, turn: int) -> DataFrame:
     """One round of NN-descent: neighbours of neighbours meet."""
     members = both_ways(graph, turn)
+    moving = F.max("fresh").over(Window.partitionBy("u"))  # in a list without anyone new all have met
+    members = members.withColumn("moving", moving).where("moving").drop("moving")
     least = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("score")).otherwise(float("-inf")).cast("float").alias("least"))
     known = nodes.select("node", "near").join(least, F.col("node") == F.col("u"), "left").select("node", "near", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
     wanted = members.select("ub", "v", "vb").distinct().join(known, F.col("v") == F.col("node")).select("ub", "v", "vb", "near", "least").toDF("to", "w", "wb", "near", "least")

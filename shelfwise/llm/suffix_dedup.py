@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, forget, give_back, map_arrow, staged
+from .common import ddl, few, forget, give_back, map_arrow, staged
 
 LENGTH, GRAM = 50, 24
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
@@ -292,7 +292,7 @@ def make_bundles(docs: DataFrame, size: int = 0) -> DataFrame:
             yield told()
         give_back()
 
-    schema = ", ".join(["bundle long, ids array<long>, sizes array<int>, blob binary", *[f"`{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in others]])
+    schema = ", ".join(["bundle long, ids array<long>, sizes array<int>, blob binary", *[f"`{c}` array<{ddl(docs.schema[c].dataType)}>" for c in others]])
     return staged(docs.select("doc_id", "text", *others).mapInArrow(bundle, schema), "suffix-bundles")
 
 
@@ -534,7 +534,7 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
     runs = by_bucket(sent, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: context_answers(*a, length)), "bundle long, runs binary")
     cuts = staged(runs.groupBy("bundle").agg(F.collect_list("runs").alias("runs")), "suffix-runs")
     told = known.join(cuts, "bundle", "left")
-    more = ", kept string" * bool(others) + "".join(f", `{c}` {bundles.schema[c].dataType.elementType.simpleString()}" for c in others)
+    more = ", kept string" * bool(others) + "".join(f", `{c}` {ddl(bundles.schema[c].dataType.elementType)}" for c in others)
     return map_arrow(told.select("bundle", "ids", "sizes", "blob", "shared", "runs", *others), strip, ", ".join(f"{c} {t}" for c, t in RESULT.items()) + more, 1 << 20)
 
 
@@ -566,7 +566,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kept is what remains, decoded; a character that was cut through is dropped from it.
     """
-    carried = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if texts else []
+    carried = [F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row")] if texts else []
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *carried)
     known = rows.where(F.col("doc_id").isNotNull())
     ids = staged(known.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "suffix-ids")

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a word-level tokenizer of the tokenizers library, with a bounded memory of words.
 
 The tokenizer drops white space and never joins characters across it, so a text's ids are those of its runs between
-spaces and line ends, one after another. The strings of special tokens in a text are ordinary text. Runs are encoded in
-batches, each distinct one once while it is remembered.
+spaces and line ends, one after another. Runs are encoded in batches, each distinct one once while it is remembered. A text
+with the string of a special token is encoded whole and alone, so the string is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.most, self.tokenizer = most, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = Tokenizer.from_file(path)
         self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None  # set back for runs that need it
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
+        alone = {i for i, t in enumerate(texts) if "|>" in t and any(s in t.lower() for s in self.special)}
+        runs = [[] if i in alone else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
@@ -44,6 +46,8 @@ class WordIds:
             new.update(set(r).difference(known))
         self.learn(new)
         out = [b"".join(map(known.__getitem__, r)) for r in runs]
+        for i in alone:
+            out[i] = np.asarray(self.plain.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         for w in [w for w in known.keys() & new if len(w) > LONGEST]:
             del known[w]
         return out

@@ -30,7 +30,6 @@ def docs():
 @pytest.fixture(scope="module")
 def ids(docs):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     return {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t, _ in docs}
 
 

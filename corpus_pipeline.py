@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import BATCH_ROWS, staged
 from shelfwise.llm.exact_dedup import drop_exact
-from shelfwise.llm.langid import UNKNOWN, language_id
+from shelfwise.llm.langid import UNKNOWN, language_rows
 from shelfwise.llm.ngram_join import drop_near
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.queries import WORD_TOKENIZER, tokenizer_path
@@ -26,8 +26,9 @@ ORACLE_SQL = None
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; a missing label is filled with it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    told = language_id(docs).where(~F.col("rejected") & (F.col("lang_pred") != UNKNOWN))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = language_rows(docs).where(~F.col("rejected") & (F.col("lang_pred") != UNKNOWN))
+    field = lambda c: F.coalesce(F.col("row.lang"), F.col("lang_pred")) if c == "lang" else F.col(f"row.`{c}`")
+    return told.select(*[field(c).alias(c) for c in docs.columns])
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the empty one, and a character that is cut through goes with the cut."""
     kept = suffix_dedup(docs, texts=True).where("n_removed = 0 or kept <> ''")
     rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
-    return kept.select(F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *rest).select(*docs.columns)
+    return kept.select(F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *rest).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,6 +225,64 @@ def two_group_resampling(df: DataFrame, test: str, group: str, x: str, order: st
     return df.select(test, group, x, order).groupBy(test).applyInPandas(resample, "test string, difference double, low double, high double, p_permutation double")
 
 
+#: Poisson(1) counts: a draw is the number of these cumulative shares that it exceeds.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+#: The modulus of the draws, a prime.
+PRIME = 1_000_003
+
+
+def row_seed(*columns: str) -> Column:
+    """28 bits that name a row by its key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 7), 16, 10).cast("long")
+
+
+def drawn(rows: DataFrame, seed: str, replicate: str, out: str) -> DataFrame:
+    """rows with a number in [0, 1) for each row and replicate, by residues alone, so that any engine draws the same."""
+    s, r = F.col(seed), F.col(replicate).cast("long")
+    own = r + F.floor(s / PRIME)
+    once = lambda c: F.explode(F.array(c)).alias("__h")  # noqa: E731  so that no later step computes c again
+    rows = rows.select("*", once((s % PRIME + r * 7919) % PRIME))
+    for k in (104_729, 611_953, 15_485_863 % PRIME):
+        h = F.col("__h")
+        rows = rows.select(*[c for c in rows.columns if c != "__h"], once((h * (h + k) + own) % PRIME))
+    return rows.withColumnRenamed("__h", out).withColumn(out, F.col(out) / F.lit(float(PRIME)))
+
+
+def poisson_bootstrap(df: DataFrame, by: list[str], x: str, key: list[str], n_boot: int = 100, alpha: float = 0.05) -> DataFrame:
+    """by, n, estimate, low, high of each group's mean: percentile bootstrap with Poisson weights for rows.
+
+    Each replicate gives each row a weight that follows from the row's key and the replicate's number, so nothing is drawn
+    from a sample as a whole: sums by (group, replicate) are made where the rows are, and only these are shuffled. A
+    group of any size is fine; key must name a row. Rows with a null x are left out.
+    """
+    rows = df.select(*by, F.col(x).cast("double").alias("__x"), row_seed(*key).alias("__s")).where(F.col("__x").isNotNull())
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(n_boot))).alias("__r")  # 0 is the sample itself
+    weighed = drawn(rows.select("*", replicates), "__s", "__r", "__u")
+    weight = F.when(F.col("__r") == 0, 1).otherwise(sum(((F.col("__u") >= t).cast("int") for t in POISSON), F.lit(0)))
+    sums = weighed.withColumn("__w", weight).where("__w > 0").groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__x")).alias("__t"), F.sum("__w").alias("__n"))
+    mean = F.col("__t") / F.col("__n")
+    of = lambda q: F.percentile(F.when(F.col("__r") > 0, mean), F.lit(q))
+    return sums.groupBy(*by).agg(F.max(F.when(F.col("__r") == 0, F.col("__n"))).alias("n"), F.max(F.when(F.col("__r") == 0, mean)).alias("estimate"), of(alpha / 2).alias("low"), of(1 - alpha / 2).alias("high"))
+
+
+def hashed_permutations(df: DataFrame, test: str, group: str, x: str, key: list[str], n_perm: int = 100) -> DataFrame:
+    """test, n_x, n_y, difference, p_permutation of the means of group 1 and group 0.
+
+    A relabelling gives each row to group 1 with that group's share of the rows, by a number that follows from the row's
+    key and the relabelling's; only sums by (test, relabelling) are shuffled. p counts the sample among the relabellings.
+    """
+    rows = df.select(F.col(test).alias("test"), F.col(group).cast("int").alias("g"), F.col(x).cast("double").alias("x"), row_seed(test, *key).alias("s")).where("g is not null and x is not null")
+    counts = rows.groupBy("test").agg(F.avg("g").alias("share")).withColumnRenamed("test", "t")
+    shared = rows.join(counts, F.col("test") == F.col("t")).select("test", "g", "x", "s", "share", F.explode(F.sequence(F.lit(0), F.lit(n_perm))).alias("r"))
+    one = F.when(F.col("r") == 0, F.col("g") == 1).otherwise(F.col("u") < F.col("share"))
+    sums = drawn(shared, "s", "r", "u").select("test", "r", "x", one.alias("one")).groupBy("test", "r").agg(
+        F.count_if("one").alias("n_x"), F.count_if(~F.col("one")).alias("n_y"), (F.avg(F.when(F.col("one"), F.col("x"))) - F.avg(F.when(~F.col("one"), F.col("x")))).alias("d")
+    )
+    seen = sums.groupBy("test").agg(*[F.max(F.when(F.col("r") == 0, F.col(c))).alias(c) for c in ("n_x", "n_y", "d")], F.collect_list(F.when(F.col("r") > 0, F.abs("d"))).alias("all"))
+    far = F.size(F.filter("all", lambda v: v >= F.abs("d") - 1e-9))
+    return seen.select("test", "n_x", "n_y", F.col("d").alias("difference"), F.when(F.col("d").isNotNull(), (1 + far) / (1 + F.size("all"))).alias("p_permutation"))
+
+
 def demand_tests(model) -> DataFrame:
     """The family's observations as (test, grp, x, date): weekends and SNAP days of stores, SNAP of categories, events
     but Christmas, and stores of each category."""

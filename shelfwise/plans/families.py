@@ -87,9 +87,16 @@ def backtest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folds(spark, sf_dir)
 
 
+_PREDICTED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
-    return backtest.run_backtest(facts, _folds(spark, sf_dir), profile.segments(facts))
+    """The backtest of a folder's model, written once for an application as the model itself is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREDICTED:
+        facts = _facts(spark, sf_dir)
+        _PREDICTED[key] = stored(backtest.run_backtest(facts, _folds(spark, sf_dir), profile.segments(facts)), "backtest")
+    return _PREDICTED[key]
 
 
 def backtest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +176,12 @@ def best_methods_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cold_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.cold_series(_facts(spark, sf_dir), _folds(spark, sf_dir))
+    """Of a range that a store takes up after the third training end: its series are cold in that fold."""
+    folds = _folds(spark, sf_dir)
+    third = folds.where("fold_id = 3").first()
+    facts = _facts(spark, sf_dir)
+    late = (F.col("store_id") == "ASIA") & (F.col("date") <= F.lit(third.train_end)) if third else F.lit(False)
+    return backtest.cold_series(facts.where(~late), folds)
 
 
 def global_model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +195,17 @@ def global_model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.metric_cut(found, ["fold_id"], [*backtest.BASELINES, "global_model"])
 
 
+def category_mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the mean daily sale of each category, over all facts."""
+    return _round(stats.poisson_bootstrap(_facts(spark, sf_dir), ["cat_id"], "sales", ["store_id", "item_id", "date"]), 5, "estimate", "low", "high")
+
+
+def weekend_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a category sells otherwise at weekends, over all facts."""
+    facts = _facts(spark, sf_dir).withColumn("weekend", F.col("wday").isin(1, 2))
+    return _round(stats.hashed_permutations(facts, "cat_id", "weekend", "sales", ["store_id", "item_id", "date"]), 5, "difference", "p_permutation")
+
+
 def store_mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap_ci(retail(spark, sf_dir).v_store_daily, ["store_id"], "units", "date")
 
@@ -352,7 +375,28 @@ DAYS = """, dd AS (SELECT * FROM v_store_daily JOIN (SELECT date, wday, month, y
 SELECT {by}, round(avg(units), 4) AS mean, round(median(units), 4) AS median, round(stddev_samp(units), 4) AS sd, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, round(100 * (avg(units) - (SELECT avg(units) FROM dd)) / (SELECT avg(units) FROM dd), 4) AS pct_vs_overall FROM dd GROUP BY {by}"""
 REGIMES = STATS + ", both_ AS (SELECT s.segment, s.adi, s.cv2, s.total_units, s.mean_daily, v.zero_share AS zs, v.cat_id, v.store_id FROM segs s JOIN v_series_summary v USING (store_id, item_id)) "
 
+SEED = "('0x' || substr(md5({}), 1, 7))::BIGINT"
+
+
+def _draw(seed: str, replicate: str) -> str:
+    """`operators.stats.draw` in SQL, as nested selects: h3 of the last one is what was drawn."""
+    p = stats.PRIME
+    step = lambda h, k: f"({h} * {h} + {k} * {h} + {replicate} + {seed} // {p}) % {p}"
+    return f"(SELECT *, {step('h2', 15_485_863 % p)} AS h3 FROM (SELECT *, {step('h1', 611_953)} AS h2 FROM (SELECT *, {step('h0', 104_729)} AS h1 FROM (SELECT *, ({seed} % {p} + {replicate} * 7919) % {p} AS h0 FROM rep))))"
+
+
+RESAMPLED = f""", seeds AS (SELECT cat_id, sales::DOUBLE AS x, CAST(wday <= 2 AS INT) AS g, {SEED.format("{key}")} AS s FROM v_sales),
+rep AS (SELECT cat_id, x, g, s, r FROM seeds, (SELECT unnest(range(0, 101)) AS r)), drawn AS (SELECT cat_id, x, g, r, h3 / {stats.PRIME}::DOUBLE AS u FROM {_draw('s', 'r')})"""
+
 BODIES = {
+    "category_mean_intervals": RESAMPLED.replace("{key}", "store_id || '|' || item_id || '|' || date") + f""", w AS (SELECT cat_id, r, x, CASE WHEN r = 0 THEN 1 ELSE {' + '.join(f'CAST(u >= {t!r}::DOUBLE AS INT)' for t in stats.POISSON)} END AS w FROM drawn),
+        m AS (SELECT cat_id, r, sum(w * x) / sum(w) AS mean, sum(w) AS n FROM w GROUP BY 1, 2)
+        SELECT cat_id, CAST(max(n) FILTER (r = 0) AS BIGINT) AS n, round(max(mean) FILTER (r = 0), 5) AS estimate, round(quantile_cont(mean, 0.025) FILTER (r > 0), 5) AS low, round(quantile_cont(mean, 0.975) FILTER (r > 0), 5) AS high FROM m GROUP BY 1""",
+    "weekend_permutations": RESAMPLED.replace("{key}", "cat_id || '|' || store_id || '|' || item_id || '|' || date") + """, c AS (SELECT cat_id, avg(g) AS share FROM seeds GROUP BY 1),
+        o AS (SELECT cat_id, r, x, CASE WHEN r = 0 THEN g = 1 ELSE u < share END AS one FROM drawn JOIN c USING (cat_id)),
+        m AS (SELECT cat_id, r, count(*) FILTER (one) AS a, count(*) FILTER (NOT one) AS b, avg(x) FILTER (one) - avg(x) FILTER (NOT one) AS d FROM o GROUP BY 1, 2),
+        t AS (SELECT cat_id, a, b, d FROM m WHERE r = 0)
+        SELECT t.cat_id AS test, t.a AS n_x, t.b AS n_y, round(t.d, 5) AS difference, round((1 + count(*) FILTER (abs(m.d) >= abs(t.d) - 1e-9)) / 101.0::DOUBLE, 5) AS p_permutation FROM t JOIN m ON m.cat_id = t.cat_id AND m.r > 0 GROUP BY ALL""",
     "demand_test_family": FAMILY,
     "model_validation": VALIDATION,
     "demand_by_weekday": DAYS.format(by="wday"),
@@ -371,7 +415,7 @@ BODIES = {
         o AS (SELECT method, row_number() OVER (ORDER BY round(m, 9), method) AS k FROM (SELECT method, avg(mae) AS m FROM (SELECT fold_id, method, avg(e) AS mae FROM mel GROUP BY 1, 2) GROUP BY 1) QUALIFY k <= 3),
         b AS (SELECT horizon_day, k, method, avg(mae) AS mae FROM (SELECT fold_id, horizon_day, method, avg(e) AS mae FROM mel GROUP BY 1, 2, 3) JOIN o USING (method) GROUP BY 1, 2, 3)
         SELECT horizon_day, """ + ", ".join(f"max(method) FILTER (k = {k}) AS method_{k}, round(max(mae) FILTER (k = {k}), 5) AS mae_{k}" for k in (1, 2, 3)) + " FROM b GROUP BY 1",
-    "cold_series": FOLDS + "SELECT DISTINCT f.fold_id, s.store_id, s.item_id FROM v_sales s JOIN folds f ON s.date > f.train_end AND s.date <= f.train_end + 28 WHERE NOT EXISTS (SELECT 1 FROM v_sales t WHERE t.store_id = s.store_id AND t.item_id = s.item_id AND t.date <= f.train_end)",
+    "cold_series": FOLDS + ", taken AS (SELECT * FROM v_sales WHERE NOT (store_id = 'ASIA' AND date <= (SELECT train_end FROM folds WHERE fold_id = 3)))" + "SELECT DISTINCT f.fold_id, s.store_id, s.item_id FROM taken s JOIN folds f ON s.date > f.train_end AND s.date <= f.train_end + 28 WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.store_id = s.store_id AND t.item_id = s.item_id AND t.date <= f.train_end)",
     "demand_segments": STATS + "SELECT store_id, item_id, n_days, n_nonzero_days, round(zero_share, 6) AS zero_share, total_units, round(mean_daily, 6) AS mean_daily, round(adi, 6) AS adi, round(cv2, 6) AS cv2, segment FROM segs",
     "demand_profile": """SELECT count(*) AS n_rows, count(DISTINCT (store_id, item_id)) AS n_series, count(DISTINCT item_id) AS n_items, count(DISTINCT store_id) AS n_stores, min(date) AS date_min, max(date) AS date_max, CAST(sum(sales) AS BIGINT) AS total_units,
         round(count(*) FILTER (sales = 0) / count(*), 6) AS zero_share, round(count(*) FILTER (sell_price IS NULL) / count(*), 6) AS unpriced_share FROM v_sales""",
@@ -419,7 +463,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         demand_segments, demand_profile, segment_profile, sales_distribution, sales_gini, sales_concentration, weekly_price_moves, lag_features, rolling_features, forecast_features, backtest_folds, backtest_predictions,
         weekend_and_snap_tests, demand_test_family, store_kruskal_tests, price_move_correlation, demand_by_weekday, demand_by_month, demand_by_store_year, demand_regimes, regimes_of_categories, regimes_of_stores, category_profile, store_profile,
-        best_methods_by_horizon, cold_series, global_model_backtest, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
+        best_methods_by_horizon, cold_series, global_model_backtest, category_mean_intervals, weekend_permutations, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
     ]
     cuts = {"metrics_by_fold": "fold_id", "metrics_by_segment": "segment", "metrics_by_horizon": "horizon_day", "metrics_by_store": "store_id", "metrics_by_category": "cat_id"}
     return {f.__name__: f for f in plain} | {name: _cut(by) for name, by in cuts.items()}

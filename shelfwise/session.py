@@ -35,12 +35,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         base = _LOCAL[context.applicationId]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
+    return new_folder(spark, path)
+
+
+def new_folder(spark: SparkSession, path: str) -> str:
+    """The folder, made and named with its scheme: readers other than Spark take a path without one for a local path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     fs.deleteOnExit(at)
-    return path
+    whole = fs.makeQualified(at).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from shelfwise.plans.forecast import GlobalForecaster, NotFitted, global_backtes
 from shelfwise.plans.reports import export_kpis, markdown
 from shelfwise.serving import cli
 from shelfwise.serving.store import ForecastStore, InvalidRequest, NotFound, publish
-from shelfwise.session import shared_dir
+from shelfwise.session import new_folder, shared_dir
 from shelfwise.sources import ingest
 
 
@@ -169,7 +169,21 @@ def test_a_cluster_must_name_its_shared_folder(spark):
         Session.sparkContext.master = master
         with pytest.raises(ValueError):
             shared_dir(Session, "x")
-    assert shared_dir(spark, "x").startswith("file:") and spark.conf.get("spark.checkpoint.dir", None) is None
+
+
+def test_shared_folders_carry_their_scheme(spark, tmp_path):
+    assert shared_dir(spark, "x").startswith("file:///")
+    for k, named in enumerate((f"{tmp_path}/a", f"file://{tmp_path}/b", f"file:{tmp_path}/c")):
+        made = new_folder(spark, named)
+        assert made == f"file://{tmp_path}/{'abc'[k]}" and Path(made.removeprefix("file://")).is_dir()
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    own = hadoop.get("fs.defaultFS")
+    try:  # another default file system takes paths without a scheme
+        hadoop.set("fs.defaultFS", "viewfs://elsewhere/")
+        hadoop.set("fs.viewfs.mounttable.elsewhere.link./shared", f"file://{tmp_path}")
+        assert new_folder(spark, "/shared/y") == "viewfs://elsewhere/shared/y" and (tmp_path / "y").is_dir()
+    finally:
+        hadoop.set("fs.defaultFS", own)
 
 
 def test_entry_works_without_the_subpackage():

@@ -1,6 +1,7 @@
 """Properties and hand-worked values of the operators."""
 
 import math
+import re
 from datetime import date, timedelta
 from itertools import combinations
 
@@ -99,10 +100,10 @@ def test_methods_match_their_recursions(spark, facts):
 
 
 def test_sba_smooths_intervals_by_beta(spark, facts):
-    train = backtest.training(facts, backtest.folds_frame(spark, backtest.generate_folds(D0, D0 + timedelta(days=119), backtest.Scheme(14, 1, 14, 60))))
-    got = {(r.store_id, r.item_id): (r.croston, r.sba) for r in backtest.smoothed(train, 0.1, 0.3).collect()}
+    folds = backtest.generate_folds(D0, D0 + timedelta(days=119), backtest.Scheme(14, 1, 14, 60))
+    got = {(r.store_id, r.item_id): (r.croston, r.sba) for r in backtest.run_backtest(facts, backtest.folds_frame(spark, folds), beta=0.3).collect()}
     ys = {}
-    for r in train.orderBy("date").collect():
+    for r in facts.where(F.col("date") <= folds[0].train_end).orderBy("date").collect():
         ys.setdefault((r.store_id, r.item_id), []).append(r.sales)
     for key, y in ys.items():
         hits = [k for k, v in enumerate(y) if v > 0]
@@ -112,6 +113,67 @@ def test_sba_smooths_intervals_by_beta(spark, facts):
         assert got[key] == pytest.approx((z / p, z / q * 0.85))
 
 
+def test_backtest_reads_the_facts_once(spark, facts):
+    folds = backtest.folds_frame(spark, backtest.generate_folds(D0, D0 + timedelta(days=119), backtest.Scheme(14, 3, 14, 60)))
+    plan = backtest.run_backtest(facts, folds)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") + plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_backtest_with_gaps_late_starts_and_overlapping_folds(spark):
+    """Against plain Python: series that miss days, begin late or never sell, folds whose windows overlap."""
+    rng = np.random.default_rng(5)
+    rows = [("s", i, D0 + timedelta(days=d), int(rng.integers(0, 4)) * int(i != "none")) for i, first in (("a", 0), ("b", 70), ("none", 3), ("late", 95)) for d in range(first, 120) if i != "b" or d % 3]
+    df = spark.createDataFrame(rows, "store_id string, item_id string, date date, sales int").repartition(3)
+    folds = backtest.generate_folds(D0, D0 + timedelta(days=119), backtest.Scheme(14, 4, 7, 60))
+    got = {(r.fold_id, r.item_id, r.date): r for r in backtest.run_backtest(df, backtest.folds_frame(spark, folds)).collect()}
+    cold = {(r.fold_id, r.item_id) for r in backtest.cold_series(df, backtest.folds_frame(spark, folds)).collect()}
+    seen = set()
+    for f in folds:
+        for item in ("a", "b", "none", "late"):
+            past = [(d, y) for _, i, d, y in rows if i == item and d <= f.train_end]
+            for _, i, d, y in rows:
+                if i == item and f.forecast_start <= d <= f.forecast_end:
+                    r = got[f.fold_id, item, d]
+                    seen.add((f.fold_id, item, d))
+                    assert r.actual == y and r.horizon_day == (d - f.train_end).days and r.zero == 0
+                    assert r.seasonal_naive == dict(past).get(d - timedelta(days=7))
+                    if not past:
+                        assert (f.fold_id, item) in cold and [r.naive, r.ma7, r.ses, r.tsb, r.croston] == [None] * 5
+                        continue
+                    ys = [v for _, v in past]
+                    level = np.mean(ys[:10])
+                    for v in ys:
+                        level = 0.1 * v + 0.9 * level
+                    assert (r.naive, r.ma7, r.ma28, r.ses) == pytest.approx((ys[-1], np.mean(ys[-7:]), np.mean(ys[-28:]), level))
+                    assert (r.croston == 0) == (not any(ys))
+    assert seen == set(got) and any(i == "late" for _, i in cold)
+
+
+def test_poisson_bootstrap_covers_and_needs_no_python(spark):
+    rng = np.random.default_rng(0)
+    rows = [(g, k, float(x)) for g in range(60) for k, x in enumerate(rng.exponential(3.0, 80))] + [(0, 999, None)]
+    df = spark.createDataFrame(rows, "g int, k int, x double")
+    found = stats.poisson_bootstrap(df, ["g"], "x", ["g", "k"], n_boot=300)
+    assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+    got = {r.g: r for r in found.collect()}
+    assert len(got) == 60 and all(r.n == 80 and r.low < r.estimate < r.high for r in got.values())
+    assert sum(r.low <= 3.0 <= r.high for r in got.values()) >= 50  # 57 are expected
+    widths = [r.high - r.low for r in got.values()]
+    assert np.mean(widths) == pytest.approx(2 * 1.96 * 3.0 / 80**0.5, rel=0.15)
+    again = {r.g: r for r in stats.poisson_bootstrap(df.repartition(7), ["g"], "x", ["g", "k"], n_boot=300).collect()}
+    assert all(tuple(again[g]) == pytest.approx(tuple(got[g])) for g in got)
+
+
+def test_hashed_permutations(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"null{t}", int(k % 3 == 0), k, float(x)) for t in range(40) for k, x in enumerate(rng.normal(size=60))] + [("shift", k % 2, k, float(x + (k % 2))) for k, x in enumerate(rng.normal(size=200))]
+    rows += [("one side", 1, k, 1.0) for k in range(5)] + [("null0", None, 99, 1.0)]
+    got = {r.test: r for r in stats.hashed_permutations(spark.createDataFrame(rows, "test string, grp int, k int, x double"), "test", "grp", "x", ["k"], n_perm=199).collect()}
+    assert got["shift"].p_permutation == 1 / 200 and got["one side"].p_permutation is None
+    p = np.sort([r.p_permutation for t, r in got.items() if t.startswith("null")])
+    assert (p <= 0.1).mean() <= 0.25 and 0.35 <= p.mean() <= 0.65 and (got["null0"].n_x, got["null0"].n_y) == (20, 40)
+
+
 def test_best_methods(spark):
     rows = [(f, h, 10.0, 10.0 + f, 10.0 + h, 10.0, 15.0) for f in (1, 2) for h in (1, 2)]
     df = spark.createDataFrame(rows, "fold_id int, horizon_day int, actual double, a double, b double, c double, d double")

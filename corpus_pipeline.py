@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 All stages but the last return the columns of documents. run() applies them to documents.parquet of a folder. This is a job:
-it sets how many rows its session's Python tasks take in a batch, as its executors live through all five stages.
+it sets how many rows and bytes its session's scans and Python tasks take in a batch, as its executors live through all
+five stages.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ORACLE_SQL = None
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; a missing label is filled with it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
     told = language_rows(docs).where(~F.col("rejected") & (F.col("lang_pred") != UNKNOWN))
     field = lambda c: F.coalesce(F.col("row.lang"), F.col("lang_pred")) if c == "lang" else F.col(f"row.`{c}`")
     return told.select(*[field(c).alias(c) for c in docs.columns])

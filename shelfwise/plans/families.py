@@ -184,15 +184,28 @@ def cold_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.cold_series(facts.where(~late), folds)
 
 
+def _model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest with the global model beside the other methods; written once for an application."""
+    from shelfwise.plans.forecast import global_backtest
+
+    key = (spark.sparkContext.applicationId, f"{sf_dir} model")
+    if key not in _PREDICTED:
+        m = retail(spark, sf_dir)
+        folds = backtest.generate_folds(*_bounds(m.dim_calendar))
+        found = _predictions(spark, sf_dir).join(global_backtest(m.v_sales, m.dim_calendar, m.dim_store, folds), ["fold_id", *KEYS, "date"], "left")
+        _PREDICTED[key] = stored(found, "model-backtest")
+    return _PREDICTED[key]
+
+
 def global_model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the global model beside the baselines: in each fold, a model of the fold's training days."""
-    from shelfwise.plans.forecast import global_backtest
+    return backtest.metric_cut(_model_predictions(spark, sf_dir), ["fold_id"], [*backtest.BASELINES, "global_model"])
 
-    m = retail(spark, sf_dir)
-    folds = backtest.generate_folds(*_bounds(m.dim_calendar))
-    model = global_backtest(m.v_sales, m.dim_calendar, m.dim_store, folds)
-    found = backtest.run_backtest(m.v_sales, backtest.folds_frame(spark, folds), smoothers=False).join(model, ["fold_id", *KEYS, "date"], "left")
-    return backtest.metric_cut(found, ["fold_id"], [*backtest.BASELINES, "global_model"])
+
+def model_replenishment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with one model: its forecast, its error in each segment of the backtest as risk, and the orders that follow."""
+    report = backtest.metric_cut(_model_predictions(spark, sf_dir), ["segment"], ["global_model"])
+    return replenishment.recommendations(global_model_forecast(spark, sf_dir), replenishment.Policy(), risk=replenishment.segment_risk(report, "global_model"), history=_history(spark, sf_dir))
 
 
 def category_mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,7 +476,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         demand_segments, demand_profile, segment_profile, sales_distribution, sales_gini, sales_concentration, weekly_price_moves, lag_features, rolling_features, forecast_features, backtest_folds, backtest_predictions,
         weekend_and_snap_tests, demand_test_family, store_kruskal_tests, price_move_correlation, demand_by_weekday, demand_by_month, demand_by_store_year, demand_regimes, regimes_of_categories, regimes_of_stores, category_profile, store_profile,
-        best_methods_by_horizon, cold_series, global_model_backtest, category_mean_intervals, weekend_permutations, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
+        best_methods_by_horizon, cold_series, global_model_backtest, model_replenishment, category_mean_intervals, weekend_permutations, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
     ]
     cuts = {"metrics_by_fold": "fold_id", "metrics_by_segment": "segment", "metrics_by_horizon": "horizon_day", "metrics_by_store": "store_id", "metrics_by_category": "cat_id"}
     return {f.__name__: f for f in plain} | {name: _cut(by) for name, by in cuts.items()}

@@ -1,8 +1,9 @@
 """The global model, its backtest and the production forecast.
 
-One model for all series: Spark ML's gradient-boosted trees with squared loss ("trees"), as it has no Tweedie loss for
-trees, or its generalised linear regression of the Tweedie family with a log link ("tweedie"), which suits counts with
-many zeros. Errors are these models' own and not those of another library.
+One model for all series, the same for backtest and production: boosted trees with a Tweedie loss ("boosted", see
+`operators.boosting`), which suit counts with many zeros, know missing lags from zero sales and split stores by sets. Spark
+ML's generalised linear regression of the Tweedie family ("tweedie") and its trees with squared loss ("trees") are there
+to compare; both take missing features as 0. Errors are these models' own and not those of another library.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from datetime import date
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.operators import boosting
 from shelfwise.operators.backtest import Fold
 from shelfwise.operators.features import FeatureSet, build_fold_features
 
 PARAMS = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.15, "seed": 42, "subsamplingRate": 0.8}
+BOOSTED = {"trees": 12, "depth": 4, "rate": 0.4, "power": 1.5, "bins": 32}
+#: Days at the end of the training that judge how many trees are enough, if the training is at least four times as long.
+JUDGED = 28
 TWEEDIE = {"family": "tweedie", "variancePower": 1.5, "linkPower": 0.0, "regParam": 0.01, "maxIter": 25}
 
 
@@ -30,12 +35,17 @@ class NotFitted(RuntimeError):
 class GlobalForecaster:
     """One model for all series; predictions are never negative."""
 
-    def __init__(self, kind: str = "trees", **params: float):
-        self.kind, self.params = kind, {**{"trees": PARAMS, "tweedie": TWEEDIE}[kind], **params}
-        self.model: PipelineModel | None = None
+    def __init__(self, kind: str = "boosted", **params: float):
+        self.kind, self.params = kind, {**{"boosted": BOOSTED, "trees": PARAMS, "tweedie": TWEEDIE}[kind], **params}
+        self.model: PipelineModel | boosting.Model | None = None
         self.features: list[str] = []
 
     def fit(self, train: DataFrame, features: list[str], target: str = "y") -> GlobalForecaster:
+        if self.kind == "boosted":
+            first, last = train.agg(F.min("date"), F.max("date")).first()
+            rows = train.withColumns({"__fit": F.lit(0), "__held": judging(first, F.lit(last))})
+            self.features, self.model = list(features), boosting.fit(rows, list(features), ["store_id"], target, "__fit", "__held", boosting.Settings(**self.params))[0]
+            return self
         stages = [
             StringIndexer(inputCol="store_id", outputCol="__store", handleInvalid="keep"),
             *([OneHotEncoder(inputCol="__store", outputCol="__one", handleInvalid="keep")] if self.kind == "tweedie" else []),
@@ -49,6 +59,8 @@ class GlobalForecaster:
     def predict(self, rows: DataFrame, out: str = "forecast_units") -> DataFrame:
         if self.model is None:
             raise NotFitted("fit the model first")
+        if self.kind == "boosted":
+            return self.model.predict(rows, out)
         return self.model.transform(self._filled(rows, self.features)).withColumn(out, F.greatest(F.lit(0.0), F.col("__p"))).drop("__store", "__one", "__x", "__p", *[f"__{c}" for c in self.features])
 
     def _filled(self, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -58,26 +70,47 @@ class GlobalForecaster:
         return rows.withColumns({c: F.log1p(F.greatest(value(c), F.lit(0.0))) if past(c) else value(c) for c in features})
 
     def save(self, path: str, meta: dict) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        if self.kind == "boosted":
+            meta = meta | {"model": self.model.as_dict()}
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         SparkSession.active().createDataFrame([(json.dumps(meta | {"params": self.params, "kind": self.kind, "features": self.features}, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def global_backtest(facts: DataFrame, calendar: DataFrame, stores: DataFrame, folds: list[Fold], kind: str = "tweedie", name: str = "global_model", **params: float) -> DataFrame:
+def judging(first: date, last: Column) -> Column:
+    """Whether a row's date is among the last days of a training from first to last."""
+    return (F.col("date") > F.date_sub(last, JUDGED)) & (F.datediff(last, F.lit(first)) >= 4 * JUDGED)
+
+
+def global_backtest(facts: DataFrame, calendar: DataFrame, stores: DataFrame, folds: list[Fold], kind: str = "boosted", name: str = "global_model", **params: float) -> DataFrame:
     """fold_id, keys, date and the global model's forecast of every fold: a model for each, fitted on the features of its
-    training days alone. The folds are a handful, and each fit is one Spark job over all series."""
+    training days alone.
+
+    Boosted models of all folds grow side by side, in the same jobs: features look back only, so those of the last fold's
+    training days hold those of all others. Bins come from the days that every fold knows. Other kinds take a fit for each
+    of the folds, which are a handful.
+    """
+    if not folds:
+        raise ValueError("no fold has enough days to train on")
+    horizon = {f.fold_id: (f.forecast_end - f.train_end).days for f in folds}
+    sets = {f.fold_id: build_fold_features(facts, calendar, stores, f.train_end, horizon[f.fold_id]) for f in folds}
+    if kind == "boosted":
+        longest, shortest = max(folds, key=lambda f: f.train_end), min(folds, key=lambda f: f.train_end)
+        train = sets[longest.fold_id][0]
+        each = F.explode(F.array(*[F.struct(F.lit(f.fold_id).alias("fold_id"), F.lit(f.train_end).alias("end")) for f in folds]))
+        rows = train.df.select("*", each.alias("f")).where(F.col("date") <= F.col("f.end")).withColumns({"__fit": F.col("f.fold_id"), "__held": judging(shortest.train_start, F.col("f.end"))})
+        found = boosting.fit(rows, train.all_feature_cols, ["store_id"], "y", "__fit", "__held", boosting.Settings(**{**BOOSTED, **params}), known=train.df.where(F.col("date") <= F.lit(shortest.train_end)))
+        models = {k: m.predict for k, m in found.items()}
+    else:
+        models = {k: GlobalForecaster(kind, **params).fit(t.df, t.all_feature_cols).predict for k, (t, _) in sets.items()}
     out = None
-    for fold in folds:
-        horizon = (fold.forecast_end - fold.train_end).days
-        train, future = build_fold_features(facts, calendar, stores, fold.train_end, horizon)
-        model = GlobalForecaster(kind, **params).fit(train.df, train.all_feature_cols)
-        found = model.predict(future.df, name).select(F.lit(fold.fold_id).alias("fold_id"), "store_id", "item_id", "date", name)
+    for k, (_, future) in sets.items():
+        found = models[k](future.df, name).select(F.lit(k).alias("fold_id"), "store_id", "item_id", "date", name)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no fold has enough days to train on")
     return out
 
 
-def train_or_load(path: str, train: FeatureSet, cutoff: date, force: bool = False, kind: str = "trees", **params: float) -> tuple[GlobalForecaster, dict, bool]:
+def train_or_load(path: str, train: FeatureSet, cutoff: date, force: bool = False, kind: str = "boosted", **params: float) -> tuple[GlobalForecaster, dict, bool]:
     """(model, its notes, whether it was loaded): reused only where parameters, features and cutoff are the same."""
     spark = SparkSession.active()
     wanted = {"params": GlobalForecaster(kind, **params).params, "kind": kind, "features": train.all_feature_cols, "training_cutoff": str(cutoff)}
@@ -86,7 +119,7 @@ def train_or_load(path: str, train: FeatureSet, cutoff: date, force: bool = Fals
         meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/meta").collect()))  # one small file
         if all(meta.get(k) == v for k, v in wanted.items()):
             known = GlobalForecaster(kind, **params)
-            known.features, known.model = meta["features"], PipelineModel.load(f"{path}/model")
+            known.features, known.model = meta["features"], boosting.Model.from_dict(meta.pop("model")) if kind == "boosted" else PipelineModel.load(f"{path}/model")
             return known, meta, True
     made = GlobalForecaster(kind, **params).fit(train.df, train.all_feature_cols)
     made.save(path, {"training_cutoff": str(cutoff)})
@@ -98,7 +131,8 @@ def production_forecast(facts: DataFrame, calendar: DataFrame, stores: DataFrame
     cutoff = facts.agg(F.max("date")).first()[0]
     train, future = build_fold_features(facts, extended(calendar, cutoff, horizon), stores, cutoff, horizon)
     if model_path is None:
-        model, meta, reused = GlobalForecaster().fit(train.df, train.all_feature_cols), {"training_cutoff": str(cutoff)}, False
+        model = GlobalForecaster().fit(train.df, train.all_feature_cols)
+        meta, reused = {"training_cutoff": str(cutoff), "kind": model.kind, "params": model.params}, False
     else:
         model, meta, reused = train_or_load(model_path, train, cutoff, force)
     out = model.predict(future.df).join(segments.select("store_id", "item_id", "segment"), ["store_id", "item_id"], "left")

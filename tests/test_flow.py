@@ -116,8 +116,8 @@ def test_global_model_in_every_fold(spark, model):
     first, last = model.v_sales.agg(F.min("date"), F.max("date")).first()
     folds = backtest.generate_folds(first, last, backtest.Scheme(7, 2, 7, 60))
     assert len(folds) == 2
-    for kind in ("tweedie", "trees"):
-        small = {"maxIter": 3} if kind == "trees" else {}
+    for kind in ("tweedie", "trees", "boosted"):
+        small = {"tweedie": {}, "trees": {"maxIter": 3}, "boosted": {"trees": 3, "depth": 3}}[kind]
         found = global_backtest(model.v_sales, model.dim_calendar, model.dim_store, folds, kind, **small)
         rows = {(r.fold_id, r.store_id, r.item_id, r.date): r.global_model for r in found.collect()}
         trained = sum(model.v_sales.where(F.col("date") <= F.lit(f.train_end)).select("store_id", "item_id").distinct().count() for f in folds)

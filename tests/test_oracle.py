@@ -46,4 +46,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_is_checked_or_listed():
-    assert set(PLANS) - set(SQL) == {"store_mean_intervals", "weekend_difference_intervals", "global_model_forecast", "global_model_backtest"}
+    assert set(PLANS) - set(SQL) == {"store_mean_intervals", "weekend_difference_intervals", "global_model_forecast", "global_model_backtest", "model_replenishment"}

@@ -8,6 +8,7 @@ until they are shown, so sums do not depend on their order.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,10 +71,11 @@ v_series_summary AS (
 
 
 class Retail:
-    """Star schema and analytical views. Any parquet star schema of the same columns can take the tables' place."""
+    """Star schema and analytical views. Any parquet star schema of the same columns can take the tables' place.
+    `observed` holds the figures of the facts that their write gathered, where there are any."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = tables
+    def __init__(self, tables: dict[str, DataFrame], observed: dict[str, Any] | None = None):
+        self.tables, self.observed = tables, observed
 
     @classmethod
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str) -> Retail:
@@ -173,6 +175,6 @@ def retail(spark: SparkSession, sf_dir: str) -> Retail:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         folder = shared_dir(spark, "retail")
-        write_star_schema(Retail.from_driver_tables(spark, sf_dir).tables, folder)
-        _MODELS[key] = Retail(read_star_schema(spark, folder))
+        observed = write_star_schema(Retail.from_driver_tables(spark, sf_dir).tables, folder)
+        _MODELS[key] = Retail(read_star_schema(spark, folder), observed)
     return _MODELS[key]

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.semantics import join_to_one, long, rounded
-from shelfwise.operators import backtest, features, profile, quality, replenishment, stats
+from shelfwise.operators import backtest, calendar_frames, features, profile, quality, replenishment, stats
+from shelfwise.plans import oracle, tablefunctions
 from shelfwise.plans.binding import retail
+from shelfwise.plans.catalog import bucketed
 from shelfwise.plans.oracle import sql
 from shelfwise.session import stored
 from shelfwise.sources import ingest
@@ -232,6 +234,48 @@ def long_table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_checks(retail(spark, sf_dir).fact_sales)
 
 
+def written_table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of `long_table_checks` from what the write of the star schema observed: the facts are not read."""
+    return quality.observed_checks(spark, retail(spark, sf_dir).observed)
+
+
+def rolling_sold_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling sales over calendar days of series that have rows only where something was sold."""
+    sold = _facts(spark, sf_dir).where("sales > 0").select(*KEYS, "date", "sales")
+    df = calendar_frames.rolling_days(sold, KEYS, "sales")
+    return _round(df, 4, *[c for c in df.columns if c.startswith(("mean_", "sd_"))])
+
+
+def bucketed_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`lag_features` over the catalog's buckets."""
+    m = bucketed(spark, sf_dir)
+    return features.make_lag_features(m.v_sales, _bounds(m.dim_calendar)[1])
+
+
+def bucketed_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`rolling_features` over the catalog's buckets."""
+    m = bucketed(spark, sf_dir)
+    df = features.make_rolling_features(m.v_sales, _bounds(m.dim_calendar)[1])
+    return _round(df, 4, *[c for c in df.columns if c.startswith("rolling")])
+
+
+def bucketed_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`backtest_predictions` over the catalog's buckets."""
+    facts = bucketed(spark, sf_dir).v_sales
+    return _round(backtest.run_backtest(facts, _folds(spark, sf_dir), profile.segments(facts)).drop("state_id", "cat_id"), 6, *ALL)
+
+
+def _function(name: str, **given: float) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: tablefunctions.call(retail(spark, sf_dir), spark, name, **given)
+
+
+#: Table functions with other arguments than the registry's defaults.
+CALLS = {
+    "function_top_products": ("top_products_per_store", {"top_n": 5}), "function_declining": ("declining_products", {"min_prior_units": 10, "top_n": 25}), "function_volatility": ("product_volatility", {"min_total_units": 50, "top_n": 40}),
+    "function_low_demand": ("persistent_low_demand", {"max_mean_daily": 6.0, "min_zero_share": 0.6}), "function_event_impact": ("named_event_impact", {"min_occurrences": 2}),
+}
+
+
 def model_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate(retail(spark, sf_dir))
 
@@ -461,6 +505,10 @@ BODIES = {
         s AS (SELECT count(*) FILTER (n <> d) AS gap, count(*) FILTER (u = 0) AS mute FROM (SELECT count(*) AS n, max(date) - min(date) + 1 AS d, sum(sales) AS u FROM fact_sales GROUP BY store_id, item_id))
         SELECT 'no_duplicate_series_dates' AS "check", dup = 0 AS passed, dup::VARCHAR AS detail FROM f UNION ALL SELECT 'no_nulls_in_core_columns', TRUE, '0' UNION ALL SELECT 'no_negative_sales', neg = 0, neg::VARCHAR FROM f
         UNION ALL SELECT 'series_are_contiguous_daily', gap = 0, gap::VARCHAR FROM s UNION ALL SELECT 'prices_positive', bad = 0, bad::VARCHAR FROM f UNION ALL SELECT 'active_rows_mostly_priced', unp < 0.01, round(unp, 4)::VARCHAR FROM f UNION ALL SELECT 'few_all_zero_series', mute = 0, mute::VARCHAR FROM s""",
+    "rolling_sold_days": """SELECT store_id, item_id, date, sales, max(sales) OVER b AS sales_week_before, CAST(sum(sales) OVER w AS BIGINT) AS sum_7d, round(avg(sales) OVER w, 4) AS mean_7d, round(stddev_samp(sales) OVER w, 4) AS sd_7d, count(*) OVER w AS days_7d,
+        CAST(sum(sales) OVER m AS BIGINT) AS sum_28d, round(avg(sales) OVER m, 4) AS mean_28d, round(stddev_samp(sales) OVER m, 4) AS sd_28d, count(*) OVER m AS days_28d FROM v_sales WHERE sales > 0
+        WINDOW w AS (PARTITION BY store_id, item_id ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), m AS (PARTITION BY store_id, item_id ORDER BY date RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW),
+        b AS (PARTITION BY store_id, item_id ORDER BY date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING)""",
     "ingested_long_table": """, f AS (SELECT s.store_id, s.item_id, k.date, k.d, coalesce(x.sales, 0) AS sales, p.cents, p.cents / 100.0::DOUBLE AS sell_price, k.wday, k.event_name_1 FROM (SELECT DISTINCT store_id, item_id FROM fact_sales) s CROSS JOIN dim_calendar k
           LEFT JOIN fact_sales x ON x.store_id = s.store_id AND x.item_id = s.item_id AND x.date = k.date LEFT JOIN dim_price p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = k.wm_yr_wk),
         a AS (SELECT store_id, item_id, min(date) FILTER (cents IS NOT NULL) AS active_from FROM f GROUP BY 1, 2)
@@ -472,14 +520,23 @@ BODIES = {
 }
 
 
+NAMED = oracle.BODIES
+BODIES |= {
+    "written_table_checks": BODIES["long_table_checks"], "bucketed_lag_features": BODIES["lag_features"], "bucketed_rolling_features": BODIES["rolling_features"], "bucketed_backtest": BODIES["backtest_predictions"],
+    "function_top_products": NAMED["top_products_per_store"].replace("rank <= 10", "rank <= 5"), "function_declining": NAMED["declining_products"].replace("p >= 30", "p >= 10").replace("LIMIT 10", "LIMIT 25"),
+    "function_volatility": NAMED["product_volatility"].replace("total_units >= 100", "total_units >= 50").replace("LIMIT 10", "LIMIT 40"),
+    "function_low_demand": NAMED["persistent_low_demand"].replace("mean_daily_units <= 9", "mean_daily_units <= 6").replace("zero_share >= 0.7", "zero_share >= 0.6"), "function_event_impact": NAMED["named_event_impact"].replace("n_occurrences >= 3", "n_occurrences >= 2"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         demand_segments, demand_profile, segment_profile, sales_distribution, sales_gini, sales_concentration, weekly_price_moves, lag_features, rolling_features, forecast_features, backtest_folds, backtest_predictions,
         weekend_and_snap_tests, demand_test_family, store_kruskal_tests, price_move_correlation, demand_by_weekday, demand_by_month, demand_by_store_year, demand_regimes, regimes_of_categories, regimes_of_stores, category_profile, store_profile,
-        best_methods_by_horizon, cold_series, global_model_backtest, model_replenishment, category_mean_intervals, weekend_permutations, store_mean_intervals, weekend_difference_intervals, long_table_checks, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
+        best_methods_by_horizon, cold_series, global_model_backtest, model_replenishment, category_mean_intervals, weekend_permutations, store_mean_intervals, weekend_difference_intervals, long_table_checks, written_table_checks, rolling_sold_days, bucketed_lag_features, bucketed_rolling_features, bucketed_backtest, model_validation, ingested_long_table, replenishment_orders, replenishment_simulation, forecast_risk, global_model_forecast,
     ]
     cuts = {"metrics_by_fold": "fold_id", "metrics_by_segment": "segment", "metrics_by_horizon": "horizon_day", "metrics_by_store": "store_id", "metrics_by_category": "cat_id"}
-    return {f.__name__: f for f in plain} | {name: _cut(by) for name, by in cuts.items()}
+    return {f.__name__: f for f in plain} | {name: _cut(by) for name, by in cuts.items()} | {name: _function(f, **given) for name, (f, given) in CALLS.items()}
 
 
 def oracle_sql() -> dict[str, str]:

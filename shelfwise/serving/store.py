@@ -1,4 +1,8 @@
-"""Read-only answers from written forecasts and decisions; nothing is computed anew here, and no model is loaded."""
+"""Read-only answers from written forecasts and decisions; nothing is computed anew here, and no model is loaded.
+
+Tables lie in files of ranges of (store, item). Beside each table is an index, a row for each file with its first and last
+series, so that an answer about one series opens the file of its range and in it the row groups that can hold it.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,10 @@ from pyspark.sql import functions as F
 from shelfwise.operators import replenishment as r
 
 IDENTIFIER = re.compile(r"[A-Za-z0-9_\-]{1,64}")
+#: What an index holds of each file.
+INDEX = "file string, first struct<store_id: string, item_id: string>, last struct<store_id: string, item_id: string>"
+#: Bytes of a row group, and the items that its Bloom filter is made for.
+ROW_GROUP, ITEMS_OF_A_GROUP = 8 << 20, 10_000
 SEVERITY = [r.STOCKOUT, r.OUTLIER, r.UNCERTAIN, r.NO_DATA, r.LOW]
 
 REASONS = {
@@ -78,15 +86,15 @@ class ForecastStore:
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return self._table("forecast").cache()
+        return self._table("forecast")
 
     @cached_property
     def risk(self) -> DataFrame:
-        return self._table("risk").cache()
+        return self._table("risk")
 
     @cached_property
     def recommendations(self) -> DataFrame | None:
-        return self._table("recommendations").cache() if self._exists("recommendations") else None
+        return self._table("recommendations") if self._exists("recommendations") else None
 
     @cached_property
     def notes(self) -> dict[str, Any]:
@@ -102,14 +110,27 @@ class ForecastStore:
         known = ("model", "params", "features", "training_cutoff", "mode", "inventory_source", "horizon_days", "reused_existing_model", "generated_at")
         return {k: self.notes.get(k) for k in known} | {"n_features": len(self.notes.get("features") or [])}
 
-    def _of(self, df: DataFrame, store_id: str, item_id: str) -> DataFrame:
-        return df.where((F.col("store_id") == identifier("store_id", store_id)) & (F.col("item_id") == identifier("item_id", item_id)))
+    def files_of(self, name: str, store_id: str, item_id: str) -> list[str]:
+        """The files whose range holds a series: one, or two where its rows lie across a border."""
+        if not self._exists(f"{name}_index"):
+            raise Unavailable(f"{name} has no index")
+        index = self.spark.read.schema(INDEX).parquet(f"{self.folder}/{name}_index")
+        key = F.struct(F.lit(store_id).alias("store_id"), F.lit(item_id).alias("item_id"))
+        held = index.where((F.col("first") <= key) & (key <= F.col("last"))).select("file").orderBy("file")
+        return [f"{self.folder}/{name}/{x[0]}" for x in held.collect()]
+
+    def _of(self, name: str, df: DataFrame, store_id: str, item_id: str) -> DataFrame:
+        """The rows of one series, from the files that can hold them."""
+        store_id, item_id = identifier("store_id", store_id), identifier("item_id", item_id)
+        files = self.files_of(name, store_id, item_id)
+        rows = self.spark.read.schema(df.schema).parquet(*files) if files else df.limit(0)
+        return rows.where((F.col("store_id") == store_id) & (F.col("item_id") == item_id))
 
     def get_forecast(self, store_id: str, item_id: str) -> dict[str, Any]:
-        rows = self._of(self.forecast, store_id, item_id).orderBy("forecast_date").collect()  # a horizon of one series
+        rows = self._of("forecast", self.forecast, store_id, item_id).orderBy("forecast_date").collect()  # a horizon of one series
         if not rows:
             raise NotFound(f"no forecast of {store_id}/{item_id}")
-        risk = self._of(self.risk, store_id, item_id).first()
+        risk = self._of("risk", self.risk, store_id, item_id).first()
         return {
             "store_id": store_id, "item_id": item_id, "forecast_cutoff_date": self.notes.get("training_cutoff"), "forecast_horizon": len({x["horizon_day"] for x in rows}), "forecast_dates": [str(x["forecast_date"]) for x in rows],
             "predicted_units": [rounded(x["forecast_units"]) for x in rows], "segment": rows[0]["segment"], "risk_flag": risk and risk["risk_flag"], "model": self.notes.get("model"),
@@ -119,7 +140,7 @@ class ForecastStore:
         if self.recommendations is None:
             self.get_forecast(store_id, item_id)  # so that an unknown series is told as such
             return {"store_id": store_id, "item_id": item_id, "mode": "FORECAST-ONLY", "recommended_order_qty": None, "decision_reason": r.NO_INVENTORY, "risk_flag": None, "explanation": explain(r.NO_INVENTORY, None)}
-        row = self._of(self.recommendations, store_id, item_id).first()
+        row = self._of("recommendations", self.recommendations, store_id, item_id).first()
         if row is None:
             raise NotFound(f"no recommendation for {store_id}/{item_id}")
         source = self.notes.get("inventory_source", "unknown")
@@ -146,8 +167,18 @@ class ForecastStore:
 
 
 def publish(folder: str, forecast: DataFrame, risk: DataFrame, recommendations: DataFrame | None, notes: dict) -> None:
-    """Writes what a store reads; series by store, so that a lookup opens the files of one."""
+    """Writes what a store reads: tables in files of ranges of series, with their indexes. A store of any size is dealt over
+    as many tasks as its series need; ROW_GROUP bytes at most are read for a series, and a Bloom filter says which groups
+    lack an item. Rows with a null store or item are kept and named by no range."""
+    spark = forecast.sparkSession
     for name, df in (("forecast", forecast), ("risk", risk), ("recommendations", recommendations)):
-        if df is not None:
-            df.repartition("store_id").sortWithinPartitions("item_id").write.mode("overwrite").parquet(f"{folder}/{name}")
-    forecast.sparkSession.createDataFrame([(json.dumps(notes, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/notes")
+        if df is None:
+            continue
+        by = ["store_id", "item_id", *(["forecast_date"] if "forecast_date" in df.columns else [])]
+        writer = df.repartitionByRange("store_id", "item_id").sortWithinPartitions(*by).write.mode("overwrite")
+        writer.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#item_id", "true").option("parquet.bloom.filter.expected.ndv#item_id", ITEMS_OF_A_GROUP).parquet(f"{folder}/{name}")
+        series = F.struct("store_id", "item_id")
+        written = spark.read.schema(df.schema).parquet(f"{folder}/{name}").where("store_id is not null and item_id is not null")
+        index = written.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.min(series).alias("first"), F.max(series).alias("last"))
+        index.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}_index")  # a row for each file
+    spark.createDataFrame([(json.dumps(notes, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/notes")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.semantics import join_to_one
+from shelfwise.operators.observed import figures, watch
 
 IDS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 KEYS = ["store_id", "item_id"]
@@ -99,13 +101,16 @@ def star_schema(long: DataFrame, calendar: DataFrame, prices: DataFrame) -> dict
     }
 
 
-def write_star_schema(tables: dict[str, DataFrame], folder: str) -> None:
-    """Parquet for each table; facts by store and, within it, sorted by series and day, so readers skip what they filter."""
+def write_star_schema(tables: dict[str, DataFrame], folder: str) -> dict[str, Any]:
+    """Parquet for each table; facts by store and, within it, sorted by series and day, so readers skip what they filter.
+    Returns the figures of the facts that the write observed (`operators.observed`)."""
+    facts, seen = watch(tables["fact_sales"])
     for name, df in tables.items():
         if name == "fact_sales":
-            df.repartition("store_id", "item_id").sortWithinPartitions("store_id", "item_id", "date").write.mode("overwrite").partitionBy("store_id").parquet(f"{folder}/{name}")
+            facts.sortWithinPartitions("store_id", "item_id", "date").write.mode("overwrite").partitionBy("store_id").parquet(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return figures(seen)
 
 
 def read_star_schema(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

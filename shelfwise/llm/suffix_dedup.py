@@ -5,7 +5,7 @@
    documents in what follows, so a passage that a third of them share costs a row for each bundle, not for each document.
 1. Anchors. In each window of `length` bytes the `gram` bytes of least hash are its anchor. Equal windows have equal
    anchors at equal places, so two documents that share a window share an anchor. A bundle sends the hashes of its anchors,
-   once each, dealt into buckets; a bucket answers which of them another bundle has too, and which are hot (in more than
+   once each, dealt into buckets whose number follows the bytes of all texts; a bucket answers which of them another bundle has too, and which are hot (in more than
    HOT bundles).
 2. Contexts. Of each anchor that two documents share a bundle sends the bytes of the windows that have it as their anchor,
    which are neighbours; contexts that repeat inside a bundle go once. Of a hot anchor every window goes by itself,
@@ -19,7 +19,8 @@ Hashes of anchors only propose: windows are compared byte by byte.
 
 Defined results: a null text counts as empty (0 bytes, nothing removed); texts shorter than `length` lose nothing; rows
 that repeat an id are one document to each other (neither is smaller) and are judged each on its own text; rows without
-an id neither lose nor claim anything; an empty table gives an empty result. Other columns are not looked at.
+an id neither lose nor claim anything; an empty table gives an empty result. Other columns are not looked at. A text has
+less than 2 GB, as any string of Spark's.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ LENGTH, GRAM = 50, 24
 SHALLOW, TOGETHER = 16, 6_000
 #: Bytes of texts in a bundle (a longer text is one by itself); bundles that make an anchor hot; buckets for each partition.
 BUNDLE, HOT, BUCKETS = 1 << 18, 2000, 4
+#: Bytes of texts whose anchors (about 7 for 100 bytes) and contexts make one bucket, so that a task holds as much on any corpus.
+BUCKET_TEXT = 1 << 26
 
 U = np.uint64
-KEY_BYTES = 6
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -296,15 +298,22 @@ def make_bundles(docs: DataFrame, size: int = 0) -> DataFrame:
     return staged(docs.select("doc_id", "text", *others).mapInArrow(bundle, schema), "suffix-bundles")
 
 
+def bucket_count(total: int, parts: int) -> tuple[int, int]:
+    """(buckets, bytes of a key inside one) for `total` bytes of texts and `parts` tasks: BUCKETS for each task at least,
+    and more where a bucket would stand for over BUCKET_TEXT bytes. Bucket and key have 63 bits together."""
+    buckets = max(parts * BUCKETS, -(-total // BUCKET_TEXT))
+    return buckets, (63 - (buckets - 1).bit_length()) // 8
+
+
 class Opened:
     """A bundle with its anchors: places, distinct keys in order of their bucket, and for each place the number of its key."""
 
-    def __init__(self, sizes: list[int], blob: bytes, length: int, gram: int, buckets: int):
+    def __init__(self, sizes: list[int], blob: bytes, length: int, gram: int, buckets: int, key_bytes: int):
         self.data = zstandard.ZstdDecompressor().decompress(blob) if sum(sizes) else b""
         self.sizes, self.length, self.gram = np.asarray(sizes, np.int64), length, gram
         self.at, self.h, self.least = anchors(np.frombuffer(self.data, np.uint8), self.sizes, length, gram)
-        bucket, key = self.h % U(buckets), self.h // U(buckets) & U((1 << 8 * KEY_BYTES) - 1)
-        code = (bucket << U(8 * KEY_BYTES)) | key
+        bucket, key = self.h % U(buckets), self.h // U(buckets) & U((1 << 8 * key_bytes) - 1)
+        self.key_bytes, code = key_bytes, (bucket << U(8 * key_bytes)) | key
         self.codes, self.number = np.unique(code, return_inverse=True)
         self.doc = np.searchsorted(np.cumsum(self.sizes), self.at, "right")
 
@@ -378,12 +387,12 @@ def each_bucket(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.Record
     give_back()
 
 
-def key_answers(bucket: int, bundles: list[int], blocks: list[bytes], many: int) -> Iterator[pa.RecordBatch]:
+def key_answers(bucket: int, bundles: list[int], blocks: list[bytes], many: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
     """For each bundle two bits for each of its keys in the bucket: another bundle has it too; it is hot."""
     parts = []
     for block in blocks:
-        raw = np.zeros((len(block) // KEY_BYTES, 8), np.uint8)
-        raw[:, :KEY_BYTES] = np.frombuffer(block, np.uint8).reshape(-1, KEY_BYTES)
+        raw = np.zeros((len(block) // key_bytes, 8), np.uint8)
+        raw[:, :key_bytes] = np.frombuffer(block, np.uint8).reshape(-1, key_bytes)
         parts.append(raw.view("<u8").ravel())
     keys = np.concatenate(parts)
     order = np.argsort(keys, kind="stable")
@@ -448,12 +457,12 @@ def context_answers(bucket: int, bundles: list[int], blocks: list[bytes], length
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["bundle", "runs"])
 
 
-def wanted_keys(bundle: Opened, ids: np.ndarray, answer: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def wanted_keys(bundle: Opened, ids: np.ndarray, answer: list | None) -> tuple[np.ndarray, np.ndarray]:
     """(whether two documents share a key, whether it is hot) for each key of the bundle."""
     wanted, hot = bundle.shared_here(ids), np.zeros(len(bundle.codes), bool)
-    edges = np.searchsorted(bundle.codes >> U(8 * KEY_BYTES), np.arange(buckets + 1, dtype=U))
+    bucket = bundle.codes >> U(8 * bundle.key_bytes)
     for a in answer or []:
-        low, high = edges[a["bucket"]], edges[a["bucket"] + 1]
+        low, high = np.searchsorted(bucket, U(a["bucket"])), np.searchsorted(bucket, U(a["bucket"]), "right")
         bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=2 * (high - low)).astype(bool)
         wanted[low:high] |= bits[: high - low]
         hot[low:high] = bits[high - low :]
@@ -475,24 +484,25 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
     names = [*RESULT, *["kept"] * bool(others), *others]
     parts = max(1, int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     many = HOT
-    buckets = min(parts * BUCKETS, 1 << 15)  # so that a code is below 2^63
-    opened = lambda sizes, blob: Opened(sizes, blob, length, gram, buckets)
+    total = bundles.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets, key_bytes = bucket_count(total, parts)
+    opened = lambda sizes, blob: Opened(sizes, blob, length, gram, buckets, key_bytes)
 
     def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for bundle, sizes, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             codes = opened(sizes, blob).codes
             if not len(codes):
                 continue
-            bucket = (codes >> U(8 * KEY_BYTES)).astype(np.int64)
+            bucket = (codes >> U(8 * key_bytes)).astype(np.int64)
             own, edge = np.unique(bucket, return_index=True)
-            raw = codes.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            raw = codes.view(np.uint8).reshape(-1, 8)[:, :key_bytes]
             blocks = [raw[a:b].tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(codes)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([bundle] * len(own), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "bundle", "block"])
 
     def contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for bundle, ids, sizes, blob, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             one, ids = opened(sizes, blob), np.array(ids, np.int64)
-            found = one.contexts(*wanted_keys(one, ids, answer, buckets))
+            found = one.contexts(*wanted_keys(one, ids, answer))
             if not found:
                 continue
             names = list(found)
@@ -513,7 +523,7 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
         for k in range(batch.num_rows):
             ids, sizes, blob, answer, runs = (batch.column(c)[k].as_py() for c in range(1, 6))
             one, owner = opened(sizes, blob), np.array(ids, np.int64)
-            spans = spans_of(one, owner, one.contexts(*wanted_keys(one, owner, answer, buckets)) if runs else {}, runs or [])
+            spans = spans_of(one, owner, one.contexts(*wanted_keys(one, owner, answer)) if runs else {}, runs or [])
             rows, end = [], 0
             for i, size in enumerate(sizes):
                 text = one.data[end : end + size]
@@ -527,7 +537,7 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
             yield pa.RecordBatch.from_arrays([*columns, *[batch.column(6 + c)[k].values for c in range(len(others))]], names=names)
 
     asked = map_arrow(bundles.select("bundle", "sizes", "blob"), keys, "bucket long, bundle long, block binary")
-    shared = by_bucket(asked, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: key_answers(*a, many)), "bundle long, bucket long, bits binary")
+    shared = by_bucket(asked, parts).mapInArrow(lambda b: each_bucket(b, lambda *a: key_answers(*a, many, key_bytes)), "bundle long, bucket long, bits binary")
     answers = staged(shared.groupBy("bundle").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared")), "suffix-shared")
     known = bundles.join(answers, "bundle", "left")  # both grow with the corpus, so neither is sent to all tasks
     sent = map_arrow(known.select("bundle", "ids", "sizes", "blob", "shared"), contexts, "bucket long, bundle long, block binary")

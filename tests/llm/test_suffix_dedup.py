@@ -62,6 +62,19 @@ def test_matches_the_definition(spark, monkeypatch, seed, small, hot):
     assert got == sorted(brute(rows, 50).values())
 
 
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    """What a bucket stands for does not grow with the corpus, and many buckets (with shorter keys) give the same result."""
+    for total in (0, 1 << 20, 1 << 33, 1 << 40, 100 << 40):
+        buckets, key_bytes = sd.bucket_count(total, 200)
+        assert buckets >= 800 and total / buckets <= sd.BUCKET_TEXT and buckets << 8 * key_bytes <= 1 << 63
+    assert sd.bucket_count(0, 200) == (800, 6) and sd.bucket_count(100 << 40, 200)[1] == 5
+    monkeypatch.setattr(sd, "BUCKET_TEXT", 1)
+    monkeypatch.setattr(sd, "BUNDLE", 700)
+    rows = documents(8)
+    got = sorted(tuple(r) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows, 50).values())
+
+
 def test_short_strings_and_other_lengths(spark):
     rows = documents(5, 25)
     df = spark.createDataFrame(rows, "doc_id long, text string")

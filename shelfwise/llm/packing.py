@@ -2,11 +2,20 @@
 
 Documents become pieces of at most `capacity` tokens. The histogram of piece lengths (capacity + 1 numbers at most,
 whatever the corpus) goes to the driver. There the configuration program - least number of sequences so that every
-length is covered - is solved by multiplicative weights. A length's weight starts as the length itself, which is the
-best price where sequences can be filled, and falls as the length is covered. In each round a knapsack dynamic program
-prices partners, and each of the TOGETHER least covered lengths gets its configuration of most worth. Steps are whole
-sequences, so no rounding follows. As is usual for this program, small lengths are set aside: they and what the program
-leaves go best-fit, longest first, bins counted by their free room.
+length is covered - is solved in four steps:
+
+1. Fractional weights (`fractional`). A length's price starts as the length itself, which is the best price where sequences
+   can be filled, and falls by a factor for each share of the length that is covered. In each round one knapsack dynamic
+   program prices all fillings, each length still open gets its configuration of most worth, and all of these are taken
+   together, as far as no length is covered by more than STEP of its need. What is left at last (LEFT of the tokens at
+   most, or after ROUNDS rounds) counts as sequences of one length. The prices, divided by the most worth of any
+   configuration, are feasible for the dual, so they bound the number of sequences from below.
+2. Rounding (`rounded`). Running sums of the weights are rounded, so a configuration gets a whole number within one unit of
+   its weight and all together keep their number; a unit is many sequences where counts are large, so that the plan stays
+   in proportion to the number of lengths.
+3. What rounding leaves (`solve`): the same prices and dynamic program with steps of whole sequences.
+4. Configurations with more free room than a bound are taken back (of a few bounds the best one is used). They and lengths
+   under capacity / SMALL, set aside as is usual for this program, go best-fit, longest first, bins counted by their room.
 
 The plan is a list of (configuration, copies); places in it are arithmetic: the r-th piece of a length belongs to one
 run of the plan. Ranks come from one range sort by (length, id, piece), so a length shared by a third of all pieces is
@@ -30,8 +39,13 @@ from .common import map_arrow, narrow, staged
 from .words import REMEMBERED, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rates at which covered lengths lose weight (each is tried), and the share of a length that one step covers.
-RATES, SHARE = (0.1, 0.5), 0.25
+#: Rate at which covered lengths lose weight, and the share of a length that one whole step covers.
+RATE, SHARE = 0.1, 0.25
+#: Of the fractional weights: most of a length that one round covers, share of tokens where they end, most rounds, and units
+#: of rounding for each length.
+STEP, LEFT, ROUNDS, UNITS = 0.5, 0.05, 300, 8
+#: Share of a length under which it no longer takes part in the fractional weights.
+COVERED = 0.02
 #: Configurations taken under the same weights; lengths under capacity / SMALL are left for best fit to fill gaps with.
 TOGETHER, SMALL = 32, 32
 
@@ -74,9 +88,74 @@ def trace(best: np.ndarray, worth: np.ndarray, room: int) -> Counter:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rate: float = RATES[0], share: float = SHARE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations and whole numbers of sequences, until all lengths are covered or no configuration found is still
-    whole. A step covers `share` of a length of its configuration (or is one sequence), so the number of steps is a few
+def knapsack(worth: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to `top` the most worth that fits, and the length to take there (0: the room is no better than one less)."""
+    best, taken = np.zeros(top + 1), np.zeros(top + 1, np.int64)
+    for room in range(1, top + 1):
+        with_it = best[:room] + worth[room:0:-1]  # the longest first
+        at = int(with_it.argmax())
+        best[room], taken[room] = (with_it[at], room - at) if with_it[at] > best[room - 1] else (best[room - 1], 0)
+    return best, taken
+
+
+class Fractional:
+    """Weights of configurations (rows of lengths, 0 behind them) that cover a histogram, their sum with that of what is left,
+    and a lower bound on any solution, whole or not."""
+
+    def __init__(self, rows: list[np.ndarray], weights: np.ndarray, value: float, bound: float):
+        self.rows, self.weights, self.value, self.bound = rows, weights, value, bound
+
+
+def fractional(histogram: dict[int, int], capacity: int, rate: float = RATE, step: float = STEP, left: float = LEFT) -> Fractional:
+    """Multiplicative weights over the lengths of a histogram that is not empty; no length is covered beyond its need."""
+    lengths = np.array(sorted(histogram))
+    need = np.array([histogram[x] for x in lengths.tolist()], float)
+    number = np.zeros(capacity + 1, np.int64)
+    number[lengths] = np.arange(len(lengths))
+    rest, top, tokens = need.copy(), capacity - int(lengths[0]), float((lengths * need).sum())
+    rows, weights, bound = [], [], 0.0
+    for _ in range(ROUNDS):
+        live = np.flatnonzero(rest > COVERED * need)
+        if not len(live) or (lengths * rest).sum() <= left * tokens:
+            break
+        worth = np.full(capacity + 1, -np.inf)
+        worth[lengths[live]] = lengths[live] * np.exp(-rate * (1 - rest[live] / need[live]))
+        best, taken = knapsack(worth, top)
+        if len(live) == len(lengths):  # prices of all lengths, so a solution of the dual
+            prices = worth[lengths]
+            bound = max(bound, float((need * prices).sum() / (prices + best[capacity - lengths]).max()))
+        useful = np.maximum.accumulate(np.where(taken > 0, np.arange(top + 1), 0))
+        columns, room = [lengths[live]], useful[capacity - lengths[live]]
+        while (got := taken[room]).any():
+            columns.append(got)
+            room = useful[room - got]
+        configs = np.stack(columns, 1)
+        real, at = configs > 0, number[configs]
+        uses = np.maximum(np.bincount(at[real], minlength=len(lengths)), 1)
+        weight = np.where(real, (np.minimum(step * need, rest) / uses)[at], np.inf).min(1)
+        rest = np.maximum(rest - np.bincount(at[real], np.broadcast_to(weight[:, None], at.shape)[real], len(lengths)), 0)
+        rows.extend(configs)
+        weights.append(weight)
+    weights = np.concatenate(weights) if weights else np.zeros(0)
+    return Fractional(rows, weights, float(weights.sum() + (rest / (capacity // lengths)).sum()), max(bound, tokens / capacity))
+
+
+def rounded(found: Fractional, histogram: dict[int, int]) -> tuple[Counter, Counter]:
+    """(whole numbers of configurations, what they leave of the histogram)."""
+    unit = max(1, int(found.weights.sum() // (UNITS * len(histogram))))
+    copies = np.diff(np.floor(np.cumsum(found.weights) / unit + 0.5), prepend=0).astype(np.int64) * unit
+    used, rest = Counter(), Counter(histogram)
+    for k in np.flatnonzero(copies).tolist():
+        config = Counter(found.rows[k][found.rows[k] > 0].tolist())
+        if whole := min(int(copies[k]), *(rest[length] // n for length, n in config.items())):
+            used[tuple(sorted(config.items()))] += whole
+            rest.subtract({length: n * whole for length, n in config.items()})
+    return used, +rest
+
+
+def solve(histogram: dict[int, int], capacity: int, rate: float = RATE, share: float = SHARE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Configurations and whole numbers of sequences: prices as in `fractional`, partners in two parts of half a sequence, each
+    of the TOGETHER least covered lengths in a step, until all are covered or no configuration found is still whole. A step covers `share` of a length of its configuration (or is one sequence), so the number of steps is a few
     times the number of lengths, whatever their counts."""
     need, half, out = np.zeros(capacity + 1), capacity // 2, []
     for length, n in histogram.items():
@@ -138,16 +217,18 @@ def best_fit(rest: Counter, capacity: int) -> Counter:
 
 
 def program(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], Counter]:
-    """(configurations of the program, what is left to best fit): of the rates, and the bounds on a configuration's free
-    room, those with which fewest sequences are used, the widest bound if several do."""
+    """(configurations of the program, what is left to best fit): of the bounds on a configuration's free room the one with
+    which fewest sequences are used, the widest if several do."""
     large = {k: v for k, v in histogram.items() if k >= capacity // SMALL}
-    rooms, tried = sorted({capacity, *(capacity // n for n in (64, 256, 1024)), 0}, reverse=True), []
-    for solved, room in [(s, r) for s in [solve(large, capacity, rate) for rate in RATES] for r in rooms]:
-        used, rest = [], Counter(histogram)
-        for config, copies in solved:
-            if capacity - sum(length * n for length, n in config) <= room:
-                rest.subtract({length: n * copies for length, n in config})
-                used.append((config, copies))
+    if not large:
+        return [], Counter(histogram)
+    whole, over = rounded(fractional(large, capacity), large)
+    solved, tried = [*sorted(whole.items()), *solve(dict(over), capacity)], []
+    for room in sorted({capacity, *(capacity // n for n in (64, 256, 1024)), 0}, reverse=True):
+        used = [(config, copies) for config, copies in solved if capacity - sum(length * n for length, n in config) <= room]
+        rest = Counter(histogram)
+        for config, copies in used:
+            rest.subtract({length: n * copies for length, n in config})
         rest = +rest
         tried.append((sum(n for _, n in used) + sum(best_fit(rest, capacity).values()), used, rest))
     return min(tried, key=lambda t: t[0])[1:]

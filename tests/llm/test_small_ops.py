@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -259,6 +260,44 @@ def test_plan_covers_the_histogram_and_beats_best_fit(seed):
     assert +got == Counter(lengths.tolist()) and -(-int(lengths.sum()) // 100) <= used <= sum(packing.best_fit(h, 100).values()) + full
 
 
+def covered(found):
+    got = Counter()
+    for row, weight in zip(found.rows, found.weights.tolist(), strict=True):
+        for length in row[row > 0].tolist():
+            got[length] += weight
+    return got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fractional_weights_lie_between_the_dual_bound_and_whole_solutions(seed):
+    rng = np.random.default_rng(seed)
+    h = Counter([rng.integers(8, 200, 6000), np.exp(rng.normal(4, 0.6, 9000)).astype(int).clip(8, 199), np.full(700, 101), rng.choice([60, 70, 71, 130], 2000)][seed].tolist())
+    found = packing.fractional(h, 200)
+    assert all(row.sum() <= 200 for row in found.rows) and all(n <= h[length] * (1 + 1e-9) for length, n in covered(found).items())
+    used, rest = packing.rounded(found, h)
+    back = Counter(rest)
+    for config, copies in used.items():
+        back.update({length: n * copies for length, n in config})
+    assert back == h and (found.weights > 0).all()
+    whole = sum(n for _, n in packing.plan(h, 200))
+    assert found.bound <= whole + 1e-6 and sum(k * n for k, n in h.items()) / 200 <= found.bound <= found.value * (1 + 1e-9)
+    if seed == 2:
+        assert whole == 700 and found.bound == pytest.approx(700)  # the dual knows that no two fit together, the token bound does not
+    if seed < 2:
+        assert found.value <= 1.05 * found.bound and whole <= 1.01 * found.bound
+
+
+def test_knapsack_against_all_fillings():
+    rng = np.random.default_rng(5)
+    worth = np.full(31, -np.inf)
+    lengths = [4, 7, 9, 11]
+    worth[lengths] = rng.random(4) + 0.1
+    best, taken = packing.knapsack(worth, 30)
+    for room in range(31):
+        every = [sum(n * worth[x] for n, x in zip(c, lengths)) for c in itertools.product(range(8), repeat=4) if sum(n * x for n, x in zip(c, lengths)) <= room]
+        assert best[room] == pytest.approx(max(every)) and (taken[room] == 0 or taken[room] <= room)
+
+
 @pytest.mark.parametrize("times", [1, 40])
 def test_the_program_packs_at_full_capacity(times):
     rng = np.random.default_rng(3)

@@ -110,7 +110,7 @@ def _cut(by: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def weekend_and_snap_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.benjamini_hochberg(stats.mann_whitney(stats.demand_tests(retail(spark, sf_dir)), "test", "grp", "x"))
+    found = stats.benjamini_hochberg(stats.mann_whitney(stats.demand_tests(retail(spark, sf_dir)), "test", "grp", "x", stats.UNDEFINED))
     found = found.withColumn("effect", stats.effect_label(F.col("delta"))).withColumn("n_x", long(F.col("n_x"))).withColumn("n_y", long(F.col("n_y")))
     return _round(found.drop("p_value", "p_fdr", "significant_fdr"), 6, "u", "delta", "relative_difference", "z")
 
@@ -122,7 +122,7 @@ def demand_test_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_kruskal_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = retail(spark, sf_dir).v_store_cat_daily
-    found = stats.kruskal(cat.select(F.col("cat_id").alias("test"), F.col("store_id").alias("grp"), F.col("units").alias("x")), "test", "grp", "x")
+    found = stats.kruskal(cat.select(F.col("cat_id").alias("test"), F.col("store_id").alias("grp"), F.col("units").alias("x")), "test", "grp", "x", stats.UNDEFINED)
     return _round(found.withColumn("effect", stats.epsilon_label(F.col("epsilon_squared"))), 5, "h", "epsilon_squared", "p_value")
 
 

@@ -287,12 +287,12 @@ def search_rows(unit: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], l
 
 
 def search_units(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of all units; rows (unit, node, label, size, point, side, mine) come sorted by unit and node."""
+    """Pairs of all units; rows (unit, node, label, size, compressed point, side, mine) come sorted by unit and node."""
 
     def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         unit, sizes, sides, mine = (rows.column(k).to_numpy() for k in (0, 3, 5, 6))
         nodes = rows.column(1).combine_chunks()
-        points = [np.frombuffer(p, np.uint8) for p in rows.column(4).to_pylist()]
+        points = [np.frombuffer(open_.decompress(p), np.uint8) for p in rows.column(4).to_pylist()]
         names: dict[bytes, int] = {}
         labels = np.array([names.setdefault(x, len(names)) for x in rows.column(2).to_pylist()]) if every else np.arange(len(unit))
         for i, j in search_rows(unit, sizes, points, labels, sides, mine, percent, every):
@@ -304,6 +304,7 @@ def search_units(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
             yield pa.RecordBatch.from_arrays([pc.if_else(least, x, y), pc.if_else(least, y, x)], names=["a", "b"])
 
     forget()
+    open_ = zstandard.ZstdDecompressor()
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -439,8 +440,9 @@ def searched(rows: DataFrame, texts: DataFrame, percent: int, point: str, every:
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, size, point, rough, packed (compressed text) of the nodes in `nodes` (node, doc_id, h): h is the text_key of a
-    row's text, so that the row is found whether or not its id is null or repeated."""
+    """node, size, point, rough, packed (the text) of the nodes in `nodes` (node, doc_id, h), the last three compressed: a
+    point goes with its set into every unit. h is the text_key of a row's text, so that the row is found whether or not its
+    id is null or repeated."""
     chosen = few(nodes.select(F.col("doc_id").alias("id"), F.col("h").alias("key"), "node"), BROADCAST_NODES)
     rows = docs.withColumn("h", text_key(F.col("text"))).join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key"))).select("text", "node")
 
@@ -448,7 +450,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         out = [[], [], [], [], []]
         for text, node, s in zip(batch.column(0), batch.column(1).to_pylist(), shingle_sets(batch.column(0), words), strict=True):
-            for column, value in zip(out, (node, len(s), (p := point(s)).tobytes(), rough(p).tobytes(), pack.compress(text.as_buffer())), strict=True):
+            for column, value in zip(out, (node, len(s), pack.compress((p := point(s)).tobytes()), pack.compress(rough(p).tobytes()), pack.compress(text.as_buffer())), strict=True):
                 column.append(value)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "size", "point", "rough", "packed"])
@@ -475,10 +477,11 @@ def overlap(a: bytes, b: bytes, words: int = WORDS) -> tuple[int, int, int]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b of the pairs that are links by their words."""
+    """a, b of the pairs that are links by their words. Only texts that pairs name are shuffled, while these are few."""
+    named = few(pairs.selectExpr("a node").unionAll(pairs.selectExpr("b node")).distinct())
 
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("node").alias(name), F.col("packed").alias(f"packed_{name}"))
+        return texts.join(named, "node", "left_semi").select(F.col("node").alias(name), F.col("packed").alias(f"packed_{name}"))
 
     def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
         open_ = zstandard.ZstdDecompressor()
@@ -537,18 +540,19 @@ def joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
         once = staged(texts.dropDuplicates(["node"]), "join-texts")
         discard(texts)
         texts = once
-    pairs = searched(block.where("asks").withColumn("label", F.lit(None).cast("binary")), texts, percent, "rough", False)
+    pairs = staged(searched(block.where("asks").withColumn("label", F.lit(None).cast("binary")), texts, percent, "rough", False), "join-pairs")
     links = staged(verified(pairs, texts, words, percent), "join-links")
     labels = components(links)
 
     named = block.join(labels, "node", "left").select("block", "node", "members", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
     open_ = staged(named.join(mixed, "block", "left_semi"), "join-open")
-    more = staged(verified(searched(open_, texts, percent, "point", True), texts, words, percent), "join-links")
+    others = staged(searched(open_, texts, percent, "point", True), "join-pairs")
+    more = staged(verified(others, texts, words, percent), "join-links")
     if not more.isEmpty():
         old, labels = labels, components(links.unionAll(more))
         discard(old)
-    discard(block, involved, texts, links, more, open_)  # from here on nodes and labels are read
+    discard(block, involved, texts, pairs, links, others, more, open_)  # from here on nodes and labels are read
     return nodes.join(labels, "node", "left").select("doc_id", "h", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 

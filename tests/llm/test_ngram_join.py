@@ -204,3 +204,22 @@ def test_drop_near_by_id_and_text(spark):
     assert got.columns == df.columns
     assert sorted(r["__h"] for r in got.collect()) == ["a", "c", "d", "d", "e", "f"]
     assert nj.drop_near(df.limit(0)).count() == 0
+
+
+def test_points_are_small_and_only_named_texts_are_verified(spark, monkeypatch):
+    """What goes into units is compressed without loss, and of the texts only those that a pair names reach the join."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(str(rng.randrange(10**6)) for _ in range(600))) for k in range(40)]
+    rows += [(100, rows[0][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {nj.node_of(s): s for s in nj.shingle_sets(pa.array([t for _, t in rows]))}
+    names = spark.createDataFrame([(d, bytearray(nj.node_of(nj.shingle_sets(pa.array([t]))[0]))) for d, t in rows], "doc_id long, node binary")
+    texts = nj.node_texts(docs, docs.join(names, "doc_id").select("doc_id", nj.text_key(docs.text).alias("h"), "node"), 5).cache()
+    for r in texts.collect():
+        raw = nj.point(sets[bytes(r.node)])
+        assert nj.zstandard.decompress(r.point) == raw.tobytes() and nj.zstandard.decompress(r.rough) == nj.rough(raw).tobytes() and len(r.point) < len(raw) / 2
+    ends = sorted(bytes(n) for n in (names.where("doc_id in (0, 100)").toPandas().node))
+    pairs = spark.createDataFrame([tuple(map(bytearray, ends))], "a binary, b binary")
+    seen = []
+    monkeypatch.setattr(nj, "few", lambda df, *most: seen.append(df.count()) or df)
+    assert [(bytes(r.a), bytes(r.b)) for r in nj.verified(pairs, texts, 5, 80).collect()] == [tuple(ends)] and seen == [2]

@@ -3,16 +3,18 @@
 0. Copies. Of documents with the same text (by SHA-256) only the least id goes on; the others lose all their bytes. What
    goes on is written once as bundles: about BUNDLE bytes of texts, compressed together. A bundle speaks for all its
    documents in what follows, so a passage that a third of them share costs a row for each bundle, not for each document.
-1. Anchors. In each window of `length` bytes the `gram` bytes of least hash are its anchor. Equal windows have equal
-   anchors at equal places, so two documents that share a window share an anchor. A bundle sends the hashes of its anchors,
-   once each, dealt into buckets whose number follows the bytes of all texts; a bucket answers which of them another bundle has too, and which are hot (in more than
-   HOT bundles).
+1. Anchors. In each window of `length` bytes the `gram` bytes of least rank (a hash of 32 bits) are its anchor. Equal
+   windows have equal anchors at equal places, so two documents that share a window share an anchor. A bundle sends the
+   hashes of its anchors (64 bits, taken at anchors only), once each, dealt into buckets whose number follows the bytes of
+   all texts; a bucket answers which of them another bundle has too, and which are hot (in more than HOT bundles).
 2. Contexts. Of each anchor that two documents share a bundle sends the bytes of the windows that have it as their anchor,
    which are neighbours; contexts that repeat inside a bundle go once. Of a hot anchor every window goes by itself,
    dealt by a hash of its bytes, so that what surrounds a common phrase is spread over all tasks.
 3. Suffix sort. Contexts meet by anchor. Equal ones are one from here on. Where an anchor has several, the suffixes that
-   start in them are sorted to `length` bytes by deep-shallow sorting: multikey quicksort on 8-byte symbols to a shallow
-   depth, then blind tries for groups that still share a prefix. Each class of equal windows knows its least document.
+   start in them are sorted to `length` bytes by deep-shallow sorting: multikey quicksort on 8-byte symbols to SHALLOW
+   bytes, then blind tries for groups that still share a prefix. SHALLOW is nearly `length`: near copies agree in far more
+   than 16 bytes, and all segments are split in step, while a trie takes its suffixes one by one. Each class of equal
+   windows knows its least document.
 4. Bundles get runs of windows with the least document of each, and cut them from every document with a greater id.
 
 Hashes of anchors only propose: windows are compared byte by byte.
@@ -27,8 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from .common import ddl, few, forget, give_back, map_arrow, staged
 
 LENGTH, GRAM = 50, 24
 #: Depth in bytes of the multikey quicksort; contexts sorted together.
-SHALLOW, TOGETHER = 16, 6_000
+SHALLOW, TOGETHER = 48, 6_000
 #: Bytes of texts in a bundle (a longer text is one by itself); bundles that make an anchor hot; buckets for each partition.
 BUNDLE, HOT, BUCKETS = 1 << 18, 2000, 4
 #: Bytes of texts whose anchors (about 7 for 100 bytes) and contexts make one bucket, so that a task holds as much on any corpus.
@@ -56,7 +58,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
-BYTE_HASH = _mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+#: Windows whose ranks are taken together: what lies between the steps stays in a processor's cache.
+STRIDE = 1 << 16
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -67,37 +70,59 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(m[: len(m) - (width - c)], m[width - c :]) if c < width else m
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the `gram` bytes from each place, never 0."""
-    h, c = BYTE_HASH[data], 1
-    while c * 2 <= gram:
-        h, c = _mix(h[:-c] * U(0xBF58476D1CE4E5B9) + h[c:]), c * 2
-    return np.maximum(_mix(h[: len(h) - (gram - c)] * U(0x94D049BB133111EB) + h[gram - c :]) if c < gram else h, U(1))
+def gram_ranks(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 32-bit hash of the `gram` bytes from each place, never 0: a polynomial of them, by doubling, mixed at last."""
+    h, c = data.astype(np.uint32), 1
+    while c < gram:
+        step = min(c, gram - c)
+        more = h[:-step] * np.uint32(pow(0x9E3779B1, c, 1 << 32))
+        more += h[step:]
+        h, c = more, c + step
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return np.maximum(h, np.uint32(1), out=h)
+
+
+def gram_hashes(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the `gram` bytes from each of these places."""
+    words = np.zeros((len(at), -(-gram // 8)), U)
+    words.view(np.uint8)[:, :gram] = np.lib.stride_tricks.sliding_window_view(data, gram)[at]
+    h = np.zeros(len(at), U)
+    for k in range(words.shape[1]):
+        h = _mix((h ^ words[:, k]) * U(0xBF58476D1CE4E5B9))
+    return h
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, least) of texts that lie one after another: the anchors of all their windows, and the least hash
-    in the window from each place, 0 where no window of one text begins. Every place that ties for the least hash counts."""
+    """(places, hashes, least) of texts that lie one after another: the anchors of all their windows, and the least rank in
+    the window that starts `length - gram` places before each place, 0 where that is no window of one text. Every place
+    that ties for the least rank counts."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
-    width = length - gram + 1
-    h = gram_hashes(data, gram)
-    least = _sliding(h, width, np.minimum)
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.uint32)
+    width, windows = length - gram + 1, len(data) - length + 1
+    rank, least = np.empty(windows + width - 1, np.uint32), np.zeros(windows + 2 * (width - 1), np.uint32)
+    inside = least[width - 1 :][:windows]  # between zeros, so that every place is in `width` windows
+    for a in range(0, windows, STRIDE):
+        b = min(a + STRIDE, windows) + width - 1
+        rank[a:b] = gram_ranks(data[a : b + gram - 1], gram)
+        inside[a : b - width + 1] = _sliding(rank[a:b], width, np.minimum)
     ends = np.cumsum(sizes)
     cross = (ends[:, None] - np.arange(1, length)).ravel()  # windows from here reach over a text's end
-    least[cross[(cross >= 0) & (cross < len(least))]] = 0
-    pad = np.zeros(width - 1, U)
-    at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return at, h[at], least
+    inside[cross[(cross >= 0) & (cross < windows)]] = 0
+    at = np.concatenate([a + np.flatnonzero(_sliding(least[a : a + STRIDE + width - 1], width, np.maximum) == rank[a : a + STRIDE]) for a in range(0, len(rank), STRIDE)])
+    return at, gram_hashes(data, at, gram), least
 
 
-def own_windows(at: np.ndarray, h: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def own_windows(at: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) start of the windows that have each of these anchors; they are neighbours."""
     first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    around = np.lib.stride_tricks.sliding_window_view(least, width) if len(at) else least
     for k in range(0, len(at), 5_000):
         a = at[k : k + 5_000]
-        start = a[:, None] + np.arange(1 - width, 1)
-        own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h[k : k + 5_000, None])
+        near = around[a]
+        own = near == near.max(axis=1)[:, None]  # an anchor is the greatest of the least around it
         first[k : k + 5_000], last[k : k + 5_000] = a + 1 - width + own.argmax(axis=1), a - own[:, ::-1].argmax(axis=1)
     return first, last
 
@@ -178,7 +203,10 @@ def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, group: np.ndarra
         edge, size, at = first[there], counts[there], deeper[there]
         open_ = (size > 1) & (at < depth)
         edge, size, at = edge[open_], size[open_], at[open_]
-    return order, np.unique(np.concatenate(edges)) if edges else edge
+    if edges:
+        edge = np.sort(np.concatenate(edges))
+        edge = edge[np.concatenate([[True], edge[1:] != edge[:-1]])] if len(edge) else edge
+    return order, edge
 
 
 def sort_suffixes(data: bytes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +337,7 @@ class Opened:
     """A bundle with its anchors: places, distinct keys in order of their bucket, and for each place the number of its key."""
 
     def __init__(self, sizes: list[int], blob: bytes, length: int, gram: int, buckets: int, key_bytes: int):
-        self.data = zstandard.ZstdDecompressor().decompress(blob) if sum(sizes) else b""
+        self.data = decompressor().decompress(blob) if sum(sizes) else b""
         self.sizes, self.length, self.gram = np.asarray(sizes, np.int64), length, gram
         self.at, self.h, self.least = anchors(np.frombuffer(self.data, np.uint8), self.sizes, length, gram)
         bucket, key = self.h % U(buckets), self.h // U(buckets) & U((1 << 8 * key_bytes) - 1)
@@ -325,32 +353,74 @@ class Opened:
         np.maximum.at(high, self.number, own)
         return low < high
 
-    def contexts(self, wanted: np.ndarray, hot: np.ndarray) -> dict[tuple[int, int, bytes], list[tuple[int, int]]]:
-        """(key, bytes before the anchor, bytes of its windows): the (document's place, context's place in the bundle) of
-        each. A hot anchor's windows are contexts of their own, their key a hash of them."""
+    def contexts(self, wanted: np.ndarray, hot: np.ndarray) -> "Contexts":
+        """The windows of each wanted anchor. A hot anchor's windows are contexts of their own, their key a hash of them."""
         use = np.flatnonzero(wanted[self.number])
-        begin, last = own_windows(self.at[use], self.h[use], self.least, self.length - self.gram + 1)
-        out: dict[tuple[int, int, bytes], list[tuple[int, int]]] = defaultdict(list)
-        data, length = self.data, self.length
-        rows = zip(self.codes[self.number[use]].tolist(), self.at[use].tolist(), begin.tolist(), last.tolist(), self.doc[use].tolist(), hot[self.number[use]].tolist(), strict=True)
-        for code, at, a, b, doc, single in rows:
-            if single:
-                for s in range(a, b + 1):
-                    window = data[s : s + length]
-                    out[xxhash.xxh3_64_intdigest(window, code) >> 1, at - s, window].append((doc, s))
-            else:
-                out[code, at - a, data[a : b + length]].append((doc, a))
-        return out
+        begin, last = own_windows(self.at[use], self.least, self.length - self.gram + 1)
+        key, at, doc, size = self.codes[self.number[use]].astype(np.int64), self.at[use], self.doc[use], last - begin + self.length
+        single = hot[self.number[use]]
+        if single.any():
+            n = np.where(single, last - begin + 1, 1)
+            row = np.repeat(np.arange(len(use)), n)
+            begin = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            key, at, doc, single = key[row], at[row], doc[row], single[row]
+            size = np.where(single, self.length, size[row])
+            own = np.flatnonzero(single)
+            key[own] = [xxhash.xxh3_64_intdigest(self.data[s : s + self.length], k) >> 1 for s, k in zip(begin[own].tolist(), key[own].tolist(), strict=True)]
+        return Contexts(self.data, key, begin, at - begin, size, doc)
+
+
+class Contexts:
+    """The places in a bundle that have a context: its key, begin and size, the bytes before its anchor, the document's
+    place, and the first place with an equal one (`like`), which stands for all of them."""
+
+    def __init__(self, data: bytes, key: np.ndarray, begin: np.ndarray, lead: np.ndarray, size: np.ndarray, doc: np.ndarray):
+        self.data, self.key, self.begin, self.lead, self.size, self.doc = data, key, begin, lead, size, doc
+        order = np.lexsort((lead * (1 << 31) + size, key))
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = (np.diff(key[order]) == 0) & (np.diff(lead[order]) == 0) & (np.diff(size[order]) == 0)
+        several = np.sort(order[same[:-1] | same[1:]])  # not alone with its key, lead and size
+        self.like = np.arange(len(key))
+        first: dict[tuple[int, int, bytes], int] = {}
+        rows = zip(several.tolist(), key[several].tolist(), lead[several].tolist(), begin[several].tolist(), (begin + size)[several].tolist(), strict=True)
+        self.like[several] = [first.setdefault((k, before, data[a:b]), row) for row, k, before, a, b in rows]
+
+    def blocks(self, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, its different contexts)."""
+        order = np.argsort(self.like, kind="stable")
+        use = np.flatnonzero(self.like == np.arange(len(self.like)))
+        if not len(use):
+            return
+        owner, edge = ids[self.doc[order]], np.searchsorted(self.like[order], use)
+        columns = [self.key[use], use.astype("<i4"), self.lead[use].astype("<i4"), self.size[use].astype("<i4"), np.minimum.reduceat(owner, edge), np.maximum.reduceat(owner, edge)]
+        bucket = columns[0] % buckets
+        order = np.argsort(bucket, kind="stable")
+        columns = [c[order] for c in columns]
+        begin = self.begin[use[order]]
+        texts = [self.data[a:b] for a, b in zip(begin.tolist(), (begin + columns[3]).tolist(), strict=True)]
+        own, edge = np.unique(bucket[order], return_index=True)
+        for k, a, b in zip(own.tolist(), edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+            yield k, packed([c[a:b] for c in columns], b"".join(texts[a:b]))
+
+
+@cache
+def compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
+
+
+@cache
+def decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def packed(columns: list[np.ndarray], tail: bytes = b"") -> bytes:
     """Columns of one length, and bytes behind them, as one compressed block."""
     head = struct.pack("<q", len(columns[0]))
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(c.tobytes() for c in columns) + tail)
+    return compressor().compress(head + b"".join(c.tobytes() for c in columns) + tail)
 
 
 def unpacked(block: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
+    raw = decompressor().decompress(block)
     n, at, out = struct.unpack_from("<q", raw)[0], 8, []
     for kind in kinds:
         out.append(np.frombuffer(raw, kind, n, at))
@@ -461,24 +531,15 @@ def wanted_keys(bundle: Opened, ids: np.ndarray, answer: list | None) -> tuple[n
     """(whether two documents share a key, whether it is hot) for each key of the bundle."""
     wanted, hot = bundle.shared_here(ids), np.zeros(len(bundle.codes), bool)
     bucket = bundle.codes >> U(8 * bundle.key_bytes)
-    for a in answer or []:
-        low, high = np.searchsorted(bucket, U(a["bucket"])), np.searchsorted(bucket, U(a["bucket"]), "right")
-        bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=2 * (high - low)).astype(bool)
-        wanted[low:high] |= bits[: high - low]
-        hot[low:high] = bits[high - low :]
+    told = np.array([a["bucket"] for a in answer or []], U)
+    low, high = np.searchsorted(bucket, told).tolist(), np.searchsorted(bucket, told, "right").tolist()
+    for a, b, one in zip(low, high, answer or [], strict=True):
+        bits = np.unpackbits(np.frombuffer(one["bits"], np.uint8), count=2 * (b - a)).view(bool)
+        wanted[a:b] |= bits[: b - a]
+        hot[a:b] = bits[b - a :]
     return wanted, hot
 
 
-def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of the spans' union; spans that touch are one run."""
-    if not len(start):
-        return []
-    order = np.argsort(start, kind="stable")
-    start, stop = start[order], np.maximum.accumulate(stop[order])
-    head = np.concatenate([[True], start[1:] > stop[:-1]])
-    return list(zip(start[head].tolist(), stop[np.append(np.flatnonzero(head)[1:], len(start)) - 1].tolist(), strict=True))
-
-
 def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int) -> DataFrame:
     """RESULT of each document of the bundles; kept and the other columns too, where there are any."""
     names = [*RESULT, *["kept"] * bool(others), *others]
@@ -502,28 +563,14 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
     def contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for bundle, ids, sizes, blob, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             one, ids = opened(sizes, blob), np.array(ids, np.int64)
-            found = one.contexts(*wanted_keys(one, ids, answer))
-            if not found:
-                continue
-            names = list(found)
-            key, lead, size = np.array([n[0] for n in names], "<i8"), np.array([n[1] for n in names], "<i4"), np.array([len(n[2]) for n in names], "<i4")
-            begin = np.cumsum([0, *map(len, found.values())])[:-1]
-            owner = ids[[doc for places in found.values() for doc, _ in places]]
-            low, high = np.minimum.reduceat(owner, begin), np.maximum.reduceat(owner, begin)
-            bucket = key % buckets
-            order = np.argsort(bucket, kind="stable")
-            own, edge = np.unique(bucket[order], return_index=True)
-            blocks = []
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
-                use = order[a:b]
-                blocks.append(packed([key[use], use.astype("<i4"), lead[use], size[use], low[use], high[use]], b"".join([names[k][2] for k in use.tolist()])))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([bundle] * len(own), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "bundle", "block"])
+            found = list(one.contexts(*wanted_keys(one, ids, answer)).blocks(ids, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([bundle] * len(found), pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["bucket", "bundle", "block"])
 
     def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             ids, sizes, blob, answer, runs = (batch.column(c)[k].as_py() for c in range(1, 6))
             one, owner = opened(sizes, blob), np.array(ids, np.int64)
-            spans = spans_of(one, owner, one.contexts(*wanted_keys(one, owner, answer)) if runs else {}, runs or [])
+            spans = spans_of(one.contexts(*wanted_keys(one, owner, answer)), owner, runs) if runs else {}
             rows, end = [], 0
             for i, size in enumerate(sizes):
                 text = one.data[end : end + size]
@@ -548,25 +595,26 @@ def strip_bundles(bundles: DataFrame, others: list[str], length: int, gram: int)
     return map_arrow(told.select("bundle", "ids", "sizes", "blob", "shared", "runs", *others), strip, ", ".join(f"{c} {t}" for c, t in RESULT.items()) + more, 1 << 20)
 
 
-def spans_of(one: Opened, ids: np.ndarray, found: dict, runs: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-    """The maximal runs of bytes that each document of the bundle loses, by its place in it, at places in the bundle."""
-    if not runs:
-        return {}
+def spans_of(found: Contexts, ids: np.ndarray, runs: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+    """The maximal runs of bytes that each document of the bundle loses, by its place in it, at places in the bundle;
+    spans that touch are one run."""
     number, start, stop, least = (np.concatenate(c) for c in zip(*[unpacked(r, RUN)[0] for r in runs], strict=True))
-    counts = np.array([len(p) for p in found.values()], np.int64)
-    doc, place = (np.array([p[k] for places in found.values() for p in places], np.int64) for k in (0, 1))
-    n = counts[number]
+    order = np.argsort(found.like, kind="stable")
+    begin, end = (np.searchsorted(found.like[order], number, side) for side in ("left", "right"))
+    n = end - begin
     run = np.repeat(np.arange(len(number)), n)
-    at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + (np.cumsum(counts) - counts)[number][run]
-    lose = ids[doc[at]] > least[run]
+    at = order[np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + begin[run]]
+    lose = ids[found.doc[at]] > least[run]
     at, run = at[lose], run[lose]
-    a, b, own = place[at] + start[run], place[at] + stop[run], doc[at]
-    out = {}
-    order = np.argsort(own, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) != 0])) if len(own) else own
-    for p, q in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True) if len(own) else []:
-        use = order[p:q]
-        out[int(own[use[0]])] = merged(a[use], b[use])
+    a, b, own = found.begin[at] + start[run], found.begin[at] + stop[run], found.doc[at]
+    order = np.argsort(a, kind="stable")  # documents lie one after another
+    a, b, own = a[order], np.maximum.accumulate(b[order]), own[order]
+    head = np.ones(len(a), bool)
+    head[1:] = (a[1:] > b[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(head)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for doc, x, y in zip(own[first].tolist(), a[first].tolist(), b[np.append(first[1:], len(a)) - 1].tolist() if len(a) else [], strict=True):
+        out.setdefault(doc, []).append((x, y))
     return out
 
 

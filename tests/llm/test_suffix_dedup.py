@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -142,3 +143,44 @@ def test_texts_and_rows_come_back(spark):
     left = got.pop((2, None, 2))
     assert got == {(1, "a", 1): rows[0][1], (3, "c", None): "", (None, "d", 4): rows[0][1], (4, "e", 5): ""}
     assert left.startswith("x") and left.endswith("two") and "é" not in left
+
+
+def test_anchors_take_few_bytes_for_a_byte_of_text(monkeypatch):
+    """Ranks of 32 bits in strides: their cost is that of the memory they pass over. Strides change nothing."""
+    data, sizes = np.random.default_rng(1).integers(97, 123, 1 << 21, np.uint8), np.full(8, 1 << 18)
+    tracemalloc.start()
+    at, h, least = anchors(data, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(data)
+    monkeypatch.setattr(sd, "STRIDE", 1000)
+    for whole, cut in zip((at, h, least), anchors(data, sizes), strict=True):
+        assert (whole == cut).all()
+
+
+def test_near_copies_are_sorted_without_a_trie_each(monkeypatch):
+    """Windows that differ beyond their first 16 bytes are split by the quicksort; only the last bytes are left to tries."""
+    rng = random.Random(9)
+    taken = []
+    insert = sd.BlindTrie.insert
+    monkeypatch.setattr(sd.BlindTrie, "insert", lambda self, start: (taken.append(start), insert(self, start))[1])
+    base = bytes(rng.randrange(97, 123) for _ in range(50))
+    texts = [base[:k] + bytes([rng.randrange(97, 123)]) + base[k + 1 :] for k in range(16, 48) for _ in range(4)]
+    order, rank = sort_suffixes(b"".join(texts), np.arange(len(texts)) * 50, np.zeros(len(texts), np.int64))
+    assert [texts[i] for i in order] == sorted(texts) and not taken
+    assert all((rank[i] == rank[j]) == (texts[i] == texts[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_contexts_of_a_bundle_go_once():
+    """Equal contexts stand for each other; those that agree in key, lead and size only do not."""
+    data = b"one passage" + b"two passage" + b"one passage" + b"one passage"
+    key, begin = np.array([7, 7, 7, 8]), np.arange(4) * 11
+    found = sd.Contexts(data, key, begin, np.full(4, 4), np.full(4, 11), np.arange(4))
+    assert found.like.tolist() == [0, 1, 0, 3]
+    sent = {}
+    for bucket, block in found.blocks(np.array([40, 30, 20, 10]), 2):
+        (keys, number, _, _, low, high), text = sd.unpacked(block, sd.CONTEXT)
+        sent[bucket] = list(zip(keys.tolist(), number.tolist(), low.tolist(), high.tolist())), text
+    assert sent == {0: ([(8, 3, 10, 10)], b"one passage"), 1: ([(7, 0, 20, 40), (7, 1, 30, 30)], b"one passagetwo passage")}
+    cut = sd.packed([np.array([0], "<i4"), np.array([3], "<i4"), np.array([11], "<i4"), np.array([20], "<i8")])
+    assert sd.spans_of(found, np.array([40, 30, 20, 10]), [cut]) == {0: [(3, 11)]}
